@@ -1,0 +1,9 @@
+"""The first slice: genotype table, window diversity, empirical p-values."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
