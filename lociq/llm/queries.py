@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm import byte_bpe, exact_dedup, katz, minhash, packing, quality, sharding, token_counts
+from lociq.llm import byte_bpe, chat, exact_dedup, katz, licenses, minhash, packing, quality, sharding, token_counts
 from lociq.llm.common import documents
 
 
@@ -38,13 +38,23 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files: source / language / hundreds of ids / name."""
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text", path.alias("path")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_katz, op4_byte_bpe, op5_minhash, op6_sharding, op7_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_katz, op4_byte_bpe, op5_minhash, op6_sharding, op7_packing, op8_chat, op9_quality_rules, op10_licenses)}
 
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
