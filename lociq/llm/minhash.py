@@ -18,8 +18,9 @@ words the whole sequence; without words it is empty and linked with nothing.
 A large bucket is not turned into all its pairs.  It is dealt into blocks of
 ``BLOCK`` rows; from each block only a spanning forest of its likeliest pairs is
 checked exactly.  Buckets whose rows are then all in one component are done.
-From the others, every surviving pair between different components is checked,
-block against block, so no link between components is lost.
+From the others, every surviving pair between different components is checked
+exactly where it is compared, block against block, and only links leave the
+task, so no link between components is lost and no list of pairs is made.
 
 The texts lie in bucket files by the task that read them (the sender) and do
 not move: the rows whose sets are needed are sent to them, as lists by sender.
@@ -203,12 +204,25 @@ def _first_pairs(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
 
-def _cross_pairs(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """All surviving pairs of different components, block against block."""
+def _cross_links(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between components, block against block, checked exactly on full sets here.
+
+    A pair is looked at in the first band that it shares, so once in all.  Pairs
+    that links found here have joined already are not needed; the others are.
+    """
     sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(-1, SIGNATURE)
-    uid, comp = pdf["uid"].to_numpy(), pdf["comp"].to_numpy()
+    bands = np.stack(pdf["bands"].to_list())
+    uid, comp, band = pdf["uid"].to_numpy(), pdf["comp"].to_numpy(), pdf["band"].to_numpy()
     side, one, two = pdf["side"].to_numpy(), pdf["one"].to_numpy(), pdf["two"].to_numpy()
-    found: set[tuple[int, int]] = set()
+    items = [np.asarray(x, dtype=np.int64).view(np.uint64) for x in pdf["items"]]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    found = []
     for rows in _buckets(pdf, ["band", "hash", "one", "two"]):
         same = one[rows[0]] == two[rows[0]]
         for a, b in _pairs(len(rows)):
@@ -216,10 +230,28 @@ def _cross_pairs(key, pdf: pd.DataFrame) -> pd.DataFrame:
             go = comp[a] != comp[b]
             if not same:
                 go &= side[a] != side[b]
-            a, b, _ = survivors(sig, a[go], b[go])
-            x, y = np.minimum(uid[a], uid[b]), np.maximum(uid[a], uid[b])
-            found.update(zip(x.tolist(), y.tolist(), strict=True))
-    return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+            a, b, matches = survivors(sig, a[go], b[go])
+            if len(a):
+                go = (bands[a] == bands[b]).argmax(axis=1) == band[a]
+                a, b, matches = a[go], b[go], matches[go]
+            for k in np.argsort(-matches, kind="stable").tolist():
+                i, j = int(a[k]), int(b[k])
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x != y and similar(items[i], items[j]):
+                    parent[x] = y
+                    found.append((min(uid[i], uid[j]), max(uid[i], uid[j])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Exact test on two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < PERCENT * len(y):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
 def _spool(docs: DataFrame, text_col: str, p: str) -> DataFrame:
@@ -251,8 +283,8 @@ def _spool(docs: DataFrame, text_col: str, p: str) -> DataFrame:
 
 def _sets(batches):
     for batch in batches:
-        s = [shingles(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64())), pa.array([signature(x) for x in s], pa.binary())], names=["uid", "items", "sig"])
+        s = [shingles(t) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64())), pa.array([signature(x) for x in s], pa.binary())], names=["uid", "bands", "items", "sig"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
@@ -300,8 +332,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     # sets and signatures of the representatives in them; the texts stay where they are
     wanted = members.select("uid").distinct().groupBy(F.shiftright("uid", 33).alias(f"{p}sender")).agg(F.collect_list("uid").alias("wanted"))
-    texts = rows.select(f"{p}sender", f"{p}uid", F.col(f"`{text_col}`").alias("text")).join(wanted.hint("shuffle_hash"), f"{p}sender").filter(F.array_contains("wanted", F.col(f"{p}uid")))
-    sets = materialize(texts.select(F.col(f"{p}uid").alias("uid"), "text").mapInArrow(_sets, "uid long, items array<long>, sig binary"), "shingles")
+    texts = rows.select(f"{p}sender", f"{p}uid", F.col(f"{p}bands").alias("bands"), F.col(f"`{text_col}`").alias("text")).join(wanted.hint("shuffle_hash"), f"{p}sender").filter(F.array_contains("wanted", F.col(f"{p}uid")))
+    sets = materialize(texts.select(F.col(f"{p}uid").alias("uid"), "bands", "text").mapInArrow(_sets, "uid long, bands array<long>, items array<long>, sig binary"), "shingles")
     signed = materialize(members.join(sets.select("uid", "sig"), "uid"), "signed")
 
     def dealt(frame: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -316,14 +348,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = _verified(pairs, sets, "links")
     comps = components(links)
 
-    labelled = signed.join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+    labelled = members.join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
     mixed = labelled.groupBy("band", "hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("band", "hash")
     rest = labelled.join(mixed, ["band", "hash"]).withColumn("block", block)
     # each row goes to every pair of blocks that holds its own
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     crossed = rest.withColumn("other", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).withColumn("side", F.col("block") == F.col("one"))
-    again = materialize(dealt(crossed, ["band", "hash", "one", "two"], size).applyInPandas(_cross_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "cross")
-    more = _verified(again, sets, "more_links")
+    carried = crossed.join(sets, "uid")
+    volume = rest.join(sets.select("uid", F.size("items").alias("n_items")), "uid").agg(F.coalesce(F.sum("n_items"), F.lit(0)).alias("n")).first()["n"]
+    more = materialize(dealt(carried, ["band", "hash", "one", "two"], max(volume // 200, 1)).applyInPandas(_cross_links, "a long, b long"), "more_links")
     if more.limit(1).count():
         comps = components(links.unionByName(more))
 

@@ -99,3 +99,19 @@ def test_pruning_keeps_similar_pairs():
     matches = rng.random((20_000, minhash.SIGNATURE)) < 0.75
     ends = np.cumsum(matches, axis=1)[:, minhash.BATCH - 1 :: minhash.BATCH]
     assert (ends >= np.array(least)).all()
+
+
+def test_cross_links_find_what_the_forest_missed(spark, monkeypatch):
+    """Without any first links, the pass between components must find them all."""
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, sets, name: pairs.select("a", "b").limit(0))
+    out = minhash.near_dedup(frame(spark)).collect()
+    check_near(out, rows())
+
+
+def test_similar_is_exact():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.85], rng.integers(0, 2**63, 6).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        assert minhash.similar(x, y) == (100 * both >= 75 * (len(x) + len(y) - both))
