@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lociq.plans import slice0
+from lociq.plans import haplotype_queries, spectrum_queries
 
-MODULES = (slice0,)
+MODULES = (spectrum_queries, haplotype_queries)
 
 
 def queries() -> dict:
