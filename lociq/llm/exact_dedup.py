@@ -39,8 +39,6 @@ from lociq.llm.common import fresh, materialize
 SPREAD = 256
 #: Rows that an owner answers for, and rows in a sender, at most about.
 PER_OWNER, PER_SENDER = 500_000, 32_768
-#: Fingerprints for which one slice of a bitmap answers.
-SLICE = 512
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
@@ -119,13 +117,11 @@ def _answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sender": pdf["sender"], "owner": pdf["owner"], "n": [len(x) for x in lists], "bits": [np.packbits(np.isin(x, shared, assume_unique=True), bitorder="little").tobytes() for x in lists]})
 
 
-def _slices(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A sender's bitmaps, joined in owner order and cut into slices of SLICE bits that hold a set bit."""
+def _bitmap(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A sender's bitmaps joined in owner order: a bit for each rank, 4 KB at most for PER_SENDER rows."""
     pdf = pdf.sort_values("owner")
     bits = np.concatenate([np.unpackbits(np.frombuffer(b, dtype=np.uint8), bitorder="little")[:n] for b, n in zip(pdf["bits"], pdf["n"], strict=True)])
-    packed = np.packbits(np.pad(bits, (0, -len(bits) % SLICE)), bitorder="little").reshape(-1, SLICE // 8)
-    kept = np.flatnonzero(packed.any(axis=1))
-    return pd.DataFrame({"sender": int(key[0]), "slice": kept.astype(np.int32), "bits": [packed[k].tobytes() for k in kept]})
+    return pd.DataFrame({"sender": [int(key[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,17 +135,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = materialize(_spool(docs, text_col, max(1, n_rows) * SPREAD, owners, p), "fingerprints", (buckets, f"{p}sender"))
     codes = rows.filter(F.col(f"{p}codes").isNotNull()).select(F.col(f"{p}sender").alias("sender"), F.explode(f"{p}codes").alias("c")).select("sender", "c.owner", "c.code")
     bitmaps = codes.groupBy("owner").applyInPandas(_answer, "sender long, owner int, n int, bits binary")
-    slices = materialize(bitmaps.groupBy("sender").applyInPandas(_slices, "sender long, slice int, bits binary"), "bitmaps")
-    slices = slices.select(F.col("sender").alias(f"{p}sender"), F.col("slice").alias(f"{p}slice"), F.col("bits").alias(f"{p}bits"))
-    at = F.pmod(F.col(f"{p}rank"), F.lit(SLICE))
-    byte = F.conv(F.hex(F.substring(F.col(f"{p}bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False))
-    marked = (
-        rows.drop(f"{p}codes")
-        .withColumn(f"{p}slice", F.floor(F.col(f"{p}rank") / SLICE).cast("int"))
-        .join(slices.hint("shuffle_hash"), [f"{p}sender", f"{p}slice"], "left")
-        .withColumn(f"{p}suspect", F.col(f"{p}twice") | bit)
-    )
+    answers = materialize(bitmaps.groupBy("sender").applyInPandas(_bitmap, "sender long, bits binary"), "bitmaps")
+    answers = answers.select(F.col("sender").alias(f"{p}sender"), F.col("bits").alias(f"{p}bits"))
+    rank = F.col(f"{p}rank")
+    byte = F.conv(F.hex(F.substring(F.col(f"{p}bits"), F.floor(rank / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.getbit(byte, F.pmod(rank, F.lit(8))) == 1, F.lit(False))
+    # joined by sender alone, the column of the bucket files: the rows stay where they are
+    marked = rows.drop(f"{p}codes").join(answers.hint("shuffle_hash"), f"{p}sender", "left").withColumn(f"{p}suspect", F.col(f"{p}twice") | bit)
     who = F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"{p}sender").alias("sender"), F.col(f"{p}row").alias("row"))
     suspects = marked.filter(f"{p}suspect")
     groups = suspects.groupBy(f"{p}sha", f"{p}norm").agg(F.max(who).alias(f"{p}who"), F.count("*").alias(f"{p}size")).filter(F.col(f"{p}size") > 1).drop(f"{p}norm")
