@@ -29,44 +29,53 @@ def overlap_join(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tu
     return x.join(y, ["__b", *by]).filter((later <= F.least(F.col(a_span[1]), F.col(b_span[1]))) & (_bucket(later, width) == F.col("__b"))).drop("__b")
 
 
-def nearest(points: DataFrame, marks: DataFrame, pos: str, mark: str, payload: list[str], by: list[str]) -> DataFrame:
-    """Each point with the nearest mark of its group; of two equally near, the lower.
+def _neighbours(both: DataFrame, by: list[str], width: int) -> DataFrame:
+    """Rows (by, __x, __kind, __mark) with the mark at or before them and the one at or after them.
 
-    One pass over both, sorted together: the last mark at or before the point and
-    the first one after it.
+    Rows are ordered inside buckets of positions only; what the last bucket with
+    a mark has, and the next one, is carried over from a table of buckets.  So a
+    chromosome is spread over many tasks.
     """
-    keep = F.struct(F.col(mark).alias("m"), *payload)
-    pts = points.select(*by, F.col(pos).alias("__x"), F.lit(1).alias("__kind"), F.lit(None).cast(marks.select(keep.alias("k")).schema["k"].dataType).alias("__mark"), F.struct(*points.columns).alias("__row"))
-    mks = marks.select(*by, F.col(mark).alias("__x"), F.lit(0).alias("__kind"), keep.alias("__mark"), F.lit(None).cast(pts.schema["__row"].dataType).alias("__row"))
-    both = pts.unionByName(mks)
-    before = F.last("__mark", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__x", "__kind").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__mark", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__x", "__kind").rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("__l", before).withColumn("__r", after).filter("__kind = 1")
+    rows = both.withColumn("__b", _bucket(F.col("__x"), width))
+    order = Window.partitionBy(*by, "__b").orderBy("__x", "__kind")
+    here = F.when(F.col("__mark").isNotNull(), F.col("__x"))
+    edges = rows.groupBy(*by, "__b").agg(F.max_by("__mark", here).alias("__last"), F.min_by("__mark", here).alias("__first"))
+    buckets = Window.partitionBy(*by).orderBy("__b")
+    carried = edges.select(*by, "__b", F.last("__last", ignorenulls=True).over(buckets.rowsBetween(Window.unboundedPreceding, -1)).alias("__cl"), F.first("__first", ignorenulls=True).over(buckets.rowsBetween(1, Window.unboundedFollowing)).alias("__cr"))
+    inside = rows.withColumn("__pl", F.last("__mark", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__pr", F.first("__mark", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    return inside.join(carried, [*by, "__b"]).withColumn("__l", F.coalesce("__pl", "__cl")).withColumn("__r", F.coalesce("__pr", "__cr"))
+
+
+def _with_marks(points: DataFrame, marks: DataFrame, pos: str, at: str, mark: Column, by: list[str], width: int) -> DataFrame:
+    mks = marks.select(*by, F.col(at).cast("double").alias("__x"), F.lit(0).alias("__kind"), mark.alias("__mark"))
+    row = F.struct(*points.columns)
+    kind = points.select(row.alias("r")).schema["r"].dataType
+    pts = points.select(*by, F.col(pos).cast("double").alias("__x"), F.lit(1).alias("__kind"), F.lit(None).cast(mks.schema["__mark"].dataType).alias("__mark"), row.alias("__row"))
+    return _neighbours(pts.unionByName(mks.withColumn("__row", F.lit(None).cast(kind))), by, width).filter("__kind = 1")
+
+
+def nearest(points: DataFrame, marks: DataFrame, pos: str, mark: str, payload: list[str], by: list[str], width: int = 1_000_000) -> DataFrame:
+    """Each point with the nearest mark of its group; of two equally near, the lower."""
+    found = _with_marks(points, marks, pos, mark, F.struct(F.col(mark).cast("double").alias("m"), *payload), by, width)
     gap_l, gap_r = F.abs(F.col("__x") - F.col("__l.m")), F.abs(F.col("__r.m") - F.col("__x"))
     take = F.when(F.col("__l").isNull(), F.col("__r")).when(F.col("__r").isNull(), F.col("__l")).when(gap_r < gap_l, F.col("__r")).otherwise(F.col("__l"))
     return found.withColumn("__m", take).select("__row.*", F.col("__m.m").alias("mark"), *(F.col(f"__m.{c}").alias(f"mark_{c}") for c in payload), F.abs(F.col("__x") - F.col("__m.m")).alias("distance"))
 
 
-def interpolate(points: DataFrame, knots: DataFrame, pos: str, x: str, y: str, by: list[str], out: str) -> DataFrame:
+def interpolate(points: DataFrame, knots: DataFrame, pos: str, x: str, y: str, by: list[str], out: str, width: int = 1_000_000) -> DataFrame:
     """Linear interpolation through knots, extended by the end segments, not below 0."""
-    segments = knots.withColumn("__x2", F.lead(x).over(Window.partitionBy(*by).orderBy(x))).withColumn("__y2", F.lead(y).over(Window.partitionBy(*by).orderBy(x)))
-    segments = segments.filter("__x2 is not null").select(*by, F.struct(F.col(x).cast("double").alias("x1"), F.col(y).cast("double").alias("y1"), F.col("__x2").cast("double").alias("x2"), F.col("__y2").cast("double").alias("y2")).alias("__s"))
-    pts = points.select(*by, F.col(pos).cast("double").alias("__p"), F.lit(1).alias("__kind"), F.lit(None).cast(segments.schema["__s"].dataType).alias("__s"), F.struct(*points.columns).alias("__row"))
-    seg = segments.select(*by, F.col("__s.x1").alias("__p"), F.lit(0).alias("__kind"), "__s", F.lit(None).cast(pts.schema["__row"].dataType).alias("__row"))
-    order = Window.partitionBy(*by).orderBy("__p", "__kind")
-    left = F.last("__s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("__s", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    found = pts.unionByName(seg).withColumn("__l", F.coalesce(left, first)).filter("__kind = 1")
-    value = F.col("__l.y1") + (F.col("__p") - F.col("__l.x1")) * F.try_divide(F.col("__l.y2") - F.col("__l.y1"), F.col("__l.x2") - F.col("__l.x1"))
+    w = Window.partitionBy(*by).orderBy(x)
+    segments = knots.withColumn("__x2", F.lead(x).over(w)).withColumn("__y2", F.lead(y).over(w)).filter("__x2 is not null")
+    segment = F.struct(F.col(x).cast("double").alias("x1"), F.col(y).cast("double").alias("y1"), F.col("__x2").cast("double").alias("x2"), F.col("__y2").cast("double").alias("y2"))
+    found = _with_marks(points, segments, pos, x, segment, by, width).withColumn("__s", F.coalesce("__l", "__r"))
+    value = F.col("__s.y1") + (F.col("__x") - F.col("__s.x1")) * F.try_divide(F.col("__s.y2") - F.col("__s.y1"), F.col("__s.x2") - F.col("__s.x1"))
     return found.select("__row.*", F.greatest(value, F.lit(0.0)).alias(out))
 
 
-def step_value(points: DataFrame, knots: DataFrame, pos: str, x: str, y: str, by: list[str], out: str) -> DataFrame:
+def step_value(points: DataFrame, knots: DataFrame, pos: str, x: str, y: str, by: list[str], out: str, width: int = 1_000_000) -> DataFrame:
     """Value of the last knot at or before the position (null before the first)."""
-    pts = points.select(*by, F.col(pos).cast("double").alias("__p"), F.lit(1).alias("__kind"), F.lit(None).cast("double").alias("__v"), F.struct(*points.columns).alias("__row"))
-    kn = knots.select(*by, F.col(x).cast("double").alias("__p"), F.lit(0).alias("__kind"), F.col(y).cast("double").alias("__v"), F.lit(None).cast(pts.schema["__row"].dataType).alias("__row"))
-    last = F.last("__v", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__p", "__kind").rowsBetween(Window.unboundedPreceding, 0))
-    return pts.unionByName(kn).withColumn(out, last).filter("__kind = 1").select("__row.*", out)
+    found = _with_marks(points, knots, pos, x, F.struct(F.col(y).cast("double").alias("v")), by, width)
+    return found.select("__row.*", F.col("__l.v").alias(out))
 
 
 def best_covering(points: DataFrame, spans: DataFrame, pos: str, start: str, end: str, value: str, width: int, by: list[str], highest: bool = True) -> DataFrame:

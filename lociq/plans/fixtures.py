@@ -15,7 +15,7 @@ SPARSE = """hits AS (SELECT DISTINCT p_brand AS chrom, l_partkey AS site, l_part
 sp AS (SELECT chrom, site, pos, (SELECT count(*) FROM supplier) AS n, count(*) AS k FROM hits GROUP BY ALL),
 sparsesites AS (SELECT * FROM sp WHERE k < n)"""
 #: Scores along a coordinate.
-TRACK = "track AS (SELECT event_type AS chrom, CAST(epoch(ts) AS BIGINT) AS pos, event_id AS id, value AS score FROM events)"
+TRACK = "track AS (SELECT event_type AS chrom, CAST(floor(epoch(ts)) AS BIGINT) AS pos, event_id AS id, value AS score FROM events)"
 
 
 def dense_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
