@@ -174,17 +174,23 @@ def raisd(sa: DataFrame, window: int = 50) -> DataFrame:
 
 
 def safe(sa: DataFrame, by: list[str]) -> DataFrame:
-    """SAFE score of each site: (phi - kappa) / sqrt(f (1 - f)) from HAF masses.
+    """SAFE score of each site from HAF masses.
 
     phi is the share of all HAF that derived carriers hold, kappa the share of
-    distinct HAF values found among them.
+    distinct HAF values found among them; their difference is scaled by the
+    spread of kappa and by that of the frequency, mixed by nu, the frequency of
+    the site where the first is largest (ties: the first site).
     """
     h = sa.groupBy(*by, "hap").agg(F.sum(F.col("allele") * F.col("k")).alias("haf"))
     totals = h.groupBy(*by).agg(F.sum("haf").alias("all_haf"), F.countDistinct("haf").alias("all_k"))
     c = sa.filter("allele = 1").join(h, [*by, "hap"]).groupBy(*by, "pos", "site", "daf").agg(F.sum("haf").alias("d_haf"), F.countDistinct("haf").alias("d_k")).join(totals, by)
-    phi, kappa = F.col("d_haf") / F.col("all_haf"), F.col("d_k") / F.col("all_k")
-    out = c.withColumn("phi", phi).withColumn("kappa", kappa)
-    return out.select(*by, "pos", F.round("phi", 6).alias("phi"), F.round("kappa", 6).alias("kappa"), F.round((F.col("phi") - F.col("kappa")) / F.sqrt(F.col("daf") * (1 - F.col("daf"))), 6).alias("safe"))
+    spread = lambda x: F.sqrt(F.when(x * (1 - x) == 0, F.lit(1.0)).otherwise(x * (1 - x)))
+    out = c.withColumn("phi", F.col("d_haf") / F.col("all_haf")).withColumn("kappa", F.col("d_k") / F.col("all_k"))
+    gap = F.col("phi") - F.col("kappa")
+    out = out.withColumn("p1", gap / spread(F.col("kappa"))).withColumn("p2", gap / spread(F.col("daf")))
+    nu = out.groupBy(*by).agg(F.max_by("daf", F.struct(F.round("p1", 9), -F.col("pos"))).alias("nu"))
+    mixed = F.col("p1") * (1 - F.col("nu")) + F.col("p2") * F.col("nu")
+    return out.join(nu, by).select(*by, "pos", F.round("phi", 6).alias("phi"), F.round("kappa", 6).alias("kappa"), F.round(mixed, 6).alias("safe"))
 
 
 def sort_sites(counts: DataFrame) -> DataFrame:

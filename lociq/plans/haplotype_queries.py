@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.operators import genotypes, haplotype
+from lociq.operators import genotypes, haplotype, scans
 from lociq.plans.fixtures import DENSE, dense_sites, segregating
 
 BY = ["chrom", "win"]
@@ -68,9 +68,43 @@ def packed_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("chrom", "pos", "site", F.array_join("alleles", "").alias("alleles"))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genotypes.packed(segregating(spark, sf_dir))
+
+
+def ihs_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scans.scan(_packed(spark, sf_dir), lambda h, pos: scans.ihs(h, pos, include_edges=True), {"daf": "double", "ihs": "double", "delta_ihh": "double"})
+    return out.filter("not isnan(ihs)")
+
+
+def nsl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan(_packed(spark, sf_dir), scans.nsl, {"daf": "double", "nsl": "double"})
+
+
+def hscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scans.scan(_packed(spark, sf_dir), scans.hscan, {"hscan": "double"})
+    return out.select("chrom", "pos", F.round("hscan", 4).alias("hscan"))
+
+
+def isafe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan(_packed(spark, sf_dir), lambda h, pos: scans.isafe(h, pos, 30, 15), {"isafe": "double"})
+
+
+def lassi_t_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.lassi_scan(_packed(spark, sf_dir), 10, 4, 2)
+
+
+def h12_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.h12_scan(_packed(spark, sf_dir), 20, 10)
+
+
+def beta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.beta(dense_sites(spark, sf_dir), 10_000)
+
+
 _WIN4 = _WIN.replace("// 16", "// 4")
 _FOCAL_SQL = ", ".join(f"round({x}, 6) AS {c}" for c, x in haplotype.FOCAL.items())
-QUERIES = {f.__name__: f for f in (garud_h, lassi_spectrum, haf_top, pairwise_moments, ld_zns_omega, focal_statistics, raisd, safe, site_order, haplotype_order, hamming_order, packed_alleles)}
+QUERIES = {f.__name__: f for f in (garud_h, lassi_spectrum, haf_top, pairwise_moments, ld_zns_omega, focal_statistics, raisd, safe, site_order, haplotype_order, hamming_order, packed_alleles, ihs_scan, nsl_scan, hscan, isafe, lassi_t_lambda, h12_identity, beta_scan)}
 ORACLES = {
     "garud_h": f"""WITH {DENSE}, {_WIN4}, {_STR}, p AS (SELECT chrom, win, CAST(c AS DOUBLE) / sum(c) OVER (PARTITION BY chrom, win) AS p, row_number() OVER (PARTITION BY chrom, win ORDER BY c DESC, h) AS r FROM cnt),
         a AS (SELECT chrom, win, count(*) AS k, sum(p * p) AS h1, coalesce(max(p) FILTER (r = 1), 0) AS p1, coalesce(max(p) FILTER (r = 2), 0) AS p2, coalesce(max(p) FILTER (r = 3), 0) AS p3 FROM p GROUP BY ALL)
@@ -107,12 +141,21 @@ ORACLES = {
         v AS (SELECT chrom, (p0 + p1) / 2 AS center, CAST(p1 - p0 AS DOUBLE) / (d * 20) * total AS mv, CAST(edge AS DOUBLE) / 20 * list_sum(list_transform(range(1, n), lambda i: 1.0::DOUBLE / i)) AS ms, greatest(CAST(el * sl + er * sr AS DOUBLE) / (pl * pr), 1e-10) AS ml FROM a)
         SELECT chrom, center, round(mv, 6) AS mu_var, round(ms, 6) AS mu_sfs, round(ml, 6) AS mu_ld, round(mv * ms * ml, 6) AS mu FROM v""",
     "safe": f"""WITH {DENSE}, {_WIN}, h AS (SELECT chrom, win, hap, sum(allele * k) AS haf FROM g GROUP BY ALL), t AS (SELECT chrom, win, sum(haf) AS ah, count(DISTINCT haf) AS ak FROM h GROUP BY ALL),
-        c AS (SELECT g.chrom, g.win, pos, daf, CAST(sum(haf) AS DOUBLE) AS dh, CAST(count(DISTINCT haf) AS DOUBLE) AS dk FROM g JOIN h ON g.chrom = h.chrom AND g.win = h.win AND g.hap = h.hap WHERE allele = 1 GROUP BY ALL)
-        SELECT c.chrom, c.win, pos, round(dh / ah, 6) AS phi, round(dk / ak, 6) AS kappa, round((dh / ah - dk / ak) / sqrt(daf * (1 - daf)), 6) AS safe FROM c JOIN t ON t.chrom = c.chrom AND t.win = c.win""",
+        c AS (SELECT g.chrom, g.win, pos, daf, CAST(sum(haf) AS DOUBLE) AS dh, CAST(count(DISTINCT haf) AS DOUBLE) AS dk FROM g JOIN h ON g.chrom = h.chrom AND g.win = h.win AND g.hap = h.hap WHERE allele = 1 GROUP BY ALL),
+        q AS (SELECT c.chrom, c.win, pos, daf, dh / ah AS phi, dk / ak AS kappa FROM c JOIN t ON t.chrom = c.chrom AND t.win = c.win),
+        r AS (SELECT *, (phi - kappa) / CASE WHEN kappa * (1 - kappa) = 0 THEN 1 ELSE sqrt(kappa * (1 - kappa)) END AS p1, (phi - kappa) / sqrt(daf * (1 - daf)) AS p2 FROM q),
+        u AS (SELECT chrom, win, daf AS nu FROM r QUALIFY row_number() OVER (PARTITION BY chrom, win ORDER BY round(p1, 9) DESC, pos) = 1)
+        SELECT r.chrom, r.win, pos, round(phi, 6) AS phi, round(kappa, 6) AS kappa, round(p1 * (1 - nu) + p2 * nu, 6) AS safe FROM r JOIN u ON u.chrom = r.chrom AND u.win = r.win""",
     "site_order": f"WITH {DENSE} SELECT chrom, site, k, CAST(row_number() OVER (PARTITION BY chrom ORDER BY k DESC, site) AS INT) AS rank FROM sites",
     "haplotype_order": f"WITH {DENSE}, o AS (SELECT chrom, hap, CAST(sum(allele) AS BIGINT) AS ones FROM sa JOIN sites USING (chrom, pos, site) GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY chrom ORDER BY ones DESC, hap) AS INT) AS rank FROM o",
     "hamming_order": f"""WITH {DENSE}, g AS (SELECT sa.* FROM sa JOIN sites USING (chrom, pos, site)), s AS (SELECT chrom, hap, string_agg(CAST(allele AS VARCHAR), '' ORDER BY site) AS h FROM g GROUP BY ALL),
         c AS (SELECT chrom, h, count(*) AS c FROM s GROUP BY ALL), t AS (SELECT chrom, h AS ref FROM c QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY c DESC, h DESC) = 1),
         d AS (SELECT s.chrom, hap, CAST(hamming(h, ref) AS BIGINT) AS distance FROM s JOIN t USING (chrom)) SELECT *, CAST(row_number() OVER (PARTITION BY chrom ORDER BY distance, hap) AS INT) AS rank FROM d""",
+    "hscan": f"""WITH {DENSE}, g AS (SELECT sa.*, row_number() OVER (PARTITION BY chrom, hap ORDER BY pos) AS o FROM sa JOIN sites USING (chrom, pos, site)),
+        d AS (SELECT x.chrom, x.hap AS i, y.hap AS j, x.o, x.pos, x.allele <> y.allele AS ne FROM g x JOIN g y ON x.chrom = y.chrom AND x.pos = y.pos AND x.hap < y.hap),
+        r AS (SELECT *, coalesce(min(CASE WHEN ne THEN o END) OVER (PARTITION BY chrom, i, j ORDER BY o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, max(o) OVER (PARTITION BY chrom, i, j)) AS xr,
+              coalesce(max(CASE WHEN ne THEN o END) OVER (PARTITION BY chrom, i, j ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 1) AS xl FROM d),
+        p AS (SELECT DISTINCT chrom, o, pos FROM g), n AS (SELECT chrom, max(n) AS n FROM sites GROUP BY chrom)
+        SELECT r.chrom, r.pos, round(sum(CASE WHEN xr <> xl THEN a.pos - b.pos - 1 ELSE 0 END) * 2.0::DOUBLE / max(n * (n - 1)), 4) AS hscan FROM r JOIN p a ON a.chrom = r.chrom AND a.o = xr JOIN p b ON b.chrom = r.chrom AND b.o = xl JOIN n ON n.chrom = r.chrom GROUP BY r.chrom, r.pos""",
     "packed_alleles": f"WITH {DENSE} SELECT chrom, pos, site, string_agg(CAST(allele AS VARCHAR), '' ORDER BY hap) AS alleles FROM sa GROUP BY ALL",
 }
