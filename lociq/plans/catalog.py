@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lociq.plans import flow_queries, haplotype_queries, interval_queries, spectrum_queries
+from lociq.plans import flow_queries, haplotype_queries, interval_queries, model_queries, spectrum_queries
 
-MODULES = (spectrum_queries, haplotype_queries, interval_queries, flow_queries)
+MODULES = (spectrum_queries, haplotype_queries, interval_queries, flow_queries, model_queries)
 
 
 def queries() -> dict:
