@@ -54,7 +54,7 @@ def haf_top(sa: DataFrame, by: list[str], cutoff: float = 0.1) -> DataFrame:
     h = haf(sa, by)
     order = Window.partitionBy(*by).orderBy(F.col("haf").asc_nulls_last(), "hap")
     r = h.withColumn("r", F.row_number().over(order) - 1).withColumn("m", F.count("*").over(Window.partitionBy(*by)))
-    return r.filter(F.col("r") >= F.floor(F.col("m") * F.lit(1 - cutoff))).groupBy(*by).agg(F.round(F.sum("haf"), 6).alias("haf_top"))
+    return r.filter(F.col("r") >= F.floor(F.col("m") * F.lit(1 - cutoff))).groupBy(*by).agg(F.round(F.coalesce(F.sum("haf"), F.lit(0.0)), 6).alias("haf_top"))
 
 
 def pairwise_moments(sa: DataFrame, by: list[str], width: float = 1.0) -> DataFrame:

@@ -114,7 +114,7 @@ ORACLES = {
         SELECT t.chrom, t.win, CAST(i AS INT) AS rank, round(coalesce(CAST(c AS DOUBLE), 0) / t, 6) AS freq FROM t CROSS JOIN range(1, 11) x(i) LEFT JOIN r ON r.chrom = t.chrom AND r.win = t.win AND r.r = i""",
     "haf_top": f"""WITH {DENSE}, {_WIN}, h AS (SELECT chrom, win, hap, CAST(sum(allele * k) AS DOUBLE) / nullif(max(n) * sum(allele), 0) AS haf FROM g GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY chrom, win ORDER BY haf ASC NULLS LAST, hap) - 1 AS r, count(*) OVER (PARTITION BY chrom, win) AS m FROM h)
-        SELECT chrom, win, round(sum(haf), 6) AS haf_top FROM r WHERE r >= floor(m * 0.9::DOUBLE) GROUP BY ALL""",
+        SELECT chrom, win, round(coalesce(sum(haf), 0), 6) AS haf_top FROM r WHERE r >= floor(m * 0.9::DOUBLE) GROUP BY ALL""",
     "pairwise_moments": f"""WITH {DENSE}, {_WIN}, d AS (SELECT x.chrom, x.win, x.hap AS i, y.hap AS j, CAST(sum(abs(x.allele - y.allele)) AS DOUBLE) AS d FROM g x JOIN g y ON x.chrom = y.chrom AND x.win = y.win AND x.site = y.site AND x.hap < y.hap GROUP BY ALL),
         m AS (SELECT *, avg(d) OVER (PARTITION BY chrom, win) AS mean FROM d)
         SELECT chrom, win, round(var_samp(d), 6) AS dist_var, round(avg((d - mean) ** 3) / avg((d - mean) ** 2) ** 1.5, 6) AS dist_skew, round(avg((d - mean) ** 4) / avg((d - mean) ** 2) ** 2 - 3, 6) AS dist_kurtosis FROM m GROUP BY ALL""",

@@ -74,10 +74,10 @@ def merged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlapping_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _windows(spark, sf_dir).withColumn("hi", F.col("lo") + HOUR)
+    w = _windows(spark, sf_dir).withColumn("hi", F.col("lo") + 12 * HOUR)
     a = w.select("chrom", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.col("event_id").alias("a"))
     b = w.select("chrom", F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.col("event_id").alias("b"))
-    x = intervals.overlap_join(a, b, ("a_lo", "a_hi"), ("b_lo", "b_hi"), 4 * HOUR, ["chrom"]).filter("a < b")
+    x = intervals.overlap_join(a, b, ("a_lo", "a_hi"), ("b_lo", "b_hi"), 24 * HOUR, ["chrom"]).filter("a < b")
     return x.select("chrom", "a", "b", (F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo")).alias("shared"))
 
 
@@ -171,7 +171,7 @@ QUERIES = {f.__name__: f for f in (nearest_mark, nearest_gene, genetic_map_posit
 _GENES = "g AS (SELECT p_brand AS chrom, p_partkey AS gene, p_partkey * 1000 AS s, p_partkey * 1000 + p_size * 10 AS e, p_partkey * 1000 + p_size // 2 AS mid, p_partkey // 10 AS bin FROM part)"
 ORACLES = {
     "nearest_mark": f"WITH {_MARKS} SELECT t.chrom, id, pos, m AS mark, round(rate, 6) AS rate, abs(pos - m) AS distance FROM track t JOIN marks USING (chrom) QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(pos - m), m) = 1",
-    "nearest_gene": f"WITH {_GENES} SELECT a.chrom, a.gene, min(abs(a.mid - b.mid)) AS distance FROM g a JOIN g b ON a.chrom = b.chrom AND b.gene % 7 = 0 GROUP BY ALL",
+    "nearest_gene": f"WITH {_GENES} SELECT a.chrom, a.gene, min(abs(a.mid - b.mid)) AS distance FROM g a LEFT JOIN g b ON a.chrom = b.chrom AND b.gene % 7 = 0 GROUP BY ALL",
     "genetic_map_position": f"""WITH {TRACK}, kn AS (SELECT chrom, pos // 864000 * 864000 AS x, count(*) AS n FROM track GROUP BY ALL), k2 AS (SELECT *, sum(n) OVER (PARTITION BY chrom ORDER BY x) * 0.01::DOUBLE AS cm FROM kn),
         seg AS (SELECT chrom, x, cm, lead(x) OVER w AS x2, lead(cm) OVER w AS cm2 FROM k2 WHERE n > 3 WINDOW w AS (PARTITION BY chrom ORDER BY x) QUALIFY x2 IS NOT NULL),
         {_SEGMENT}, a AS (SELECT pts.*, coalesce(sat, (SELECT min(x) FROM seg s WHERE s.chrom = pts.chrom)) AS sx FROM pts)
@@ -183,7 +183,7 @@ ORACLES = {
         f AS (SELECT *, max(hi) OVER (PARTITION BY chrom ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w4 WHERE value > 100),
         i AS (SELECT *, sum(CASE WHEN lo <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS i FROM f)
         SELECT i.chrom, min(lo) AS start, max(hi) AS "end", count(*) AS members, round(100 * CAST(max(hi) - min(lo) AS DOUBLE) / max(span), 6) AS pct FROM i JOIN sp USING (chrom) GROUP BY i.chrom, i""",
-    "overlapping_windows": f"WITH {_WIN} SELECT x.chrom, x.event_id AS a, y.event_id AS b, least(x.lo, y.lo) + 3600 - greatest(x.lo, y.lo) AS shared FROM win x JOIN win y ON x.chrom = y.chrom AND x.event_id < y.event_id AND abs(x.lo - y.lo) <= 3600",
+    "overlapping_windows": f"WITH {_WIN} SELECT x.chrom, x.event_id AS a, y.event_id AS b, least(x.lo, y.lo) + 43200 - greatest(x.lo, y.lo) AS shared FROM win x JOIN win y ON x.chrom = y.chrom AND x.event_id < y.event_id AND abs(x.lo - y.lo) <= 43200",
     "gene_neighbours": f"WITH {_GENES}, n AS (SELECT a.gene, string_agg(CAST(b.gene AS VARCHAR), ' ' ORDER BY b.gene) AS neighbours FROM g a JOIN g b ON a.chrom = b.chrom AND a.gene <> b.gene AND (b.s + b.e) // 2 BETWEEN a.s - 20000 AND a.e + 20000 GROUP BY a.gene) SELECT g.gene, coalesce(neighbours, '') AS neighbours FROM g LEFT JOIN n USING (gene)",
     "binned_neighbours": f"WITH {_GENES} SELECT a.gene, count(*) AS neighbours FROM g a JOIN g b ON a.chrom = b.chrom AND a.gene <> b.gene AND abs(a.bin - b.bin) <= 2 GROUP BY a.gene",
     "rank_genes": f"""WITH {TRACK}, ge AS (SELECT chrom, id AS gene, pos AS mid FROM track WHERE id % 13 = 0), w AS (SELECT * FROM track WHERE id % 13 <> 0),
