@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from itertools import combinations
 
 import numpy as np
@@ -32,36 +33,64 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lociq.llm.common import id_text, materialize, renamed
+from lociq.llm.token_counts import byte_letters
 
 #: Pieces that one task packs at once, about.
 GROUP = 16_384
 #: Underfull bins that the local search compares at once; the next ones follow in the next block.
 BLOCK = 48
 #: Tokenised words that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
+
+
+# Fixed value: how the tokenizer cuts a run into parts.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Runs of these characters alone are cut and lowered here as the library does; others it encodes itself.
+PLAIN = r"[!-~\u00a1-\u012f\u0131-\u024f]+"
 
 
 class WordIds(dict):
     """Little-endian 32-bit ids of a run of bytes without white space.
 
     Tokenizers that drop white space never join across it, so a text's ids are
-    those of its runs one after the other.
+    those of its runs one after the other; likewise a run's are those of its
+    parts.  Parts go through the tokenizer's merges once each.
     """
 
     def __init__(self, tokenizer_json: str):
+        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.merges = self.tokenizer.model.tokenize
+        self.parts: dict[str, bytes] = {}
+        self.cut, self.plain = regex.compile(PARTS).findall, regex.compile(PLAIN).fullmatch
+        self.letters = dict(enumerate(byte_letters()))
+
+    def part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            found = self.parts[part] = array("I", [t.id for t in self.merges(mapped)]).tobytes()
+        return found
 
     def learn(self, runs: set[bytes]) -> None:
         if len(self) + len(runs) > REMEMBERED:
             self.clear()
-        new = [r for r in runs if r not in self]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+            self.parts.clear()
+        other = []
+        for raw in runs.difference(self):
+            run = raw.decode()
+            if self.plain(run) and "<|" not in run:
+                low = run.lower()
+                self[raw] = self.part(low) if low.isalpha() else b"".join(map(self.part, self.cut(low)))
+            else:
+                other.append(raw)
+        for k in range(0, len(other), 20_000):
+            part = other[k : k + 20_000]
             coded = self.tokenizer.encode_batch_fast([r.decode() for r in part], add_special_tokens=False)
-            self.update((r, np.array(e.ids, dtype="<u4").tobytes()) for r, e in zip(part, coded, strict=True))
+            self.update((r, array("I", e.ids).tobytes()) for r, e in zip(part, coded, strict=True))
 
     def text(self, runs: list[bytes]) -> bytes:
         return b"".join(map(self.__getitem__, runs))
@@ -151,13 +180,18 @@ def _better(x: list[int], y: list[int], lengths: list[int], fx: int, fy: int, ro
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Raise the sum of squared fill of the underfull bins, block by block, until no exchange does."""
+    """Raise the sum of squared fill of the underfull bins, block by block, until no exchange does.
+
+    Bins can be emptied only while there are more of them than the total needs;
+    at that bound the search is over.
+    """
+    spare = len(bins) - -(-sum(lengths) // capacity)
     fill = [sum(lengths[k] for k in b) for b in bins]
     low = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: (fill[b], b))
     for at in range(0, len(low), BLOCK):
         block = low[at : at + BLOCK]
         moved = True
-        while moved:
+        while moved and spare > 0:
             moved = False
             block = sorted((b for b in block if bins[b]), key=lambda b: (fill[b], b))
             for i, x in enumerate(block):
@@ -172,6 +206,8 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
                         fill[x] -= d
                         fill[y] += d
                         moved = True
+                if not bins[x]:
+                    spare -= 1
     return [b for b in bins if b]
 
 
