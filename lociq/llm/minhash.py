@@ -362,10 +362,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     reps = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     best = reps.groupBy("comp").agg(F.min("who").alias("best"))
-    verdict = materialize(reps.join(best, "comp").select(F.col("k1").alias(f"{p}k1"), F.col("k2").alias(f"{p}k2"), F.col("best").alias(f"{p}best")), "verdicts")
-    found = rows.drop(f"{p}bands", f"{p}sender").join(verdict, [f"{p}k1", f"{p}k2"], "left")
-    alone = F.col(f"{p}n") == 0
-    values = {"n_shingles": F.col(f"{p}n"), "component_id": F.when(alone, F.col(f"`{id_col}`")).otherwise(F.col(f"{p}best.doc_id")), "kept": alone | (F.col(f"{p}best.uid") == F.col(f"{p}uid"))}
+    verdict = reps.join(best, "comp").select("k1", "k2", "best")
+    alone = F.col("n") == 0
+    judged = base.join(verdict, ["k1", "k2"], "left").select("uid", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component"), (alone | (F.col("best.uid") == F.col("uid"))).alias("kept"))
+    # verdicts go to the senders as one list each, in row order; the rows stay where they are
+    lists = judged.groupBy(F.shiftright("uid", 33).alias(f"{p}sender")).agg(F.array_sort(F.collect_list(F.struct("uid", "n", "component", "kept"))).alias(f"{p}all"))
+    lists = materialize(lists, "verdicts")
+    found = rows.drop(f"{p}bands").join(lists.hint("shuffle_hash"), f"{p}sender")
+    mine = F.element_at(f"{p}all", F.expr(f"CAST({p}uid - shiftleft({p}sender, 33) AS INT) + 1"))
+    values = {"n_shingles": mine["n"], "component_id": mine["component"], "kept": mine["kept"]}
     taken, out = list(docs.columns), []
     for name, value in values.items():
         out.append(value.alias(name := fresh(taken, name)))
