@@ -58,26 +58,31 @@ START, END = np.uint64(0), np.uint64(1)
 # ---- packed arrays
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Array -> zstd of its byte planes; integers by their differences."""
+def pack(values: np.ndarray, ordered: bool = False) -> bytes:
+    """Array -> zstd of its byte planes; integers in order by their differences."""
     import zstandard
 
     values = np.ascontiguousarray(values)
     kind = values.dtype.str.encode()
-    if values.dtype.kind in "iu" and len(values):
+    if ordered and len(values):
         values = np.diff(values, prepend=values.dtype.type(0))
     planes = values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
-    return bytes([len(kind)]) + kind + zstandard.compress(planes, 1)
+    return bytes([len(kind), ordered]) + kind + zstandard.compress(planes, 3)
 
 
 def unpack(blob: bytes) -> np.ndarray:
     import zstandard
 
-    n = blob[0]
-    kind = np.dtype(blob[1 : n + 1].decode())
-    planes = np.frombuffer(zstandard.decompress(blob[n + 1 :]) if len(blob) > n + 1 else b"", dtype=np.uint8)
+    n, ordered = blob[0] + 2, blob[1]
+    kind = np.dtype(blob[2:n].decode())
+    planes = np.frombuffer(zstandard.decompress(blob[n:]), dtype=np.uint8)
     values = np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
-    return np.cumsum(values, dtype=kind) if kind.kind in "iu" else values
+    return np.cumsum(values, dtype=kind) if ordered else values
+
+
+def lower(values: np.ndarray, stats: dict[int, dict]) -> np.ndarray:
+    """Lower-order probabilities, sent as the word's count where the order below is the first."""
+    return unigram(values, stats[1]) if values.dtype.kind == "i" else values
 
 
 def unique_pairs(a: np.ndarray, b: np.ndarray, inverse: bool = True):
@@ -176,7 +181,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
         counts = np.bincount(seq[:-1][train], minlength=len(words)).astype(np.int64)
         counts[0] = len(held) - sum(held)  # the start, once for each training text
         fields = [pa.array([sender], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([len(words)], pa.int64())]
-        blobs = [pack(np.array(lens, dtype=np.int32)), pack(np.array(held, dtype=np.int8)), pack(words), pack(counts), pack(seq[:-1].astype(np.int32))]
+        blobs = [pack(np.array(lens, dtype=np.int32)), pack(np.array(held, dtype=np.int8)), pack(words, True), pack(counts), pack(seq[:-1].astype(np.int32))]
         return pa.RecordBatch.from_arrays([*fields, *(pa.array([b], pa.binary()) for b in blobs)], names=schema.fieldNames())
 
     def run(batches):
@@ -292,7 +297,7 @@ def _ask_words(owners: int):
         for row in _rows(batches):
             words, counts = unpack(row["words"]), unpack(row["counts"])
             order, at = _dealt((words % np.uint64(owners)).astype(np.int64), owners)
-            yield _table(_REQUEST, [(o, row["sender"], pack(words[k]), None, pack(counts[k]), None) for o in range(owners) if len(k := order[at[o] : at[o + 1]])])
+            yield _table(_REQUEST, [(o, row["sender"], pack(words[k], True), None, pack(counts[k]), None) for o in range(owners) if len(k := order[at[o] : at[o + 1]])])
 
     return run
 
@@ -303,10 +308,11 @@ def _ask_grams(level: int, owners: dict[int, int], stats: dict[int, dict]):
             chunk = _loaded(row, owners, stats, level - 1)
             history, word, where = chunk.keys()
             counts = np.bincount(where[chunk.train[chunk.usable]], minlength=len(history)).astype(np.int64)
-            low = np.zeros(len(history))
-            low[where] = chunk.p[chunk.usable]
+            below = chunk.known if level == 2 else chunk.p
+            low = np.zeros(len(history), dtype=below.dtype)
+            low[where] = below[chunk.usable]
             order, at = _dealt((_mixed(history, word) % np.uint64(owners[level])).astype(np.int64), owners[level])
-            yield _table(_REQUEST, [(o, row["sender"], pack(history[k]), pack(word[k]), pack(counts[k]), pack(low[k])) for o in range(owners[level]) if len(k := order[at[o] : at[o + 1]])])
+            yield _table(_REQUEST, [(o, row["sender"], pack(history[k], True), pack(word[k]), pack(counts[k]), pack(low[k])) for o in range(owners[level]) if len(k := order[at[o] : at[o + 1]])])
 
     return run
 
@@ -334,10 +340,12 @@ def _own(level: int, owners: int, with_ids: bool):
             low_all = np.concatenate([unpack(x) for x in pdf["low"]])
             history, word, where = unique_pairs(np.concatenate(a), b)
             total = np.bincount(where, weights=counts, minlength=len(history)).astype(np.int64)
-            low = np.zeros(len(history))
+            low = np.zeros(len(history), dtype=low_all.dtype)
             low[where] = low_all
             real = np.ones(len(history), dtype=bool)
-        ids = np.arange(len(total), dtype=np.int64) * owners + owner
+        # frequent ones get small numbers, which pack well
+        ids = np.empty(len(total), dtype=np.int64)
+        ids[np.argsort(-total, kind="stable")] = np.arange(len(total), dtype=np.int64) * owners + owner
         n = np.bincount(np.minimum(total[real], TOP + 2), minlength=TOP + 3)
         out = [(level, "stats", owner, -1, None, None, [int(total[real].sum()), int((total[real] > 0).sum()), *n[1 : TOP + 2].tolist()], None, None, None, None)]
         none = np.array([], dtype=np.int64)
@@ -346,23 +354,23 @@ def _own(level: int, owners: int, with_ids: bool):
             out.append((level, "gram", owner, sender, pack(ids[part]) if with_ids else pack(np.zeros(len(part), dtype=np.int64)), pack(total[part]), None, None, None, None, None))
         if level > 1:
             seen = total > 0
-            out.append((level, "model", owner, -1, pack(none), pack(none), None, pack(history[seen]), pack(word[seen]), pack(total[seen]), pack(low[seen])))
+            out.append((level, "model", owner, -1, pack(none), pack(none), None, pack(history[seen], True), pack(word[seen]), pack(total[seen]), pack(low[seen])))
         return pd.DataFrame(out, columns=["level", "kind", "owner", "sender", "one", "two", "stats", "history", "word", "count", "low"])
 
     return run
 
 
-def _history_sums(d: np.ndarray, owners: int):
+def _history_sums(level: int, stats: dict[int, dict], owners: int):
     """Partial sums of one part of the model table by history, for the histories' owners."""
     schema = [("owner", pa.int32()), ("history", pa.binary()), ("mass", pa.binary()), ("low", pa.binary()), ("count", pa.binary())]
 
     def run(batches):
         for row in _rows(batches):
-            history, count, low = unpack(row["history"]), unpack(row["count"]), unpack(row["low"])
+            history, count, low = unpack(row["history"]), unpack(row["count"]), lower(unpack(row["low"]), stats)
             distinct, where = np.unique(history, return_inverse=True)
-            sums = [np.bincount(where, weights=w, minlength=len(distinct)) for w in (discounted(count, d), low, count)]
+            sums = [np.bincount(where, weights=w, minlength=len(distinct)) for w in (discounted(count, stats[level]["d"]), low, count)]
             order, at = _dealt(distinct % owners, owners)
-            yield _table(schema, [(o, pack(distinct[k]), *(pack(s[k]) for s in sums)) for o in range(owners) if len(k := order[at[o] : at[o + 1]])])
+            yield _table(schema, [(o, pack(distinct[k], True), *(pack(s[k]) for s in sums)) for o in range(owners) if len(k := order[at[o] : at[o + 1]])])
 
     return run
 
@@ -422,7 +430,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         asked = with_answers().select("sender", *_CHUNK, "answers").mapInArrow(_ask_grams(level, owners, stats), _REQUEST_DDL)
         owned = materialize(asked.groupBy("owner").applyInPandas(_own(level, owners[level], level < order), _OWNED), f"grams{level}")
         stats[level] = _totals(owned)
-        sums = owned.filter("kind = 'model'").select("history", "count", "low").mapInArrow(_history_sums(stats[level]["d"], owners[level - 1]), "owner int, history binary, mass binary, low binary, count binary")
+        sums = owned.filter("kind = 'model'").select("history", "count", "low").mapInArrow(_history_sums(level, stats, owners[level - 1]), "owner int, history binary, mass binary, low binary, count binary")
         histories = materialize(previous.groupBy("owner").cogroup(sums.groupBy("owner")).applyInPandas(_answer_histories(level), _ANSWER), f"histories{level}")
         grams = owned.filter("kind = 'gram'").select(*answer_columns)
         answers, previous = answers.unionByName(grams).unionByName(histories), grams
