@@ -48,10 +48,10 @@ from lociq.llm.common import id_text, materialize, renamed
 #: Counts up to this one are discounted.
 TOP = 5
 #: Tokens in a chunk, about; a text is never split.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: n-grams that an owner is asked for, about.
 PER_OWNER = 1_500_000
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 START, END = np.uint64(0), np.uint64(1)
 
 
