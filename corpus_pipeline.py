@@ -7,36 +7,57 @@ stage's docs.  All but the last return the columns of docs.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm.common import documents, materialize
+from lociq.llm.common import documents, materialize, release, told_of_tables
 from lociq.llm.exact_dedup import exact_dedup
 from lociq.llm.minhash import near_dedup
 from lociq.llm.packing import pack
 from lociq.llm.quality import quality_rules
 
 
+#: Scratch tables of the stages so far.  A stage's input is its predecessor's written result, so what the
+#: predecessors needed on the way is removed when a stage begins, unless its docs still read it.
+_MADE: list = []
+
+
+def _stage(work):
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _MADE, docs)
+        with told_of_tables(_MADE):
+            return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def _kept(docs: DataFrame, judged: DataFrame, at: int) -> DataFrame:
     """Rows whose verdict, the at-th column that the operator added, is true; docs' columns alone."""
     verdict = judged.columns[len(docs.columns) + at]
     return judged.filter(F.col(f"`{verdict}`")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = quality_rules(docs)
     return _kept(docs, judged, len(judged.columns) - len(docs.columns) - 1)
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _kept(docs, exact_dedup(docs), 2)
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _kept(docs, near_dedup(docs), 2)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 

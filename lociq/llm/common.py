@@ -8,6 +8,7 @@ is missing, as in tests on one machine, a temporary folder is used.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
+#: Lists that are told of every scratch table as it is made: (path, catalog name or none).
+_TOLD: list[list] = []
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -44,14 +47,38 @@ def materialize(df: DataFrame, name: str, buckets: tuple[int, str] | None = None
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
+    table = None if buckets is None else f"lociq_{name}_{uuid.uuid4().hex}"
+    for told in _TOLD:
+        told.append((path, table))
     if buckets is None:
         writer.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    table = f"lociq_{name}_{uuid.uuid4().hex}"
     writer.format("parquet").bucketBy(buckets[0], buckets[1]).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 
+@contextlib.contextmanager
+def told_of_tables(into: list):
+    """Within it, ``into`` gets (path, catalog name) of each scratch table made."""
+    _TOLD.append(into)
+    try:
+        yield
+    finally:
+        _TOLD.remove(into)
+
+
+def release(spark: SparkSession, tables: list, needed: DataFrame) -> None:
+    """Remove the scratch tables listed, but for those that ``needed`` reads."""
+    files = needed.inputFiles()
+    for path, table in list(tables):
+        if any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in files):
+            continue
+        if table is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        drop_path(spark, path)
+        tables.remove((path, table))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder through the file system that holds it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
