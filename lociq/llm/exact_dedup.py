@@ -39,6 +39,7 @@ from lociq.llm.common import fresh, materialize
 SPREAD = 256
 #: Rows that an owner answers for, and rows in a sender, at most about.
 PER_OWNER, PER_SENDER = 500_000, 32_768
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
@@ -76,7 +77,7 @@ def _spool(docs: DataFrame, text_col: str, universe: int, owners: int, p: str) -
     from pyspark import TaskContext
 
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(f"{p}norm", T.StringType()), T.StructField(f"{p}sha", T.StringType()), T.StructField(f"{p}sender", T.LongType()), T.StructField(f"{p}row", T.IntegerType()), T.StructField(f"{p}rank", T.IntegerType()), T.StructField(f"{p}twice", T.BooleanType()), T.StructField(f"{p}codes", T.ArrayType(T.StructType([T.StructField("owner", T.IntegerType()), T.StructField("code", T.BinaryType())])))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(f"{p}sha", T.StringType()), T.StructField(f"{p}sender", T.LongType()), T.StructField(f"{p}row", T.IntegerType()), T.StructField(f"{p}rank", T.IntegerType()), T.StructField(f"{p}twice", T.BooleanType()), T.StructField(f"{p}codes", T.ArrayType(T.StructType([T.StructField("owner", T.IntegerType()), T.StructField("code", T.BinaryType())])))])
     codes_type = pa.list_(pa.struct([("owner", pa.int32()), ("code", pa.binary())]))
     width = -(-universe // owners)
 
@@ -89,7 +90,7 @@ def _spool(docs: DataFrame, text_col: str, universe: int, owners: int, p: str) -
         bounds = np.searchsorted(owner, np.arange(owners + 1))
         codes = [{"owner": o, "code": golomb_encode(distinct[bounds[o] : bounds[o + 1]] - np.uint64(o * width))} for o in np.unique(owner).tolist()]
         n = batch.num_rows
-        columns = [pa.array([t.decode() for t in texts], pa.string()), pa.array([d.hex() for d in digests], pa.string()), pa.array([sender] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(rank.astype(np.int32)), pa.array(count[rank] > 1), pa.array([codes] + [None] * (n - 1), codes_type)]
+        columns = [pa.array([d.hex() for d in digests], pa.string()), pa.array([sender] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(rank.astype(np.int32)), pa.array(count[rank] > 1), pa.array([codes] + [None] * (n - 1), codes_type)]
         return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.fieldNames())
 
     def run(batches):
@@ -144,7 +145,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = rows.drop(f"{p}codes").join(answers.hint("shuffle_hash"), f"{p}sender", "left").withColumn(f"{p}suspect", F.col(f"{p}twice") | bit)
     who = F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"{p}sender").alias("sender"), F.col(f"{p}row").alias("row"))
     suspects = marked.filter(f"{p}suspect")
-    groups = suspects.groupBy(f"{p}sha", f"{p}norm").agg(F.max(who).alias(f"{p}who"), F.count("*").alias(f"{p}size")).filter(F.col(f"{p}size") > 1).drop(f"{p}norm")
+    norm = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), UPPER, UPPER.lower())
+    groups = suspects.groupBy(f"{p}sha", norm.alias(f"{p}norm")).agg(F.max(who).alias(f"{p}who"), F.count("*").alias(f"{p}size")).filter(F.col(f"{p}size") > 1).drop(f"{p}norm")
     groups = materialize(groups, "copies")
     size = F.coalesce(F.col(f"{p}size"), F.lit(1)).cast("long")
     keep = F.when(F.col(f"{p}size").isNull(), F.col(f"`{id_col}`")).otherwise(F.col(f"{p}who.id"))
