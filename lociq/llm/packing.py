@@ -72,25 +72,24 @@ class WordIds(dict):
         found = self.parts.get(part)
         if found is None:
             mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            found = self.parts[part] = array("I", [t.id for t in self.merges(mapped)]).tobytes()
+            found = array("I", [t.id for t in self.merges(mapped)]).tobytes()
+            if len(part) <= 64:
+                self.parts[part] = found
         return found
 
-    def learn(self, runs: set[bytes]) -> None:
-        if len(self) + len(runs) > REMEMBERED:
-            self.clear()
-            self.parts.clear()
-        other = []
-        for raw in runs.difference(self):
-            run = raw.decode()
-            if self.plain(run) and "<|" not in run:
-                low = run.lower()
-                self[raw] = self.part(low) if low.isalpha() else b"".join(map(self.part, self.cut(low)))
-            else:
-                other.append(raw)
-        for k in range(0, len(other), 20_000):
-            part = other[k : k + 20_000]
-            coded = self.tokenizer.encode_batch_fast([r.decode() for r in part], add_special_tokens=False)
-            self.update((r, array("I", e.ids).tobytes()) for r, e in zip(part, coded, strict=True))
+    def __missing__(self, raw: bytes) -> bytes:
+        run = raw.decode()
+        if self.plain(run) and "<|" not in run:
+            low = run.lower()
+            found = self.part(low) if low.isalpha() else b"".join(map(self.part, self.cut(low)))
+        else:
+            found = array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
+        if len(raw) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+                self.parts.clear()
+            self[raw] = found
+        return found
 
     def text(self, runs: list[bytes]) -> bytes:
         return b"".join(map(self.__getitem__, runs))
@@ -117,21 +116,18 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col
             _WORKER.clear()
             _WORKER[tokenizer_path] = WordIds(shipped.value)
         known = _WORKER[tokenizer_path]
-        for whole in batches:
-            for batch in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
-                texts = [runs_of(t) for t in batch.column(1).to_pylist()]
-                known.learn(set().union(*texts))
-                row, piece, start, length, crc = [], [], [], [], []
-                for k, runs in enumerate(texts):
-                    ids = known.text(runs) + end
-                    for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        row.append(k)
-                        piece.append(p)
-                        start.append(at // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=names)
+        for batch in batches:
+            row, piece, start, length, crc = [], [], [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                ids = known.text(runs_of(text)) + end
+                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    row.append(k)
+                    piece.append(p)
+                    start.append(at // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = T.StructType([renamed(docs.schema[id_col], "doc_id"), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in names[2:])])
