@@ -4,8 +4,7 @@ A task cuts its texts into words, keeps the distinct ones, and gives DuckDB one
 row per (word, position, token), each knowing the token and position that
 follow.  The recursive query joins these rows with the merge table, finds each
 word's leftmost pair of least rank, contracts it, and goes on until no word has
-a pair left.  An ordered aggregation collects the ids of a word; another one
-turns ids back into bytes.
+a pair left.  An ordered aggregation of the ids' bytes decodes them again.
 
 The merge table has a row for each way to cut a vocabulary entry into two
 entries; its rank is the entry's id, as in rank files.  A word of more than
@@ -23,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import os
 
 import numpy as np
@@ -37,7 +37,7 @@ LONG = 400
 #: Distinct words given to one recursive query.
 AT_ONCE = 40_000
 #: Words that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
 
 ENCODE = """
 WITH RECURSIVE r(round, word, pos, tok, nxt, npos) AS (
@@ -54,12 +54,10 @@ WITH RECURSIVE r(round, word, pos, tok, nxt, npos) AS (
     JOIN r x ON x.word = b.word AND x.pos = b.gone) c ON c.word = r.word
   WHERE pos <> gone
 ), last AS (SELECT r.word, pos, tok FROM r JOIN (SELECT word, max(round) AS round FROM r GROUP BY word) USING (word, round))
-SELECT word, list(tok ORDER BY pos) AS ids FROM last GROUP BY word ORDER BY word
+SELECT word, tok FROM last ORDER BY word, pos
 """
 DECODE = """
-SELECT word, string_agg(v.bytes, '' ORDER BY pos) AS bytes
-FROM (SELECT word, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) t JOIN vocabulary v USING (id)
-GROUP BY word ORDER BY word
+SELECT string_agg(v.bytes, '' ORDER BY word, pos) AS bytes FROM coded JOIN vocabulary v USING (id)
 """
 
 
@@ -81,7 +79,9 @@ class Codec:
 
         self.ranks = ranks
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.of_id = {r: b for b, r in ranks.items()}
+        self.length = np.zeros(max(ranks.values()) + 1, dtype=np.int64)  # bytes of each id
+        for b, r in ranks.items():
+            self.length[r] = len(b)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "preserve_insertion_order": "false", "temp_directory": os.environ.get("TMPDIR", "/tmp") + f"/duckdb-{os.getpid()}"})
         for name, table in (("merges", merge_table(ranks)), ("vocabulary", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": [b.decode("latin-1") for b in ranks]}))):
             self.db.register("given", table)
@@ -113,8 +113,9 @@ class Codec:
             nxt = np.append(tok[1:], -1).astype(np.int32)
             nxt[ends - 1] = -1
             start = pa.table({"word": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": pos, "tok": tok, "nxt": nxt, "npos": pos + np.int32(1)})
-            ids = self._query(ENCODE, "start", start).column("ids").combine_chunks()
-            flat, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
+            rows = self._query(ENCODE, "start", start)
+            flat = rows.column("tok").to_numpy()
+            offsets = np.searchsorted(rows.column("word").to_numpy(), np.arange(len(part) + 1)).tolist()
             for j, k in enumerate(part):
                 out[k] = flat[offsets[j] : offsets[j + 1]]
         return out
@@ -142,14 +143,17 @@ class Codec:
         out = []
         for i in range(0, len(ids), AT_ONCE):
             part = ids[i : i + AT_ONCE]
-            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in part])).astype(np.int32), pa.array(np.concatenate(part), pa.int32()))
-            coded = pa.table({"word": pa.array(range(len(part)), pa.int32()), "ids": lists})
-            out += [x.encode("latin-1") for x in self._query(DECODE, "coded", coded).column("bytes").to_pylist()]
+            flat, sizes = np.concatenate(part), np.array([len(x) for x in part])
+            ends = np.cumsum(sizes)
+            coded = pa.table({"word": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": (np.arange(len(flat)) - np.repeat(ends - sizes, sizes)).astype(np.int32), "id": flat})
+            whole = self._query(DECODE, "coded", coded).column("bytes")[0].as_py().encode("latin-1")
+            cuts = np.append(0, np.cumsum(self.length[flat]))[np.append(0, ends)].tolist()
+            out += [whole[a:b] for a, b in itertools.pairwise(cuts)]
         return out
 
 
 class Words(dict):
-    """Pre-token -> (number of ids, ids in decimal, decoded bytes), filled in blocks."""
+    """Pre-token -> (ids in decimal, decoded bytes), learnt in blocks."""
 
     def __init__(self, codec: Codec):
         super().__init__()
@@ -158,11 +162,11 @@ class Words(dict):
     def learn(self, words: set[str]) -> None:
         if len(self) + len(words) > REMEMBERED:
             self.clear()
-        new = [w for w in words if w not in self]
+        new = list(words.difference(self))
         if new:
             ids = self.codec.encode_words([w.encode() for w in new])
             back = self.codec.decode_words(ids)
-            self.update(zip(new, zip((len(x) for x in ids), (",".join(map(str, x.tolist())) for x in ids), back, strict=True), strict=True))
+            self.update(zip(new, zip((",".join(map(str, x.tolist())) for x in ids), back, strict=True), strict=True))
 
 
 _WORKER: dict[str, tuple[object, Words]] = {}
@@ -192,11 +196,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 known.learn(distinct)
                 n, ids, ids_sha, decoded_sha = [], [], [], []
                 for words in texts:
-                    coded = [known[w] for w in words]
-                    decimal = ",".join([c[1] for c in coded])
-                    n.append(sum([c[0] for c in coded]))
+                    decimals, decoded = zip(*map(known.__getitem__, words), strict=True) if words else ((), ())
+                    decimal = ",".join(decimals)
+                    n.append(decimal.count(",") + 1 if decimal else 0)
                     ids_sha.append(hashlib.sha256(decimal.encode()).hexdigest())
-                    decoded_sha.append(hashlib.sha256(b"".join([c[2] for c in coded])).hexdigest())
+                    decoded_sha.append(hashlib.sha256(b"".join(decoded)).hexdigest())
                     if with_ids:
                         ids.append(np.array(decimal.split(","), dtype=np.int32) if decimal else np.array([], dtype=np.int32))
                 columns = [batch.column(0), pa.array(n, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
