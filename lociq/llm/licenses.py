@@ -3,8 +3,9 @@
 A file's header lines (and, in a licence file, all its lines) are compared with
 notice templates as sparse vectors over the templates' own terms: weight =
 occurrences in the line * idf, idf = ln((1 + files) / (1 + files with the term)),
-plus 1, over all files.  A line is looked at if it holds two or more of the terms.  A line's norm counts its other words too, each as a term that no
-template has, at weight 1.  The best (cosine, template name) of a file at or above
+plus 1, over all files.  Every line that holds a term is scored; a line without
+any has cosine 0.  A line's norm counts its other words too, each as a term that
+no template has, at weight 1.  The best (cosine, template name) of a file at or above
 ``THRESHOLD`` is its licence.
 
 A file is a licence file if its own licence line makes up most of its words.  A
@@ -68,15 +69,12 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     spark = files.sparkSession
     known = template_terms()
     vocabulary = sorted({w for t in known.values() for w in t})
-    named = sorted(w for w in vocabulary if w in ("license", "licensed", "apache", "mit", "gnu", "bsd", "cc", "mozilla", "commons"))
     rows = files.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{path_col}`").alias("path"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    # only lines with one of the naming terms can be close to a template; most texts have none
-    naming = r"\b(" + "|".join(named) + r")\b"
-    hit = F.lower("text").rlike(naming)
-    lines = F.when(hit, F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(naming))).otherwise(F.array().cast("array<string>"))
-    vocab = F.array(*map(F.lit, vocabulary))
     # a term is a whole run of letters, digits and dots without the dots at its ends: the runs that are terms
     runs = r"(?<![a-z0-9.])\.*(" + "|".join(re.escape(w) for w in sorted(vocabulary, key=lambda w: (-len(w), w))) + r")\.*(?![a-z0-9.])"
+    # a line without a term has dot product 0 with every template; most texts have no other lines
+    hit = F.lower("text").rlike(runs)
+    lines = F.when(hit, F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(runs))).otherwise(F.array().cast("array<string>"))
     has = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(runs), 1))
     n_words = F.when(hit, F.regexp_count("text", F.lit(r"\S+")))
     read = rows.select("row", "doc_id", "path", n_words.alias("n_words"), lines.alias("lines"), has.alias("has"))
@@ -86,7 +84,6 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     idf = {w: math.log((1 + n_files) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     weights = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, idf[w])))
     words = read.filter(F.size("lines") > 0).select("row", "n_words", F.posexplode("lines").alias("line", "header")).select("row", "n_words", "line", F.size(F.filter(F.split("header", r"\s+"), lambda w: w != "")).alias("line_words"), _terms(F.col("header")).alias("terms"))
-    words = words.filter(F.size(F.array_intersect("terms", vocab)) >= 2)
     norm2 = F.aggregate(F.array_distinct("terms"), F.lit(0.0), lambda s, w: s + F.pow(_occurs(w) * F.coalesce(F.try_element_at(weights, w), F.when(w.isin(*STOP), F.lit(0.0)).otherwise(F.lit(1.0))), F.lit(2.0)))
     best = None
     for name, terms in sorted(known.items()):

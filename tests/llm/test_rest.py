@@ -201,3 +201,14 @@ def test_license_scores_against_brute_force(spark):
         best = max((round(sum(c[w] * n * idf[w] ** 2 for w, n in t.items()) / math.sqrt(sum((n * idf[w]) ** 2 for w, n in t.items())) / norm, 6), name) for name, t in terms.items())
         want = best if best[0] >= licenses.THRESHOLD else (None, None)
         assert (r["score"], r["own_license"]) == want, (lines[r["doc_id"]], best)
+
+
+def test_license_lines_without_a_naming_word(spark):
+    """Every line with a template term is scored, whatever the term and however few there are."""
+    lines = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that", "MIT", "the mit,"]
+    lines += ["released under a license " + " ".join(f"w{k}x{j}" for j in range(40)) for k in range(30)]  # common terms weigh little
+    docs = spark.createDataFrame([(k, f"d{k}/x", x) for k, x in enumerate(lines)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["own_license"], r["score"]) for r in licenses.scan(docs).collect()}
+    assert got[0][0] == "BSD-3-Clause" and got[0][1] >= licenses.THRESHOLD
+    assert got[1] == got[2] and got[1][0] == "MIT" and got[1][1] >= licenses.THRESHOLD
+    assert all(got[k] == (None, None) for k in range(3, 33))
