@@ -1,30 +1,38 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance along paths.
 
-A file's header lines (and, in a licence file, all its lines) are compared with
-notice templates as sparse vectors over the templates' own terms: weight =
-occurrences in the line * idf, idf = ln((1 + files) / (1 + files with the term)),
-plus 1, over all files.  Every line that holds a term is scored; a line without
-any has cosine 0.  A line's norm counts its other words too, each as a term that
-no template has, at weight 1.  The best (cosine, template name) of a file at or above
-``THRESHOLD`` is its licence.
-
-A file is a licence file if its own licence line makes up most of its words.  A
+Every file is compared with licences twice, as sparse vectors over the templates'
+own terms.  As a whole it is compared with full licence texts (``license_texts``);
+line by line it is compared with the notices by which files state a licence.  A
+term's weight = occurrences * idf, idf = ln((1 + files) / (1 + files with the
+term)), plus 1, over all files.  Every line that holds a term is scored; a line
+without any has cosine 0.  A norm counts the other words too, each as a term that
+no template has, at weight 1.  The best (cosine, template name) at or above
+``THRESHOLD`` is the file's licence, that of its whole text before that of a line.
+
+A file's whole text is scored if it holds one of the marks: terms without which
+its cosine to every template is below ``THRESHOLD`` (``marks``), so none is missed.
+
+A file is a licence file if its whole text is close to a licence's, if it is named
+as one and holds a licence line, or if that line makes up most of its words.  A
 file without a licence takes that of the nearest directory above it that holds a
 licence file (several: the commonest licence, then the first name).  Directories
 are made distinct first, so each is joined with its ancestors once, however many
 files it holds.
 
 Only DataFrame operations run.  Each text is read once, lines without a template
-term are dropped before anything is grouped, and what is broadcast is the table of template
-terms.  Null and empty texts have no licence of their own but inherit; a null
+term and texts without a mark are dropped before anything is grouped, and what is
+broadcast is the table of template terms.  Null and empty texts have no licence of their own but inherit; a null
 path is in no directory.  Repeated rows are judged as rows.  Extra columns are
 ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +50,10 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 THRESHOLD = 0.5
+#: Full licence texts, one file each, named after the licence.
+TEXTS = Path(__file__).parent / "license_texts"
+#: Names of licence files.
+NAMED = r"(?i)(^|/)([^/]*[-_.])?(licen[cs]es?|copying|copyright|unlicense)([-_][a-z0-9]+([-_.][0-9a-z]*[0-9])*)?(\.(txt|md|rst|html?|lesser))?$"
 #: Words that say nothing about a licence: not terms.
 STOP = ("a", "and", "are", "by", "in", "is", "of", "the", "this", "to")
 _CUT = r"[^a-z0-9.]+"
@@ -56,32 +68,82 @@ def _occurs(word: str | Column) -> Column:
     return F.size(F.filter("terms", lambda v: v == word))
 
 
+def _counted(texts: dict[str, str]) -> dict[str, dict[str, int]]:
+    words = {name: [w.strip(".") for w in re.split(_CUT, text.lower())] for name, text in texts.items()}
+    return {name: dict(Counter(w for w in found if w and w not in STOP)) for name, found in words.items()}
+
+
 def template_terms() -> dict[str, dict[str, int]]:
-    out: dict[str, dict[str, int]] = {}
-    for name, text in TEMPLATES.items():
-        words = [w.strip(".") for w in re.split(_CUT, text.lower())]
-        out[name] = {w: words.count(w) for w in words if w and w not in STOP}
+    return _counted(TEMPLATES)
+
+
+def full_terms() -> dict[str, dict[str, int]]:
+    return _counted({f.stem: f.read_text(encoding="utf-8") for f in sorted(TEXTS.glob("*.txt"))})
+
+
+def marks(full: dict[str, dict[str, int]], idf: dict[str, float]) -> set[str]:
+    """Terms of which a text holds one if its cosine to any full template reaches ``THRESHOLD``.
+
+    Without them its dot product is that with the template's remaining terms, so its
+    cosine is at most their share of the template's length.  The commonest terms
+    are left out first.
+    """
+    out = set()
+    for terms in full.values():
+        square = {w: (n * idf[w]) ** 2 for w, n in terms.items()}
+        room = (THRESHOLD - 1e-6) ** 2 * sum(square.values())
+        for w in sorted(terms, key=lambda w: (idf[w], w)):
+            if square[w] < room:
+                room -= square[w]
+            else:
+                out.add(w)
     return out
 
 
+def _square_sum(words: Column) -> Column:
+    """Sum of squared occurrences of the words of a sorted array."""
+    none = F.struct(F.lit("").alias("w"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"))
+
+    def add(a: Column, w: Column) -> Column:
+        n = F.when(a["w"] == w, a["n"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(w.alias("w"), n.alias("n"), (a["s"] + 2 * n - 1).alias("s"))
+
+    return F.aggregate(words, none, add, lambda a: a["s"])
+
+
+def _whole(read: DataFrame, full: dict[str, dict[str, int]], idf: dict[str, float]) -> DataFrame:
+    """Row and best (score, name) of the texts that as a whole are close to a full licence text."""
+    names = sorted(full)
+    length = {k: math.sqrt(sum((n * idf[w]) ** 2 for w, n in full[k].items())) for k in names}
+    table = [{"term": w, "idf": idf[w], "dots": [full[k].get(w, 0) * idf[w] ** 2 / length[k] for k in names]} for w in sorted(idf)]
+    weights = read.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), "array<struct<term:string,idf:double,dots:array<double>>>")))
+    wanted = sorted(marks(full, idf))
+    held = read.filter(F.exists("known", lambda w: w.isin(*wanted))).select("row", "other2", F.explode("known").alias("term"))
+    held = held.groupBy("row", "other2", "term").agg(F.count("*").alias("n")).join(F.broadcast(weights), "term")
+    dots = [F.sum(F.col("n") * F.col("dots")[k]).alias(f"dot{k}") for k in range(len(names))]
+    held = held.groupBy("row", "other2").agg(F.sum(F.pow(F.col("n") * F.col("idf"), F.lit(2.0))).alias("norm2"), *dots)
+    best = F.greatest(*(F.struct(F.round(F.col(f"dot{k}") / F.sqrt(F.col("norm2") + F.col("other2")), 6).alias("score"), F.lit(name).alias("name")) for k, name in enumerate(names)))
+    return held.select("row", best.alias("whole")).filter(F.col("whole.score") >= THRESHOLD)
+
+
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: id, path, own_license, score, is_license_file, license, inherited_from."""
     spark = files.sparkSession
-    known = template_terms()
+    known, full = template_terms(), full_terms()
     vocabulary = sorted({w for t in known.values() for w in t})
+    every = sorted({w for t in (*known.values(), *full.values()) for w in t})
     rows = files.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{path_col}`").alias("path"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    # a term is a whole run of letters, digits and dots without the dots at its ends: the runs that are terms
-    runs = r"(?<![a-z0-9.])\.*(" + "|".join(re.escape(w) for w in sorted(vocabulary, key=lambda w: (-len(w), w))) + r")\.*(?![a-z0-9.])"
+    cut = rows.withColumn("terms", _terms(F.col("text")))
+    cut = cut.withColumn("known", F.sort_array(F.filter("terms", lambda w: w.isin(*every))))
+    other2 = _square_sum(F.sort_array(F.filter("terms", lambda w: ~w.isin(*every, *STOP))))
     # a line without a term has dot product 0 with every template; most texts have no other lines
-    hit = F.lower("text").rlike(runs)
-    lines = F.when(hit, F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(runs))).otherwise(F.array().cast("array<string>"))
-    has = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(runs), 1))
+    hit = F.exists("known", lambda w: w.isin(*vocabulary))
+    lines = F.when(hit, F.filter(F.split("text", "\n"), lambda x: F.exists(_terms(x), lambda w: w.isin(*vocabulary)))).otherwise(F.array().cast("array<string>"))
     n_words = F.when(hit, F.regexp_count("text", F.lit(r"\S+")))
-    read = rows.select("row", "doc_id", "path", n_words.alias("n_words"), lines.alias("lines"), has.alias("has"))
-    read = materialize(read, "headers")
+    read = materialize(cut.select("row", "doc_id", "path", n_words.alias("n_words"), lines.alias("lines"), "known", other2.alias("other2")), "headers")
     n_files = read.count()
-    df = {r["term"]: r["n"] for r in read.select(F.explode("has").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # template terms only
-    idf = {w: math.log((1 + n_files) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
+    df = {r["term"]: r["n"] for r in read.select(F.explode(F.array_distinct("known")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # template terms only
+    idf = {w: math.log((1 + n_files) / (1 + df.get(w, 0))) + 1 for w in every}
     weights = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, idf[w])))
     words = read.filter(F.size("lines") > 0).select("row", "n_words", F.posexplode("lines").alias("line", "header")).select("row", "n_words", "line", F.size(F.filter(F.split("header", r"\s+"), lambda w: w != "")).alias("line_words"), _terms(F.col("header")).alias("terms"))
     norm2 = F.aggregate(F.array_distinct("terms"), F.lit(0.0), lambda s, w: s + F.pow(_occurs(w) * F.coalesce(F.try_element_at(weights, w), F.when(w.isin(*STOP), F.lit(0.0)).otherwise(F.lit(1.0))), F.lit(2.0)))
@@ -95,8 +157,12 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     words = materialize(words.withColumn("norm2", norm2), "lines")
     scored = materialize(words.select("row", "n_words", "line_words", best.alias("best")), "scores").filter(F.col("best.score") >= THRESHOLD)
     own = scored.groupBy("row").agg(F.max("best").alias("best"), F.max(2 * F.col("line_words") > F.col("n_words")).alias("alone"))
+    whole = materialize(_whole(read, full, idf), "whole")
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
-    judged = materialize(read.select("row", "doc_id", "path", folder.alias("dir")).join(own, "row", "left").select("doc_id", "path", "dir", F.col("best.name").alias("own_license"), F.col("best.score").alias("score"), F.coalesce("alone", F.lit(False)).alias("is_license_file")), "licenses")
+    given = F.coalesce("whole", "best")
+    is_file = F.col("whole").isNotNull() | F.coalesce("alone", F.lit(False)) | (F.col("best").isNotNull() & F.coalesce(F.col("path").rlike(NAMED), F.lit(False)))
+    both = read.select("row", "doc_id", "path", folder.alias("dir")).join(own, "row", "left").join(whole, "row", "left")
+    judged = materialize(both.select("doc_id", "path", "dir", given["name"].alias("own_license"), given["score"].alias("score"), is_file.alias("is_license_file")), "licenses")
     votes = judged.filter("is_license_file and dir is not null").groupBy("dir", "own_license").agg(F.count("*").alias("n"))
     holders = votes.groupBy("dir").agg(F.min(F.struct((-F.col("n")).alias("n"), "own_license")).alias("v")).select(F.col("dir").alias("above"), F.col("v.own_license").alias("given"))
     folders = judged.filter("dir is not null and own_license is null").select("dir").distinct()

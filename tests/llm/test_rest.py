@@ -212,3 +212,33 @@ def test_license_lines_without_a_naming_word(spark):
     assert got[0][0] == "BSD-3-Clause" and got[0][1] >= licenses.THRESHOLD
     assert got[1] == got[2] and got[1][0] == "MIT" and got[1][1] >= licenses.THRESHOLD
     assert all(got[k] == (None, None) for k in range(3, 33))
+
+
+def test_license_files_as_a_whole(spark):
+    """Full licence texts are licence files whatever their name; names count where a line states the licence."""
+    full = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")}
+    notice = "Some project, see the site.\nReleased under the MIT License\n" + " ".join(f"other{k}" for k in range(40))
+    files = [("p/COPYING", full["GPL-3.0"]), ("p/src/a.c", "int x;"), ("q/legal.txt", "Copyright 2020 Some One\n" + full["BSD-3-Clause"].split("\n", 1)[1]), ("q/b.c", "int y;")]
+    files += [("r/LICENSE", full["MIT"].replace("THE SOFTWARE IS PROVIDED", "SOFTWARE WITHOUT")), ("r/z/c.c", None), ("s/LICENSE.md", notice), ("s/d.c", "int z;"), ("t/license_check.py", notice), ("t/e.c", "int w;")]
+    files += [(f"u/{k}", t) for k, t in full.items()] + [("v/x", " ".join(full["GPL-3.0"].split()[:60])), ("v/y", "source work license " * 3 + " ".join(f"q{k}" for k in range(90)))]
+    docs = spark.createDataFrame([(k, *f) for k, f in enumerate(files)], "doc_id long, path string, text string")
+    got = {r["path"]: r for r in licenses.scan(docs).collect()}
+    take = lambda p: (got[p]["own_license"], got[p]["is_license_file"], got[p]["license"], got[p]["inherited_from"])
+    assert take("p/COPYING") == ("GPL-3.0", True, "GPL-3.0", None) and take("p/src/a.c") == (None, False, "GPL-3.0", "p")
+    assert take("q/legal.txt") == ("BSD-3-Clause", True, "BSD-3-Clause", None) and take("q/b.c") == (None, False, "BSD-3-Clause", "q")
+    assert take("r/LICENSE")[:2] == ("MIT", True) and take("r/z/c.c") == (None, False, "MIT", "r")
+    assert take("s/LICENSE.md")[:2] == ("MIT", True) and take("s/d.c")[2:] == ("MIT", "s")
+    assert take("t/license_check.py")[:2] == ("MIT", False) and take("t/e.c")[2:] == (None, None)
+    # brute force: the cosine of every text with every licence
+    terms = licenses.full_terms()
+    vocab = {w for t in (*terms.values(), *licenses.template_terms().values()) for w in t}
+    cut = lambda t: [w for w in (v.strip(".") for v in re.split(r"[^a-z0-9.]+", (t or "").lower())) if w]
+    df = Counter(w for _, t in files for w in set(cut(t)) & vocab)
+    idf = {w: math.log((1 + len(files)) / (1 + df[w])) + 1 for w in vocab}
+    for path, text in files:
+        c = Counter(cut(text))
+        norm = math.sqrt(sum((n * idf.get(w, 0 if w in licenses.STOP else 1)) ** 2 for w, n in c.items())) or 1
+        score, name = max((sum(c[w] * n * idf[w] ** 2 for w, n in t.items()) / math.sqrt(sum((n * idf[w]) ** 2 for w, n in t.items())) / norm, k) for k, t in terms.items())
+        if score >= licenses.THRESHOLD:
+            assert got[path]["own_license"] == name and abs(got[path]["score"] - score) < 2e-6, path
+            assert set(c) & licenses.marks(terms, idf)
