@@ -3,10 +3,10 @@
 A document is its token ids and one end id.  Documents longer than a sequence
 are cut into pieces of the full length and a shorter last one; others stay
 whole.  Pieces are first placed best-fit, longest first.  A local search then
-works on the underfull bins: it empties the least filled bin into fuller ones
-by moving a piece, by exchanging one piece for a shorter one, or by exchanging
-two pieces for one, whatever raises the sum of squared fill, until no exchange
-does.  A bin that ends empty is gone.
+works on all underfull bins of a group: it fills bins from emptier ones by moving
+one or two pieces, by exchanging one piece for a shorter one, two pieces for one,
+or one for two, whatever raises the sum of squared fill, until no exchange does or
+the bins are as few as the total allows.  A bin that ends empty is gone.
 
 Pieces are dealt to groups by a hash, so no task holds more than about
 ``GROUP`` of them.  The underfull bins that the groups leave are opened and
@@ -23,7 +23,8 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from itertools import combinations
+from collections import Counter
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,6 @@ from lociq.llm.token_counts import byte_letters
 
 #: Pieces that one task packs at once, about.
 GROUP = 16_384
-#: Underfull bins that the local search compares at once; the next ones follow in the next block.
-BLOCK = 48
 #: Tokenised words that a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 1_200_000
 
@@ -157,53 +156,103 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _better(x: list[int], y: list[int], lengths: list[int], fx: int, fy: int, room: int) -> tuple[int, tuple, tuple] | None:
-    """The exchange between bins x and y that fills y most: (gain, taken from x, taken from y).
+class _Underfull:
+    """The underfull bins, indexed by what they can give: each length of one piece, each sum of two.
 
-    A gain d makes the fills fy + d and fx - d: squared fill rises if d > fx - fy.
+    Entries of a bin that has changed since are dropped when they are met.
     """
-    best = None
-    least = max(0, fx - fy)
-    for give in (*((a,) for a in x), *combinations(x, 2)):
-        size = sum(lengths[a] for a in give)
-        for take in ((), *((b,) for b in y)) if len(give) == 1 else ((b,) for b in y):
-            d = size - sum(lengths[b] for b in take)
-            if least < d <= room and (best is None or d > best[0]):
-                best = (d, give, take)
-                if d == room:
-                    return best
-    return best
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.bins, self.lengths, self.capacity = bins, lengths, capacity
+        self.fill = [sum(lengths[k] for k in b) for b in bins]
+        self.version = [0] * len(bins)
+        #: For one and two pieces: by size a heap of (fill, bin, version, length of one), and the sizes as bits.
+        self.givers: list[list[list[tuple[int, int, int, int]]]] = [[[] for _ in range(capacity + 1)] for _ in range(2)]
+        self.some = [0, 0]
+        for b in range(len(bins)):
+            self.enter(b)
+
+    def sizes(self, b: int) -> tuple[list[int], list[tuple[int, int]]]:
+        """Distinct lengths of a bin's pieces, and distinct pairs of lengths."""
+        count = Counter(self.lengths[k] for k in self.bins[b])
+        one = sorted(count)
+        return one, [(n, m) for i, n in enumerate(one) for m in one[i:] if n != m or count[n] > 1]
+
+    def enter(self, b: int) -> None:
+        self.version[b] += 1
+        if self.bins[b] and self.fill[b] < self.capacity:
+            one, two = self.sizes(b)
+            for kind, found in ((0, [(n, n) for n in one]), (1, [(n + m, n) for n, m in two])):
+                for size, n in found:
+                    heappush(self.givers[kind][size], (self.fill[b], b, self.version[b], n))
+                    self.some[kind] |= 1 << size
+
+    def giver(self, kind: int, size: int, y: int) -> tuple[int, int, int, int] | None:
+        """The least filled bin but y that can give ``size``."""
+        heap, own = self.givers[kind][size], None
+        while heap and (heap[0][1] == y or self.version[heap[0][1]] != heap[0][2]):
+            top = heappop(heap)
+            if top[1] == y and top[2] == self.version[y]:
+                own = top
+        found = heap[0] if heap else None
+        if own is not None:
+            heappush(heap, own)
+        elif found is None:
+            self.some[kind] &= ~(1 << size)
+        return found
+
+    def best(self, y: int) -> tuple[int, int, tuple, tuple] | None:
+        """The exchange that fills y most: (gain, bin x, lengths from x, lengths from y).
+
+        A gain d makes the fills fy + d and fx - d: squared fill rises if d > fx - fy.
+        """
+        room, best = self.capacity - self.fill[y], None
+        one, two = self.sizes(y)
+        for take in ((), *((n,) for n in one), *two):
+            out = sum(take)
+            for kind in (0, 1) if len(take) < 2 else (0,):
+                sizes = self.some[kind] & ((2 << (out + room)) - 1)
+                while (d := (size := sizes.bit_length() - 1) - out) > (best[0] if best else 0):
+                    x = self.giver(kind, size, y)
+                    if x is not None and x[0] < self.fill[y] + d:
+                        best = (d, x[1], (size,) if kind == 0 else (x[3], size - x[3]), take)
+                        break
+                    sizes ^= 1 << size
+            if best and best[0] == room:
+                break
+        return best
+
+    def exchange(self, y: int, d: int, x: int, give: tuple, take: tuple) -> None:
+        moved = []
+        for b, wanted in ((x, give), (y, take)):
+            for n in wanted:
+                k = next(k for k in self.bins[b] if self.lengths[k] == n)
+                self.bins[b].remove(k)
+                moved.append((k, y if b == x else x))
+        for k, b in moved:
+            self.bins[b].append(k)
+        self.fill[x] -= d
+        self.fill[y] += d
+        self.enter(x)
+        self.enter(y)
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Raise the sum of squared fill of the underfull bins, block by block, until no exchange does.
+    """Raise the sum of squared fill of the underfull bins until no exchange does.
 
     Bins can be emptied only while there are more of them than the total needs;
     at that bound the search is over.
     """
     spare = len(bins) - -(-sum(lengths) // capacity)
-    fill = [sum(lengths[k] for k in b) for b in bins]
-    low = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: (fill[b], b))
-    for at in range(0, len(low), BLOCK):
-        block = low[at : at + BLOCK]
-        moved = True
-        while moved and spare > 0:
-            moved = False
-            block = sorted((b for b in block if bins[b]), key=lambda b: (fill[b], b))
-            for i, x in enumerate(block):
-                for y in reversed(block[i + 1 :]):
-                    if not bins[x]:
-                        break
-                    room = capacity - fill[y]
-                    if room and fill[y] >= fill[x] and (found := _better(bins[x], bins[y], lengths, fill[x], fill[y], room)):
-                        d, give, take = found
-                        bins[x] = [k for k in bins[x] if k not in give] + list(take)
-                        bins[y] = [k for k in bins[y] if k not in take] + list(give)
-                        fill[x] -= d
-                        fill[y] += d
-                        moved = True
-                if not bins[x]:
-                    spare -= 1
+    state = _Underfull(bins, lengths, capacity) if spare > 0 else None
+    moved = True
+    while moved and spare > 0:
+        moved = False
+        for y in sorted((b for b in range(len(bins)) if bins[b] and state.fill[b] < capacity), key=lambda b: (-state.fill[b], b)):
+            while spare > 0 and bins[y] and state.fill[y] < capacity and (found := state.best(y)):
+                state.exchange(y, *found)
+                moved = True
+                spare -= not bins[found[1]]
     return [b for b in bins if b]
 
 

@@ -107,3 +107,22 @@ def test_local_search_beats_best_fit():
         assert sorted(k for b in bins for k in b) == list(range(80))
         assert max(sum(n[k] for k in b) for b in bins) <= 100
         assert len(bins) <= len(packing.best_fit(n, 100))
+
+
+@pytest.mark.parametrize(("low", "high", "count", "capacity"), [(900, 1900, 1500, 4096), (30, 60, 400, 100), (1, 9, 300, 23)])
+def test_local_search_compares_all_underfull_bins(low, high, count, capacity):
+    """When it stops above the bound, no move or exchange (1:1, 2:1, 1:2) between any two bins raises squared fill."""
+    n = np.random.default_rng(7).integers(low, high, count).tolist()
+    bins = packing.pack_lengths(n, capacity)
+    assert sorted(k for b in bins for k in b) == list(range(count))
+    fill = [sum(n[k] for k in b) for b in bins]
+    assert max(fill) <= capacity and len(bins) <= len(packing.best_fit(n, capacity))
+    if len(bins) == -(-sum(n) // capacity):
+        return
+    sums = [[{0}, {n[k] for k in b}, {n[a] + n[c] for i, a in enumerate(b) for c in b[i + 1 :]}] for b in bins]
+    low_bins = [b for b in range(len(bins)) if fill[b] < capacity]
+    for x in low_bins:
+        for y in low_bins:
+            if x != y:
+                gains = {g - t for i, j in ((1, 0), (1, 1), (2, 0), (2, 1), (1, 2)) for g in sums[x][i] for t in sums[y][j]}
+                assert not any(max(0, fill[x] - fill[y]) < d <= capacity - fill[y] for d in gains)
