@@ -19,8 +19,8 @@ REGISTRY = {
     **{n: ("window", {"width": 1_000_000, "step": 10_000}) for n in spectrum.STATISTICS},
     "zns": ("ld", {"width": 100_000, "step": 10_000}),
     "omega_max": ("ld", {"width": 100_000, "step": 10_000}),
-    **{n: ("garud", {"sites": 200}) for n in ("h1", "h12", "h123", "h2_h1")},
-    "haf_top": ("haf", {"sites": 201}),
+    **{n: ("garud", {"sites": 200, "site_step": 10}) for n in ("h1", "h12", "h123", "h2_h1")},
+    "haf_top": ("haf", {"sites": 201, "site_step": 10}),
     **{n: ("focal", {"reach": 25_000}) for n in ("dind", "high_freq", "low_freq", "s_ratio", "hapdaf_o", "hapdaf_s")},
     "ihs": ("ihs", {}),
     "delta_ihh": ("ihs", {}),
@@ -35,6 +35,22 @@ REGISTRY = {
 ABSOLUTE = ("ihs", "nsl", "tajima_d", "zeng_e", "fay_wu_h")
 
 
+def site_windows(counts, sites: int, step: int):
+    """Each site with every window that holds it: ``sites`` sites from each ``step``-th on.
+
+    Windows are whole; a chromosome of fewer sites is one window.  ``win`` is the
+    number of a window's first site, from 0.
+    """
+    from pyspark.sql import Window
+
+    o = counts.select("chrom", "pos", "site", (F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "site")) - 1).alias("o"))
+    whole = o.groupBy("chrom").agg(F.count("*").alias("total")).withColumn("width", F.least(F.col("total"), F.lit(sites)))
+    first = F.greatest(F.lit(0), F.ceil((F.col("o") - F.col("width") + 1) / F.lit(step)))
+    last = F.floor(F.least(F.col("o"), F.col("total") - F.col("width")) / F.lit(step))
+    held = o.join(whole, "chrom").withColumn("first", first).withColumn("last", last).filter("first <= last")
+    return held.select("chrom", "pos", "site", F.explode(F.sequence("first", "last")).alias("win")).withColumn("win", F.col("win") * step)
+
+
 def statistic(sa, name: str, **options):
     """One registered statistic of a long genotype table: a frame that has the column ``name``."""
     if name not in REGISTRY:
@@ -49,10 +65,7 @@ def statistic(sa, name: str, **options):
         spread = lambda d: d.withColumn("start", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.floor(F.col("pos") / F.lit(o["step"]))))).withColumn("start", F.col("start") * o["step"])
         return spectrum.window_statistics(spread(counts), ["chrom", "start"], [name]) if kind == "window" else haplotype.ld(spread(seg), ["chrom", "start"])
     if kind in ("garud", "haf"):
-        from pyspark.sql import Window
-
-        order = counts.select("chrom", "pos", "site", F.floor((F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "site")) - 1) / o["sites"]).alias("win"))
-        w = seg.join(order, ["chrom", "pos", "site"])
+        w = seg.join(site_windows(counts, o["sites"], o["site_step"]), ["chrom", "pos", "site"])
         return haplotype.garud(w, ["chrom", "win"]) if kind == "garud" else haplotype.haf_top(w, ["chrom", "win"])
     if kind == "focal":
         return haplotype.focal_statistics(haplotype.focal_pairs(seg, o["reach"]))
@@ -79,6 +92,8 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--stats", required=True)
     s.add_argument("--width", type=int)
     s.add_argument("--step", type=int)
+    s.add_argument("--sites", type=int, help="sites in a window of h1, h12, h123, h2_h1, haf_top, mu")
+    s.add_argument("--site-step", type=int, help="sites between windows of h1, h12, h123, h2_h1, haf_top")
     s = sub.add_parser("rank", help="rank genes by predictions")
     s.add_argument("--predictions", required=True)
     s.add_argument("--bed", required=True)
@@ -103,7 +118,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = session(a.master)
     if a.command == "scan":
         sa = readers.vcf_alleles(readers.vcf_records(spark, a.vcf))
-        for n, df in outlier_scan(sa, a.stats.split(","), width=a.width, step=a.step).items():
+        for n, df in outlier_scan(sa, a.stats.split(","), width=a.width, step=a.step, sites=a.sites, site_step=a.site_step).items():
             writers.separated(df, f"{a.out}/{n}")
     elif a.command == "rank":
         genes = readers.bed(spark, a.bed).select(F.col("chrom"), F.col("gene_id").alias("gene"), F.floor((F.col("start") + F.col("end")) / F.lit(2)).alias("mid"))

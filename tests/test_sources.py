@@ -82,3 +82,21 @@ def test_registered_statistics(spark, tmp_path):
         assert len(out) and out[name].notna().any() and out.p.dropna().between(0, 1).all(), name
     with pytest.raises(ValueError):
         cli.statistic(sa, "nothing")
+
+
+def test_site_windows_slide(spark):
+    """h12 and haf_top in every window of 10 sites at each 4th site, against brute force; a short chromosome is one window."""
+    rng = np.random.default_rng(4)
+    alleles = {"1": (rng.random((27, 12)) < 0.5).astype(int), "2": (rng.random((7, 12)) < 0.5).astype(int)}
+    for a in alleles.values():
+        a[:, 0], a[:, 1] = 0, 1  # all sites segregate
+    rows = [(c, 1000 * (s + 1), s, h, int(a[s, h])) for c, a in alleles.items() for s in range(len(a)) for h in range(12)]
+    sa = spark.createDataFrame(rows, "chrom string, pos long, site long, hap int, allele int")
+    want = {}
+    for c, at in [("1", k) for k in range(0, 27 - 10 + 1, 4)] + [("2", 0)]:
+        p = sorted(np.unique(alleles[c][at : at + 10], axis=1, return_counts=True)[1] / 12, reverse=True)
+        want[(c, at)] = round(sum(x * x for x in p) + 2 * p[0] * p[1], 6)
+    got = {(r["chrom"], r["win"]): r["h12"] for r in cli.statistic(sa, "h12", sites=10, site_step=4, step=1_000_000).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert {(r["chrom"], r["win"]) for r in cli.statistic(sa, "haf_top", sites=10, site_step=4).collect()} == want.keys()
+    assert cli.REGISTRY["h12"][1] == {"sites": 200, "site_step": 10} and cli.REGISTRY["haf_top"][1] == {"sites": 201, "site_step": 10}
