@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociq.operators import intervals, tables
 from lociq.plans.fixtures import DENSE, TRACK, dense_sites, track
+from lociq.session import scratch_root
 
 HOUR, DAY = 3600, 86400
 
@@ -160,9 +161,7 @@ def gene_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("chrom"), F.col("p_partkey").alias("gene"))
     nxt = g.withColumn("b", F.lead("gene").over(Window.partitionBy("chrom").orderBy("gene"))).filter(F.col("b") - F.col("gene") <= 20)
     if not spark.conf.get("spark.checkpoint.dir", None):
-        from tempfile import mkdtemp
-
-        spark.sparkContext.setCheckpointDir(mkdtemp(prefix="lociq-"))  # local sessions only
+        spark.sparkContext.setCheckpointDir(scratch_root(spark))
     return tables.components(nxt.select(F.col("gene").alias("a"), "b"), g.select(F.col("gene").alias("node"))).select(F.col("node").alias("gene"), "comp")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lociq.operators import learning, polarize
 from lociq.plans.fixtures import DENSE, dense_sites
+from lociq.session import scratch_root
 from lociq.streaming import windows
 
 _OUT = ("o1", "o2", "o3")
@@ -124,8 +124,7 @@ def sliding_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream itself: windows that the watermark has closed once all input is read."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lociq-")
-    base = f"{root}/lociq/stream-{uuid.uuid4().hex}"
+    base = f"{scratch_root(spark)}/lociq/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return windows.run_available(spark, windows.sliding(source), f"{base}/out", f"{base}/state").withColumn("total", F.round("total", 4))

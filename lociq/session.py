@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """ANSI arithmetic, UTC, adaptive execution with skew handling, Arrow transfer.
@@ -24,3 +30,22 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder for written intermediate tables.
+
+    ``spark.checkpoint.dir`` names it.  Where that is unset, a cluster's tables go
+    below its warehouse, which driver and executors share; only a session whose
+    executors are threads of this process uses a temporary folder, removed at exit.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        context = spark.sparkContext
+        if not (context.master == "local" or context.master.startswith("local[")):
+            return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lociq-scratch"
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="lociq-")
+            atexit.register(shutil.rmtree, _LOCAL[context.applicationId], ignore_errors=True)
+        root = _LOCAL[context.applicationId]
+    return root.rstrip("/")
