@@ -1,36 +1,28 @@
 """What the operators of this subpackage share: scratch tables and column handling.
 
-Scratch tables cut lineage.  They are written as Parquet below the folder that
-the session names in ``spark.checkpoint.dir`` (shared by driver and executors),
-so a lost executor never loses an intermediate result.  Only where that setting
-is missing, as in tests on one machine, a temporary folder is used.
+Scratch tables cut lineage.  They are written as Parquet below the shared folder
+that the session names (``lociq.session.scratch_root``), so a lost executor never
+loses an intermediate result.  An operator removes those that its result does
+not read (``tidy``).
 """
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
+import contextvars
+import functools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LOCAL: dict[str, str] = {}
-#: Lists that are told of every scratch table as it is made: (path, catalog name or none).
-_TOLD: list[list] = []
+from lociq.session import scratch_root
 
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
-def scratch_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="lociq-"))
-    return root.rstrip("/")
+#: Lists that are told of every scratch table as this thread makes it: (path, catalog name or none).
+_TOLD: contextvars.ContextVar[tuple] = contextvars.ContextVar("told", default=())
+#: A key is hot if it holds more than a part of 1 / HOT of all rows, so there are at most HOT of them.
+HOT = 4096
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -48,7 +40,7 @@ def materialize(df: DataFrame, name: str, buckets: tuple[int, str] | None = None
     path = scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
     table = None if buckets is None else f"lociq_{name}_{uuid.uuid4().hex}"
-    for told in _TOLD:
+    for told in _TOLD.get():
         told.append((path, table))
     if buckets is None:
         writer.parquet(path)
@@ -60,11 +52,11 @@ def materialize(df: DataFrame, name: str, buckets: tuple[int, str] | None = None
 @contextlib.contextmanager
 def told_of_tables(into: list):
     """Within it, ``into`` gets (path, catalog name) of each scratch table made."""
-    _TOLD.append(into)
+    before = _TOLD.set((*_TOLD.get(), into))
     try:
         yield
     finally:
-        _TOLD.remove(into)
+        _TOLD.reset(before)
 
 
 def release(spark: SparkSession, tables: list, needed: DataFrame) -> None:
@@ -79,12 +71,39 @@ def release(spark: SparkSession, tables: list, needed: DataFrame) -> None:
         tables.remove((path, table))
 
 
+def tidy(operator):
+    """An operator (docs, ...) -> DataFrame that removes the scratch tables which its result does not read."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        made: list = []
+        with told_of_tables(made):
+            out = operator(docs, *args, **kwargs)
+        release(docs.sparkSession, made, out)
+        return out
+
+    return run
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder through the file system that holds it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key), where one key may hold a large part of all rows.
+
+    ``hot`` is a condition on ``table`` that at most ``HOT`` of its rows meet, by
+    the definition of a hot key.  Those are broadcast, so the rows of a hot key
+    stay where they are; only the others are shuffled.
+    """
+    few = table.filter(hot)
+    at_hot = rows.join(F.broadcast(few), keys)  # HOT rows at most
+    others = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(table.filter(~hot), keys, how)
+    return at_hot.unionByName(others)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -13,7 +13,11 @@
    fingerprint occurs twice within its sender; all others are unique.
 4. Verification.  Only suspects are shuffled: they are grouped by the normalised
    text itself, byte for byte, after a map-side combine, so a group of any size
-   sends one row from each task.
+   sends one row from each task.  The verdict on a group that holds a large part
+   of all rows is broadcast to them (``common.spread_join``).
+
+There are at most ``OWNERS`` owners, so that a code holds several fingerprints
+however many rows there are; beyond that an owner answers for more of them.
 
 Texts are equal if identical once A-Z are lowered; null counts as empty.  Of
 equal texts the row with the largest id stays (a null id is less than any);
@@ -33,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociq.llm.common import fresh, materialize
+from lociq.llm.common import HOT, fresh, materialize, spread_join, tidy
 
 #: Fingerprints for each row: a row that is unique becomes a suspect with probability of about 1 / SPREAD.
 SPREAD = 256
 #: Rows that an owner answers for, and rows in a sender, at most about.
 PER_OWNER, PER_SENDER = 500_000, 32_768
+OWNERS = PER_SENDER // 8
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -125,11 +130,12 @@ def _bitmap(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sender": [int(key[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
 
+@tidy
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256, one row for each row."""
     spark = docs.sparkSession
     n_rows = docs.count()
-    owners = max(1, -(-n_rows // PER_OWNER), min(64, n_rows // 4096))
+    owners = max(1, min(OWNERS, max(-(-n_rows // PER_OWNER), min(64, n_rows // 4096))))
     p = fresh([c[:6] for c in docs.columns], "__fp")
     senders = max(1, docs.rdd.getNumPartitions()) if n_rows else 1
     buckets = min(8192, max(4, 4 * senders))
@@ -160,4 +166,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return frame.select(*(F.col(f"`{c}`") for c in docs.columns), *out)
 
     unique = result(marked.filter(~F.col(f"{p}suspect")), F.col(f"`{id_col}`"), F.lit(1).cast("long"), F.lit(True), F.col(f"{p}sha"))
-    return unique.unionByName(result(suspects.join(groups, f"{p}sha", "left"), keep, size, kept, F.col(f"{p}sha")))
+    judged = spread_join(suspects, groups, [f"{p}sha"], F.col(f"{p}size") * HOT > F.lit(n_rows))
+    return unique.unionByName(result(judged, keep, size, kept, F.col(f"{p}sha")))

@@ -16,14 +16,19 @@ words the whole sequence; without words it is empty and linked with nothing.
    100 * intersection >= 75 * union.
 
 A large bucket is not turned into all its pairs.  It is dealt into blocks of
-``BLOCK`` rows; from each block only a spanning forest of its likeliest pairs is
-checked exactly.  Buckets whose rows are then all in one component are done.
-From the others, every surviving pair between different components is checked
-exactly where it is compared, block against block, and only links leave the
-task, so no link between components is lost and no list of pairs is made.
+about ``BLOCK`` rows and ``BLOCK_ITEMS`` shingles; from each block only a spanning
+forest of its likeliest pairs is checked exactly.  Buckets whose rows are then
+all in one component are done.  In the others, block meets block twice.  First
+signatures alone are copied to each pair of blocks, and the rows of any
+surviving pair between different components are named.  Then the full sets of
+those rows alone follow them, and each surviving pair is checked exactly where
+it is compared; only links leave the task.  So no link between components is
+lost, no list of pairs is made, and tasks are sized by what is copied to them.
 
 The texts lie in bucket files by the task that read them (the sender) and do
 not move: the rows whose sets are needed are sent to them, as lists by sender.
+Verdicts of classes and components that hold a large part of all rows travel by
+broadcast (``common.spread_join``).
 
 Null ids: a component's id is its least id that is not null (null if none).
 Exactly one row of a component is kept: that of the least id, then the first
@@ -44,14 +49,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociq.llm.common import fresh, materialize
+from lociq.llm.common import HOT, fresh, materialize, spread_join, tidy
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 SIGNATURE, BATCH, MISS = 256, 32, 1e-7
-BLOCK = 1024
-#: Rows of buckets that one task compares at once, about.
-PER_TASK = 20_000
+#: Rows of a block and shingles of its sets, about.
+BLOCK, BLOCK_ITEMS = 1024, 2_000_000
+#: Rows with signatures, and shingles of sets, that one task compares at once, about.
+PER_TASK, ITEMS_PER_TASK = 20_000, 4_000_000
 REMEMBERED = 1_000_000
 
 
@@ -204,25 +210,15 @@ def _first_pairs(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
 
-def _cross_links(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links between components, block against block, checked exactly on full sets here.
+def _cross_pairs(pdf: pd.DataFrame):
+    """For each pair of blocks, its surviving pairs between components, likeliest first in each piece.
 
-    A pair is looked at in the first band that it shares, so once in all.  Pairs
-    that links found here have joined already are not needed; the others are.
+    A pair is looked at in the first band that it shares, so once in all.
     """
     sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(-1, SIGNATURE)
     bands = np.stack(pdf["bands"].to_list())
-    uid, comp, band = pdf["uid"].to_numpy(), pdf["comp"].to_numpy(), pdf["band"].to_numpy()
+    comp, band = pdf["comp"].to_numpy(), pdf["band"].to_numpy()
     side, one, two = pdf["side"].to_numpy(), pdf["one"].to_numpy(), pdf["two"].to_numpy()
-    items = [np.asarray(x, dtype=np.int64).view(np.uint64) for x in pdf["items"]]
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
-        return x
-
-    found = []
     for rows in _buckets(pdf, ["band", "hash", "one", "two"]):
         same = one[rows[0]] == two[rows[0]]
         for a, b in _pairs(len(rows)):
@@ -234,15 +230,46 @@ def _cross_links(key, pdf: pd.DataFrame) -> pd.DataFrame:
             if len(a):
                 go = (bands[a] == bands[b]).argmax(axis=1) == band[a]
                 a, b, matches = a[go], b[go], matches[go]
-            for k in np.argsort(-matches, kind="stable").tolist():
-                i, j = int(a[k]), int(b[k])
-                x, y = root(int(comp[i])), root(int(comp[j]))
-                if x != y and similar(items[i], items[j]):
-                    parent[x] = y
-                    found.append((min(uid[i], uid[j]), max(uid[i], uid[j])))
+            order = np.argsort(-matches, kind="stable")
+            yield a[order], b[order]
+
+
+def _surviving_rows(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of any surviving pair between components, by signatures alone."""
+    hit = np.zeros(len(pdf), dtype=bool)
+    for a, b in _cross_pairs(pdf):
+        hit[a] = hit[b] = True
+    return pdf.loc[hit, list(_MET)]
+
+
+def _cross_links(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between components, checked exactly on full sets here.
+
+    Pairs that links found here have joined already are not needed; the others are.
+    """
+    uid, comp = pdf["uid"].to_numpy(), pdf["comp"].to_numpy()
+    items = [np.asarray(x, dtype=np.int64).view(np.uint64) for x in pdf["items"]]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    found = []
+    for a, b in _cross_pairs(pdf):
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = root(int(comp[i])), root(int(comp[j]))
+            if x != y and similar(items[i], items[j]):
+                parent[x] = y
+                found.append((min(uid[i], uid[j]), max(uid[i], uid[j])))
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
+#: A row in a pair of blocks.
+_MET = {"band": "int", "hash": "long", "one": "int", "two": "int", "side": "boolean", "uid": "long", "comp": "long"}
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Exact test on two sorted sets."""
     if len(x) > len(y):
@@ -296,25 +323,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     return materialize(pairs.distinct().join(left, "a").join(right, "b").filter(100 * both >= PERCENT * union).select("a", "b"), name)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Per node of ``links`` (a, b): node, comp = least node reachable.
 
     Every node takes the least label among its neighbours' and its own, then the
     label of its label, until nothing changes; each round is a written table.
+    Labels only fall, so the rounds end.
     """
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "labels")
-    for k in range(rounds):
+    while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        stepped = materialize(lower.join(jump, "comp", "left").select("node", "was", F.least("comp", "next").alias("comp")), f"labels{k}")
+        stepped = materialize(lower.join(jump, "comp", "left").select("node", "was", F.least("comp", "next").alias("comp")), "labels")
         labels = stepped.select("node", "comp")
         if stepped.filter("was <> comp").limit(1).count() == 0:
             return labels
-    raise RuntimeError("components did not settle")
 
 
+@tidy
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with n_shingles, component_id and kept, one row for each row."""
     p = fresh([c[:5] for c in docs.columns], "__nd") + "_"
@@ -322,13 +350,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = materialize(_spool(docs, text_col, p), "sets", (min(8192, max(4, 4 * parts)), f"{p}sender"))
     base = rows.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"{p}uid").alias("uid"), F.col(f"{p}n").alias("n"), F.col(f"{p}k1").alias("k1"), F.col(f"{p}k2").alias("k2"))
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("uid"))
-    classes = materialize(base.filter("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.min(who).alias("who")), "classes")
+    classes = materialize(base.filter("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.min(who).alias("who"), F.count("*").alias("copies")), "classes")
 
     # candidates: buckets of at least two representatives
-    banded = rows.filter(f"{p}n > 0").select(F.col(f"{p}uid").alias("rep"), F.posexplode(f"{p}bands").alias("band", "hash")).join(classes.select("rep"), "rep", "left_semi")
+    banded = rows.filter(f"{p}n > 0").select(F.col(f"{p}uid").alias("rep"), F.col(f"{p}n").alias("items"), F.posexplode(f"{p}bands").alias("band", "hash")).join(classes.select("rep"), "rep", "left_semi")
     banded = materialize(banded, "bands")
-    shared = banded.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialize(banded.join(shared, ["band", "hash"]).select(F.col("rep").alias("uid"), "band", "hash", "n"), "buckets")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("items") / BLOCK_ITEMS)).cast("int")
+    shared = banded.groupBy("band", "hash").agg(F.count("*").alias("n"), blocks.alias("blocks")).filter("n > 1")
+    members = materialize(banded.join(shared, ["band", "hash"]).select(F.col("rep").alias("uid"), "items", "band", "hash", "blocks"), "buckets")
 
     # sets and signatures of the representatives in them; the texts stay where they are
     wanted = members.select("uid").distinct().groupBy(F.shiftright("uid", 33).alias(f"{p}sender")).agg(F.collect_list("uid").alias("wanted"))
@@ -336,35 +365,42 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = materialize(texts.select(F.col(f"{p}uid").alias("uid"), "bands", "text").mapInArrow(_sets, "uid long, bands array<long>, items array<long>, sig binary"), "shingles")
     signed = materialize(members.join(sets.select("uid", "sig"), "uid"), "signed")
 
-    def dealt(frame: DataFrame, keys: list[str], size: int) -> DataFrame:
-        groups = max(1, math.ceil(size / PER_TASK), min(32, size // 500))
+    def dealt(frame: DataFrame, keys: list[str], tasks: float, rows: int):
+        """Groups by a hash of the keys: ``tasks`` of them, a few more while they stay above 500 rows."""
+        groups = max(1, math.ceil(tasks), min(32, rows // 500))
         return frame.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")).groupBy("part")
 
     size = signed.count()
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("uid", "band"), blocks).cast("int")
-    first = dealt(signed.withColumn("block", block), ["band", "hash", "block"], size).applyInPandas(_first_pairs, "a long, b long")
+    block = F.pmod(F.xxhash64("uid", "band"), F.col("blocks")).cast("int")
+    first = dealt(signed.withColumn("block", block), ["band", "hash", "block"], size / PER_TASK, size).applyInPandas(_first_pairs, "a long, b long")
     pairs = materialize(first.distinct(), "pairs")
     links = _verified(pairs, sets, "links")
     comps = components(links)
 
     labelled = members.join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
     mixed = labelled.groupBy("band", "hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("band", "hash")
-    rest = labelled.join(mixed, ["band", "hash"]).withColumn("block", block)
-    # each row goes to every pair of blocks that holds its own
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    crossed = rest.withColumn("other", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).withColumn("side", F.col("block") == F.col("one"))
-    carried = crossed.join(sets, "uid")
-    volume = rest.join(sets.select("uid", F.size("items").alias("n_items")), "uid").agg(F.coalesce(F.sum("n_items"), F.lit(0)).alias("n")).first()["n"]
-    more = materialize(dealt(carried, ["band", "hash", "one", "two"], max(volume // 200, 1)).applyInPandas(_cross_links, "a long, b long"), "more_links")
+    rest = materialize(labelled.join(mixed, ["band", "hash"]).withColumn("block", block), "mixed")
+    # each row's signature goes to every pair of blocks that holds its own
+    copied = rest.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("n")).first()["n"]
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    signs = rest.join(sets.select("uid", "bands", "sig"), "uid")
+    crossed = signs.withColumn("other", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).withColumn("side", F.col("block") == F.col("one"))
+    meeting = ["band", "hash", "one", "two"]
+    few = materialize(dealt(crossed.select(*_MET, "bands", "sig"), meeting, copied / PER_TASK, copied).applyInPandas(_surviving_rows, ", ".join(f"{k} {t}" for k, t in _MET.items())), "survivors")
+    volume = few.join(members.select("uid", "items").distinct(), "uid").agg(F.count("*").alias("rows"), F.coalesce(F.sum("items"), F.lit(0)).alias("items")).first()
+    more = materialize(dealt(few.join(sets, "uid"), meeting, volume["items"] / ITEMS_PER_TASK, volume["rows"]).applyInPandas(_cross_links, "a long, b long"), "more_links")
     if more.limit(1).count():
         comps = components(links.unionByName(more))
 
-    reps = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    best = reps.groupBy("comp").agg(F.min("who").alias("best"))
-    verdict = reps.join(best, "comp").select("k1", "k2", "best")
-    alone = F.col("n") == 0
-    judged = base.join(verdict, ["k1", "k2"], "left").select("uid", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component"), (alone | (F.col("best.uid") == F.col("uid"))).alias("kept"))
+    # the best row of each component, for each class
+    reps = materialize(classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "classes_labelled")
+    best = materialize(reps.groupBy("comp").agg(F.min("who").alias("best"), F.count("*").alias("classes")), "best")
+    n_classes = F.lit(classes.count())
+    verdict = spread_join(reps, best, ["comp"], F.col("classes") * HOT > n_classes, "inner").select("k1", "k2", "best", "copies")
+    verdict = materialize(verdict, "classes_judged")
+    linked = spread_join(base.filter("n > 0"), verdict, ["k1", "k2"], F.col("copies") * HOT > F.lit(rows.count()))
+    linked = linked.select("uid", "n", F.col("best.doc_id").alias("component"), (F.col("best.uid") == F.col("uid")).alias("kept"))
+    judged = linked.unionByName(base.filter("n = 0").select("uid", "n", F.col("doc_id").alias("component"), F.lit(True).alias("kept")))
     # verdicts go to the senders as one list each, in row order; the rows stay where they are
     lists = judged.groupBy(F.shiftright("uid", 33).alias(f"{p}sender")).agg(F.array_sort(F.collect_list(F.struct("uid", "n", "component", "kept"))).alias(f"{p}all"))
     lists = materialize(lists, "verdicts")

@@ -91,6 +91,55 @@ def test_large_bucket_is_split(spark, monkeypatch):
     check_near(minhash.near_dedup(docs).collect(), table)
 
 
+def test_hot_group_in_many_tasks(spark, monkeypatch):
+    """A third of the rows are one text, a third near copies of another, many are empty; both ways of joining act."""
+    base = [f"w{k}" for k in range(60)]
+    table = [(k, "one and the same text in very many rows of the table") for k in range(150)]
+    table += [(200 + k, " ".join([*base[:50], f"n{k}", *base[51:]])) for k in range(150)]
+    table += [(400 + k, None if k % 2 else "") for k in range(60)] + [(500 + k, f"only row number {k} says this and nothing else does {k}") for k in range(60)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(7)
+    for hot in (4, 4096):
+        for module in (minhash, exact_dedup):
+            monkeypatch.setattr(module, "HOT", hot)
+        monkeypatch.setattr(minhash, "BLOCK", 16)
+        check_near(minhash.near_dedup(docs).collect(), table)
+        groups = defaultdict(list)
+        for k, t in table:
+            groups[(t or "").lower()].append(k)
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs).collect()}
+        assert got == {k: (max(groups[(t or "").lower()]), len(groups[(t or "").lower()]), k == max(groups[(t or "").lower()])) for k, t in table}
+
+
+def test_pairs_near_the_threshold_are_found(spark):
+    """Recall of pairs of similarity 0.75 to 0.8, against the exact sets: all of them here (a miss has odds of 5e-6)."""
+    rng = np.random.default_rng(8)
+    table, linked = [], 0
+    for k in range(150):
+        w = [f"v{x}" for x in rng.integers(0, 10**9, 104)]  # 100 shingles
+        v = list(w)
+        for j in range(2 + k % 2):  # each change within costs 5 shingles; the last word costs one
+            v[20 + 30 * j] = "changed"
+        v[-1 - k % 3 :] = ["end"] * (1 + k % 3)
+        table += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    sets, comp = brute_components(table)
+    near = [k for k in range(150) if 75 <= 100 * len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) < 80]
+    assert len(near) > 40
+    out = minhash.near_dedup(spark.createDataFrame(table, "doc_id long, text string").repartition(5)).collect()
+    check_near(out, table)
+
+
+def test_scratch_tables_are_removed(spark):
+    """What a result does not read is gone once the operator returns."""
+    import glob
+    from lociq.session import scratch_root
+
+    before = set(glob.glob(f"{scratch_root(spark)}/lociq/*")) | {t.name for t in spark.catalog.listTables()}
+    out = minhash.near_dedup(frame(spark))
+    made = (set(glob.glob(f"{scratch_root(spark)}/lociq/*")) | {t.name for t in spark.catalog.listTables()}) - before
+    assert {m.rsplit("/", 1)[-1].split("-")[0] for m in made if "/" in m} == {"sets", "verdicts"}
+    assert out.count() == len(rows())
+
+
 def test_pruning_keeps_similar_pairs():
     least = minhash.least_matches()
     assert len(least) == minhash.SIGNATURE // minhash.BATCH
