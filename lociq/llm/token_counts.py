@@ -6,10 +6,11 @@ alone: each is run through the merges and kept only if one token comes out.
 Workers then cut texts into pre-tokens; one found in the proven set counts 1
 without being merged, and only the rest go through the merges.
 
-A text is counted by the library as a whole if the cutting pattern here could
-disagree with the library's: when it holds the string of an added token, or a
-character outside the blocks whose letter/number/space classes are known to be
-the same in both (``SAME_CLASSES``, held to the library by a test).
+A text may hold the string of an added token, or a character that the library
+classes as another Unicode version does (``OTHER_CLASSES``, held to the library by
+a test).  Such a text is cut before every single space between two characters
+that are not white space: no pre-token goes across.  Runs with such a string or
+character are counted by the library, all others of that text as above.
 
 Nulls and empty texts have 0 bytes and 0 tokens.  Rows with equal or null ids
 are counted row by row.  Extra columns are ignored; an empty table gives an
@@ -30,8 +31,17 @@ from lociq.llm.common import id_text, renamed
 
 # Fixed value: the cutting pattern of byte-level BPE tokenizers of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Blocks in which both libraries class every character alike.
-SAME_CLASSES = ((0x00, 0x1B), (0x20, 0x2AF), (0x370, 0x52F), (0x2010, 0x205E), (0x3040, 0x30FF), (0x4E00, 0x9FEF), (0xAC00, 0xD7A3), (0x1F300, 0x1F64F))
+# Ranges whose letter, number or other class differs between this pattern's library and the tokenizer's.
+OTHER_CLASSES = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4),
+    (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+#: Before a single space between characters that are not white space: there a text may be cut.
+CUT = r"(?<=\S)(?= \S)"
 #: Entries that a worker remembers of merged pre-tokens; beyond it the memory starts anew.
 REMEMBERED = 400_000
 
@@ -98,13 +108,17 @@ class TokenCounter:
         self.counts = Counts(tokenizer_json, proven)
         self.pieces = regex.compile(PATTERN).findall
         added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens", [])]
-        blocks = "".join(f"{regex.escape(chr(a))}-{regex.escape(chr(b))}" for a, b in SAME_CLASSES)
-        self.unsafe = regex.compile("|".join([f"[^{blocks}]", *map(regex.escape, added)])).search
+        ranges = "".join(f"{chr(a)}-{chr(b)}" for a, b in OTHER_CLASSES)
+        self.unsafe = regex.compile("|".join([f"[{ranges}]", *map(regex.escape, added)])).search
+        self.runs = regex.compile(CUT).split
 
     def count(self, text: str) -> int:
-        if self.unsafe(text):
-            return len(self.counts.tokenizer.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.counts.__getitem__, self.pieces(text)))
+        if not self.unsafe(text):
+            return sum(map(self.counts.__getitem__, self.pieces(text)))
+        encode = self.counts.tokenizer.encode
+        runs = self.runs(text)
+        odd = set(filter(self.unsafe, runs))
+        return sum(len(encode(r, add_special_tokens=False).ids) if r in odd else sum(map(self.counts.__getitem__, self.pieces(r))) for r in runs)
 
 
 @lru_cache(maxsize=2)

@@ -17,14 +17,34 @@ def library():
     return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
-def test_classes_agree_in_the_blocks(library):
+def test_classes_agree_outside_the_ranges(library):
+    """Every character but those of OTHER_CLASSES is cut alike by both, in all the pattern's contexts."""
     import regex
 
     find = regex.compile(token_counts.PATTERN).findall
-    for low, high in token_counts.SAME_CLASSES:
-        for c in range(low, high + 1):
-            s = f"a{chr(c)}a1{chr(c)}1!{chr(c)}! {chr(c)}"
-            assert [s[i:j] for _, (i, j) in library.pre_tokenizer.pre_tokenize_str(s)] == find(s), hex(c)
+    other = {c for a, b in token_counts.OTHER_CLASSES for c in range(a, b + 1)}
+    for low in range(0, 0x110000, 1024):
+        s = "".join(f"a{chr(c)}a1{chr(c)}1!{chr(c)}! {chr(c)}" for c in range(low, low + 1024) if c not in other and not 0xD800 <= c < 0xE000)
+        assert [s[i:j] for _, (i, j) in library.pre_tokenizer.pre_tokenize_str(s)] == find(s), hex(low)
+
+
+SCRIPTS = ["你好，世界。这是一个测试！", "السلام عليكم ورحمة الله، كيف حالك؟", "नमस्ते दुनिया, यह एक परीक्षण है।", "สวัสดีชาวโลก นี่คือการทดสอบ", "שלום עולם זה מבחן", "a\u0301 e\u0301 → ∑ x≤y", "日本語のテキスト　全角 空白", "ქართული ენა ՀԱՅԵՐԵՆ"]
+
+
+def test_texts_of_all_scripts(library):
+    """Whole texts of other scripts go through the shortcut; odd characters and added tokens send their own run alone."""
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    counter = token_counts.TokenCounter(tokenizer, token_counts.prove_whole_tokens(tokenizer))
+    assert not any(map(counter.unsafe, SCRIPTS))
+    odd = ["\u088f", "\U00033000", "<|endoftext|>", "\U000107bb1"]
+    mixed = [sep.join([a, o, b, o + a, b + o]) for a in SCRIPTS for b in SCRIPTS[:3] for o in odd for sep in (" ", "  ", "\n", " \t", "", "\u00a0")]
+    for t in [*SCRIPTS, *mixed, "  ".join(odd), " <|endoftext|> ", "<|endoftext|> <|endoftext|>"]:
+        assert counter.count(t) == len(library.encode(t, add_special_tokens=False).ids), t
+    seen = []
+    counter.counts.tokenizer = type("T", (), {"encode": lambda self, t, add_special_tokens: seen.append(t) or library.encode(t, add_special_tokens=False)})()
+    counter.count("many words before \u088f and after <|endoftext|> it all")
+    assert seen == [" \u088f", " <|endoftext|>"]
 
 
 def test_proven_tokens_encode_alone(library):
