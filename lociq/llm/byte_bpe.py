@@ -1,16 +1,25 @@
 """Byte-level BPE by DuckDB recursive queries, one database per task.
 
-A task cuts its texts into words, keeps the distinct ones, and gives DuckDB one
-row per (word, position, token), each knowing the token and position that
-follow.  The recursive query joins these rows with the merge table, finds each
-word's leftmost pair of least rank, contracts it, and goes on until no word has
-a pair left.  An ordered aggregation of the ids' bytes decodes them again.
-
+Encoding.  A task cuts its texts into words, keeps the distinct ones, and gives
+DuckDB one row per (word, position, token), each knowing the token and position
+that follow.  The recursive query joins these rows with the merge table and
+contracts each word's leftmost pair of least rank, until no word has a pair left.
 The merge table has a row for each way to cut a vocabulary entry into two
-entries; its rank is the entry's id, as in rank files.  A word of more than
-``LONG`` bytes would need as many rounds as it has merges, so those rare words
-are contracted by a heap in the order of (rank, position), which gives the same
-ids in n log n steps.
+entries; its rank is the entry's id, as in rank files.
+
+In a word longer than a cell of ``2 * longest entry`` bytes, every pair that is the
+least by (rank, position) of its own cell and of both cells beside it is
+contracted in the same round.  That gives the same ids: before such a pair is the
+word's least, only pairs outside those cells are contracted, what grows from one
+of these stays within the length of an entry and so never reaches it.  Words of
+any length take this one way; a word within a cell has one least pair.
+
+Decoding.  The ids of each document are rows (document, position, id); joined with
+the vocabulary, an ordered aggregation by document gives its bytes.
+
+A recursive query keeps the rows of all its rounds, so it runs as many rounds as
+``ROWS`` allows for its words; words that are not done go into the next query.
+DuckDB stays within its memory limit and writes nothing to local disk.
 
 Null and empty texts have no ids and decode to nothing.  Every text is handled
 whole and by itself: repeated rows, null or equal ids and extra columns need no
@@ -21,9 +30,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-import itertools
-import os
 
 import numpy as np
 import pyarrow as pa
@@ -32,32 +38,52 @@ from pyspark.sql import types as T
 
 from lociq.llm.common import id_text, renamed
 
-#: Bytes up to which a word is contracted by the recursive query.
-LONG = 400
-#: Distinct words given to one recursive query.
-AT_ONCE = 40_000
+#: Distinct words, and their bytes, given to one recursive query, about.
+WORDS, BYTES = 40_000, 400_000
+#: Rows that a recursive query may keep, about.
+ROWS = 6_000_000
+#: Ids that are decoded at once, about.
+IDS = 500_000
 #: Words that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 1_000_000
 
-ENCODE = """
+#: Numbers of words that span more than three cells; in others the whole word is one cell.
+WIDE = 1 << 30
+
+ENCODE = f"""
 WITH RECURSIVE r(round, word, pos, tok, nxt, npos) AS (
   SELECT 0, word, pos, tok, nxt, npos FROM start
-  UNION ALL
-  SELECT round + 1, r.word, pos,
-         CASE WHEN pos = head THEN made ELSE tok END,
-         CASE WHEN pos = head THEN then_tok WHEN r.npos = head THEN made ELSE nxt END,
-         CASE WHEN pos = head THEN then_pos ELSE r.npos END
-  FROM r JOIN (
-    SELECT b.word, (best % 65536)::INT AS head, (best // 65536)::INT AS made, gone, x.nxt AS then_tok, x.npos AS then_pos
-    FROM (SELECT word, min(rank::BIGINT * 65536 + pos) AS best, arg_min(npos, rank::BIGINT * 65536 + pos) AS gone
-          FROM r JOIN merges m ON m.l = tok AND m.r = nxt GROUP BY word) b
-    JOIN r x ON x.word = b.word AND x.pos = b.gone) c ON c.word = r.word
-  WHERE pos <> gone
-), last AS (SELECT r.word, pos, tok FROM r JOIN (SELECT word, max(round) AS round FROM r GROUP BY word) USING (word, round))
-SELECT word, tok FROM last ORDER BY word, pos
+  UNION ALL (
+    WITH least AS (
+      SELECT word, CASE WHEN word < {WIDE} THEN 0 ELSE pos // {{cell}} END AS cell, min(rank::BIGINT * 2147483648 + pos) AS best, arg_min(npos, rank::BIGINT * 2147483648 + pos) AS gone
+      FROM r JOIN merges m ON m.l = tok AND m.r = nxt WHERE round < {{rounds}} GROUP BY ALL
+    ), picked AS (
+      SELECT * FROM least WHERE word < {WIDE}
+      UNION ALL SELECT word, cell, best, gone FROM (
+        SELECT *, min(best) OVER (PARTITION BY word ORDER BY cell RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM least WHERE word >= {WIDE}
+      ) WHERE best = around
+    ), c AS (
+      SELECT p.word, p.cell, (best % 2147483648)::INT AS head, (best // 2147483648)::INT AS made, gone, x.nxt AS then_tok, x.npos AS then_pos
+      FROM picked p JOIN r x ON x.word = p.word AND x.pos = p.gone
+    ), reach AS (
+      SELECT * FROM c UNION ALL SELECT * EXCLUDE (d) REPLACE (cell + d AS cell) FROM c CROSS JOIN (VALUES (-1), (1)) t(d) WHERE word >= {WIDE}
+    )
+    SELECT round + 1, r.word, r.pos,
+           CASE WHEN r.pos = head THEN made ELSE tok END,
+           CASE WHEN r.pos = head THEN then_tok WHEN r.npos = head THEN made ELSE nxt END,
+           CASE WHEN r.pos = head THEN then_pos ELSE r.npos END
+    FROM r JOIN reach c ON c.word = r.word AND c.cell = CASE WHEN r.word < {WIDE} THEN 0 ELSE r.pos // {{cell}} END
+    WHERE r.pos <> gone
+    UNION ALL SELECT round + 1, word, pos, tok, nxt, npos
+    FROM r SEMI JOIN picked USING (word) ANTI JOIN reach c ON c.word = r.word AND c.cell = r.pos // {{cell}}
+    WHERE word >= {WIDE}
+  )
+)
+SELECT word, round, pos, tok, nxt, npos FROM r JOIN (SELECT word, max(round) AS round FROM r GROUP BY word) USING (word, round) ORDER BY word, pos
 """
 DECODE = """
-SELECT string_agg(v.bytes, '' ORDER BY word, pos) AS bytes FROM coded JOIN vocabulary v USING (id)
+SELECT doc, string_agg(bytes, '') AS bytes
+FROM (SELECT doc, bytes FROM coded JOIN vocabulary USING (id) ORDER BY doc, pos) GROUP BY doc
 """
 
 
@@ -72,17 +98,14 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
 
 
 class Codec:
-    """Encodes and decodes distinct words in a DuckDB database of its own, in memory."""
+    """Encodes distinct words and decodes documents in a DuckDB database of its own, in memory."""
 
     def __init__(self, ranks: dict[bytes, int]):
         import duckdb
 
-        self.ranks = ranks
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.length = np.zeros(max(ranks.values()) + 1, dtype=np.int64)  # bytes of each id
-        for b, r in ranks.items():
-            self.length[r] = len(b)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "preserve_insertion_order": "false", "temp_directory": os.environ.get("TMPDIR", "/tmp") + f"/duckdb-{os.getpid()}"})
+        self.cell = 2 * max(map(len, ranks))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         for name, table in (("merges", merge_table(ranks)), ("vocabulary", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": [b.decode("latin-1") for b in ranks]}))):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -95,65 +118,64 @@ class Codec:
         finally:
             self.db.unregister(name)
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word (bytes, not empty)."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        short = []
-        for k, w in enumerate(words):
-            if len(w) > LONG:
-                out[k] = self.contract(w)
-            else:
-                short.append(k)
-        for i in range(0, len(short), AT_ONCE):
-            part = short[i : i + AT_ONCE]
-            sizes = np.array([len(words[k]) for k in part])
-            tok = self.single[np.frombuffer(b"".join(words[k] for k in part), dtype=np.uint8)]
-            ends = np.cumsum(sizes)
-            pos = (np.arange(len(tok)) - np.repeat(ends - sizes, sizes)).astype(np.int32)
-            nxt = np.append(tok[1:], -1).astype(np.int32)
-            nxt[ends - 1] = -1
-            start = pa.table({"word": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": pos, "tok": tok, "nxt": nxt, "npos": pos + np.int32(1)})
-            rows = self._query(ENCODE, "start", start)
-            flat = rows.column("tok").to_numpy()
-            offsets = np.searchsorted(rows.column("word").to_numpy(), np.arange(len(part) + 1)).tolist()
-            for j, k in enumerate(part):
-                out[k] = flat[offsets[j] : offsets[j + 1]]
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word (bytes, not empty), as 32-bit integers one after the other."""
+        out: list[bytes] = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        at = 0
+        while at < len(order):
+            end, size = at, 0
+            while end < len(order) and (end == at or (end - at < WORDS and size + len(words[order[end]]) <= BYTES)):
+                size += len(words[order[end]])
+                end += 1
+            part, at = order[at:end], end
+            for k, ids in zip(part, self._contracted([words[k] for k in part]), strict=True):
+                out[k] = ids
+        return out
+
+    def _contracted(self, words: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(w) for w in words])
+        tok = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        ends = np.cumsum(sizes)
+        pos = (np.arange(len(tok)) - np.repeat(ends - sizes, sizes)).astype(np.int32)
+        nxt = np.append(tok[1:], -1).astype(np.int32)
+        nxt[ends - 1] = -1
+        names = np.arange(len(words), dtype=np.int32) + np.where(sizes > 3 * self.cell, WIDE, 0).astype(np.int32)
+        rows = pa.table({"word": np.repeat(names, sizes), "pos": pos, "tok": tok, "nxt": nxt, "npos": pos + np.int32(1)})
+        out: list[bytes] = [b""] * len(words)
+        while rows.num_rows:
+            rounds = max(2, ROWS // rows.num_rows)
+            rows = self._query(ENCODE.format(cell=self.cell, rounds=rounds), "start", rows)
+            word, flat = rows.column("word").to_numpy(), rows.column("tok").to_numpy()
+            begins = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            done = rows.column("round").to_numpy()[begins] < rounds
+            for k, lo, hi, whole in zip((word[begins] % WIDE).tolist(), begins.tolist(), [*begins[1:].tolist(), len(word)], done.tolist(), strict=True):
+                if whole:
+                    out[k] = flat[lo:hi].tobytes()
+            rows = rows.filter(pa.array(~np.repeat(done, np.diff(np.append(begins, len(word)))))).drop_columns("round")
         return out
 
-    def contract(self, word: bytes) -> np.ndarray:
-        """Ids of one long word: least rank first, leftmost first, by a heap."""
-        tok = [word[k : k + 1] for k in range(len(word))]
-        left, right = list(range(-1, len(tok) - 1)), [*range(1, len(tok)), -1]
-        heap = [(r, k, k + 1, tok[k] + tok[k + 1]) for k in range(len(tok) - 1) if (r := self.ranks.get(tok[k] + tok[k + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, a, b, joined = heapq.heappop(heap)
-            if right[a] != b or tok[a] is None or tok[b] is None or tok[a] + tok[b] != joined:
-                continue
-            tok[a], tok[b], right[a] = joined, None, right[b]
-            if right[a] >= 0:
-                left[right[a]] = a
-            for i, j in ((left[a], a), (a, right[a])):
-                if i >= 0 and j >= 0 and (r := self.ranks.get(tok[i] + tok[j])) is not None:
-                    heapq.heappush(heap, (r, i, j, tok[i] + tok[j]))
-        return np.array([self.ranks[t] for t in tok if t is not None], dtype=np.int32)
-
-    def decode_words(self, ids: list[np.ndarray]) -> list[bytes]:
-        """Bytes of each list of ids (not empty)."""
-        out = []
-        for i in range(0, len(ids), AT_ONCE):
-            part = ids[i : i + AT_ONCE]
-            flat, sizes = np.concatenate(part), np.array([len(x) for x in part])
-            ends = np.cumsum(sizes)
-            coded = pa.table({"word": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": (np.arange(len(flat)) - np.repeat(ends - sizes, sizes)).astype(np.int32), "id": flat})
-            whole = self._query(DECODE, "coded", coded).column("bytes")[0].as_py().encode("latin-1")
-            cuts = np.append(0, np.cumsum(self.length[flat]))[np.append(0, ends)].tolist()
-            out += [whole[a:b] for a, b in itertools.pairwise(cuts)]
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """Bytes of each document's ids."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(ids):
+            end, size = at, 0
+            while end < len(ids) and (end == at or size + len(ids[end]) <= IDS):
+                size += len(ids[end])
+                end += 1
+            part, at = ids[at:end], end
+            sizes = np.array([len(x) for x in part])
+            flat, ends = np.concatenate(part), np.cumsum(sizes)
+            coded = pa.table({"doc": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": np.arange(len(flat)) - np.repeat(ends - sizes, sizes), "id": flat})
+            found = self._query(DECODE, "coded", coded)
+            texts = dict(zip(found.column("doc").to_pylist(), found.column("bytes").to_pylist(), strict=True))
+            out += [texts.get(k, "").encode("latin-1") for k in range(len(part))]
         return out
 
 
 class Words(dict):
-    """Pre-token -> (ids in decimal, decoded bytes), learnt in blocks."""
+    """Pre-token -> its ids, as 32-bit integers, learnt in blocks."""
 
     def __init__(self, codec: Codec):
         super().__init__()
@@ -164,9 +186,7 @@ class Words(dict):
             self.clear()
         new = list(words.difference(self))
         if new:
-            ids = self.codec.encode_words([w.encode() for w in new])
-            back = self.codec.decode_words(ids)
-            self.update(zip(new, zip((",".join(map(str, x.tolist())) for x in ids), back, strict=True), strict=True))
+            self.update(zip(new, self.codec.encode_words([w.encode() for w in new]), strict=True))
 
 
 _WORKER: dict[str, tuple[object, Words]] = {}
@@ -189,21 +209,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             _WORKER.clear()
             _WORKER[key] = (regex.compile(pattern).findall, Words(Codec(ranks.value)))
         find, known = _WORKER[key]
+        decimal = list(map(str, range(max(ranks.value.values()) + 1)))
         for whole in batches:
             for batch in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
                 texts = [find(t) for t in batch.column(1).to_pylist()]
-                distinct = set().union(*texts) if texts else set()
-                known.learn(distinct)
-                n, ids, ids_sha, decoded_sha = [], [], [], []
-                for words in texts:
-                    decimals, decoded = zip(*map(known.__getitem__, words), strict=True) if words else ((), ())
-                    decimal = ",".join(decimals)
-                    n.append(decimal.count(",") + 1 if decimal else 0)
-                    ids_sha.append(hashlib.sha256(decimal.encode()).hexdigest())
-                    decoded_sha.append(hashlib.sha256(b"".join(decoded)).hexdigest())
-                    if with_ids:
-                        ids.append(np.array(decimal.split(","), dtype=np.int32) if decimal else np.array([], dtype=np.int32))
-                columns = [batch.column(0), pa.array(n, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+                known.learn(set().union(*texts))
+                ids = [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32) for words in texts]
+                ids_sha = [hashlib.sha256(",".join(map(decimal.__getitem__, x.tolist())).encode()).hexdigest() for x in ids]
+                decoded_sha = [hashlib.sha256(b).hexdigest() for b in known.codec.decode(ids)]
+                columns = [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema_names)
 
     fields = [renamed(docs.schema[id_col], id_col), T.StructField("n_tokens", T.LongType())]

@@ -81,13 +81,26 @@ def test_byte_bpe_round_trip(spark):
     assert byte_bpe.encode_documents(empty(spark), path, P.PATTERN).count() == 0
 
 
-def test_long_words_are_contracted_alike():
+def test_words_of_any_length(monkeypatch):
+    """Words within a cell and far beyond, in one block and alone, in few rounds a query and many, as the library encodes them."""
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    codec = byte_bpe.Codec(byte_bpe.read_ranks(path))
-    words = [("thing" * k).encode()[:300] for k in (1, 3, 20, 60)] + [b"ababab" * 40, "éêè".encode() * 30]
-    for w, ids in zip(words, codec.encode_words(words), strict=True):
-        assert codec.contract(w).tolist() == ids.tolist()
-    assert codec.decode_words(codec.encode_words(words)) == words
+    ranks = byte_bpe.read_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    codec = byte_bpe.Codec(ranks)
+    rng = np.random.default_rng(1)
+    letters = [bytes(rng.choice(list(b"etaoinshrdlu"), size=n).astype(np.uint8)) for n in (1, 2, 65, 66, 67, 131, 132, 133, 197, 198, 199, 264, 1000, 5000)]
+    words = [*letters, *(b"thing" * k for k in range(1, 90)), b"ab" * 1500, b"a" * 2000, "éêèñ中文字".encode() * 150, b"0123456789abcdef" * 100, b"ing the" * 200]
+    want = [library.encode_ordinary(w.decode()) for w in words]
+    for rows_ in (6_000_000, 3000):
+        monkeypatch.setattr(byte_bpe, "ROWS", rows_)
+        got = [np.frombuffer(x, dtype=np.int32).tolist() for x in codec.encode_words(words)]
+        assert got == want
+    ids = [np.array(x, dtype=np.int32) for x in [*want, []]]
+    assert codec.decode(ids) == [*words, b""]
+    monkeypatch.setattr(byte_bpe, "IDS", 100)
+    assert codec.decode(ids) == [*words, b""]
+    rng.shuffle(ids[12])
+    assert codec.decode(ids[12:13])[0] == library.decode_bytes(ids[12].tolist()) != words[12]  # the ids are what is decoded
 
 
 def _packed(spark, docs, capacity):
