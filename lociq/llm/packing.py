@@ -8,18 +8,20 @@ one or two pieces, by exchanging one piece for a shorter one, two pieces for one
 or one for two, whatever raises the sum of squared fill, until no exchange does or
 the bins are as few as the total allows.  A bin that ends empty is gone.
 
-Pieces are dealt to groups by a hash, so no task holds more than about
-``GROUP`` of them.  The underfull bins that the groups leave are opened and
-packed again in fewer groups, level by level, until one group is left or a
-level no longer shrinks.
-
-Null and empty texts are the end id alone.  Repeated rows and rows with equal
-or null ids are packed one by one.  Extra columns are ignored.  An empty table
-gives no pieces.
+Pieces are dealt to groups by a hash of their row number, so no task holds more
+than about ``GROUP`` of them, whatever their ids and texts.  The underfull bins that
+the groups leave are opened and dealt anew, level by level, until one group is
+left or a level empties no bin.
+
+Null and empty texts are the end id alone.  A very long text is many pieces, which
+no task needs to hold together.  Repeated rows, equal texts in any number and rows
+with equal or null ids are packed one by one.  Ties of length go by id, piece and
+row number.  Extra columns are ignored.  An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from array import array
@@ -33,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociq.llm.common import id_text, materialize, renamed
+from lociq.llm.common import id_text, materialize, renamed, tidy
 from lociq.llm.token_counts import byte_letters
 
 #: Pieces that one task packs at once, about.
-GROUP = 16_384
+GROUP = 65_536
 #: Tokenised words that a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 1_200_000
 
@@ -264,7 +266,7 @@ def _pack_groups(pieces: DataFrame, groups: int, level: int, capacity: int) -> D
     """One level: pieces with sequence_id, offset and the fill of their sequence."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = pdf["length"].tolist()
         order, seq, offset, fill = [], [], [], []
         for b, members in enumerate(pack_lengths(lengths, capacity)):
@@ -278,37 +280,32 @@ def _pack_groups(pieces: DataFrame, groups: int, level: int, capacity: int) -> D
         return pdf.iloc[order].drop(columns="group").assign(sequence_id=seq, offset=offset, fill=fill)
 
     schema = T.StructType([*pieces.schema.fields, *(T.StructField(n, T.LongType()) for n in ("sequence_id", "offset", "fill"))])
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(groups)).cast("int"))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)).cast("int"))
     return dealt.groupBy("group").applyInPandas(run, schema)
 
 
+@tidy
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     doc_id is named after ``id_col``.  Every sequence holds its pieces without
     gaps from offset 0 and has at most ``capacity`` tokens.
     """
-    pieces = materialize(cut(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+    pieces = materialize(cut(docs, tokenizer_path, capacity, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     whole = pieces.filter(F.col("length") == capacity)
-    full = whole.select("*", ((F.lit(127).cast("long") * F.lit(1 << 56)) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest, done, level, groups = pieces.filter(F.col("length") < capacity), [full], 0, None
-    while True:
-        count = rest.count()
-        wanted = max(1, -(-count // GROUP))
-        if count == 0 or (groups is not None and wanted > groups * 3 // 4 and groups > 1):
-            if count:
-                done.append(packed.filter(under).drop("fill"))
-            break
-        groups = wanted
+    full = whole.select("*", ((F.lit(127).cast("long") * F.lit(1 << 56)) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest, done, level, opened = pieces.filter(F.col("length") < capacity), [full], 0, math.inf
+    while count := rest.count():
+        groups = -(-count // GROUP)
         packed = materialize(_pack_groups(rest, groups, level, capacity), f"packed{level}")
         under = F.col("fill") < capacity
-        if groups == 1:
+        bins = packed.filter("offset = 0").agg(F.count("*").alias("all"), F.count_if(under).alias("underfull")).first()
+        if groups == 1 or bins["all"] >= opened:
             done.append(packed.drop("fill"))
             break
         done.append(packed.filter(~under).drop("fill"))
-        rest = packed.filter(under).drop("sequence_id", "offset", "fill")
-        level += 1
+        rest, opened, level = packed.filter(under).drop("sequence_id", "offset", "fill"), bins["underfull"], level + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.withColumnRenamed("doc_id", id_col)
+    return out.drop("row").withColumnRenamed("doc_id", id_col)

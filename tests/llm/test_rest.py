@@ -85,6 +85,59 @@ def test_sharding(spark, shards):
     assert sharding.shard(empty(spark), shards).count() == 0
 
 
+@pytest.mark.parametrize("shards", [3, 16])
+def test_sharding_tree_against_brute_force(spark, monkeypatch, shards):
+    """The distributed medians give the tree that sorting each node's points gives."""
+    monkeypatch.setattr(sharding, "EXACT", 0.0)
+    rng = random.Random(2)
+    docs = [(k, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(rng.randrange(0, 40))), rng.choice(["en", "de", "fr"]), f"s{rng.randrange(9)}") for k in range(300)]
+    docs += [(k, docs[k % 7][1], "en", "s0") for k in range(300, 340)] + [(9, "hot text", "en", "s1")] * 200
+    frame_ = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(5)
+    seen = {}
+    points_of = sharding._points
+
+    def keep(*args):
+        seen["points"], hot = points_of(*args)
+        return seen["points"], hot
+
+    monkeypatch.setattr(sharding, "_points", keep)
+    out = sharding.shard.__wrapped__(frame_, shards).toPandas()
+    points = [r.asDict() for r in seen["points"].collect()]
+
+    def split(node, k):
+        if k == 1 or not node:
+            return [node] + [[]] * (k - 1)
+        widths = [max(p[f"dim_{d}"] for p in node) - min(p[f"dim_{d}"] for p in node) for d in range(3)]
+        d = widths.index(max(widths))
+        node = sorted(node, key=lambda p: (p[f"dim_{d}"], p["tie_0"], p["tie_1"]))
+        total = sum(p["bytes"] for p in node)
+        wanted, upto, at = total * (k // 2) / k, 0, 0
+        while upto + node[at]["bytes"] < wanted:
+            upto += node[at]["bytes"]
+            at += 1
+        at += upto + node[at]["bytes"] - wanted < wanted - upto
+        return split(node[:at], k // 2) + split(node[at:], k - k // 2)
+
+    want = [sum(p["bytes"] for p in leaf) for leaf in split(points, shards)]
+    got = out.groupby("shard")["size"].sum().reindex(range(shards), fill_value=0).tolist()
+    assert got == want
+    groups = out.groupby("text_crc32").agg(b=("size", "sum"), shards=("shard", "nunique"))
+    assert (groups[groups.b <= sharding.WHOLE * out["size"].sum() / shards].shards == 1).all() and (shards == 3 or (groups.shards > 1).any())
+
+
+@pytest.mark.parametrize("hot", [4, 4096])
+def test_sharding_of_repeated_rows(spark, monkeypatch, hot):
+    """Rows equal in all columns are spread, null texts too; a group that fits stays whole."""
+    monkeypatch.setattr(sharding, "HOT", hot)
+    rows_ = [(7, "the same row again", "en", "s")] * 600 + [(None, None, None, None)] * 500 + [(k, f"row {k}", "en", "s") for k in range(400)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string").repartition(6)
+    out = sharding.shard(docs, 16).toPandas()
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(out) == 1500 and len(sizes) == 16 and sizes.max() / sizes.mean() < 1.05 and sizes.min() / sizes.mean() > 0.95
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
 def test_sharding_of_one_hot_text(spark):
     docs = spark.createDataFrame([(k, "same words " * 5 if k % 3 else f"text {k}", "en", "s") for k in range(900)], "doc_id long, text string, lang string, source string")
     sizes = sharding.shard(docs, 8).groupBy("shard").sum("size").toPandas()["sum(size)"]

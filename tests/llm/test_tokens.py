@@ -142,6 +142,29 @@ def test_local_search_beats_best_fit():
         assert len(bins) <= len(packing.best_fit(n, 100))
 
 
+def test_local_search_lowers_the_count():
+    for low, high, count in ((900, 1900, 1500), (900, 1900, 1200), (700, 1500, 900)):
+        n = np.random.default_rng(count).integers(low, high, count).tolist()
+        found = packing.pack_lengths(n, 4096)
+        assert -(-sum(n) // 4096) <= len(found) < len(packing.best_fit(n, 4096))
+
+
+def test_levels_and_hot_rows(spark, monkeypatch):
+    """Groups of a few pieces: levels join what they leave, repeated rows spread over groups, the count stays near the bound."""
+    monkeypatch.setattr(packing, "GROUP", 40)
+    rng = np.random.default_rng(3)
+    texts_ = ["all the same words of one text " * 3] * 200 + [None] * 150 + [" ".join(rng.choice(["word", "and", "other"], size=n)) for n in rng.integers(1, 60, 200)]
+    docs = spark.createDataFrame([(None if k % 3 == 0 else 5, t) for k, t in enumerate(texts_)], "doc_id long, text string").repartition(4)
+    out = _packed(spark, docs, 64)
+    assert len(out) >= 550 and out.groupby("sequence_id").length.sum().max() <= 64
+    for _, g in out.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert (g.offset == g.length.cumsum() - g.length).all()
+    at_once = len(packing.pack_lengths(out.length.tolist(), 64))
+    assert out.sequence_id.nunique() <= 1.03 * at_once + 1, at_once
+    huge = spark.createDataFrame([(k, "word " * 40) for k in range(300)], "doc_id long, text string")  # no two fit together: a level empties no bin
+    assert _packed(spark, huge, 64).sequence_id.nunique() == 300
+
+
 @pytest.mark.parametrize(("low", "high", "count", "capacity"), [(900, 1900, 1500, 4096), (30, 60, 400, 100), (1, 9, 300, 23)])
 def test_local_search_compares_all_underfull_bins(low, high, count, capacity):
     """When it stops above the bound, no move or exchange (1:1, 2:1, 1:2) between any two bins raises squared fill."""
