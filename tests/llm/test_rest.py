@@ -44,6 +44,49 @@ def test_expectation_maximisation_separates_classes():
     assert quality.fit([]) == {}
 
 
+def plain_posterior(votes, weight=0.1, rounds=3000):
+    """The same model with a loop over texts: a class share, a table of vote rates for each rule and class."""
+    prior = {1: {-1: 0.02, 0: 0.18, 1: 0.8}, 0: {-1: 0.3, 0: 0.3, 1: 0.4}}
+    good = [1 / (1 + math.exp(-(2 + 0.2 * v.count(1) - 2.5 * v.count(-1)))) for v in votes]
+    m = weight * len(votes)
+    for _ in range(rounds):
+        share = (sum(good) + 0.8 * m) / (len(votes) + m)
+        rate = {}
+        for c in (0, 1):
+            held = [g if c else 1 - g for g in good]
+            rate[c] = [{x: (sum(h for h, v in zip(held, votes, strict=True) if v[r] == x) + m * prior[c][x]) / (sum(held) + m) for x in (-1, 0, 1)} for r in range(len(votes[0]))]
+        new = []
+        for v in votes:
+            a, b = share, 1 - share
+            for r, x in enumerate(v):
+                a, b = a * rate[1][r][x], b * rate[0][r][x]
+            new.append(a / (a + b))
+        done = max(abs(x - y) for x, y in zip(new, good, strict=True)) < 1e-10
+        good = new
+        if done:
+            break
+    return good
+
+
+def test_posterior_against_a_plain_version(spark):
+    """The operator's p_good on a table, against votes and a model written out here."""
+    docs = frame(spark)
+    got = quality.quality_rules(docs).select("text", "p_good").collect()
+    votes = []
+    for r in got:
+        t = r["text"] or ""
+        w = WORD.findall(t)
+        n, chars, symbols, dup, repeated = brute_figures(t)
+        lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+        letters, upper, marks = sum(c.isalpha() for c in t), sum(c.isupper() for c in t), t.count("!") + t.count("?")
+        whole = sum(x.strip(quality.AROUND).isalpha() for x in w)
+        vote = lambda no, yes: -1 if no else 1 if yes else 0
+        votes.append((vote(n < 12 or n > 200_000, 20 <= n <= 100_000), vote(chars < 2 * n or chars > 14 * n, 3 * n <= chars <= 11 * n), vote(10 * symbols > n, 50 * symbols <= n), vote(10 * dup > 3 * lines, 20 * dup <= lines), vote(5 * repeated > n, 20 * repeated <= n), vote(2 * upper > letters, 5 * upper <= letters), vote(4 * marks > n, 20 * marks <= n), vote(10 * letters < 8 * chars, 10 * letters >= 9 * chars), vote(10 * whole < 7 * n, 20 * whole >= 17 * n)))
+    assert len(votes[0]) == len(quality.RULES)
+    for r, p in zip(got, plain_posterior(votes), strict=True):
+        assert abs(r["p_good"] - p) < 1e-6, (r["text"] or "")[:80]
+
+
 def test_quality_rules(spark):
     docs = frame(spark)
     out = quality.quality_rules(docs)
