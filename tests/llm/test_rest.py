@@ -202,58 +202,99 @@ CONVS["text"] = [{"system": "You are terse.", "user": "Why?", "assistant": "Beca
 
 
 def test_chat_recovers_roles(spark):
+    """Labels train the parser and are not looked at; a table in which few rows have one is parsed as well."""
     d = CONVS.copy()
-    d.loc[d.index % 11 == 0, "role"] = None
-    out = chat.format_chat(spark.createDataFrame(d)).toPandas().merge(CONVS, on=["conv_id", "turn"])
-    assert (out.role_x == out.role_y).all() and (out.role_blind == out.role_y).mean() > 0.95
-    assert out.rendered[0].startswith(f"<|{out.role_x[0]}|>\n") and out.rendered[0].endswith("<|end|>\n")
-
-
-def test_chat_markers_and_edges(spark):
-    rows_ = [(1, 0, None, "User: hello"), (1, 1, None, "### Assistant:\nfine"), (1, 1, None, "### Assistant:\nfine"), (None, None, None, None), (2, None, "user", ""), (1, 2, "HUMAN", "x" * 5000)]
+    d.loc[d.index % 11 != 0, "role"] = None
+    out = chat.format_chat(spark.createDataFrame(d)).toPandas().merge(CONVS, on=["conv_id", "turn"], suffixes=("", "_true"))
+    assert len(out) == len(CONVS) and (out.part == 0).all()
+    assert (out.role == out.role_true).mean() > 0.95
+    assert out.given_role.notna().sum() == (CONVS.index % 11 == 0).sum()
+    assert out.rendered[0] == f"<|{out.role[0]}|>\n{out.text[0]}<|end|>\n"
+    wrong = CONVS.assign(role="user")  # labels that are wrong change what is learnt, trusted ones are followed
+    assert (chat.format_chat(spark.createDataFrame(wrong), trust=0.999999).toPandas().role == "user").mean() > 0.9
+
+
+TRANSCRIPTS = [
+    ("User: hello\nAssistant: hi there\nUser: bye", [("user", "hello"), ("assistant", "hi there"), ("user", "bye")]),
+    ("### Human:\nhow?\n\n### Assistant:\nlike so\n- one\n- two\n\n### Human: thanks", [("user", "how?"), ("assistant", "like so\n- one\n- two"), ("user", "thanks")]),
+    ("<|system|>\nBe terse.\n<|user|>\nWhy?\n<|assistant|>\nBecause.\nSo.", [("system", "Be terse."), ("user", "Why?"), ("assistant", "Because.\nSo.")]),
+    ("**Q:** 1 + 1?\n**A:** 2", [("user", "1 + 1?"), ("assistant", "2")]),
+    ("[Customer]: it broke\nreally\n[Agent]: ok", [("user", "it broke\nreally"), ("assistant", "ok")]),
+    ("no marker at all\nand a second line", [(None, "no marker at all\nand a second line")]),
+]
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_chat_parses_transcripts(spark, labelled):
+    """Several turns in one text, alone and in a table of labelled rows without markers."""
+    rows_ = [(1000 + k, 0, None, t) for k, (t, _) in enumerate(TRANSCRIPTS)] + (CONVS.values.tolist() if labelled else [])
+    out = chat.format_chat(spark.createDataFrame(rows_, "conv_id long, turn int, role string, text string").repartition(4)).toPandas()
+    for k, (_, want) in enumerate(TRANSCRIPTS):
+        got = out[out.conv_id == 1000 + k].sort_values("part")
+        assert [(None if want[0][0] is None else r.role, r.rendered) for r in got.itertuples()] == [(w, f"<|{w or r}|>\n{t}<|end|>\n") for (w, t), r in zip(want, got.role, strict=True)]
+    if labelled:
+        assert (out[out.conv_id < 1000].part == 0).all()
+
+
+def test_chat_edges(spark):
+    rows_ = [(1, 0, None, "User: hello"), (1, 1, None, "### Assistant:\nfine"), (1, 1, None, "### Assistant:\nfine"), (None, None, None, None), (2, None, "user", ""), (1, 2, "HUMAN", "x" * 5000), (3, 0, "assistant", "line\n" * 40_000)]
     out = chat.format_chat(spark.createDataFrame([(*r, 1) for r in rows_], "conv_id long, turn int, role string, text string, rendered int")).toPandas()
-    assert len(out) == 6
+    assert len(out) == 7
     first = out[(out.conv_id == 1) & (out.turn == 0)].iloc[0]
     assert (first.role, first.rendered) == ("user", "<|user|>\nhello<|end|>\n")
     assert set(out[(out.conv_id == 1) & (out.turn == 1)].role) == {"assistant"}
+    assert out[out.turn == 2].given_role.tolist() == ["user"] and len(out[out.conv_id == 3].rendered.iloc[0]) > 200_000
+    clash = chat.format_chat(spark.createDataFrame([(1, 0, "user", "hi")], "part long, role int, given string, text string"), "part", "role", "given")
+    assert clash.columns == ["part", "role", "part_1", "role_1", "given_role", "rendered"] and clash.count() == 1
     none = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
     assert chat.format_chat(none).count() == 0
 
 
-def test_viterbi_is_exact_across_segments(spark, monkeypatch):
-    """Segments of three turns give the path that one pass over the whole gives."""
-    d = CONVS[CONVS.conv_id < 9].copy()
-    d["conv_id"] = d.conv_id // 3  # conversations of 21 turns
-    d["turn"] = d.groupby("conv_id").cumcount()
-    d.loc[d.index % 4 != 0, "role"] = None
-    docs = spark.createDataFrame(d).repartition(2)
-    whole = chat.format_chat(docs).toPandas().sort_values(["conv_id", "turn"])
-    monkeypatch.setattr(chat, "SEGMENT", 3)
-    # counts of steps inside segments differ, so the model is held fixed
-    fitted = {}
-    fit = chat.fit
-
-    def same(rows_):
-        fitted.setdefault("m", fit(rows_))
-        return fitted["m"]
-
-    monkeypatch.setattr(chat, "fit", same)
-    cut = chat.format_chat(docs).toPandas().sort_values(["conv_id", "turn"])
-    monkeypatch.setattr(chat, "SEGMENT", 4096)
-    whole = chat.format_chat(docs).toPandas().sort_values(["conv_id", "turn"])
-    assert cut.role.tolist() == whole.role.tolist() and cut.role_blind.tolist() == whole.role_blind.tolist()
-
-
-def test_viterbi_against_all_paths():
+def test_chat_is_alike_for_any_partitions_and_segments(spark, monkeypatch):
+    """The fit and the roles: many tasks and short segments, pieces and levels change nothing.  One conversation holds half of all rows."""
+    d = pd.concat([CONVS, pd.DataFrame([(c, t, r, x) for _, c, t, r, x in CONVS.itertuples()], columns=CONVS.columns).assign(conv_id=99, turn=range(len(CONVS)))])
+    d["text"] = [x if k % 5 else "short\nlines?\n- one" for k, x in enumerate(d.text)]
+    d.loc[np.arange(len(d)) % 4 != 0, "role"] = None
+    seen, ways = [], []
+    model = chat.Model
+
+    def kept(*args):
+        seen.append(args)
+        return model(*args)
+
+    monkeypatch.setattr(chat, "Model", kept)
+    for parts, shuffled, segment, piece, fan in ((1, 1, 16_384, 64, 1024), (5, 7, 3, 2, 2), (3, 13, 40, 5, 3)):
+        for name, value in (("SEGMENT", segment), ("PIECE", piece), ("FAN", fan)):
+            monkeypatch.setattr(chat, name, value)
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        out = chat.format_chat(spark.createDataFrame(d, "conv_id long, turn long, role string, text string").repartition(parts)).toPandas()
+        ways.append(out.sort_values(["conv_id", "turn", "part"])[["conv_id", "turn", "part", "role", "rendered"]].values.tolist())
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ways[0] == ways[1] == ways[2]
+    for a, b in itertools.pairwise(seen):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+    assert seen[0][0].sum() == d[d.turn == 0].role.notna().sum()  # starts are those of conversations alone
+
+
+def test_viterbi_against_all_paths(monkeypatch):
+    """Kernel: pieces of two lines give the best of all paths of states, through starts of rows and conversations."""
+    monkeypatch.setattr(chat, "PIECE", 2)
     rng = np.random.default_rng(3)
-    m = chat.Model(rng.random(3) * 9, rng.random((3, 3)) * 9, {k: rng.random((3, s)) for k, s in chat.FEATURES.items()})
-    score = np.log(rng.random((6, 3)))
-    value = lambda p: m.start[p[0]] + sum(m.step[a, b] for a, b in itertools.pairwise(p)) + sum(score[k, r] for k, r in enumerate(p))
-    best = max(itertools.product(range(3), repeat=6), key=value)
-    assert tuple(m.path(score, -1, -1)) == best
-    end = m.product(score[2:])
-    fwd = max(itertools.product(range(3), repeat=2), key=lambda p: m.start[p[0]] + m.step[p[0], p[1]] + score[0, p[0]] + score[1, p[1]] + end[p[1]].max())
-    assert fwd == best[:2]
+    for _ in range(6):
+        m = chat.Model(rng.random(3) * 9, rng.random((3, 3)) * 9, rng.random((chat.STATES, chat.CODES)))
+        codes, kinds = rng.integers(0, chat.CODES, 6), np.array([2, 0, rng.integers(0, 3), 0, 1, 0])
+        score = m.scores(kinds, codes, rng.integers(0, 2**63, 6).astype(np.uint64))
+        value = lambda p: sum(int(m.steps[k, b, s]) for k, b, s in zip(kinds, (0, *p), p, strict=False)) + sum(int(score[t, s]) for t, s in enumerate(p))  # noqa: E731, B023
+        best = max(itertools.product(range(chat.STATES), repeat=6), key=value)
+        assert tuple(chat.path(kinds, score, m.steps, 0, -1)) == best
+        # cut anywhere: the chained products name the states of the best path
+        for cut in range(1, 6):
+            parts = [chat._total(chat.products(kinds[a:b], score[a:b], m.steps)) for a, b in ((0, cut), (cut, 6))]
+            (_, e1), (b2, e2) = chat.chained(np.stack(parts), 0, -1)
+            assert (e1, b2, e2) == (best[cut - 1], best[cut - 1], best[5])
+            assert tuple(chat.path(kinds[:cut], score[:cut], m.steps, 0, e1)) + tuple(chat.path(kinds[cut:], score[cut:], m.steps, b2, e2)) == best
 
 
 def test_licenses(spark):
