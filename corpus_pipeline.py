@@ -3,35 +3,45 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs.  All but the last return the columns of docs.
+
+Rows are judged as the operators say: a null or empty text fails the quality rules
+and goes, with rows of few words; of texts equal but for the case of A-Z the row of
+the largest id stays, null ids being least, and of rows equal in that too one; of a
+near-duplicate group the row of the least id stays.  Very long texts are read whole.
+Extra columns pass through all stages but the last, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
+import threading
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm.common import documents, materialize, release, told_of_tables
+from lociq.llm.common import documents, drop_path, materialize, release, told_of_tables
 from lociq.llm.exact_dedup import exact_dedup
 from lociq.llm.minhash import near_dedup
 from lociq.llm.packing import pack
 from lociq.llm.quality import quality_rules
 
 
-#: Scratch tables of the stages so far.  A stage's input is its predecessor's written result, so what the
-#: predecessors needed on the way is removed when a stage begins, unless its docs still read it.
-_MADE: list = []
+#: Scratch tables that a thread's last stage on an input left, because its result read them.  When the next stage
+#: begins, that result has been written and read again, so they go, unless the stage's docs still read them.
+_LEFT: dict[tuple[str, int, str], list] = {}
 
 
 def _stage(work):
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _MADE, docs)
-        with told_of_tables(_MADE):
+        left = _LEFT.setdefault((spark.sparkContext.applicationId, threading.get_ident(), sf_dir), [])
+        release(spark, left, docs)
+        with told_of_tables(left):
             return work(spark, docs, sf_dir)
 
+    run_stage.work = work
     return run_stage
 
 
@@ -69,7 +79,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages.  Each written result goes once its successor is written, with all scratch tables of its stage."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        made: list = []
+        with told_of_tables(made):
+            docs = materialize(stage.work(spark, docs, sf_dir), name)
+        written = made.pop()
+        release(spark, made, docs)
+        if before is not None:
+            drop_path(spark, before[0])
+        before = written
     return docs
