@@ -48,3 +48,18 @@ def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert 0 < out.select("doc_id").distinct().count() < 200
+
+
+def test_runs_do_not_disturb_each_other(spark, sf):
+    """Two runs, and stages of one input called between them: results stay readable, nothing but them is left."""
+    import glob
+
+    from lociq.session import scratch_root
+
+    before = set(glob.glob(f"{scratch_root(spark)}/lociq/*"))
+    first = corpus_pipeline.run(spark, sf)
+    corpus_pipeline.quality(spark, empty(spark).drop("kept"), sf)
+    second = corpus_pipeline.run(spark, sf)
+    assert first.count() == second.count() > 0
+    left = {p.rsplit("/", 1)[-1].split("-")[0] for p in set(glob.glob(f"{scratch_root(spark)}/lociq/*")) - before}
+    assert left <= {"packing", "figures"}
