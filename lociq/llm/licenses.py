@@ -6,8 +6,8 @@ Its headers are compared with the notices by which files state a licence: each
 line by itself, and each block of neighbouring lines that consist mostly of template
 terms, so a notice that is wrapped over lines is read as one.  A term's weight is
 occurrences * idf, idf = ln((1 + files) / (1 + files with the term)) + 1, over all
-files.  A norm counts the other words too, each as a term that no template has, at
-weight 1.  A notice is found only where its naming terms are (``NOTICES``), so another
+files.  A norm counts the other words too, each occurrence as a term that no template
+has, at weight 1.  A notice is found only where its naming terms are (``NOTICES``), so another
 licence's sentence of the same form is not taken for it.  The best (cosine, name) at or
 above ``WHOLE`` of the text, or else at or above ``THRESHOLD`` of its headers, is the
 file's licence.
@@ -116,9 +116,14 @@ STOP = ("a", "and", "are", "by", "in", "is", "of", "the", "this", "to")
 _CUT = r"[^a-z0-9.]+"
 
 
-def _terms(text: Column) -> Column:
-    """Words of a line but for STOP: lower case, letters, digits and inner dots."""
-    return F.filter(F.transform(F.split(F.lower(text), _CUT), lambda w: F.btrim(w, F.lit("."))), lambda w: (w != "") & ~w.isin(*STOP))
+def _words(text: Column) -> Column:
+    """Words: lower case, letters, digits and inner dots."""
+    return F.filter(F.transform(F.split(F.lower(text), _CUT), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
+
+
+def _other(words: Column, known: Column) -> Column:
+    """Number of words that are neither terms nor STOP."""
+    return F.size(F.filter(words, lambda w: ~w.isin(*STOP))) - F.size(known)
 
 
 def counted(text: str) -> dict[str, int]:
@@ -154,17 +159,6 @@ def marks(templates: list[dict[str, int]], idf: dict[str, float], least: float)
     return out
 
 
-def _square_sum(words: Column) -> Column:
-    """Sum of squared occurrences of the words of a sorted array."""
-    none = F.struct(F.lit("").alias("w"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"))
-
-    def add(a: Column, w: Column) -> Column:
-        n = F.when(a["w"] == w, a["n"] + 1).otherwise(F.lit(1).cast("long"))
-        return F.struct(w.alias("w"), n.alias("n"), (a["s"] + 2 * n - 1).alias("s"))
-
-    return F.aggregate(words, none, add, lambda a: a["s"])
-
-
 def _scored(counts: DataFrame, templates: list[tuple[str, dict[str, int], set[str]]], idf: dict[str, float]) -> DataFrame:
     """Of counts (row, unit, word, n): (row, unit, name, dot, own2) for templates whose naming terms all occur.
 
@@ -195,17 +189,17 @@ def _reaching(scored: DataFrame, other2: str, least: float) -> DataFrame:
     return scored.withColumn("score", score).filter(F.col("score") >= least)
 
 
-def _headers(read: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Words (row, unit, word, n) and sizes (row, unit, words) of all headers: marked lines, and blocks with a marked line."""
-    lines = read.filter(F.size("lines") > 0).select("row", F.inline("lines"))
+def _headers(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Terms (row, unit, word, n) and sizes (row, unit, words, other) of all headers: marked lines, and blocks with a marked line."""
+    lines = lines.select("row", F.inline("lines"))
     island = F.col("line") - F.row_number().over(Window.partitionBy("row").orderBy("line"))  # one text
     dense = lines.filter("dense").withColumn("unit", F.concat(F.lit("block "), island.cast("string")))
     whole = dense.groupBy("row", "unit").agg(F.count("*").alias("n"), F.bool_or("marked").alias("hit")).filter("n > 1 and hit").select("row", "unit")
     alone = lines.filter("marked").withColumn("unit", F.concat(F.lit("line "), F.col("line").cast("string")))
-    named = ["row", "unit", "terms", "words"]
+    named = ["row", "unit", "known", "words", "other"]
     units = materialize(alone.select(*named).unionByName(dense.join(whole, ["row", "unit"]).select(*named)), "headers")
-    counts = units.select("row", "unit", F.explode("terms").alias("word")).groupBy("row", "unit", "word").agg(F.count("*").alias("n"))
-    return materialize(counts, "header_words"), units.groupBy("row", "unit").agg(F.sum("words").alias("words"))
+    counts = units.select("row", "unit", F.explode("known").alias("word")).groupBy("row", "unit", "word").agg(F.count("*").alias("n"))
+    return counts, units.groupBy("row", "unit").agg(F.sum("words").alias("words"), F.sum("other").alias("other"))
 
 
 @tidy
@@ -216,12 +210,10 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     vocabulary = sorted({w for _, t, _ in notices for w in t})
     every = sorted({w for _, t, _ in (*notices, *texts) for w in t})
     rows = files.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{path_col}`").alias("path"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    # written, so that each text is cut and its terms counted once
-    cut = rows.withColumn("terms", _terms(F.col("text")))
-    cut = cut.withColumn("known", F.sort_array(F.filter("terms", lambda w: w.isin(*every))))
-    other2 = _square_sum(F.sort_array(F.filter("terms", lambda w: ~w.isin(*every))))
+    # written, so that each text is cut once
+    cut = rows.withColumn("words", _words(F.col("text"))).withColumn("known", F.filter("words", lambda w: w.isin(*every)))
     some = F.exists("known", lambda w: w.isin(*vocabulary))
-    read = materialize(cut.select("row", "doc_id", "path", F.when(some, F.col("text")).alias("text"), "known", other2.alias("other2")), "texts")
+    read = materialize(cut.select("row", "doc_id", "path", F.when(some, F.col("text")).alias("text"), "known", F.size("words").alias("n_words"), _other(F.col("words"), F.col("known")).alias("other")), "texts")
     n_files = read.count()
     df = {r["term"]: r["n"] for r in read.select(F.explode(F.array_distinct("known")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # template terms only
     idf = {w: math.log((1 + n_files) / (1 + df.get(w, 0))) + 1 for w in every}
@@ -230,28 +222,28 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     naming = {min(need, key=lambda w: (-idf[w], w)) for _, _, need in notices if need}
     wanted = sorted(naming | marks([t for _, t, need in notices if not need], idf, THRESHOLD))
 
-    def as_line(line: Column, k: Column) -> Column:
-        terms = _terms(line)
-        return F.struct(k.alias("line"), terms.alias("terms"), F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")).alias("words"), F.exists(terms, lambda w: w.isin(*wanted)).alias("marked"), ((F.size(terms) > 0) & (2 * F.size(F.filter(terms, lambda w: w.isin(*vocabulary))) >= F.size(terms))).alias("dense"))
+    def with_terms(x: Column) -> Column:
+        return F.struct(x["line"].alias("line"), x["words"].alias("words"), F.filter(x["words"], lambda w: w.isin(*vocabulary)).alias("known"))
+
+    def judged_line(x: Column) -> Column:
+        other = _other(x["words"], x["known"])
+        dense = (F.size(x["known"]) > 0) & (F.size(x["known"]) >= other)
+        return F.struct(x["line"].alias("line"), x["known"].alias("known"), F.size(x["words"]).alias("words"), other.alias("other"), F.exists(x["known"], lambda w: w.isin(*wanted)).alias("marked"), dense.alias("dense"))
 
     hit = read.filter(F.col("text").isNotNull() & F.exists("known", lambda w: w.isin(*wanted)))
-    lines = hit.select("row", F.regexp_count("text", F.lit(r"\S+")).alias("n_words"), F.filter(F.transform(F.split("text", "\n"), as_line), lambda x: x["marked"] | x["dense"]).alias("lines"))
-    lines = materialize(lines, "lines")
-    counts, sizes = _headers(lines)
-    other = counts.filter(~F.col("word").isin(*vocabulary)).groupBy("row", "unit").agg(F.sum(F.col("n") * F.col("n")).alias("rest2"))
-    scored = _scored(counts, notices, idf).join(other, ["row", "unit"], "left").fillna(0, ["rest2"])
-    best = _reaching(scored, "rest2", THRESHOLD).join(sizes, ["row", "unit"]).join(lines.select("row", "n_words"), "row")
+    lines = F.transform(F.split("text", "\n"), lambda x, k: F.struct(k.alias("line"), _words(x).alias("words")))
+    lines = F.filter(F.transform(F.transform(lines, with_terms), judged_line), lambda x: x["marked"] | x["dense"])
+    counts, sizes = _headers(materialize(hit.select("row", lines.alias("lines")).filter(F.exists("lines", lambda x: x["marked"])), "lines"))
+    scored = _scored(counts, notices, idf).join(sizes, ["row", "unit"])
+    best = _reaching(scored, "other", THRESHOLD).join(read.select("row", "n_words"), "row")
     own = best.groupBy("row").agg(F.max(F.struct("score", "name")).alias("best"), F.max(2 * F.col("words") > F.col("n_words")).alias("alone"))
 
-    # whole texts
+    # whole texts; terms of notices alone are other words here
+    only = [w for w in every if not any(w in t for t in full.values())]
     held = read.filter(F.exists("known", lambda w: w.isin(*sorted(marks(list(full.values()), idf, WHOLE)))))
     counts = held.select("row", F.lit("").alias("unit"), F.explode("known").alias("word")).groupBy("row", "unit", "word").agg(F.count("*").alias("n"))
-    # terms of notices alone are other words here
-    only = [w for w in every if not any(w in t for t in full.values())]
-    extra = counts.filter(F.col("word").isin(*only)).groupBy("row").agg(F.sum(F.col("n") * F.col("n")).alias("extra2")) if only else None
-    scored = _scored(counts, texts, idf).join(read.select("row", "other2"), "row")
-    scored = scored.join(extra, "row", "left").withColumn("other2", F.col("other2") + F.coalesce("extra2", F.lit(0))) if only else scored
-    whole = _reaching(scored, "other2", WHOLE).groupBy("row").agg(F.max(F.struct("score", "name")).alias("whole"))
+    others = held.select("row", (F.col("other") + F.size(F.filter("known", lambda w: w.isin(*only)))).alias("other"))
+    whole = _reaching(_scored(counts, texts, idf).join(others, "row"), "other", WHOLE).groupBy("row").agg(F.max(F.struct("score", "name")).alias("whole"))
 
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
     given = F.coalesce("whole", "best")

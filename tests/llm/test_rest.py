@@ -351,7 +351,7 @@ def brute_header(texts_, text):
         at = end + 1
     best = (0.0, None)
     for c in units:
-        norm = math.sqrt(sum((n * idf.get(w, 1)) ** 2 for w, n in c.items()))
+        norm = math.sqrt(sum((n * idf[w]) ** 2 if w in idf else n for w, n in c.items()))
         for name, t, need in notices:
             if norm and need <= set(c):
                 value = sum(c[w] * n * idf[w] ** 2 for w, n in t.items()) / math.sqrt(sum((n * idf[w]) ** 2 for w, n in t.items())) / norm
@@ -471,7 +471,7 @@ def test_license_files_as_a_whole(spark):
     idf = {w: math.log((1 + len(files)) / (1 + df[w])) + 1 for w in vocab}
     for path, text in files:
         c = cut_terms(text)
-        norm = math.sqrt(sum((n * idf.get(w, 1)) ** 2 for w, n in c.items())) or 1
+        norm = math.sqrt(sum((n * idf[w]) ** 2 if w in idf else n for w, n in c.items())) or 1
         score, name = max((sum(c[w] * n * idf[w] ** 2 for w, n in t.items()) / math.sqrt(sum((n * idf[w]) ** 2 for w, n in t.items())) / norm, k) for k, t in terms.items())
         if score >= licenses.WHOLE:
             assert got[path]["own_license"] == name and abs(got[path]["score"] - score) < 2e-6, path
