@@ -10,7 +10,8 @@ import argparse
 from pyspark.sql import functions as F
 
 from lociq.functions.binning import empirical_p
-from lociq.operators import enrichment, genotypes, haplotype, intervals, polarize, scans, spectrum
+from lociq.operators import enrichment, genotypes, haplotype, polarize, ranking, scans, spectrum
+from lociq.operators.intervals import numbered
 from lociq.session import session
 from lociq.sources import readers, writers
 
@@ -41,9 +42,7 @@ def site_windows(counts, sites: int, step: int):
     Windows are whole; a chromosome of fewer sites is one window.  ``win`` is the
     number of a window's first site, from 0.
     """
-    from pyspark.sql import Window
-
-    o = counts.select("chrom", "pos", "site", (F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "site")) - 1).alias("o"))
+    o = numbered(counts.select("chrom", "pos", "site"), ["chrom"], ["pos", "site"], "o")
     whole = o.groupBy("chrom").agg(F.count("*").alias("total")).withColumn("width", F.least(F.col("total"), F.lit(sites)))
     first = F.greatest(F.lit(0), F.ceil((F.col("o") - F.col("width") + 1) / F.lit(step)))
     last = F.floor(F.least(F.col("o"), F.col("total") - F.col("width")) / F.lit(step))
@@ -123,7 +122,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "rank":
         genes = readers.bed(spark, a.bed).select(F.col("chrom"), F.col("gene_id").alias("gene"), F.floor((F.col("start") + F.col("end")) / F.lit(2)).alias("mid"))
         w = readers.table(spark, a.predictions).select(F.col("chr").alias("chrom"), F.floor((F.col("start") + F.col("end")) / F.lit(2)).alias("wpos"), F.col("prob_sweep").alias("prob"))
-        writers.rank_file(rank_genes(genes, w, a.k, a.reach), a.out)
+        writers.rank_file(ranking.rank_genes(genes, w, a.k, a.reach), a.out)
     elif a.command == "enrichment":
         g = readers.ranks(spark, a.ranks, ["pop"]).select(F.col("gene_id").alias("gene"), "rank")
         t = readers.gene_set(spark, a.genes).filter("member").select(F.col("gene_id").alias("gene"))
@@ -141,18 +140,5 @@ def main(argv: list[str] | None = None) -> None:
         writers.separated(readers.priors(spark, a.n), a.out, ",")
 
 
-def rank_genes(genes, windows, k: int, reach: int):
-    """Genes by the best window at the least distance; ties by the sum over the k nearest windows."""
-    from pyspark.sql import Window
-
-    spans = genes.select("chrom", "gene", "mid", (F.col("mid") - reach).alias("lo"), (F.col("mid") + reach).alias("hi"))
-    near = intervals.range_join(windows, spans, "wpos", "lo", "hi", reach, ["chrom"]).withColumn("d", F.abs(F.col("wpos") - F.col("mid")))
-    top = near.withColumn("r", F.row_number().over(Window.partitionBy("gene").orderBy("d", "wpos"))).withColumn("dmin", F.min("d").over(Window.partitionBy("gene"))).filter(F.col("r") <= k)
-    per = top.groupBy("gene").agg(F.max(F.when(F.col("d") == F.col("dmin"), F.col("prob"))).alias("best"), F.sum("prob").alias("total"), F.min("d").alias("distance"))
-    from lociq.plans.interval_queries import ranked
-
-    return ranked(genes.select("gene").join(per, "gene", "left"))
-
-
 if __name__ == "__main__":
     main()

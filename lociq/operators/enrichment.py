@@ -59,8 +59,8 @@ def shuffle_genome(genes: DataFrame, replicates: int, segment: int, seed: int =
     g = order.join(F.broadcast(base.select("chrom", "base")), "chrom").select("gene", "rank", (F.col("i") + F.col("base")).alias("i"))
     g = g.withColumn("seg", F.floor(F.col("i") / segment)).withColumn("at", F.col("i") % segment)
     r = g.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    key = F.xxhash64(F.lit(seed), "replicate", "seg")
-    r = r.withColumn("key", key).withColumn("at", F.when(F.pmod(key, F.lit(2)) == 1, F.lit(segment - 1) - F.col("at")).otherwise(F.col("at")))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("seg").cast("string")))
+    r = r.withColumn("key", key).withColumn("at", F.when(F.substring("key", 1, 1) < "8", F.lit(segment - 1) - F.col("at")).otherwise(F.col("at")))
     moved = r.withColumn("j", F.row_number().over(Window.partitionBy("replicate").orderBy("key", "seg", "at")) - 1).select("replicate", "j", "rank")
     places = g.select("gene", F.col("i").alias("j"))
     return moved.join(places, "j").select("replicate", "gene", "rank")

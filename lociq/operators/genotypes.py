@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Alleles in one word of packed bits.
+WORD = 62
+
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every haplotype has an allele at every site: thresholded embedding values."""
@@ -40,3 +43,24 @@ def packed(sa: DataFrame) -> DataFrame:
 def sfs(counts: DataFrame, n: int | None = None) -> DataFrame:
     """Number of sites by derived count."""
     return counts.groupBy("chrom", "n", "k").agg(F.count("*").alias("sites"))
+
+
+def in_order(by: str) -> Column:
+    """Aggregate: the alleles of a group in the order of the column ``by``."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(by, "allele"))), lambda x: x["allele"])
+
+
+def bits(alleles: Column) -> Column:
+    """An array of 0 and 1 as an array of words, ``WORD`` alleles each."""
+    starts = F.sequence(F.lit(1), F.size(alleles), F.lit(WORD))
+    return F.transform(starts, lambda k: F.aggregate(F.slice(alleles, k, F.lit(WORD)), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1) + x))
+
+
+def ones_in_both(a: Column, b: Column) -> Column:
+    """Number of places where both packed arrays have a 1."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def differences(a: Column, b: Column) -> Column:
+    """Number of places where two packed arrays differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)

@@ -1,8 +1,8 @@
 """Haplotype and linkage statistics as joins and aggregates over the long table.
 
 Rows: chrom, pos, site, hap, allele, with n and k of the site.  ``by`` names the
-window.  Pair statistics self-join on the haplotype or the site; their cost is
-that of the pairs asked for, and partial sums combine before the shuffle.
+window.  Pair statistics pack the alleles of each site (or haplotype) as bits once;
+a pair is then one row, and what it shares is the number of bits of a bitwise and.
 """
 
 from __future__ import annotations
@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociq.operators.genotypes import bits, differences, in_order, ones_in_both
+from lociq.operators.intervals import numbered
+
 
 def haplotype_counts(sa: DataFrame, by: list[str]) -> DataFrame:
     """Distinct haplotypes of a window with their counts: exact strings, no hashing."""
-    strings = sa.groupBy(*by, "hap").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("site", "allele"))), lambda x: x["allele"]), "").alias("h"))
+    strings = sa.groupBy(*by, "hap").agg(F.array_join(in_order("site"), "").alias("h"))
     return strings.groupBy(*by, "h").agg(F.count("*").alias("c"))
 
 
@@ -59,13 +62,9 @@ def haf_top(sa: DataFrame, by: list[str], cutoff: float = 0.1) -> DataFrame:
 
 def pairwise_moments(sa: DataFrame, by: list[str], width: float = 1.0) -> DataFrame:
     """Variance (ddof 1), skewness and excess kurtosis of the haplotypes' pairwise differences / width."""
-    x = sa.select(*by, "site", F.col("hap").alias("i"), F.col("allele").alias("a"))
-    y = sa.select(*by, "site", F.col("hap").alias("j"), F.col("allele").alias("b"))
-    # s_i + s_j - 2 <i, j>: only shared derived alleles are joined
-    ones = x.groupBy(*by, "i").agg(F.sum("a").alias("si"))
-    shared = x.filter("a = 1").join(y.filter("b = 1"), [*by, "site"]).filter("i < j").groupBy(*by, "i", "j").agg(F.count("*").alias("s"))
-    pairs = ones.join(ones.withColumnsRenamed({"i": "j", "si": "sj"}), by).filter("i < j").join(shared, [*by, "i", "j"], "left")
-    d = pairs.withColumn("d", (F.col("si") + F.col("sj") - 2 * F.coalesce("s", F.lit(0))).cast("double"))
+    h = sa.groupBy(*by, "hap").agg(bits(in_order("site")).alias("x"))
+    pairs = h.join(h.withColumnsRenamed({"hap": "other", "x": "y"}), by).filter("hap < other")
+    d = pairs.select(*by, differences(F.col("x"), F.col("y")).cast("double").alias("d"))
     v = F.var_samp("d")
     flat = F.coalesce(v, F.lit(0.0)) < 1e-12
     return d.groupBy(*by).agg(
@@ -77,18 +76,14 @@ def pairwise_moments(sa: DataFrame, by: list[str], width: float = 1.0) -> DataFr
 
 def site_pairs(sa: DataFrame, by: list[str]) -> DataFrame:
     """Per pair of sites of a window: r^2 from counts of shared derived alleles."""
-    ones = sa.filter("allele = 1")
-    x = ones.select(*by, "hap", F.col("site").alias("i"))
-    y = ones.select(*by, "hap", F.col("site").alias("j"))
-    both = x.join(y, [*by, "hap"]).filter("i < j").groupBy(*by, "i", "j").agg(F.count("*").alias("n11"))
-    s = sa.groupBy(*by, "site").agg(F.max("n").alias("n"), F.max("k").alias("k"))
-    order = Window.partitionBy(*by).orderBy("site")
-    s = s.withColumn("o", F.row_number().over(order))
-    grid = s.select(*by, F.col("site").alias("i"), F.col("k").alias("ki"), "n", F.col("o").alias("oi")).join(s.select(*by, F.col("site").alias("j"), F.col("k").alias("kj"), F.col("o").alias("oj")), by).filter("oi < oj")
+    s = sa.groupBy(*by, "site").agg(F.max("n").alias("n"), F.max("k").alias("k"), bits(in_order("hap")).alias("x"))
+    s = s.withColumn("o", F.row_number().over(Window.partitionBy(*by).orderBy("site")))  # a window's sites
+    other = s.select(*by, F.col("site").alias("j"), F.col("k").alias("kj"), F.col("o").alias("oj"), F.col("x").alias("y"))
+    pairs = s.withColumnsRenamed({"site": "i", "k": "ki", "o": "oi"}).join(other, by).filter("oi < oj")
     p = lambda c: F.col(c) / F.col("n")
-    d = F.coalesce("n11", F.lit(0)) / F.col("n") - p("ki") * p("kj")
+    d = ones_in_both(F.col("x"), F.col("y")) / F.col("n") - p("ki") * p("kj")
     r2 = F.coalesce(F.try_divide(d * d, p("ki") * (1 - p("ki")) * p("kj") * (1 - p("kj"))), F.lit(0.0))
-    return grid.join(both, [*by, "i", "j"], "left").select(*by, "i", "j", "oi", "oj", r2.alias("r2"))
+    return pairs.select(*by, "i", "j", "oi", "oj", r2.alias("r2"))
 
 
 def ld(sa: DataFrame, by: list[str]) -> DataFrame:
@@ -108,36 +103,55 @@ def ld(sa: DataFrame, by: list[str]) -> DataFrame:
 
 
 def focal_pairs(sa: DataFrame, reach: int, low: float = 0.25, high: float = 0.95) -> DataFrame:
-    """Focal sites (low <= daf <= high) with neighbours within reach: f_d, f_a and the neighbour's daf.
+    """Focal sites (low <= daf <= high) with each neighbour within reach, as counts.
 
-    Both sides are bucketed by position, so only nearby sites meet.
+    n_d and n_a: carriers and others at the focal site; n11 and n01: derived alleles
+    of the neighbour among them; k of n: all its derived alleles.  Both sides are
+    bucketed by position, so only nearby sites meet.
     """
     width = max(1, reach)
-    ones = sa.filter("allele = 1").select("chrom", "hap", "pos", "k", "n", "daf")
-    focal = ones.filter(F.col("daf").between(low, high)).select("chrom", "hap", F.col("pos").alias("fpos"), F.col("k").alias("fk")).withColumn("b", F.explode(F.sequence(F.floor((F.col("fpos") - reach) / width), F.floor((F.col("fpos") + reach) / width))))
-    near = ones.withColumn("b", F.floor(F.col("pos") / width))
-    shared = focal.join(near, ["chrom", "hap", "b"]).filter((F.abs(F.col("pos") - F.col("fpos")) <= reach) & (F.col("pos") != F.col("fpos"))).groupBy("chrom", "fpos", "pos").agg(F.count("*").alias("n11"))
-    s = sa.select("chrom", "pos", "k", "n", "daf").distinct()
-    f = s.filter(F.col("daf").between(low, high)).select("chrom", F.col("pos").alias("fpos"), F.col("k").alias("fk"), "n").withColumn("b", F.explode(F.sequence(F.floor((F.col("fpos") - reach) / width), F.floor((F.col("fpos") + reach) / width))))
-    pairs = f.join(s.drop("n").withColumn("b", F.floor(F.col("pos") / width)), ["chrom", "b"]).filter((F.abs(F.col("pos") - F.col("fpos")) <= reach) & (F.col("pos") != F.col("fpos")))
-    p = pairs.join(shared, ["chrom", "fpos", "pos"], "left").withColumn("n11", F.coalesce("n11", F.lit(0)))
-    return p.select("chrom", "fpos", "pos", F.col("fk").alias("n_d"), (F.col("n") - F.col("fk")).alias("n_a"), (F.col("n11") / F.col("fk")).alias("f_d"), ((F.col("k") - F.col("n11")) / (F.col("n") - F.col("fk"))).alias("f_a"), F.col("daf").alias("f_tot"))
-
-
-#: Focal statistics over (f_d, f_a, f_tot, n_d, n_a), in SQL that both engines read; ancestral over derived.
-FOCAL = {
-    "dind": "sum(f_a * (1 - f_a) * n_a / (n_a - 1 + 0.001)) / (sum(f_d * (1 - f_d) * n_d / (n_d - 1 + 0.001)) + 0.001)",
-    "high_freq": "sum(CASE WHEN f_d > 0.25 THEN f_d * f_d ELSE 0.0 END) / greatest(sum(CASE WHEN f_d > 0.25 THEN 1 ELSE 0 END), 1)",
-    "low_freq": "sum(CASE WHEN f_d > 0.25 THEN (1 - f_d) * (1 - f_d) ELSE 0.0 END) / greatest(sum(CASE WHEN f_d > 0.25 THEN 1 ELSE 0 END), 1)",
-    "low_freq_documented": "sum(CASE WHEN f_d < 0.25 THEN (1 - f_d) * (1 - f_d) ELSE 0.0 END) / greatest(sum(CASE WHEN f_d < 0.25 THEN 1 ELSE 0 END), 1)",
-    "s_ratio": "CAST(sum(CASE WHEN f_a > 0.0000001 AND f_a < 1 THEN 2 ELSE 1 END) AS DOUBLE) / sum(CASE WHEN f_d > 0.0000001 AND f_d < 1 THEN 2 ELSE 1 END)",
-    "hapdaf_o": "avg(CASE WHEN f_d > f_a AND f_a <= 0.25 AND f_tot >= 0.25 THEN f_d * f_d - f_a * f_a END)",
-    "hapdaf_s": "avg(CASE WHEN f_d > f_a AND f_a <= 0.1 AND f_tot >= 0.1 THEN f_d * f_d - f_a * f_a END)",
-}
+    s = sa.groupBy("chrom", "pos", "k", "n", "daf").agg(bits(in_order("hap")).alias("x"))
+    b = F.explode(F.sequence(F.floor((F.col("fpos") - reach) / width), F.floor((F.col("fpos") + reach) / width)))
+    focal = s.filter(F.col("daf").between(low, high)).select("chrom", F.col("pos").alias("fpos"), F.col("k").alias("n_d"), (F.col("n") - F.col("k")).alias("n_a"), F.col("x").alias("fx")).withColumn("b", b)
+    pairs = focal.join(s.drop("daf").withColumn("b", F.floor(F.col("pos") / width)), ["chrom", "b"]).filter((F.abs(F.col("pos") - F.col("fpos")) <= reach) & (F.col("pos") != F.col("fpos")))
+    pairs = pairs.withColumn("n11", ones_in_both(F.col("fx"), F.col("x")))
+    return pairs.select("chrom", "fpos", "pos", "n_d", "n_a", "n11", (F.col("k") - F.col("n11")).alias("n01"), "k", "n")
 
 
 def focal_statistics(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("chrom", "fpos").agg(F.count("*").alias("neighbours"), *(F.expr(f"round({x}, 6)").alias(c) for c, x in FOCAL.items()))
+    """Statistics of focal sites over their neighbours; ancestral over derived where a ratio is asked for.
+
+    Frequencies of a neighbour among carriers and others have the focal site's
+    denominators, so sums are over whole numbers and divided once: no order of
+    addition tips a digit.
+    """
+    c = {x: F.col(x) for x in ("n_d", "n_a", "n11", "n01", "k", "n")}
+    n_d, n_a = F.max("n_d").cast("double"), F.max("n_a").cast("double")
+
+    def total(value, when=None):
+        return F.coalesce(F.sum(value if when is None else F.when(when, value)), F.lit(0)).cast("double")
+
+    def number(when):
+        return F.count_if(when).cast("double")
+
+    common, rare = 4 * c["n11"] > c["n_d"], 4 * c["n11"] < c["n_d"]
+    lost = (c["n_d"] - c["n11"]) * (c["n_d"] - c["n11"])
+    more = c["n11"] * c["n_a"] > c["n01"] * c["n_d"]
+    young = more & (4 * c["n01"] <= c["n_a"]) & (4 * c["k"] >= c["n"])
+    younger = more & (10 * c["n01"] <= c["n_a"]) & (10 * c["k"] >= c["n"])
+    inner = lambda x, m: F.when((x > 0) & (x < m), 2).otherwise(1)
+    spread = lambda x, m, all_: total(x * (m - x)) / (all_ * all_) * all_ / (all_ - 1 + 0.001)
+    gap = lambda when: F.try_divide(total(c["n11"] * c["n11"], when) / (n_d * n_d) - total(c["n01"] * c["n01"], when) / (n_a * n_a), number(when))
+    values = {
+        "dind": spread(c["n01"], c["n_a"], n_a) / (spread(c["n11"], c["n_d"], n_d) + 0.001),
+        "high_freq": total(c["n11"] * c["n11"], common) / (n_d * n_d) / F.greatest(number(common), F.lit(1.0)),
+        "low_freq": total(lost, common) / (n_d * n_d) / F.greatest(number(common), F.lit(1.0)),
+        "low_freq_documented": total(lost, rare) / (n_d * n_d) / F.greatest(number(rare), F.lit(1.0)),
+        "s_ratio": total(inner(c["n01"], c["n_a"])) / total(inner(c["n11"], c["n_d"])),
+        "hapdaf_o": gap(young),
+        "hapdaf_s": gap(younger),
+    }
+    return pairs.groupBy("chrom", "fpos").agg(F.count("*").alias("neighbours"), *(F.round(v, 6).alias(n) for n, v in values.items()))
 
 
 def raisd(sa: DataFrame, window: int = 50) -> DataFrame:
@@ -148,7 +162,7 @@ def raisd(sa: DataFrame, window: int = 50) -> DataFrame:
     """
     patt = sa.groupBy("chrom", "pos", "site", "n", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hap", "allele"))), lambda x: x["allele"]), "").alias("h"))
     patt = patt.withColumn("h", F.least("h", F.translate("h", "01", "10")))
-    o = patt.withColumn("o", F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "site")) - 1)
+    o = numbered(patt, ["chrom"], ["pos", "site"], "o")
     span = o.groupBy("chrom").agg((F.max("pos") + 1 - F.min("pos")).alias("d_ln"), F.count("*").alias("total"), F.max("n").alias("nn"))
     inside = o.join(span, "chrom").withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("o") - window + 1), F.least(F.col("o"), F.col("total") - window)))).filter(F.col("total") >= window)
     left = (F.col("o") - F.col("w")) < window // 2

@@ -86,13 +86,39 @@ def best_covering(points: DataFrame, spans: DataFrame, pos: str, start: str, end
     return points.join(best.drop("__k"), [*by, pos], "left")
 
 
-def merge(spans: DataFrame, start: str, end: str, by: list[str]) -> DataFrame:
-    """Islands of touching or overlapping spans: by, start, end, members."""
-    order = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = spans.withColumn("__new", F.when(F.col(start) <= F.coalesce(reach, F.lit(-1)), 0).otherwise(1))
-    island = opened.withColumn("__i", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*by, "__i").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("members")).drop("__i")
+def numbered(rows: DataFrame, by: list[str], order: list[str], out: str, width: int = 1_000_000) -> DataFrame:
+    """``rows`` with their number from 0 in the order of ``order`` (a position first) within ``by``.
+
+    Rows are numbered inside buckets of positions; the sizes of earlier buckets are
+    added from a table of buckets, so no group is sorted in one task.
+    """
+    r = rows.withColumn("__b", _bucket(F.col(order[0]), width))
+    sizes = r.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order)) - 1
+    return r.withColumn(out, inside).join(starts, [*by, "__b"]).withColumn(out, (F.col(out) + F.col("__start")).cast("long")).drop("__b", "__start")
+
+
+def merge(spans: DataFrame, start: str, end: str, by: list[str], width: int = 1_000_000) -> DataFrame:
+    """Islands of touching or overlapping spans: by, start, end, members.
+
+    The reach of earlier spans and the number of islands so far are running values
+    inside buckets of starts; what earlier buckets hold is carried over from a table
+    of buckets.
+    """
+    rows = spans.withColumn("__b", _bucket(F.col(start), width))
+    order = Window.partitionBy(*by, "__b").orderBy(start, end)
+    buckets = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*by, "__b").agg(F.max(end).alias("__far"))
+    carried = ends.select(*by, "__b", F.max("__far").over(buckets).alias("__far"))
+    reach = F.greatest(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("__far"))
+    opened = rows.join(carried, [*by, "__b"]).withColumn("__new", F.when(F.col(start) <= reach, 0).otherwise(1))
+    counts = opened.groupBy(*by, "__b").agg(F.sum("__new").alias("__n"))
+    before = counts.select(*by, "__b", F.coalesce(F.sum("__n").over(buckets), F.lit(0)).alias("__before"))
+    island = opened.withColumn("__i", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).join(before, [*by, "__b"])
+    groups = island.withColumn("__i", F.col("__i") + F.col("__before")).groupBy(*by, "__i")
+    return groups.agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("members")).drop("__i")
 
 
 def windows(length: int, width: int, step: int) -> Column:

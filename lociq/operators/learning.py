@@ -16,9 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def hashed(text: Column) -> Column:
+    """A number of 32 bits from a text, the same in any engine."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def split(df: DataFrame, key: str, shares: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
     """``part`` = train, validation or test by a hash of the key: the same rows whatever the partitions."""
-    u = F.pmod(F.crc32(F.col(key).cast("string")), F.lit(10_000)) / 10_000
+    u = hashed(F.col(key).cast("string")) % 10_000 / 10_000
     return df.withColumn("part", F.when(u < shares[0], "train").when(u < shares[0] + shares[1], "validation").otherwise("test"))
 
 

@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociq.operators.intervals import numbered
+
 
 def tiled(packed: DataFrame, size: int, halo: int) -> DataFrame:
     """Sites with every tile whose span +- halo holds them; ``core`` marks the tile's own."""
@@ -114,14 +116,20 @@ def nsl(h: np.ndarray, pos: np.ndarray, min_maf: float = 0.05, two_sided: bool =
     return {"daf": daf, "nsl": _finite(out)}
 
 
-def hscan(h: np.ndarray, pos: np.ndarray, max_gap: int = 200_000, dist_mode: int = 0) -> dict:
+def hscan(h: np.ndarray, pos: np.ndarray, max_gap: int = 200_000, dist_mode: int = 0, focal: int | None = None, step: int = 1, low: int | None = None, high: int | None = None) -> dict:
     """Mean over pairs of the span around each site in which the pair does not differ.
 
     The last equal site to the right of x is that of x + 1 if the pair is equal
     there and the gap is short, else x itself: one backward and one forward pass
-    give every site at once.
+    give every site at once.  Values are given at the site of position ``focal``, or
+    else at each ``step``-th site of those from ``low`` to ``high``; others are missing.
     """
     s, n = h.shape
+    if focal is not None:
+        shown = pos == focal
+    else:
+        inside = np.flatnonzero((pos >= (pos[0] if low is None else low)) & (pos <= (pos[-1] if high is None else high)))
+        shown = np.isin(np.arange(s), inside[::step])
     upper = np.triu_indices(n, 1)
     right = np.empty((s, len(upper[0])), dtype=np.int32)
     left = np.empty_like(right)
@@ -134,7 +142,7 @@ def hscan(h: np.ndarray, pos: np.ndarray, max_gap: int = 200_000, dist_mode: int
     base = pos[right] - pos[left] - 1
     steps = right - left - 1
     span = base if dist_mode == 0 else steps if dist_mode == 1 else base * steps
-    return {"hscan": np.where(right != left, span, 0).sum(axis=1) * 2.0 / (n * (n - 1))}
+    return {"hscan": np.where(shown, np.where(right != left, span, 0).sum(axis=1) * 2.0 / (n * (n - 1)), np.nan)}
 
 
 # ---- SAFE and iSAFE
@@ -193,18 +201,62 @@ def isafe(h: np.ndarray, pos: np.ndarray, window: int = 300, step: int = 150, to
     return {"isafe": out}
 
 
+def isafe_regions(packed: DataFrame, size: int = 2_000_000, least: int = 10, window: int = 300, step: int = 150) -> DataFrame:
+    """iSAFE in regions of ``size`` bases from each chromosome's first site; regions of fewer than ``least`` sites have none.
+
+    A scan takes regions of 1 Mb and at least 300 sites.
+    """
+    chrom = packed.schema["chrom"].dataType.simpleString()
+    first = packed.groupBy("chrom").agg(F.min("pos").alias("__first"))
+    tiles = packed.select("chrom", "pos", "alleles").join(F.broadcast(first), "chrom").withColumn("tile", F.floor((F.col("pos") - F.col("__first")) / F.lit(size)))  # a row a chromosome
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        if len(pdf) < least:
+            return pd.DataFrame({"chrom": [], "pos": [], "daf": [], "isafe": []})
+        h, pos = np.array(pdf["alleles"].tolist(), dtype=np.int8), pdf["pos"].to_numpy()
+        return pd.DataFrame({"chrom": pdf["chrom"].to_numpy(), "pos": pos, "daf": h.mean(axis=1), "isafe": isafe(h, pos, window, step)["isafe"]}).dropna(subset=["isafe"])
+
+    return tiles.groupBy("chrom", "tile").applyInPandas(run, f"chrom {chrom}, pos long, daf double, isafe double")
+
+
+# ---- windows of sites
+
+
+def site_windows(packed: DataFrame, window: int, step: int, kernel, columns: str, block: int = 2000) -> DataFrame:
+    """``kernel(alleles, positions) -> row`` for every window of ``window`` sites from each ``step``-th on.
+
+    Sites are numbered along the chromosome without sorting it in one task; a task
+    holds the sites of the windows that begin in a block of about ``block`` sites.
+    Windows are whole; a chromosome of fewer sites is one window.
+    """
+    chrom = packed.schema["chrom"].dataType.simpleString()
+    block = max(step, block // step * step)
+    o = numbered(packed.select("chrom", "pos", "alleles"), ["chrom"], ["pos"], "o")
+    total = o.groupBy("chrom").agg(F.count("*").alias("total"))
+    first = F.greatest(F.lit(0), F.floor((F.col("o") - window + 1) / F.lit(block)))
+    dealt = o.join(total, "chrom").withColumn("tile", F.explode(F.sequence(first, F.floor(F.col("o") / F.lit(block)))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("o", kind="stable")
+        base, whole = int(pdf["o"].iloc[0]), int(pdf["total"].iloc[0])
+        h, pos = np.array(pdf["alleles"].tolist(), dtype=np.int8), pdf["pos"].to_numpy()
+        at = int(pdf["tile"].iloc[0]) * block
+        starts = [s for s in range(at, at + block, step) if s == 0 or s + window <= whole]
+        rows = [(pdf["chrom"].iloc[0], *kernel(h[s - base : s - base + window], pos[s - base : s - base + window])) for s in starts if s < whole]
+        return pd.DataFrame(rows, columns=["chrom", *(c.split()[0] for c in columns.split(", "))])
+
+    return dealt.groupBy("chrom", "tile").applyInPandas(run, f"chrom {chrom}, {columns}")
+
+
 # ---- LASSI and saltiLASSI
 
 
-def _spectra(h: np.ndarray, pos: np.ndarray, k: int, window: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    spectra, centers = [], []
-    for s in range(0, len(h), step):
-        w = h[s : s + window]
-        _, c = np.unique(w, axis=1, return_counts=True)
-        c = np.sort(c)[::-1][:k].astype(float)
-        spectra.append(np.pad(c / c.sum() * h.shape[1], (0, k - len(c))))
-        centers.append(np.median(pos[s : s + window]))
-    return np.array(spectra), np.array(centers)
+def _spectrum(w: np.ndarray, k: int) -> np.ndarray:
+    """Counts of the k commonest haplotypes of a window, scaled to the sample size, padded with zeros."""
+    _, c = np.unique(w, axis=1, return_counts=True)
+    c = np.sort(c)[::-1][:k].astype(float)
+    return np.pad(c / c.sum() * w.shape[1], (0, k - len(c)))
 
 
 def sweep_spectra(neutral: np.ndarray, mode: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,43 +280,84 @@ def sweep_spectra(neutral: np.ndarray, mode: int = 4) -> tuple[np.ndarray, np.nd
     return np.array(rows).reshape(-1, k), np.array(es), np.array(ms)
 
 
-def lassi(h: np.ndarray, pos: np.ndarray, k: int = 10, window: int = 201, step: int = 10, mode: int = 4, max_extend: float = 1e5, n_a: int = 100) -> pd.DataFrame:
-    """Per window: T and m, and saltiLASSI's Lambda with its m and 1 / A.
+def gains(counts: np.ndarray, neutral: np.ndarray, mode: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log likelihood gains [window, spectrum after a sweep] over the neutral spectrum, and the spectra's m."""
+    alt, _, ms = sweep_spectra(neutral, mode)
+    if not len(alt):
+        return np.zeros((len(counts), 0)), ms
+    return counts @ (np.log(np.maximum(alt, 1e-300)) - np.log(neutral)[None, :]).T, ms
+
+
+def decays(least: float, n_a: int) -> np.ndarray:
+    """Grid of A from the distance of the nearest two windows."""
+    return np.geomspace(-np.log(0.99999) / least, -np.log(0.00001) / least, n_a)
 
-    The likelihoods of all windows under all spectra are one matrix product;
-    Lambda is a second one, with weights exp(-A d) of the windows around.
+
+def lassi_scan(packed: DataFrame, k: int = 10, window: int = 201, step: int = 10, mode: int = 4, max_extend: int = 100_000, n_a: int = 100) -> DataFrame:
+    """Per window: T and m, and saltiLASSI's Lambda with its 1 / A.
+
+    Spectra of windows are made block by block, averaged to the chromosome's neutral
+    spectrum, and scored in tiles of ``max_extend`` bases with the windows on both
+    sides as halo; windows further away do not count in Lambda.  The last windows of a
+    chromosome may be shorter.
     """
-    counts, centers = _spectra(h, pos, k, window, step)
-    neutral = np.maximum(counts.mean(axis=0) / counts.mean(axis=0).sum(), 1e-12)
-    alt, eps, ms = sweep_spectra(neutral, mode)
-    if not len(alt):
-        none = np.full(len(counts), np.nan)
-        return pd.DataFrame({"center": centers, "t": none, "m": none, "lambda": none, "a_inverse": none})
-    gain = counts @ (np.log(np.maximum(alt, 1e-300)) - np.log(neutral)[None, :]).T  # windows x spectra
-    best = gain.argmax(axis=1)
-    d = np.abs(centers[:, None] - centers[None, :])
-    near = d[d > 0]
-    least = near.min() if len(near) else 1.0
-    grid = np.geomspace(-np.log(0.99999) / least, -np.log(0.00001) / least, n_a)
-    top = np.full(len(counts), -np.inf)
-    a_inv = np.zeros(len(counts))
-    for a in grid:
-        value = (np.where(d <= max_extend, np.exp(-a * d), 0.0) @ gain).max(axis=1)
-        better = value > top
-        top[better], a_inv[better] = value[better], 1 / a
-    return pd.DataFrame({"center": centers, "t": 2 * gain[np.arange(len(best)), best], "m": ms[best].astype(float), "lambda": 2 * top, "a_inverse": a_inv})
-
-
-def lassi_scan(packed: DataFrame, k: int = 10, window: int = 201, step: int = 10, mode: int = 4) -> DataFrame:
     chrom = packed.schema["chrom"].dataType.simpleString()
+    blocks = spectra(packed, k, window, step)
+    place = F.posexplode("counts").alias("i", "c")
+    mean = blocks.select("chrom", place).groupBy("chrom", "i").agg(F.avg("c").alias("c")).groupBy("chrom").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("neutral"))  # k numbers
+    gap = _least_gap(blocks, max_extend)
+    tile = F.floor(F.col("center") / F.lit(max_extend))
+    rows = blocks.withColumn("tile", F.explode(F.sequence(tile - 1, tile + 1))).withColumn("core", F.col("tile") == tile)
+    rows = rows.join(mean, "chrom").join(gap, "chrom")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        out = lassi(np.array(pdf["alleles"].tolist(), dtype=np.int8), pdf["pos"].to_numpy(), k, window, step, mode)
-        out.insert(0, "chrom", pdf["chrom"].iloc[0])
-        return out
+        pdf = pdf.sort_values("center", kind="stable")
+        core, centers = pdf["core"].to_numpy(), pdf["center"].to_numpy()
+        neutral = np.array(pdf["neutral"].iloc[0])
+        neutral = np.maximum(neutral / neutral.sum(), 1e-12)
+        gain, ms = gains(np.array(pdf["counts"].tolist()), neutral, mode)
+        out = pd.DataFrame({"chrom": pdf["chrom"][core].to_numpy(), "center": centers[core], "t": np.nan, "m": np.nan, "lambda": np.nan, "a_inverse": np.nan})
+        if not gain.shape[1] or not core.any():
+            return out
+        best = gain[core].argmax(axis=1)
+        d = np.abs(centers[core][:, None] - centers[None, :])
+        top, a_inv = np.full(core.sum(), -np.inf), np.zeros(core.sum())
+        least = pdf["gap"].iloc[0]
+        for a in decays(least if least == least else 1.0, n_a):
+            value = (np.where(d <= max_extend, np.exp(-a * d), 0.0) @ gain).max(axis=1)
+            better = value > top
+            top[better], a_inv[better] = value[better], 1 / a
+        return out.assign(t=2 * gain[core][np.arange(len(best)), best], m=ms[best].astype(float), **{"lambda": 2 * top}, a_inverse=a_inv)
+
+    return rows.groupBy("chrom", "tile").applyInPandas(run, f"chrom {chrom}, center double, t double, m double, lambda double, a_inverse double")
+
+
+def spectra(packed: DataFrame, k: int, window: int, step: int, block: int = 2000) -> DataFrame:
+    """chrom, center (median position), counts of the k commonest haplotypes; the last windows are shorter."""
+    chrom = packed.schema["chrom"].dataType.simpleString()
+    block = max(step, block // step * step)
+    o = numbered(packed.select("chrom", "pos", "alleles"), ["chrom"], ["pos"], "o")
+    first = F.greatest(F.lit(0), F.floor((F.col("o") - window + 1) / F.lit(block)))
+    dealt = o.withColumn("tile", F.explode(F.sequence(first, F.floor(F.col("o") / F.lit(block)))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("o", kind="stable")
+        base, end = int(pdf["o"].iloc[0]), int(pdf["o"].iloc[-1])
+        h, pos = np.array(pdf["alleles"].tolist(), dtype=np.int8), pdf["pos"].to_numpy()
+        at = int(pdf["tile"].iloc[0]) * block
+        parts = [slice(s - base, s - base + window) for s in range(at, min(at + block, end + 1), step)]
+        return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "center": [float(np.median(pos[x])) for x in parts], "counts": [_spectrum(h[x], k).tolist() for x in parts]})
 
-    return packed.select("chrom", "pos", "alleles").groupBy("chrom").applyInPandas(run, f"chrom {chrom}, center double, t double, m double, lambda double, a_inverse double")
+    return dealt.groupBy("chrom", "tile").applyInPandas(run, f"chrom {chrom}, center double, counts array<double>")
+
+
+def _least_gap(windows: DataFrame, width: int) -> DataFrame:
+    """Per chromosome the least distance above 0 between neighbouring centres."""
+    b = windows.select("chrom", "center").distinct().withColumn("b", F.floor(F.col("center") / F.lit(width)))
+    inside = b.withColumn("gap", F.lead("center").over(Window.partitionBy("chrom", "b").orderBy("center")) - F.col("center")).select("chrom", "gap")
+    ends = b.groupBy("chrom", "b").agg(F.min("center").alias("low"), F.max("center").alias("high"))
+    across = ends.withColumn("gap", F.lead("low").over(Window.partitionBy("chrom").orderBy("b")) - F.col("high")).select("chrom", "gap")  # a row a bucket
+    return inside.unionByName(across).groupBy("chrom").agg(F.min("gap").alias("gap"))
 
 
 # ---- H12 by identity
@@ -286,15 +379,71 @@ def h12_identity(h: np.ndarray, pos: np.ndarray, identity: float = 0.8) -> float
 
 
 def h12_scan(packed: DataFrame, window: int = 200, step: int = 10, identity: float = 0.8) -> DataFrame:
+    return site_windows(packed, window, step, lambda h, pos: (int(pos[min(window // 2, len(pos) - 1)]), h12_identity(h, pos, identity)), "center long, h12 double")
+
+
+def tiered_h12(h: np.ndarray, pos: np.ndarray, focal: int = 600_000, width: int = 500_000, least: float = 0.05, identity: float = 0.8, top: int = 10) -> tuple[float, float, float, float]:
+    """H12, H2/H1, H1, H2 around a coordinate, of haplotypes grouped by identity.
+
+    Sites within width / 2 of the focal 100-bp bin, but not in it, with a derived
+    frequency of ``least`` at least, count by their bin's distance, left before right.
+    Distinct haplotypes are taken in tiers of equal count, commonest first (within a
+    tier in the order of their alleles): a tier adds to the tally all taken so far,
+    and the tier that brings it to ``top`` is the last.  Each taken one that has no
+    group opens one and draws in those after it that share with it ``identity`` of the
+    sites at which either is derived.  Frequencies are of the whole sample; groups
+    stay in the order in which they were opened.  Sites beyond 1.2 Mb do not count.
+    """
+    base = focal // 100 * 100
+    bins = pos // 100 * 100
+    step = (bins - base) // 100
+    f = h.mean(axis=1)
+    ok = (pos != focal) & (pos >= base - width // 2) & (pos <= base + width // 2) & (f >= least) & (step != 0)
+    ok &= np.where(step > 0, bins + 100 < 1_200_000, bins > 0) & (np.abs(step) <= width // 200)
+    rows = np.flatnonzero(ok)
+    rows = rows[np.lexsort((rows, np.abs(step[rows]), step[rows] > 0))]
+    n = h.shape[1]
+    if not len(rows):
+        return 0.0, 0.0, 0.0, 0.0
+    kinds, count = np.unique(h[rows].T, axis=0, return_counts=True)  # in the order of their alleles
+    order = np.argsort(-count, kind="stable")
+    taken, tally, at = [], 0, 0
+    while at < len(order):
+        tier = [k for k in order[at:] if count[k] == count[order[at]]]
+        taken += tier
+        tally += len(taken)
+        at += len(tier)
+        if tally >= top:
+            break
+    left, sizes = list(taken), []
+    while left:
+        lead, rest = kinds[left[0]], []
+        size = count[left[0]]
+        for k in left[1:]:
+            either = ((lead == 1) | (kinds[k] == 1)).sum()
+            if either and ((lead == 1) & (kinds[k] == 1)).sum() / either >= identity:
+                size += count[k]
+            else:
+                rest.append(k)
+        sizes.append(size)
+        left = rest
+    p = np.array(sizes) / n
+    h1 = float((p * p).sum())
+    h2 = h1 - float(p[0] ** 2)
+    return float(p[:2].sum() ** 2), h2 / h1 if h1 else 0.0, h1, h2
+
+
+def tiered_h12_scan(packed: DataFrame, focal: int = 600_000, width: int = 500_000, least: float = 0.05, identity: float = 0.8, top: int = 10) -> DataFrame:
+    """``tiered_h12`` of each locus (chrom): only the sites around the focal coordinate reach its task."""
     chrom = packed.schema["chrom"].dataType.simpleString()
+    near = packed.filter(F.abs(F.col("pos") - focal) <= width).select("chrom", "pos", "alleles")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
         h, pos = np.array(pdf["alleles"].tolist(), dtype=np.int8), pdf["pos"].to_numpy()
-        starts = range(0, max(1, len(h) - window + 1), step)
-        return pd.DataFrame([(pdf["chrom"].iloc[0], int(pos[min(s + window // 2, len(h) - 1)]), h12_identity(h[s : s + window], pos[s : s + window], identity)) for s in starts], columns=["chrom", "center", "h12"])
+        return pd.DataFrame([(pdf["chrom"].iloc[0], *tiered_h12(h, pos, focal, width, least, identity, top))], columns=["chrom", "h12", "h2_h1", "h1", "h2"])
 
-    return packed.select("chrom", "pos", "alleles").groupBy("chrom").applyInPandas(run, f"chrom {chrom}, center long, h12 double")
+    return near.groupBy("chrom").applyInPandas(run, f"chrom {chrom}, h12 double, h2_h1 double, h1 double, h2 double")
 
 
 # ---- Beta
@@ -309,36 +458,39 @@ def beta_weights(n: int, core: int, p: float = 2.0) -> tuple[np.ndarray, np.ndar
     return d, d / d.sum() - (1 / i) / (1 / i).sum()
 
 
-def beta_table(n: int, p: float = 2.0) -> list[tuple]:
-    """(n, core, k, weight, alpha, beta): theta_beta's weight of one site of count k, and the variance's factors."""
+def _beta_factors(sizes: DataFrame, p: float) -> DataFrame:
+    """(n, core) -> total similarity and the variance's two factors; the covariances of a size are made once."""
     from lociq.operators.spectrum import _fu_sigma
 
-    i, sig, rows = np.arange(1, n), _fu_sigma(n), []
-    for core in range(1, n):
-        d, omega = beta_weights(n, core, p)
-        v = i * omega
-        alpha, beta = float((i * omega**2).sum()), float(v @ sig @ v)
-        a1 = (1 / i).sum()
-        rows += [(n, core, int(k), float(k * d[k - 1] / d.sum()), float(1 / a1), alpha, beta) for k in i]
-    return rows
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["n"].iloc[0])
+        i, sigma, rows = np.arange(1, n), _fu_sigma(n), []
+        for core in pdf["core"]:
+            d, omega = beta_weights(n, int(core), p)
+            v = i * omega
+            rows.append((n, int(core), float(d.sum()), float((i * omega**2).sum()), float(v @ sigma @ v)))
+        return pd.DataFrame(rows, columns=["n", "core", "similarity", "alpha", "factor"])
+
+    return sizes.groupBy("n").applyInPandas(run, "n long, core long, similarity double, alpha double, factor double")
 
 
 def beta(counts: DataFrame, window: int = 50_000, p: float = 2.0, min_maf: float = 0.1, theta: float | None = None) -> DataFrame:
     """beta(1) and its standardised form for every core site: theta_beta - theta_W of the sites within window / 2.
 
-    A range self-join in buckets; the weights of a pair of counts come from a
-    broadcast table of n^2 rows for each sample size.
+    A range self-join in buckets.  A pair's weight is a closed form of its counts;
+    what needs all counts of a sample size is made once for each (n, core) at hand.
     """
-    sizes = [int(r["n"]) for r in counts.select("n").distinct().collect()]
-    rows = [r for n in sizes for r in beta_table(n, p)]
-    table = counts.sparkSession.createDataFrame(rows, "n long, core long, k long, w double, ww double, alpha double, beta double")
     reach = window // 2
-    f = counts.filter((F.least("k", F.col("n") - F.col("k")) / F.col("n") >= min_maf)).select("chrom", F.col("pos").alias("core_pos"), F.col("k").alias("core"), "n")
+    f = counts.filter((F.least("k", F.col("n") - F.col("k")) / F.col("n") >= min_maf)).select("chrom", F.col("pos").alias("core_pos"), F.col("k").cast("long").alias("core"), F.col("n").cast("long").alias("n"))
+    f = f.join(_beta_factors(f.select("n", "core").distinct(), p), ["n", "core"])
+    f = f.withColumn("a1", F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int") - 1), F.lit(0.0), lambda a, i: a + 1.0 / i))
     f = f.withColumn("b", F.explode(F.sequence(F.floor((F.col("core_pos") - reach) / F.lit(window)), F.floor((F.col("core_pos") + reach) / F.lit(window)))))
     s = counts.select("chrom", "pos", "k").withColumn("b", F.floor(F.col("pos") / F.lit(window)))
     pairs = f.join(s, ["chrom", "b"]).filter((F.abs(F.col("pos") - F.col("core_pos")) <= reach) & (F.col("pos") != F.col("core_pos")))
-    j = pairs.join(F.broadcast(table), ["n", "core", "k"])
-    g = j.groupBy("chrom", "core_pos").agg(F.sum(F.col("w") - F.col("ww")).alias("b1"), F.count("*").alias("s"), F.max("ww").alias("ww"), F.max("alpha").alias("alpha"), F.max("beta").alias("beta"), F.max("n").alias("n"))
-    th = F.lit(theta) if theta is not None else F.col("s") * F.col("ww")
-    var = F.col("alpha") * th + F.col("beta") * th * th
+    folded = lambda c: F.least(F.col(c) / F.col("n"), 1 - F.col(c) / F.col("n"))
+    far = F.greatest(folded("core"), 0.5 - folded("core"))
+    d = F.pow((far - F.abs(folded("core") - folded("k"))) / far, F.lit(float(p)))
+    g = pairs.groupBy("chrom", "core_pos").agg(F.sum(F.col("k") * d / F.col("similarity") - 1 / F.col("a1")).alias("b1"), F.count("*").alias("s"), *(F.max(c).alias(c) for c in ("a1", "alpha", "factor")))
+    th = F.lit(theta) if theta is not None else F.col("s") / F.col("a1")
+    var = F.col("alpha") * th + F.col("factor") * th * th
     return g.select("chrom", F.col("core_pos").alias("pos"), F.col("s").alias("sites"), F.round("b1", 6).alias("beta"), F.round(F.when(var > 0, F.col("b1") / F.sqrt(var)), 6).alias("t"))

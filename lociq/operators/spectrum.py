@@ -8,6 +8,7 @@ sites: partial sums combine on the map side.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,23 +128,26 @@ def weights(n: int, decay: float = 0.9) -> tuple[list[float], float, float]:
     return omega.tolist(), float((k * omega**2).sum()), float(v @ _fu_sigma(n) @ v)
 
 
-def weight_table(spark, sizes: list[int], decay: float = 0.9) -> DataFrame:
-    """(n, k, w, alpha, beta) for the sample sizes at hand: n rows for each."""
-    rows = [(float(n), float(k + 1), w, a, b) for n in sizes if n >= 3 for o, a, b in [weights(n, decay)] for k, w in enumerate(o)]
-    return spark.createDataFrame(rows, "n double, k double, w double, alpha double, beta double")
+def weight_table(sizes: DataFrame, decay: float = 0.9) -> DataFrame:
+    """(n, k, w, alpha, beta) for the sample sizes at hand (column n): n rows for each, made where the size lies."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(float(n), float(k + 1), w, a, b) for n in pdf["n"] if n >= 3 for o, a, b in [weights(int(n), decay)] for k, w in enumerate(o)]
+            yield pd.DataFrame(rows, columns=["n", "k", "w", "alpha", "beta"], dtype=float)
+
+    return sizes.mapInPandas(run, "n double, k double, w double, alpha double, beta double")
 
 
 def window_statistics(counts: DataFrame, by: list[str], names: list[str] | None = None, decay: float = 0.9) -> DataFrame:
     """Per group ``by`` of segregating sites (n, k, pos): the statistics asked for.
 
-    Only if achaz_t is asked for are sample sizes looked up first (one distinct
-    aggregate; a genotype table has one size per chromosome).
+    Only if achaz_t is asked for are the distinct sample sizes taken first, for its weights.
     """
     names = list(STATISTICS) if names is None else names
     d = counts.withColumns({"n": F.col("n").cast("double"), "k": F.col("k").cast("double"), "pos": F.col("pos").cast("double")})
     if "achaz_t" in names:
-        sizes = [int(r["n"]) for r in counts.select("n").distinct().collect()]
-        d = d.join(F.broadcast(weight_table(counts.sparkSession, sizes, decay)), ["n", "k"], "left")
+        d = d.join(weight_table(counts.select("n").distinct(), decay), ["n", "k"], "left")
     else:
         d = d.withColumns({c: F.lit(0.0) for c in ("w", "alpha", "beta")})
     g = d.groupBy(*by).agg(*(F.expr(x).alias(c) for c, x in SUMS.items()), F.max("alpha").alias("alpha"), F.max("beta").alias("beta"))

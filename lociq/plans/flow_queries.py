@@ -44,15 +44,15 @@ def window_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assembled_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full outer join of three statistics on chromosome and position."""
     s = dense_sites(spark, sf_dir)
-    a = s.filter("site % 2 = 0").select("chrom", "pos", F.round("daf", 6).alias("daf"))
-    b = s.filter("site % 3 = 0").select("chrom", "pos", F.col("k").alias("derived"))
-    c = s.filter("site % 5 = 0").select("chrom", "pos", (F.col("n") - F.col("k")).alias("ancestral"))
+    a = s.filter("k >= 0.2 * n").select("chrom", "pos", F.round("daf", 6).alias("daf"))
+    b = s.filter("k <= 0.8 * n").select("chrom", "pos", F.col("k").alias("derived"))
+    c = s.filter("k between 0.4 * n and 0.6 * n").select("chrom", "pos", (F.col("n") - F.col("k")).alias("ancestral"))
     return tables.assemble([a, b, c], ["chrom", "pos"])
 
 
 def site_cut_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of a per-site statistic in closed windows, joined with the window statistics."""
-    s = dense_sites(spark, sf_dir).filter("site <= 40")
+    s = dense_sites(spark, sf_dir)
     m = intervals.range_join(s, _grid(spark), "pos", "lo", "hi", WIDTH).groupBy("chrom", "center").agg(F.round(F.avg("daf"), 6).alias("mean_daf"))
     return m.join(_stats(spark, sf_dir), ["chrom", "center"], "full")
 
@@ -189,7 +189,7 @@ CUTS = (250, 200, 100, 50, 20)
 
 
 def _gene_table(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("chrom"), F.col("p_partkey").alias("gene"), F.col("p_partkey").alias("pos"), (1 + (F.col("p_partkey") * 7919) % 2003).alias("rank"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("chrom"), F.col("p_partkey").alias("gene"), F.col("p_partkey").alias("pos"), (1 + (F.col("p_partkey") * 7919) % 2003).alias("rank"), (F.col("p_size") <= 5).alias("target"))
 
 
 def _controls(spark, sf_dir):
@@ -199,7 +199,7 @@ def _controls(spark, sf_dir):
 
 def sweep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _gene_table(spark, sf_dir)
-    return enrichment.count_sweeps(g, g.filter("gene % 11 = 0").select("gene"), _controls(spark, sf_dir), CUTS)
+    return enrichment.count_sweeps(g, g.filter("target").select("gene"), _controls(spark, sf_dir), CUTS)
 
 
 def sweep_counts_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +211,7 @@ def sweep_counts_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shuffle_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enrichment of the targets against 8 shuffled genomes."""
     g = _gene_table(spark, sf_dir)
-    targets, controls = g.filter("gene % 11 = 0").select("gene"), _controls(spark, sf_dir)
+    targets, controls = g.filter("target").select("gene"), _controls(spark, sf_dir)
     real = enrichment.count_sweeps(g, targets, controls, CUTS)
     moved = enrichment.shuffle_genome(g, 8, 2)
     r = moved.withColumn("cut", F.explode(F.filter(F.array(*map(F.lit, CUTS)), lambda c: F.col("rank") <= c)))
@@ -224,20 +224,20 @@ def shuffle_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("gene"), F.col("p_size").cast("double").alias("size"), "p_retailprice")
-    return enrichment.matched_controls(p.filter("gene % 11 <> 0"), p.filter("gene % 11 = 0"), ["size", "p_retailprice"], 10, 100)
+    return enrichment.matched_controls(p.filter("size > 5"), p.filter("size <= 5"), ["size", "p_retailprice"], 10, 100)
 
 
 QUERIES = {f.__name__: f for f in (feature_vectors, feature_unpivot, sparse_filtered, window_normalised, assembled_statistics, site_cut_means, rate_strata_scores, recombination_bins, control_intervals, histogram_mass, rate_correlation, equal_count_bins, sweep_taxonomy, threshold_chain, empirical_ranks, top_k_per_window, argmax_per_window, plot_data, cms_tables, cms_score, cms_local, sweep_counts, sweep_counts_by_group, shuffle_fdr, matched_controls)}
 _PIVOT = ", ".join(f"max({s}) FILTER (center = {c}) AS {s}_{WIDTH}_{c}" for c in CENTERS for s in STATS)
 _R = "c AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY o_custkey), r AS (SELECT *, rank() OVER (PARTITION BY o_custkey % 5 ORDER BY v DESC) AS rank FROM c)"
-_G = "g AS (SELECT p_brand AS chrom, p_partkey AS gene, 1 + (p_partkey * 7919) % 2003 AS rank FROM part), cuts AS (SELECT * FROM (VALUES (250), (200), (100), (50), (20)) c(cut))"
+_G = "g AS (SELECT p_brand AS chrom, p_partkey AS gene, 1 + (p_partkey * 7919) % 2003 AS rank, p_size <= 5 AS target FROM part), cuts AS (SELECT * FROM (VALUES (250), (200), (100), (50), (20)) c(cut))"
 ORACLES = {
     "feature_vectors": f"{_STATS_SQL} SELECT chrom, {_PIVOT} FROM st GROUP BY chrom",
     "feature_unpivot": f"{_STATS_SQL} SELECT chrom, 'theta_pi_{WIDTH}_' || center AS variable, theta_pi AS value FROM st UNION ALL SELECT chrom, 'tajima_d_{WIDTH}_' || center, tajima_d FROM st",
     "sparse_filtered": "WITH f AS (SELECT p_partkey, " + ", ".join(f"CASE WHEN p_partkey % {k + 7} <> 0 THEN round(p_retailprice * {k}, 4) END AS f{k}" for k in range(1, 31)) + " FROM part) SELECT p_partkey, " + ", ".join(f"coalesce(f{k}, 0) AS f{k}" for k in range(1, 31)) + " FROM f WHERE " + " + ".join(f"CASE WHEN f{k} IS NULL THEN 1 ELSE 0 END" for k in range(1, 31)) + " < 3",
     "window_normalised": f"{_STATS_SQL} SELECT chrom, center, round((tajima_d - avg(tajima_d) OVER w) / nullif(stddev_samp(tajima_d) OVER w, 0), 6) AS z FROM st WINDOW w AS (PARTITION BY center)",
-    "assembled_statistics": f"WITH {DENSE} SELECT chrom, pos, CASE WHEN site % 2 = 0 THEN round(daf, 6) END AS daf, CASE WHEN site % 3 = 0 THEN k END AS derived, CASE WHEN site % 5 = 0 THEN n - k END AS ancestral FROM sites WHERE site % 2 = 0 OR site % 3 = 0 OR site % 5 = 0",
-    "site_cut_means": f"{_STATS_SQL}, m AS (SELECT chrom, center, round(avg(daf), 6) AS mean_daf FROM sites JOIN grid ON pos BETWEEN lo AND hi WHERE site <= 40 GROUP BY ALL) SELECT * FROM m FULL JOIN st USING (chrom, center)",
+    "assembled_statistics": f"WITH {DENSE} SELECT chrom, pos, CASE WHEN 10 * k >= 2 * n THEN round(daf, 6) END AS daf, CASE WHEN 10 * k <= 8 * n THEN k END AS derived, CASE WHEN 10 * k BETWEEN 4 * n AND 6 * n THEN n - k END AS ancestral FROM sites",
+    "site_cut_means": f"{_STATS_SQL}, m AS (SELECT chrom, center, round(avg(daf), 6) AS mean_daf FROM sites JOIN grid ON pos BETWEEN lo AND hi GROUP BY ALL) SELECT * FROM m FULL JOIN st USING (chrom, center)",
     "rate_strata_scores": f"""WITH {DENSE}, {_GRID}, b AS (SELECT chrom, pos, pos * daf AS x, CAST(len(list_filter([{', '.join(f'{e}::DOUBLE' for e in frequency_edges(0.1))}], lambda e: e < daf)) AS INT) AS bin,
         (SELECT center FROM grid ORDER BY abs(center - pos), center LIMIT 1) AS center FROM sites), r AS (SELECT *, CASE WHEN center <= 20000 THEN 0 WHEN center <= 40000 THEN 1 ELSE 2 END AS r_bin FROM b)
         SELECT chrom, pos, bin, r_bin, round((x - avg(x) OVER w) / nullif(stddev_samp(x) OVER w, 0), 6) AS z FROM r WINDOW w AS (PARTITION BY bin, r_bin)""",
@@ -264,7 +264,7 @@ ORACLES = {
         f AS (SELECT b.chrom, b.site, sum(ln(t1.pmf) - ln(t0.pmf)) AS bf FROM b JOIN tab t0 ON t0.stat = b.stat AND t0.bin = b.bin AND t0.class = 'neut' JOIN tab t1 ON t1.stat = b.stat AND t1.bin = b.bin AND t1.class = b.fc GROUP BY ALL),
         p AS (SELECT chrom, site, round(exp(greatest(-500, least(500, bf))) / (exp(greatest(-500, least(500, bf))) + count(*) OVER (PARTITION BY chrom) - 1), 6) AS posterior FROM f)
         SELECT *, CAST(row_number() OVER (PARTITION BY chrom ORDER BY posterior DESC, site) AS INT) AS rank FROM p""",
-    "sweep_counts": f"""WITH {_G}, v AS (SELECT cut, count(*) AS vip FROM g, cuts WHERE gene % 11 = 0 AND rank <= cut GROUP BY cut), c AS (SELECT l_orderkey % 40 AS sample, l_partkey AS gene FROM lineitem),
+    "sweep_counts": f"""WITH {_G}, v AS (SELECT cut, count(*) AS vip FROM g, cuts WHERE target AND rank <= cut GROUP BY cut), c AS (SELECT l_orderkey % 40 AS sample, l_partkey AS gene FROM lineitem),
         n0 AS (SELECT sample, cut, count(*) AS n FROM c JOIN g USING (gene), cuts WHERE rank <= cut GROUP BY ALL), n AS (SELECT s.sample, cuts.cut, coalesce(n, 0) AS n FROM (SELECT DISTINCT sample FROM c) s CROSS JOIN cuts LEFT JOIN n0 ON n0.sample = s.sample AND n0.cut = cuts.cut)
         SELECT n.cut, coalesce(max(vip), 0) AS vip, round(avg(n), 6) AS control_mean, round(quantile_cont(n, 0.025), 6) AS control_low, round(quantile_cont(n, 0.975), 6) AS control_high, round((coalesce(max(vip), 0) + 0.1::DOUBLE) / (avg(n) + 0.1::DOUBLE), 6) AS ratio, round(avg(CASE WHEN n > coalesce(vip, 0) THEN 1 ELSE 0 END), 6) AS p FROM n LEFT JOIN v USING (cut) GROUP BY n.cut""",
     "sweep_counts_by_group": f"WITH {_G}, x AS (SELECT chrom, chrom[1:7] AS grp, min(cut) AS cut FROM g JOIN cuts ON rank <= cut GROUP BY gene, chrom) SELECT coalesce(grp, 'All') AS grp, coalesce(chrom, 'All') AS chrom, count(*) AS n, min(cut) AS least_cut FROM x GROUP BY ROLLUP (grp, chrom)",

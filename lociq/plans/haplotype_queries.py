@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociq.operators import genotypes, haplotype, scans
-from lociq.plans.fixtures import DENSE, dense_sites, segregating
+from lociq.plans.fixtures import DENSE, SIGMA, dense_sites, segregating
 
 BY = ["chrom", "win"]
 _WIN = "g AS (SELECT sa.*, n, k, daf, (site - 1) // 16 AS win FROM sa JOIN sites USING (chrom, pos, site))"
@@ -74,7 +74,7 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ihs_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scans.scan(_packed(spark, sf_dir), lambda h, pos: scans.ihs(h, pos, include_edges=True), {"daf": "double", "ihs": "double", "delta_ihh": "double"})
-    return out.filter("not isnan(ihs)")
+    return out.filter("ihs is not null and not isnan(ihs)")
 
 
 def nsl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,14 +98,50 @@ def h12_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.h12_scan(_packed(spark, sf_dir), 20, 10)
 
 
+def tiered_h12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.tiered_h12_scan(_packed(spark, sf_dir), 32_050, 60_000)
+
+
+def isafe_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.isafe_regions(_packed(spark, sf_dir), 20_000, 10, 300, 150)
+
+
 def beta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.beta(dense_sites(spark, sf_dir), 10_000)
 
 
 _WIN4 = _WIN.replace("// 16", "// 4")
-_FOCAL_SQL = ", ".join(f"round({x}, 6) AS {c}" for c, x in haplotype.FOCAL.items())
-QUERIES = {f.__name__: f for f in (garud_h, lassi_spectrum, haf_top, pairwise_moments, ld_zns_omega, focal_statistics, raisd, safe, site_order, haplotype_order, hamming_order, packed_alleles, ihs_scan, nsl_scan, hscan, isafe, lassi_t_lambda, h12_identity, beta_scan)}
+_FOCAL_SQL = """round(sum(fa * (1 - fa)) * max(na) / (max(na) - 0.999) / (sum(fd * (1 - fd)) * max(nd) / (max(nd) - 0.999) + 0.001), 6) AS dind,
+    round(CAST(coalesce(sum(CASE WHEN c11 * 4 > nd THEN c11 * c11 END), 0) AS DOUBLE) / (max(nd) * max(nd)) / CAST(greatest(count(CASE WHEN c11 * 4 > nd THEN 1 END), 1) AS DOUBLE), 6) AS high_freq,
+    round(CAST(coalesce(sum(CASE WHEN c11 * 4 > nd THEN (nd - c11) ** 2 END), 0) AS DOUBLE) / (max(nd) * max(nd)) / CAST(greatest(count(CASE WHEN c11 * 4 > nd THEN 1 END), 1) AS DOUBLE), 6) AS low_freq,
+    round(CAST(coalesce(sum(CASE WHEN c11 * 4 < nd THEN (nd - c11) ** 2 END), 0) AS DOUBLE) / (max(nd) * max(nd)) / CAST(greatest(count(CASE WHEN c11 * 4 < nd THEN 1 END), 1) AS DOUBLE), 6) AS low_freq_documented,
+    round(CAST(count(*) + count(CASE WHEN fa BETWEEN 1e-7 AND 0.9999999 THEN 1 END) AS DOUBLE) / (count(*) + count(CASE WHEN fd BETWEEN 1e-7 AND 0.9999999 THEN 1 END)), 6) AS s_ratio,
+    round(avg(CASE WHEN c11 * na > c01 * nd AND c01 * 4 <= na AND ky * 4 >= nn THEN fd * fd - fa * fa END), 6) AS hapdaf_o,
+    round(avg(CASE WHEN c11 * na > c01 * nd AND c01 * 10 <= na AND ky * 10 >= nn THEN fd * fd - fa * fa END), 6) AS hapdaf_s"""
+QUERIES = {f.__name__: f for f in (garud_h, lassi_spectrum, haf_top, pairwise_moments, ld_zns_omega, focal_statistics, raisd, safe, site_order, haplotype_order, hamming_order, packed_alleles, ihs_scan, nsl_scan, hscan, isafe, lassi_t_lambda, h12_identity, tiered_h12, isafe_regions, beta_scan)}
+_RUNS = """pr AS (SELECT x.chrom, x.hap AS i, y.hap AS j, x.o, x.pos, x.allele AS a, y.allele AS b FROM g x JOIN g y ON x.chrom = y.chrom AND x.o = y.o AND x.hap < y.hap),
+        rn AS (SELECT *, coalesce(min(CASE WHEN a <> b THEN o END) OVER (PARTITION BY chrom, i, j ORDER BY o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, max(o) OVER (PARTITION BY chrom, i, j)) AS xr,
+              coalesce(max(CASE WHEN a <> b THEN o END) OVER (PARTITION BY chrom, i, j ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 1) AS xl FROM pr)"""
 ORACLES = {
+    "nsl_scan": f"""WITH {DENSE}, f AS (SELECT * FROM sites WHERE daf BETWEEN 0.05 AND 0.95), g AS (SELECT sa.chrom, sa.pos, sa.hap, sa.allele, row_number() OVER (PARTITION BY sa.chrom, sa.hap ORDER BY sa.pos) AS o FROM sa JOIN f USING (chrom, pos, site)), {_RUNS},
+        m AS (SELECT chrom, pos, avg(CASE WHEN a = 1 THEN xr - xl + 2 END) AS one, avg(CASE WHEN a = 0 THEN xr - xl + 2 END) AS zero FROM rn WHERE a = b GROUP BY ALL)
+        SELECT sites.chrom, sites.pos, daf, ln(one / zero) AS nsl FROM sites LEFT JOIN m ON m.chrom = sites.chrom AND m.pos = sites.pos""",
+    "ihs_scan": f"""WITH {DENSE}, g AS (SELECT sa.chrom, sa.pos, sa.hap, sa.allele, row_number() OVER (PARTITION BY sa.chrom, sa.hap ORDER BY sa.pos) AS o FROM sa JOIN sites USING (chrom, pos, site)), {_RUNS},
+        ps AS (SELECT DISTINCT chrom, o, pos FROM g), fo AS (SELECT ps.chrom, ps.o, ps.pos, daf, n, k FROM ps JOIN sites ON sites.chrom = ps.chrom AND sites.pos = ps.pos WHERE least(daf, 1 - daf) >= 0.05),
+        cp AS (SELECT chrom, o, a, xr, xl, count(*) AS c FROM rn WHERE a = b GROUP BY ALL), mc AS (SELECT chrom, o, a, sum(c) AS pairs FROM cp GROUP BY ALL),
+        er AS (SELECT cp.chrom, cp.o, a, x.o AS x, x.pos, sum(CASE WHEN xr >= x.o THEN c ELSE 0 END) AS c FROM cp JOIN ps x ON x.chrom = cp.chrom AND x.o > cp.o GROUP BY ALL),
+        el AS (SELECT cp.chrom, cp.o, a, x.o AS x, x.pos, sum(CASE WHEN xl <= x.o THEN c ELSE 0 END) AS c FROM cp JOIN ps x ON x.chrom = cp.chrom AND x.o < cp.o GROUP BY ALL),
+        e AS (SELECT er.chrom, er.o, er.a, 1 AS side, abs(x - er.o) AS d, pos, c / CAST(pairs AS DOUBLE) AS ehh FROM er JOIN mc USING (chrom, o, a) UNION ALL SELECT el.chrom, el.o, el.a, -1, abs(x - el.o), pos, c / CAST(pairs AS DOUBLE) FROM el JOIN mc USING (chrom, o, a)),
+        st AS (SELECT e.*, ps.pos AS p0, coalesce(lag(ehh) OVER w, 1.0) AS before, coalesce(lag(e.pos) OVER w, ps.pos) AS pb, coalesce(min(ehh) OVER (PARTITION BY e.chrom, e.o, a, side ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS lowest FROM e JOIN ps ON ps.chrom = e.chrom AND ps.o = e.o WINDOW w AS (PARTITION BY e.chrom, e.o, a, side ORDER BY d)),
+        ih AS (SELECT chrom, o, a, sum(CASE WHEN lowest > 0.05 THEN least(abs(pos - pb), 20000) * (before + ehh) / 2 ELSE 0 END) AS ihh FROM st GROUP BY ALL)
+        SELECT fo.chrom, fo.pos, daf, ln(z.ihh / y.ihh) AS ihs, abs(y.ihh - z.ihh) AS delta_ihh FROM fo JOIN ih z ON z.chrom = fo.chrom AND z.o = fo.o AND z.a = 0 JOIN ih y ON y.chrom = fo.chrom AND y.o = fo.o AND y.a = 1 WHERE k > 1 AND n - k > 1""",
+    "beta_scan": f"""WITH {DENSE}, {SIGMA}, fo AS (SELECT * FROM sites WHERE CAST(least(k, n - k) AS DOUBLE) / n >= 0.1::DOUBLE), co AS (SELECT DISTINCT n, k AS core FROM fo),
+        dd AS (SELECT co.n, core, CAST(i AS BIGINT) AS i, least(core / CAST(co.n AS DOUBLE), 1 - core / CAST(co.n AS DOUBLE)) AS x, least(i / CAST(co.n AS DOUBLE), 1 - i / CAST(co.n AS DOUBLE)) AS y FROM co, range(1, 2000) t(i) WHERE i < co.n),
+        d2 AS (SELECT *, ((greatest(x, 0.5 - x) - abs(x - y)) / greatest(x, 0.5 - x)) ** 2 AS d FROM dd),
+        om AS (SELECT *, d / sum(d) OVER w AS share, d / sum(d) OVER w - (1.0::DOUBLE / i) / sum(1.0::DOUBLE / i) OVER w AS omega FROM d2 WINDOW w AS (PARTITION BY n, core)),
+        va AS (SELECT p.n, p.core, sum(CASE WHEN p.i = q.i THEN p.i * p.omega * p.omega ELSE 0 END) AS al, sum(CASE WHEN p.i = q.i THEN 1 ELSE 2 END * p.i * p.omega * q.i * q.omega * s) AS be FROM om p JOIN om q ON p.n = q.n AND p.core = q.core AND p.i >= q.i JOIN sg ON sg.n = p.n AND sg.i = p.i AND sg.j = q.i GROUP BY ALL),
+        b AS (SELECT fo.chrom, fo.pos, fo.n, fo.k AS core, count(*) AS sites, sum(o.k * om.share - 1 / hs.a) AS beta, max(hs.a) AS a1 FROM fo JOIN sites o ON o.chrom = fo.chrom AND o.pos <> fo.pos AND abs(o.pos - fo.pos) <= 5000 JOIN om ON om.n = fo.n AND om.core = fo.k AND om.i = o.k JOIN hs ON hs.m = fo.n GROUP BY ALL)
+        SELECT chrom, pos, sites, round(beta, 6) AS beta, round(CASE WHEN al * sites / a1 + be * (sites / a1) ** 2 > 0 THEN beta / sqrt(al * sites / a1 + be * (sites / a1) ** 2) END, 6) AS t FROM b JOIN va ON va.n = b.n AND va.core = b.core""",
     "garud_h": f"""WITH {DENSE}, {_WIN4}, {_STR}, p AS (SELECT chrom, win, CAST(c AS DOUBLE) / sum(c) OVER (PARTITION BY chrom, win) AS p, row_number() OVER (PARTITION BY chrom, win ORDER BY c DESC, h) AS r FROM cnt),
         a AS (SELECT chrom, win, count(*) AS k, sum(p * p) AS h1, coalesce(max(p) FILTER (r = 1), 0) AS p1, coalesce(max(p) FILTER (r = 2), 0) AS p2, coalesce(max(p) FILTER (r = 3), 0) AS p3 FROM p GROUP BY ALL)
         SELECT chrom, win, k, round(h1, 6) AS h1, round(h1 - p1 * p1 - p2 * p2 + (p1 + p2) ** 2, 6) AS h12, round(h1 - p1 * p1 - p2 * p2 - p3 * p3 + (p1 + p2 + p3) ** 2, 6) AS h123, round((h1 - p1 * p1) / h1, 6) AS h2_h1 FROM a""",
@@ -127,8 +163,9 @@ ORACLES = {
         om AS (SELECT chrom, win, max((lsum + rsum) / (l * (l - 1) / 2 + (s - l) * (s - l - 1) / 2) / ((total - lsum - rsum) / (l * (s - l)))) AS omega FROM c GROUP BY ALL)
         SELECT s.chrom, s.win, round(total / (s * (s - 1) / 2), 6) AS zns, round(coalesce(omega, 0), 6) AS omega_max FROM s LEFT JOIN om ON om.chrom = s.chrom AND om.win = s.win""",
     "focal_statistics": f"""WITH {DENSE}, g AS (SELECT sa.*, n, k, daf FROM sa JOIN sites USING (chrom, pos, site)),
-        p AS (SELECT x.chrom, x.pos AS fpos, y.pos, CAST(max(x.k) AS DOUBLE) AS n_d, CAST(max(x.n) - max(x.k) AS DOUBLE) AS n_a, CAST(sum(x.allele * y.allele) AS DOUBLE) / max(x.k) AS f_d, CAST(max(y.k) - sum(x.allele * y.allele) AS DOUBLE) / (max(x.n) - max(x.k)) AS f_a, max(y.daf) AS f_tot
-              FROM g x JOIN g y ON x.chrom = y.chrom AND x.hap = y.hap AND abs(x.pos - y.pos) <= 10000 AND x.pos <> y.pos WHERE x.daf BETWEEN 0.25 AND 0.95 GROUP BY x.chrom, x.pos, y.pos)
+        c AS (SELECT x.chrom, x.pos AS fpos, y.pos, max(x.k) AS nd, max(x.n) - max(x.k) AS na, max(y.k) AS ky, max(x.n) AS nn, CAST(sum(x.allele * y.allele) AS BIGINT) AS c11, CAST(sum((1 - x.allele) * y.allele) AS BIGINT) AS c01
+              FROM g x JOIN g y ON x.chrom = y.chrom AND x.hap = y.hap AND abs(x.pos - y.pos) <= 10000 AND x.pos <> y.pos WHERE x.daf BETWEEN 0.25 AND 0.95 GROUP BY x.chrom, x.pos, y.pos),
+        p AS (SELECT *, CAST(c11 AS DOUBLE) / nd AS fd, CAST(c01 AS DOUBLE) / na AS fa FROM c)
         SELECT chrom, fpos, count(*) AS neighbours, {_FOCAL_SQL} FROM p GROUP BY ALL""",
     "raisd": f"""WITH {DENSE}, g AS (SELECT sa.*, n, k FROM sa JOIN sites USING (chrom, pos, site)),
         s0 AS (SELECT chrom, pos, site, n, k, string_agg(CAST(allele AS VARCHAR), '' ORDER BY hap) AS h FROM g GROUP BY ALL),

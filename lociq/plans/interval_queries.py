@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociq.operators import intervals, tables
+from lociq.operators import intervals, ranking, tables
 from lociq.plans.fixtures import DENSE, TRACK, dense_sites, track
 from lociq.session import scratch_root
 
@@ -14,10 +14,10 @@ HOUR, DAY = 3600, 86400
 
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event of value above 150: a mark with its value."""
-    return track(spark, sf_dir).filter("id % 17 = 0").groupBy("chrom", "pos").agg(F.max("score").alias("rate"))
+    return track(spark, sf_dir).filter("score > 150").groupBy("chrom", "pos").agg(F.max("score").alias("rate"))
 
 
-_MARKS = f"{TRACK}, marks AS (SELECT chrom, pos AS m, max(score) AS rate FROM track WHERE id % 17 = 0 GROUP BY ALL)"
+_MARKS = f"{TRACK}, marks AS (SELECT chrom, pos AS m, max(score) AS rate FROM track WHERE score > 150 GROUP BY ALL)"
 
 
 def nearest_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def nearest_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of every gene's midpoint to the nearest gene of a set; 0 for the set's own."""
-    g = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("chrom"), F.col("p_partkey").alias("gene"), (F.col("p_partkey") * 1000 + F.floor(F.col("p_size") / F.lit(2))).alias("mid"))
-    s = g.filter("gene % 7 = 0").select("chrom", F.col("mid").alias("m"), F.col("gene").alias("near"))
+    g = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("chrom"), F.col("p_partkey").alias("gene"), (F.col("p_partkey") * 1000 + F.floor(F.col("p_size") / F.lit(2))).alias("mid"), "p_size")
+    s = g.filter("p_size > 42").select("chrom", F.col("mid").alias("m"), F.col("gene").alias("near"))
     return intervals.nearest(g, s, "mid", "m", ["near"], ["chrom"], 1_000_000).select("chrom", "gene", F.col("distance").cast("bigint").alias("distance"))
 
 
@@ -46,12 +46,12 @@ def step_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as windows: a week from the order's date, on the event types in turn."""
-    o = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 5 = 0")
+    """Six hours from every event of value above 60, on its type."""
+    o = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value > 60")
     return o.select(F.col("event_type").alias("chrom"), F.unix_timestamp("ts").alias("lo"), (F.unix_timestamp("ts") + HOUR * 6).alias("hi"), "value", "event_id")
 
 
-_WIN = "win AS (SELECT event_type AS chrom, CAST(floor(epoch(ts)) AS BIGINT) AS lo, CAST(floor(epoch(ts)) AS BIGINT) + 21600 AS hi, value, event_id FROM events WHERE event_id % 5 = 0)"
+_WIN = "win AS (SELECT event_type AS chrom, CAST(floor(epoch(ts)) AS BIGINT) AS lo, CAST(floor(epoch(ts)) AS BIGINT) + 21600 AS hi, value, event_id FROM events WHERE value > 60)"
 
 
 def window_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,27 +102,10 @@ def binned_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Genes ranked by the best window at the least distance; the k nearest windows break ties."""
-    k, reach = 11, 5 * HOUR
-    g = track(spark, sf_dir).filter("id % 13 = 0").select("chrom", F.col("id").alias("gene"), F.col("pos").alias("mid"))
-    w = track(spark, sf_dir).filter("id % 13 <> 0").select("chrom", F.col("pos").alias("wpos"), F.col("id").alias("wid"), F.col("score").alias("prob"))
-    spans = g.select("chrom", "gene", "mid", (F.col("mid") - reach).alias("lo"), (F.col("mid") + reach).alias("hi"))
-    near = intervals.range_join(w, spans, "wpos", "lo", "hi", reach, ["chrom"]).withColumn("d", F.abs(F.col("wpos") - F.col("mid")))
-    order = Window.partitionBy("gene").orderBy("d", "wpos", "wid")
-    top = near.withColumn("r", F.row_number().over(order)).withColumn("dmin", F.min("d").over(Window.partitionBy("gene"))).filter(F.col("r") <= k)
-    per = top.groupBy("gene").agg(F.max(F.when(F.col("d") == F.col("dmin"), F.col("prob"))).alias("best"), F.round(F.sum("prob"), 6).alias("total"), F.min("d").alias("distance"))
-    genes = g.select("gene").join(per, "gene", "left")
-    return ranked(genes)
-
-
-def ranked(genes: DataFrame) -> DataFrame:
-    """Row numbers over a global order without one task for all rows: numbers within ranges plus the ranges' sizes."""
-    keys = [F.col("best").desc_nulls_last(), F.col("total").desc_nulls_last(), F.col("distance").asc_nulls_last(), F.col("gene")]
-    parts = genes.repartitionByRange(*keys).withColumn("part", F.spark_partition_id())
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = parts.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(*keys))).join(F.broadcast(starts), "part")
-    return out.select("gene", F.round("best", 6).alias("best"), "total", "distance", (F.col("before") + F.col("at")).alias("rank"))
+    """Genes (events of value above 100) ranked by the best window (other events) at the least distance; the 11 nearest break ties."""
+    g = track(spark, sf_dir).filter("score > 100").select("chrom", F.col("id").alias("gene"), F.col("pos").alias("mid"))
+    w = track(spark, sf_dir).filter("score <= 100").select("chrom", F.col("pos").alias("wpos"), F.col("id").alias("wid"), F.col("score").alias("prob"))
+    return ranking.rank_genes(g, w, 11, 5 * HOUR, ["wid"])
 
 
 def rates_of_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +113,8 @@ def rates_of_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = track(spark, sf_dir).select("chrom", "pos", "id", F.col("score").alias("prob"))
     r = _marks(spark, sf_dir).withColumnRenamed("pos", "m")
     x = intervals.step_value(p, r, "pos", "m", "rate", ["chrom"], "cm_mb", DAY)
-    other = p.filter("id % 3 = 0").select("id", (F.col("prob") / 2).alias("alternative"))
-    low = F.col("cm_mb") < 50
+    other = p.filter("prob > 50").select("id", (F.col("prob") / 2).alias("alternative"))
+    low = F.col("cm_mb") < 200
     return x.join(other, "id", "left").select("chrom", "id", F.round(F.when(low, F.coalesce("alternative", "prob")).otherwise(F.col("prob")), 6).alias("prob"), F.round("cm_mb", 6).alias("cm_mb"))
 
 
@@ -167,10 +150,10 @@ def gene_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SEGMENT = """pts AS (SELECT t.chrom, id, pos, (SELECT max(x) FROM seg s WHERE s.chrom = t.chrom AND s.x <= t.pos) AS sat FROM track t)"""
 QUERIES = {f.__name__: f for f in (nearest_mark, nearest_gene, genetic_map_position, step_rate, window_means, best_window, merged_regions, overlapping_windows, gene_neighbours, binned_neighbours, rank_genes, rates_of_predictions, genome_offsets, closest_sites, window_grid, gene_components)}
-_GENES = "g AS (SELECT p_brand AS chrom, p_partkey AS gene, p_partkey * 1000 AS s, p_partkey * 1000 + p_size * 10 AS e, p_partkey * 1000 + p_size // 2 AS mid, p_partkey // 10 AS bin FROM part)"
+_GENES = "g AS (SELECT p_brand AS chrom, p_partkey AS gene, p_partkey * 1000 AS s, p_partkey * 1000 + p_size * 10 AS e, p_partkey * 1000 + p_size // 2 AS mid, p_partkey // 10 AS bin, p_size FROM part)"
 ORACLES = {
     "nearest_mark": f"WITH {_MARKS} SELECT t.chrom, id, pos, m AS mark, round(rate, 6) AS rate, abs(pos - m) AS distance FROM track t JOIN marks USING (chrom) QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(pos - m), m) = 1",
-    "nearest_gene": f"WITH {_GENES} SELECT a.chrom, a.gene, min(abs(a.mid - b.mid)) AS distance FROM g a LEFT JOIN g b ON a.chrom = b.chrom AND b.gene % 7 = 0 GROUP BY ALL",
+    "nearest_gene": f"WITH {_GENES} SELECT a.chrom, a.gene, min(abs(a.mid - b.mid)) AS distance FROM g a LEFT JOIN g b ON a.chrom = b.chrom AND b.p_size > 42 GROUP BY ALL",
     "genetic_map_position": f"""WITH {TRACK}, kn AS (SELECT chrom, pos // 864000 * 864000 AS x, count(*) AS n FROM track GROUP BY ALL), k2 AS (SELECT *, sum(n) OVER (PARTITION BY chrom ORDER BY x) * 0.01::DOUBLE AS cm FROM kn),
         seg AS (SELECT chrom, x, cm, lead(x) OVER w AS x2, lead(cm) OVER w AS cm2 FROM k2 WHERE n > 3 WINDOW w AS (PARTITION BY chrom ORDER BY x) QUALIFY x2 IS NOT NULL),
         {_SEGMENT}, a AS (SELECT pts.*, coalesce(sat, (SELECT min(x) FROM seg s WHERE s.chrom = pts.chrom)) AS sx FROM pts)
@@ -185,12 +168,12 @@ ORACLES = {
     "overlapping_windows": f"WITH {_WIN} SELECT x.chrom, x.event_id AS a, y.event_id AS b, least(x.lo, y.lo) + 43200 - greatest(x.lo, y.lo) AS shared FROM win x JOIN win y ON x.chrom = y.chrom AND x.event_id < y.event_id AND abs(x.lo - y.lo) <= 43200",
     "gene_neighbours": f"WITH {_GENES}, n AS (SELECT a.gene, string_agg(CAST(b.gene AS VARCHAR), ' ' ORDER BY b.gene) AS neighbours FROM g a JOIN g b ON a.chrom = b.chrom AND a.gene <> b.gene AND (b.s + b.e) // 2 BETWEEN a.s - 20000 AND a.e + 20000 GROUP BY a.gene) SELECT g.gene, coalesce(neighbours, '') AS neighbours FROM g LEFT JOIN n USING (gene)",
     "binned_neighbours": f"WITH {_GENES} SELECT a.gene, count(*) AS neighbours FROM g a JOIN g b ON a.chrom = b.chrom AND a.gene <> b.gene AND abs(a.bin - b.bin) <= 2 GROUP BY a.gene",
-    "rank_genes": f"""WITH {TRACK}, ge AS (SELECT chrom, id AS gene, pos AS mid FROM track WHERE id % 13 = 0), w AS (SELECT * FROM track WHERE id % 13 <> 0),
+    "rank_genes": f"""WITH {TRACK}, ge AS (SELECT chrom, id AS gene, pos AS mid FROM track WHERE score > 100), w AS (SELECT * FROM track WHERE score <= 100),
         n AS (SELECT gene, abs(pos - mid) AS d, score, row_number() OVER (PARTITION BY gene ORDER BY abs(pos - mid), pos, id) AS r, min(abs(pos - mid)) OVER (PARTITION BY gene) AS dmin FROM ge JOIN w ON ge.chrom = w.chrom AND abs(pos - mid) <= 18000),
         p AS (SELECT gene, max(CASE WHEN d = dmin THEN score END) AS best, round(sum(score), 6) AS total, min(d) AS distance FROM n WHERE r <= 11 GROUP BY gene)
         SELECT ge.gene, round(best, 6) AS best, total, distance, row_number() OVER (ORDER BY best DESC NULLS LAST, total DESC NULLS LAST, distance ASC NULLS LAST, ge.gene) AS rank FROM ge LEFT JOIN p USING (gene)""",
     "rates_of_predictions": f"""WITH {_MARKS}, x AS (SELECT t.chrom, id, score, rate FROM track t ASOF LEFT JOIN marks m ON t.chrom = m.chrom AND t.pos >= m.m)
-        SELECT chrom, id, round(CASE WHEN rate < 50 AND id % 3 = 0 THEN score / 2 ELSE score END, 6) AS prob, round(rate, 6) AS cm_mb FROM x""",
+        SELECT chrom, id, round(CASE WHEN rate < 200 AND score > 50 THEN score / 2 ELSE score END, 6) AS prob, round(rate, 6) AS cm_mb FROM x""",
     "genome_offsets": f"WITH {TRACK}, e AS (SELECT chrom, max(pos) - min(pos) AS length FROM track GROUP BY chrom) SELECT *, CAST(coalesce(sum(length) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM e",
     "closest_sites": f"WITH {DENSE} SELECT chrom, pos, CAST(row_number() OVER (PARTITION BY chrom ORDER BY abs(pos - 32500), pos) AS INT) AS r FROM sites QUALIFY r <= 5",
     "window_grid": f"WITH {TRACK}, e AS (SELECT chrom, max(pos) - min(pos) AS length FROM track GROUP BY chrom) SELECT chrom, s AS start, s + 1209599 AS \"end\", chrom || ':' || s || '-' || (s + 1209599) AS region FROM e, range(1, length + 1, 604800) t(s)",

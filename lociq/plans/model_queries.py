@@ -112,8 +112,8 @@ def selection_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", *(F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(8)))
-    return learning.components(e, [f"e{k}" for k in range(8)]).select("vec_id", "pc1", "pc2")
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", *(F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(64)))
+    return learning.components(e, [f"e{k}" for k in range(64)]).select("vec_id", "pc1", "pc2")
 
 
 def sliding_events(spark: SparkSession, sf_dir: str) -> DataFrame:

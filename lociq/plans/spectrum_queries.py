@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lociq.functions.binning import empirical_p, frequency_edges, right_closed_bin, z_score
 from lociq.operators import genotypes, intervals, spectrum
-from lociq.plans.fixtures import DENSE, SPARSE, dense_sites, sparse_sites
+from lociq.plans.fixtures import DENSE, SIGMA, SPARSE, dense_sites, sparse_sites
 
 CENTERS, WIDTH = list(range(10_000, 60_001, 10_000)), 20_000
 NAMES = [x for x in spectrum.STATISTICS if x != "achaz_t"]
@@ -88,6 +88,13 @@ _EDGES = "[" + ", ".join(f"{e}::DOUBLE" for e in frequency_edges()) + "]"
 
 QUERIES = {f.__name__: f for f in (window_diversity_scan, spectrum_statistics, sparse_spectrum_statistics, achaz_t, site_frequency_spectrum, folded_spectrum, projected_spectrum, windowed_diversity, ncd1, daf_normalised)}
 ORACLES = {
+    "achaz_t": f"""WITH {DENSE}, {_GRID}, {SIGMA}, ks AS (SELECT n, CAST(k AS BIGINT) AS k FROM ns, range(1, 2000) t(k) WHERE k < n),
+        om AS (SELECT *, exp(-0.9 * k) / sum(exp(-0.9 * k)) OVER (PARTITION BY n) - 1.0::DOUBLE / (n - 1) AS w FROM ks),
+        va AS (SELECT p.n, sum(CASE WHEN p.k = q.k THEN p.k * p.w * p.w ELSE 0 END) AS al, sum(CASE WHEN p.k = q.k THEN 1 ELSE 2 END * p.k * p.w * q.k * q.w * s) AS be FROM om p JOIN om q ON p.n = q.n AND p.k >= q.k JOIN sg ON sg.n = p.n AND sg.i = p.k AND sg.j = q.k GROUP BY p.n),
+        x AS (SELECT chrom, center, s.n, count(*) AS n_sites, sum(w * s.k) AS num FROM sites s JOIN grid ON pos BETWEEN lo AND hi JOIN om ON om.n = s.n AND om.k = s.k GROUP BY ALL),
+        y AS (SELECT x.*, al, be, hs.a AS a1, list_sum(list_transform(range(1, x.n), lambda i: 1.0::DOUBLE / (i * i))) AS a2 FROM x JOIN va ON va.n = x.n JOIN hs ON hs.m = x.n WHERE x.n > 3),
+        z AS (SELECT *, al * n_sites / a1 + be * n_sites * (n_sites - 1) / (a1 * a1 + a2) AS var FROM y)
+        SELECT chrom, center, n_sites, round(num / sqrt(CASE WHEN var > 0 THEN var END), 6) AS achaz_t FROM z""",
     "window_diversity_scan": f"""WITH {DENSE}, {_GRID}, {_IN_WINDOW}, st AS ({spectrum.statistics_sql('inwin', 'chrom, center', ['theta_pi', 'theta_w', 'tajima_d'], 0.9, '0.0 AS alpha, 0.0 AS beta')})
         SELECT *, round((rank() OVER (ORDER BY abs(tajima_d) DESC NULLS LAST) + (count(*) OVER (PARTITION BY abs(tajima_d)) - 1) / 2.0) / count(tajima_d) OVER (), 6) + CASE WHEN tajima_d IS NULL THEN NULL ELSE 0 END AS p FROM st""",
     "spectrum_statistics": f"WITH {DENSE}, {_GRID}, {_IN_WINDOW} {spectrum.statistics_sql('inwin', 'chrom, center', NAMES, 0.9, '0.0 AS alpha, 0.0 AS beta')}",
