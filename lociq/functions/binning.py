@@ -39,8 +39,8 @@ def z_score(df: DataFrame, value: str, strata: list[str], out: str) -> DataFrame
     return df.join(moments, strata, "left").withColumn(out, F.try_divide(x - F.col("__mean"), F.nullif(F.col("__sd"), F.lit(0.0)))).drop("__mean", "__sd")
 
 
-def empirical_p(df: DataFrame, value: str, out: str = "p", absolute: bool = False) -> DataFrame:
-    """Average rank of the value, largest first, divided by the number of values.
+def empirical_p(df: DataFrame, value: str, out: str = "p", absolute: bool = False, least: bool = False) -> DataFrame:
+    """Average rank of the value, largest first, divided by the number of values; ``least``: (least rank - 0.5) / number.
 
     Distinct values are counted first; the running sum is over them, in ranges:
     each range sums its own, and the ranges' totals are added, so no task holds all.
@@ -54,5 +54,22 @@ def empirical_p(df: DataFrame, value: str, out: str = "p", absolute: bool = Fals
     offsets = parts.withColumn("__before", F.coalesce(F.sum("__total").over(Window.orderBy(F.col("__top").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__total").over(Window.partitionBy(F.lit(1))))
     upto = F.sum("__n").over(within.rowsBetween(Window.unboundedPreceding, 0))
     ranked = ordered.withColumn("__upto", upto).join(F.broadcast(offsets.select("__part", "__before", "__all")), "__part")
-    average = F.col("__before") + F.col("__upto") - (F.col("__n") - 1) / F.lit(2.0)
-    return rows.join(ranked.select("__x", (average / F.col("__all")).alias(out)), "__x", "left").drop("__x")
+    upto = F.col("__before") + F.col("__upto")
+    rank = upto - F.col("__n") + 0.5 if least else upto - (F.col("__n") - 1) / F.lit(2.0)
+    return rows.join(ranked.select("__x", (rank / F.col("__all")).alias(out)), "__x", "left").drop("__x")
+
+
+def hash_number(df: DataFrame, by: list[str], key: str, seed: int, out: str, total: str) -> DataFrame:
+    """``df`` with a row number in a random order within ``by`` (from 1), and the group's size.
+
+    Rows are ordered by a hash of seed and key.  They are numbered inside ranges of
+    hashes and the sizes of earlier ranges (1024 a group) are added, so a group of
+    most rows is not sorted in one task.
+    """
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    rows = df.withColumn("__h", h).withColumn("__b", F.shiftright("__h", 22))
+    sizes = rows.groupBy(*by, "__b").agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    starts = sizes.select(*by, "__b", F.coalesce(F.sum("__c").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"), F.sum("__c").over(w).alias(total))
+    at = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__h", key))
+    return rows.withColumn(out, at).join(starts, [*by, "__b"]).withColumn(out, F.col(out) + F.col("__start")).drop("__h", "__b", "__start")

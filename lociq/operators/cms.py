@@ -7,11 +7,17 @@ double; a missing value adds nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociq.functions.binning import empirical_p, right_closed_bin
+from lociq.operators import features
+
 TINY = 2.2250738585072014e-308
 CLASSES = ("neut", "sweep_low", "sweep_mid", "sweep_high")
+#: Statistics that a composite can use, the default ones, and those whose size counts without its sign.
+STATISTICS = ("ihs", "delta_ihh", "nsl", "isafe", "dind", "high_freq", "low_freq", "s_ratio", "hapdaf_o", "hapdaf_s")
+DEFAULT, FOLDED = ("ihs", "delta_ihh", "dind", "hapdaf_o"), ("ihs",)
 
 
 def frequency_class(f: Column, low: float = 0.35, high: float = 0.65) -> Column:
@@ -52,3 +58,70 @@ def score(sites: DataFrame, table: DataFrame, ends: DataFrame, keys: list[str],
     clamped = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col("log_bf")))
     e = F.exp(clamped)
     return out.withColumn("posterior", e / (e + (1 - F.col("__prior")) / F.col("__prior"))).drop("__prior")
+
+
+# ---- from site statistics to scores
+
+
+def folded(values: DataFrame, names: tuple[str, ...] = FOLDED) -> DataFrame:
+    """Long values with the sign of some statistics taken away."""
+    return values.withColumn("value", F.when(F.col("stat").isin(*names), F.abs("value")).otherwise(F.col("value")))
+
+
+def training_values(sites: DataFrame, parameters: DataFrame, length: int | None = None, margin: float = 0.0, rate_breaks: list[float] | None = None) -> DataFrame:
+    """Long (iter, pos, daf, stat, value) with the class of its site: neutral replicates, or the frequency's class in sweeps.
+
+    ``parameters`` (iter, model, r).  ``margin`` of the locus is left out at each end;
+    ``rate_breaks`` (cM / Mb) add r_bin from the replicate's rate per base.
+    """
+    x = sites if length is None else sites.filter(F.col("pos").between(length * margin, length * (1 - margin)))
+    x = x.join(parameters, "iter")
+    out = x.withColumn("class", F.when(F.col("model").contains("neutral"), "neut").otherwise(frequency_class(F.col("daf"))))
+    return out if rate_breaks is None else out.withColumn("r_bin", right_closed_bin(F.col("r") * 1e8, rate_breaks))
+
+
+def rate_bins(sites: DataFrame, rate_map: DataFrame, breaks: list[float], width: int = 100_000) -> DataFrame:
+    """Sites (chr, pos, ...) with the r_bin of the nearest window of a grid of ``width`` bases.
+
+    A window's rate is the difference of the map's cM (chr, end, cm) at its ends, for a megabase.
+    """
+    span = sites.groupBy("chr").agg(F.greatest(F.lit(0), F.floor(F.min("pos") / F.lit(width)) - 1).alias("a"), (F.floor(F.max("pos") / F.lit(width)) + 1).alias("b"))
+    grid = span.select("chr", F.explode(F.sequence("a", "b")).alias("k")).select("chr", (F.col("k") * width).alias("start"), ((F.col("k") + 1) * width).alias("end"))
+    from lociq.operators.intervals import interpolate
+
+    ends = grid.select("chr", "start", F.explode(F.array("start", "end")).alias("at"))
+    cm = interpolate(ends, rate_map, "at", "end", "cm", ["chr"], "cm_at")
+    rates = cm.groupBy("chr", "start").agg(((F.max("cm_at") - F.min("cm_at")) / (width / 1e6)).alias("cm_mb")).withColumn("end", F.col("start") + width)
+    return features.rate_of_sites(sites, rates, "nearest_center", width).withColumn("r_bin", right_closed_bin(F.col("cm_mb"), breaks))
+
+
+def checked(names: list[str] | tuple[str, ...]) -> list[str]:
+    unknown = [n for n in names if n not in STATISTICS]
+    if unknown:
+        raise ValueError(f"no composite statistic: {', '.join(unknown)}; known: {', '.join(STATISTICS)}")
+    return list(names)
+
+
+def composite(training: DataFrame, sites: DataFrame, names: list[str] | None = None, prior: float = 0.5, bins: int = 60, strata: list[str] = ()) -> DataFrame:
+    """region, pos, daf, log_bf, cms (posterior) and cms_rank (the share of sites of a larger log_bf) of all sites.
+
+    ``training`` (stat, class, value, strata), ``sites`` (region, pos, daf, stat, value, strata).
+    """
+    names = checked(names or DEFAULT)
+    train, test = (folded(d.filter(F.col("stat").isin(*names))) for d in (training, sites))
+    ends = edges(train)
+    table = tables(train, ends, bins, list(strata))
+    out = score(test, table, ends, ["region", "pos", "daf"], F.lit(prior), bins, list(strata)).withColumnRenamed("posterior", "cms")
+    return empirical_p(out.withColumn("log_bf", F.round("log_bf", 9)), "log_bf", "cms_rank", least=True)
+
+
+def composite_local(training: DataFrame, sites: DataFrame, regions: DataFrame, names: list[str] | None = None, bins: int = 60, strata: list[str] = (), width: int = 1_000_000) -> DataFrame:
+    """Sites of candidate regions (region, chrom, start, end), each with a prior of 1 / sites of its region, ranked within it."""
+    from lociq.operators.intervals import range_join
+
+    held = range_join(sites.drop("region"), regions, "pos", "start", "end", width, ["chrom"])
+    n = held.groupBy("region").agg(F.count_distinct("pos").alias("n_sites"))
+    out = composite(training, held, names, 0.5, bins, strata).drop("cms", "cms_rank").join(n, "region")
+    e = F.exp(F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col("log_bf"))))
+    out = out.withColumn("cms", e / (e + F.col("n_sites") - 1))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy(F.col("cms").desc(), "pos"))).drop("n_sites")  # a region's sites

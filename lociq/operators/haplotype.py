@@ -60,6 +60,24 @@ def haf_top(sa: DataFrame, by: list[str], cutoff: float = 0.1) -> DataFrame:
     return r.filter(F.col("r") >= F.floor(F.col("m") * F.lit(1 - cutoff))).groupBy(*by).agg(F.round(F.coalesce(F.sum("haf"), F.lit(0.0)), 6).alias("haf_top"))
 
 
+def haf_top_region(sa: DataFrame, cutoff: float = 0.1, start: int | None = None, stop: int | None = None, width: int | None = None, n_sites: int | None = None, center: int = 600_000) -> DataFrame:
+    """``haf_top`` of each chromosome's sites from ``start`` to ``stop``, or of ``width`` bases or ``n_sites`` sites around ``center``; of all without any.
+
+    Of sites equally near to the centre the first is the middle.  A cutoff that is no
+    share of the haplotypes takes them all.
+    """
+    if start is not None or stop is not None:
+        sa = sa.filter(F.col("pos").between(start, stop))
+    elif width is not None:
+        sa = sa.filter(F.abs(F.col("pos") - center) <= width // 2)
+    elif n_sites is not None:
+        o = numbered(sa.select("chrom", "pos", "site").distinct(), ["chrom"], ["pos", "site"], "__o")
+        middle = o.groupBy("chrom").agg(F.min_by("__o", F.struct(F.abs(F.col("pos") - center), "__o")).alias("__m"))
+        near = o.join(middle, "chrom").filter(F.col("__o").between(F.col("__m") - n_sites // 2, F.col("__m") + n_sites // 2))
+        sa = sa.join(near.select("chrom", "pos", "site"), ["chrom", "pos", "site"], "left_semi")
+    return haf_top(sa, ["chrom"], cutoff if 0 < cutoff < 1 else 1.0)
+
+
 def pairwise_moments(sa: DataFrame, by: list[str], width: float = 1.0) -> DataFrame:
     """Variance (ddof 1), skewness and excess kurtosis of the haplotypes' pairwise differences / width."""
     h = sa.groupBy(*by, "hap").agg(bits(in_order("site")).alias("x"))
@@ -109,8 +127,12 @@ def focal_pairs(sa: DataFrame, reach: int, low: float = 0.25, high: float = 0.95
     of the neighbour among them; k of n: all its derived alleles.  Both sides are
     bucketed by position, so only nearby sites meet.
     """
+    return packed_focal_pairs(sa.groupBy("chrom", "pos", "k", "n", "daf").agg(bits(in_order("hap")).alias("x")), reach, low, high)
+
+
+def packed_focal_pairs(s: DataFrame, reach: int, low: float = 0.25, high: float = 0.95) -> DataFrame:
+    """``focal_pairs`` of sites (chrom, pos, k, n, daf) with their packed alleles x."""
     width = max(1, reach)
-    s = sa.groupBy("chrom", "pos", "k", "n", "daf").agg(bits(in_order("hap")).alias("x"))
     b = F.explode(F.sequence(F.floor((F.col("fpos") - reach) / width), F.floor((F.col("fpos") + reach) / width)))
     focal = s.filter(F.col("daf").between(low, high)).select("chrom", F.col("pos").alias("fpos"), F.col("k").alias("n_d"), (F.col("n") - F.col("k")).alias("n_a"), F.col("x").alias("fx")).withColumn("b", b)
     pairs = focal.join(s.drop("daf").withColumn("b", F.floor(F.col("pos") / width)), ["chrom", "b"]).filter((F.abs(F.col("pos") - F.col("fpos")) <= reach) & (F.col("pos") != F.col("fpos")))

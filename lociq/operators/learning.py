@@ -15,6 +15,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociq.functions.binning import hash_number
+
 
 def hashed(text: Column) -> Column:
     """A number of 32 bits from a text, the same in any engine."""
@@ -27,6 +29,68 @@ def split(df: DataFrame, key: str, shares: tuple[float, float, float] = (0.8, 0.
     return df.withColumn("part", F.when(u < shares[0], "train").when(u < shares[0] + shares[1], "validation").otherwise("test"))
 
 
+def stratified_split(df: DataFrame, key: str, label: str, shares: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:
+    """``part`` with these shares of every label, to a row: rows are numbered by hash within their label."""
+    n = hash_number(df, [label], key, seed, "__n", "__all")
+    u = (F.col("__n") - 0.5) / F.col("__all")
+    return n.withColumn("part", F.when(u < shares[0], "train").when(u < shares[0] + shares[1], "validation").otherwise("test")).drop("__n", "__all")
+
+
+def drop_neutral(df: DataFrame, model: str = "model") -> DataFrame:
+    """Rows of sweeps alone, for regressors: neutral rows carry no measurements.  A table without the column passes; none left is an error."""
+    if model not in df.columns:
+        return df
+    out = df.filter(~F.col(model).contains("neutral"))
+    if not out.limit(1).count():
+        raise ValueError("all rows are neutral: take the windows that a classifier called sweeps, or drop the column")
+    return out
+
+
+def binary_label(model: Column) -> Column:
+    """0 for neutral, 1 for any other model."""
+    return F.when(model.contains("neutral"), F.lit(0)).otherwise(F.lit(1))
+
+
+def encoded_target(s: Column) -> Column:
+    """-log(s) of sweeps; 0 stays."""
+    return F.when(s > 0, -F.log(s)).otherwise(s.cast("double"))
+
+
+def decoded_target(s: Column, natural: bool = True) -> Column:
+    return F.exp(-s) if natural else s
+
+
+def scaled_targets(df: DataFrame, targets: list[str]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """Targets as standard scores, and (mean, sd) of each to go back: one small aggregate."""
+    m = df.agg(*(x for c in targets for x in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s")))).first()
+    scaling = {c: (m[f"{c}_m"], m[f"{c}_s"] or 1.0) for c in targets}
+    return df.withColumns({c: (F.col(c) - a) / b for c, (a, b) in scaling.items()}), scaling
+
+
+def unscaled(df: DataFrame, scaling: dict[str, tuple[float, float]]) -> DataFrame:
+    return df.withColumns({c: F.col(c) * b + a for c, (a, b) in scaling.items() if c in df.columns})
+
+
+def flipped(df: DataFrame, centers: list[int]) -> DataFrame:
+    """Feature columns {stat}_{window}_{center} with the centres in opposite order, for training on both sides of a sweep."""
+    opposite = dict(zip(map(str, sorted(centers)), map(str, sorted(centers, reverse=True)), strict=True))
+
+    def source(c: str) -> str:
+        stem, _, center = c.rpartition("_")
+        return f"{stem}_{opposite[center]}" if center in opposite and f"{stem}_{opposite[center]}" in df.columns else c
+
+    return df.select(*(F.col(source(c)).alias(c) for c in df.columns))
+
+
+def with_regions(df: DataFrame) -> DataFrame:
+    """Predictions with chr, start and end of their region (iter: chr:start-end), by chromosome and position."""
+    part = lambda k, t: F.regexp_extract("iter", r"^(?:chr)?([^:]+):(\d+)-(\d+)$", k).try_cast(t)
+    out = df.select(part(1, "string").alias("chr"), part(2, "bigint").alias("start"), part(3, "bigint").alias("end"), *df.columns)
+    n = F.col("chr")
+    order = F.when(n == "X", 23).when(n == "Y", 24).when(n.isin("M", "MT"), 25).otherwise(n.try_cast("int"))
+    return out.orderBy(order.asc_nulls_last(), "chr", "start", "end")
+
+
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / (sd + 1e-7), population moments."""
     m = df.agg(*(x for c in columns for x in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s"))))
@@ -62,7 +126,7 @@ def predictions(model, df: DataFrame) -> DataFrame:
 
 
 def metrics(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Accuracy, precision, recall, Brier score and ROC-AUC (by ranks of distinct scores), in one row."""
+    """Accuracy, precision, recall, Brier score, ROC-AUC and PR-AUC (average precision, by distinct scores), in one row."""
     s, y = F.col(score), F.col(label)
     hit = s >= 0.5
     counts = df.groupBy(s.alias("__s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
@@ -70,6 +134,13 @@ def metrics(df: DataFrame, score: str = "score", label: str = "label") -> DataFr
     starts = ordered.groupBy("part").agg(F.sum("n").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     upto = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = ordered.withColumn("less", upto).join(F.broadcast(starts), "part")
+    # precision and recall at each distinct score, from the highest down
+    above = ranked.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    hits = ordered.groupBy("part").agg(F.sum("p").alias("tp")).withColumn("hits_before", F.coalesce(F.sum("tp").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a range
+    steps = ranked.join(F.broadcast(hits), "part").crossJoin(F.broadcast(above))
+    inside = F.coalesce(F.sum("p").over(Window.partitionBy("part").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = steps.withColumn("tp_up", F.col("all_p") - F.col("hits_before") - inside).withColumn("fp_up", F.col("all_n") - F.col("before") - F.col("less"))
+    pr = steps.agg(F.try_divide(F.sum(F.col("p") * F.col("tp_up") / (F.col("tp_up") + F.col("fp_up"))), F.max("all_p")).alias("pr_auc"))
     auc = ranked.agg(F.try_divide(F.sum(F.col("p") * (F.col("before") + F.col("less") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
     one = df.agg(
         F.count("*").alias("n"),
@@ -78,7 +149,7 @@ def metrics(df: DataFrame, score: str = "score", label: str = "label") -> DataFr
         F.try_divide(F.sum((hit & (y == 1)).cast("int")), F.sum((y == 1).cast("int"))).alias("recall"),
         F.avg(F.pow(s - y, 2)).alias("brier"),
     )
-    return one.crossJoin(F.broadcast(auc))  # one row each
+    return one.crossJoin(F.broadcast(auc)).crossJoin(F.broadcast(pr))  # one row each
 
 
 def confusion(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -86,9 +157,9 @@ def confusion(df: DataFrame, score: str = "score", label: str = "label") -> Data
     return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("truth")))
 
 
-def calibration(df: DataFrame, score: str = "score", label: str = "label", bins: int = 10) -> DataFrame:
-    """Mean score and observed share in quantile bins."""
-    q = df.agg(F.percentile(score, F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("q"))
+def calibration(df: DataFrame, score: str = "score", label: str = "label", bins: int = 10, accuracy: int = 1_000_000) -> DataFrame:
+    """Mean score and observed share in quantile bins; edges are scores of a rank that is off by 1 / accuracy of the rows at most."""
+    q = df.agg(F.percentile_approx(score, F.array(*(F.lit(k / bins) for k in range(1, bins))), accuracy).alias("q"))
     b = df.crossJoin(F.broadcast(q)).withColumn("bin", F.size(F.filter("q", lambda e: F.col(score) > e)))  # one row of edges
     return b.groupBy("bin").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(label).alias("observed"))
 

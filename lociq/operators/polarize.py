@@ -243,6 +243,42 @@ class Polarizer:
         return x.withColumn("ancestral", F.when(F.col("p_major_ancestral") >= 0.5, major_is).otherwise(minor_is))
 
 
+def variants_in_blocks(variants: DataFrame, blocks: DataFrame, outgroups: list[str], width: int = 100_000) -> DataFrame:
+    """Variants (chrom, pos, ...) with the aligned base of each outgroup, from blocks (``readers.maf_blocks``) that hold their position.
+
+    A block spans [start + 1, start + size] of its first sequence.  Variants and blocks
+    meet by bucket, so neither side must be sorted; a variant in two blocks takes the
+    first.  Bases other than A, C, G, T, and outgroups that a block lacks, are N.
+    """
+    from lociq.operators.intervals import range_join
+
+    ref = F.element_at("sequences", 1)
+    own = lambda name: F.get(F.filter("sequences", lambda s: F.substring_index(s["src"], ".", 1) == name), F.lit(0))["text"]
+    b = blocks.filter(F.size("sequences") > 0).select("block", ref["contig"].alias("chrom"), (ref["start"] + 1).alias("__lo"), (ref["start"] + ref["size"]).alias("__hi"), ref["text"].alias("__ref"), *(own(o).alias(f"__t_{o}") for o in outgroups))
+    hit = range_join(variants, b, "pos", "__lo", "__hi", width, ["chrom"])
+    first = hit.groupBy("chrom", "pos").agg(F.min("block").alias("block"))
+    hit = hit.join(first, ["chrom", "pos", "block"])
+    # the column of the (pos - lo + 1)-th base of the reference row
+    bases = F.filter(F.sequence(F.lit(1), F.length("__ref")), lambda i: F.substring("__ref", i, F.lit(1)) != "-")
+    at = F.element_at(bases, (F.col("pos") - F.col("__lo") + 1).cast("int"))
+    letter = lambda o: F.upper(F.substring(f"__t_{o}", F.col("__at"), F.lit(1)))
+    hit = hit.withColumn("__at", at)
+    return hit.select(*variants.columns, *(F.when(letter(o).isin(*BASES), letter(o)).otherwise(F.lit("N")).alias(o) for o in outgroups))
+
+
+def refuse(variants: DataFrame, blocks: DataFrame) -> None:
+    """Inputs that would polarise nothing, or by the wrong sequence, are errors: contigs without alignment, or several against one."""
+    ref = F.element_at("sequences", 1)["contig"]
+    theirs = {r["c"] for r in blocks.select(ref.alias("c")).distinct().limit(10_000).collect()}  # contigs
+    mine = {r["chrom"] for r in variants.select("chrom").distinct().limit(10_000).collect()}
+    if not theirs or not mine:
+        raise ValueError("no variants or no alignment blocks")
+    if len(theirs) == len(mine) == 1 and theirs != mine:
+        raise ValueError(f"the contig is {theirs.pop()!r} in the alignment and {mine.pop()!r} in the variants")
+    if mine - theirs:
+        raise ValueError(f"contigs without alignment: {', '.join(sorted(map(str, mine - theirs))[:5])}")
+
+
 def alignment_columns(blocks: DataFrame) -> DataFrame:
     """Bases of alignment blocks by reference position: ref_start + number of earlier bases of the reference row.
 

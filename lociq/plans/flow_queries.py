@@ -213,21 +213,27 @@ def shuffle_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _gene_table(spark, sf_dir)
     targets, controls = g.filter("target").select("gene"), _controls(spark, sf_dir)
     real = enrichment.count_sweeps(g, targets, controls, CUTS)
-    moved = enrichment.shuffle_genome(g, 8, 2)
-    r = moved.withColumn("cut", F.explode(F.filter(F.array(*map(F.lit, CUTS)), lambda c: F.col("rank") <= c)))
-    n_samples = controls.select("sample").distinct().count()
-    vip = targets.join(r, "gene").groupBy("replicate", "cut").agg(F.count("*").alias("vip"))
-    ctl = controls.join(r, "gene").groupBy("replicate", "cut").agg((F.count("*") / n_samples).alias("control_mean"))
-    null = ctl.join(vip, ["replicate", "cut"], "left").withColumn("vip", F.coalesce("vip", F.lit(0)))
+    moved = enrichment.shuffle_genome(g, 8, 2, strong=100)
+    null = None
+    for r in range(8):
+        one = enrichment.count_sweeps(moved.filter(F.col("replicate") == r), targets, controls, CUTS).withColumn("replicate", F.lit(r))
+        null = one if null is None else null.unionByName(one)
     return enrichment.false_discovery(real, null)
 
 
+def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control sets drawn as pairs; one factor is free."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("gene"), F.col("p_size").cast("double").alias("size"), "p_retailprice", (F.col("p_partkey") % 7).cast("double").alias("free"))
+    targets = p.filter("size between 20 and 24")
+    return enrichment.matched_pairs(p.filter("size not between 20 and 24"), targets, ["size", "p_retailprice", "free"], 2, 2, 5, free=["free"])
+
+
 def matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("gene"), F.col("p_size").cast("double").alias("size"), "p_retailprice")
     return enrichment.matched_controls(p.filter("size > 5"), p.filter("size <= 5"), ["size", "p_retailprice"], 10, 100)
 
 
-QUERIES = {f.__name__: f for f in (feature_vectors, feature_unpivot, sparse_filtered, window_normalised, assembled_statistics, site_cut_means, rate_strata_scores, recombination_bins, control_intervals, histogram_mass, rate_correlation, equal_count_bins, sweep_taxonomy, threshold_chain, empirical_ranks, top_k_per_window, argmax_per_window, plot_data, cms_tables, cms_score, cms_local, sweep_counts, sweep_counts_by_group, shuffle_fdr, matched_controls)}
+QUERIES = {f.__name__: f for f in (feature_vectors, feature_unpivot, sparse_filtered, window_normalised, assembled_statistics, site_cut_means, rate_strata_scores, recombination_bins, control_intervals, histogram_mass, rate_correlation, equal_count_bins, sweep_taxonomy, threshold_chain, empirical_ranks, top_k_per_window, argmax_per_window, plot_data, cms_tables, cms_score, cms_local, sweep_counts, sweep_counts_by_group, shuffle_fdr, matched_controls, matched_pairs)}
 _PIVOT = ", ".join(f"max({s}) FILTER (center = {c}) AS {s}_{WIDTH}_{c}" for c in CENTERS for s in STATS)
 _R = "c AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY o_custkey), r AS (SELECT *, rank() OVER (PARTITION BY o_custkey % 5 ORDER BY v DESC) AS rank FROM c)"
 _G = "g AS (SELECT p_brand AS chrom, p_partkey AS gene, 1 + (p_partkey * 7919) % 2003 AS rank, p_size <= 5 AS target FROM part), cuts AS (SELECT * FROM (VALUES (250), (200), (100), (50), (20)) c(cut))"
@@ -264,6 +270,11 @@ ORACLES = {
         f AS (SELECT b.chrom, b.site, sum(ln(t1.pmf) - ln(t0.pmf)) AS bf FROM b JOIN tab t0 ON t0.stat = b.stat AND t0.bin = b.bin AND t0.class = 'neut' JOIN tab t1 ON t1.stat = b.stat AND t1.bin = b.bin AND t1.class = b.fc GROUP BY ALL),
         p AS (SELECT chrom, site, round(exp(greatest(-500, least(500, bf))) / (exp(greatest(-500, least(500, bf))) + count(*) OVER (PARTITION BY chrom) - 1), 6) AS posterior FROM f)
         SELECT *, CAST(row_number() OVER (PARTITION BY chrom ORDER BY posterior DESC, site) AS INT) AS rank FROM p""",
+    "shuffle_fdr": f"""WITH {_G}, c AS (SELECT l_orderkey % 40 AS sample, l_partkey AS gene FROM lineitem), o AS (SELECT gene, rank, row_number() OVER (ORDER BY chrom, gene) - 1 AS i, count(*) OVER () AS n FROM g), k AS (SELECT a.i FROM o a JOIN o b ON b.i = a.i - 1 WHERE a.i % 2 = 0 AND NOT (a.rank <= 100 AND b.rank <= 100) UNION ALL SELECT 0),
+        s AS (SELECT row_number() OVER (ORDER BY i) AS seg, i AS a, coalesce(lead(i) OVER (ORDER BY i), (SELECT max(n) FROM o)) AS b FROM k), r AS (SELECT r AS replicate, a, b, md5('7|' || r || '|' || seg) AS h FROM s, range(0, 8) t(r)), t AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY replicate ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z FROM r),
+        m AS (SELECT replicate, z + i - a AS place, CASE WHEN h[1] < '8' THEN n - 1 - i ELSE i END AS src FROM t JOIN o ON i >= a AND i < b), x AS (SELECT replicate, p.gene, q.rank FROM m JOIN o p ON p.i = place JOIN o q ON q.i = src UNION ALL SELECT -1, gene, rank FROM g),
+        v AS (SELECT replicate, count(*) AS vip FROM x JOIN g USING (gene), cuts WHERE target AND x.rank <= cut GROUP BY ALL), w AS (SELECT replicate, sum(mean) AS mean FROM (SELECT replicate, cut, round(CAST(count(*) AS DOUBLE) / (SELECT count(DISTINCT sample) FROM c), 6) AS mean FROM c JOIN x USING (gene), cuts WHERE x.rank <= cut GROUP BY ALL) GROUP BY replicate),
+        d AS (SELECT replicate, coalesce(vip, 0) - mean AS stat FROM w LEFT JOIN v USING (replicate)) SELECT round((SELECT stat FROM d WHERE replicate = -1), 6) AS statistic, round(avg(CASE WHEN round(stat, 9) >= (SELECT round(stat, 9) FROM d WHERE replicate = -1) THEN 1 ELSE 0 END), 6) AS fdr FROM d WHERE replicate >= 0""",
     "sweep_counts": f"""WITH {_G}, v AS (SELECT cut, count(*) AS vip FROM g, cuts WHERE target AND rank <= cut GROUP BY cut), c AS (SELECT l_orderkey % 40 AS sample, l_partkey AS gene FROM lineitem),
         n0 AS (SELECT sample, cut, count(*) AS n FROM c JOIN g USING (gene), cuts WHERE rank <= cut GROUP BY ALL), n AS (SELECT s.sample, cuts.cut, coalesce(n, 0) AS n FROM (SELECT DISTINCT sample FROM c) s CROSS JOIN cuts LEFT JOIN n0 ON n0.sample = s.sample AND n0.cut = cuts.cut)
         SELECT n.cut, coalesce(max(vip), 0) AS vip, round(avg(n), 6) AS control_mean, round(quantile_cont(n, 0.025), 6) AS control_low, round(quantile_cont(n, 0.975), 6) AS control_high, round((coalesce(max(vip), 0) + 0.1::DOUBLE) / (avg(n) + 0.1::DOUBLE), 6) AS ratio, round(avg(CASE WHEN n > coalesce(vip, 0) THEN 1 ELSE 0 END), 6) AS p FROM n LEFT JOIN v USING (cut) GROUP BY n.cut""",

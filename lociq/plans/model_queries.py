@@ -67,7 +67,7 @@ _SCORES = "s AS (SELECT doc_id, quality AS label, round(1 / (1 + exp(-(ln(CAST(n
 
 def classifier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = learning.metrics(_scores(spark, sf_dir))
-    return m.select("n", *(F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "brier", "auc")))
+    return m.select("n", *(F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "brier", "auc", "pr_auc")))
 
 
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,10 @@ def data_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.split(_scores(spark, sf_dir), "doc_id").groupBy("part", "label").agg(F.count("*").alias("n"))
 
 
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.stratified_split(_scores(spark, sf_dir), "doc_id", "label").select("doc_id", "label", "part")
+
+
 def standardised_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = learning.standardised(_scores(spark, sf_dir).select("doc_id", "x1", "x2"), ["x1", "x2"])
     return z.select("doc_id", F.round("x1", 5).alias("x1"), F.round("x2", 5).alias("x2"))
@@ -130,7 +134,7 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.run_available(spark, windows.sliding(source), f"{base}/out", f"{base}/state").withColumn("total", F.round("total", 4))
 
 
-QUERIES = {f.__name__: f for f in (parsimony, outgroup_configurations, ancestral_posteriors, alignment_columns, classifier_metrics, confusion_matrix, calibration_curve, data_split, standardised_features, sweep_classifier, feature_importance, calibrated_scores, selection_regressor, principal_components, sliding_events, streamed_events)}
+QUERIES = {f.__name__: f for f in (parsimony, outgroup_configurations, ancestral_posteriors, alignment_columns, classifier_metrics, confusion_matrix, calibration_curve, data_split, stratified_split, standardised_features, sweep_classifier, feature_importance, calibrated_scores, selection_regressor, principal_components, sliding_events, streamed_events)}
 _SLIDING = "SELECT s AS start, s + INTERVAL 2 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, ts, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY ALL"
 _CODE = lambda c: f"CASE {c} WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE -1 END"
 ORACLES = {
@@ -140,11 +144,14 @@ ORACLES = {
     "alignment_columns": """WITH p AS (SELECT p_partkey AS block, p_partkey * 1000 AS s, translate(lower(p_name), ' #_', '---') AS r FROM part), c AS (SELECT block, s, i, r[i] AS ref, translate(r, 'e', '-')[i] AS o FROM p, range(1, 200) t(i) WHERE i <= length(r)),
         w AS (SELECT *, sum(CASE WHEN ref = '-' THEN 0 ELSE 1 END) OVER (PARTITION BY block ORDER BY i) AS b FROM c)
         SELECT block, CAST(s + b - 1 AS BIGINT) AS pos, upper(ref) AS ref, CASE WHEN upper(o) IN ('A', 'C', 'G', 'T') THEN upper(o) ELSE 'N' END AS base FROM w WHERE ref <> '-'""",
-    "classifier_metrics": f"""WITH {_SCORES}, r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS rk FROM s)
+    "data_split": f"WITH {_SCORES}, u AS (SELECT label, CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:8] AS BIGINT) % 10000 / 10000.0::DOUBLE AS u FROM s) SELECT CASE WHEN u < 0.8::DOUBLE THEN 'train' WHEN u < 0.9::DOUBLE THEN 'validation' ELSE 'test' END AS part, label, count(*) AS n FROM u GROUP BY ALL",
+    "stratified_split": f"""WITH {_SCORES}, u AS (SELECT doc_id, label, (row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || md5('42|' || doc_id)[1:8] AS BIGINT), doc_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY label) AS u FROM s)
+        SELECT doc_id, label, CASE WHEN u < 0.8::DOUBLE THEN 'train' WHEN u < 0.8::DOUBLE + 0.1::DOUBLE THEN 'validation' ELSE 'test' END AS part FROM u""",
+    "classifier_metrics": f"""WITH {_SCORES}, d AS (SELECT score, sum(label) AS p, sum(1 - label) AS n FROM s GROUP BY score), e AS (SELECT p, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS total FROM d WINDOW w AS (ORDER BY score DESC)), pr AS (SELECT sum(CAST(p AS DOUBLE) * tp / (tp + fp)) / max(total) AS pr_auc FROM e), r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS rk FROM s)
         SELECT count(*) AS n, round(avg(CASE WHEN (score >= 0.5) = (label = 1) THEN 1 ELSE 0 END), 6) AS accuracy, round(CAST(count(*) FILTER (score >= 0.5 AND label = 1) AS DOUBLE) / count(*) FILTER (score >= 0.5), 6) AS precision, round(CAST(count(*) FILTER (score >= 0.5 AND label = 1) AS DOUBLE) / count(*) FILTER (label = 1), 6) AS recall, round(avg((score - label) ** 2), 6) AS brier,
-        round((sum(rk) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) AS auc FROM r""",
+        round((sum(rk) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) AS auc, round(max(pr_auc), 6) AS pr_auc FROM r, pr""",
     "confusion_matrix": f"WITH {_SCORES}, c AS (SELECT label AS truth, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS predicted, count(*) AS n FROM s GROUP BY ALL) SELECT *, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY truth), 6) AS share FROM c",
-    "calibration_curve": f"WITH {_SCORES}, q AS (SELECT quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM s) SELECT CAST(len(list_filter(q, lambda e: score > e)) AS INT) AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS observed FROM s, q GROUP BY ALL",
+    "calibration_curve": f"WITH {_SCORES}, q AS (SELECT quantile_disc(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM s) SELECT CAST(len(list_filter(q, lambda e: score > e)) AS INT) AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS observed FROM s, q GROUP BY ALL",
     "standardised_features": "WITH s AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS x1, CAST(doc_id % 17 AS DOUBLE) AS x2 FROM labels JOIN documents USING (doc_id)) SELECT doc_id, round((x1 - avg(x1) OVER ()) / (stddev_pop(x1) OVER () + 1e-7), 5) AS x1, round((x2 - avg(x2) OVER ()) / (stddev_pop(x2) OVER () + 1e-7), 5) AS x2 FROM s",
     "sliding_events": _SLIDING,
     "streamed_events": f"SELECT * FROM ({_SLIDING}) WHERE \"end\" <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",

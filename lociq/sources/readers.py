@@ -31,9 +31,15 @@ def chromosome_order(c: Column) -> Column:
     return F.when(n == "X", 23).when(n == "Y", 24).when(n.isin("M", "MT"), 25).otherwise(n.try_cast("int"))
 
 
-def vcf_records(spark: SparkSession, path: str) -> DataFrame:
-    """Data lines: chrom, pos, ref, alt, ac, an, af, gt (array of allele numbers, -1 missing), in file order by ``line``."""
+def vcf_records(spark: SparkSession, path: str, chrom: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Data lines: chrom, pos, ref, alt, ac, an, af, gt (array of allele numbers, -1 missing), in file order by ``line``.
+
+    Lines outside a region go by their first two fields, before anything else is parsed.
+    """
     lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).filter(~F.col("value").startswith("#"))
+    place = F.substring_index(F.substring_index("value", "\t", 2), "\t", -1).try_cast("bigint")
+    for wanted in ([chromosome(F.substring_index("value", "\t", 1)) == re.sub("^chr", "", chrom)] if chrom else []) + ([place >= start] if start else []) + ([place <= end] if end else []):
+        lines = lines.filter(wanted)
     f = F.split("value", "\t")
     at = lambda k: F.get(f, F.lit(k))  # noqa: E731  null beyond the end: filters may run before header lines are gone
     info = lambda k: F.regexp_extract(at(7), rf"(?:^|;){k}=([^;,]+)", 1)
@@ -45,18 +51,36 @@ def vcf_records(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("line", chromosome(at(0)).alias("chrom"), at(1).try_cast("bigint").alias("pos"), at(3).alias("ref"), at(4).alias("alt"), number(info("AC"), "int").alias("ac"), number(info("AN"), "int").alias("an"), number(info("AF"), "double").alias("af"), gt.alias("gt"))
 
 
-def vcf_alleles(records: DataFrame, chrom: str | None = None, start: int | None = None, end: int | None = None, samples: list[int] | None = None, offset: bool = False) -> DataFrame:
-    """Long table of biallelic 0/1 sites of a region; positions from 1 within it if ``offset``."""
+def vcf_sites(records: DataFrame, chrom: str | None = None, start: int | None = None, end: int | None = None, samples: list[int] | None = None, offset: bool = False) -> DataFrame:
+    """Packed biallelic 0/1 sites (chrom, pos, site, alleles) of a region; positions from 1 within it if ``offset``.
+
+    Sites are judged by their arrays, so those that go are never spread to rows.
+    """
     r = records
     for cond in ([F.col("chrom") == chrom] if chrom else []) + ([F.col("pos") >= start] if start else []) + ([F.col("pos") <= end] if end else []):
         r = r.filter(cond)
     if offset and start:
         r = r.withColumn("pos", F.col("pos") - start + 1)
-    x = r.select("chrom", "pos", F.col("line").alias("site"), F.posexplode("gt").alias("hap", "allele"))
-    if samples is not None:
-        x = x.filter(F.floor(F.col("hap") / F.lit(2)).isin(samples))
-    both = x.groupBy("site").agg(F.count_if(F.col("allele") == 0).alias("zeros"), F.count_if(F.col("allele") == 1).alias("ones"), F.count("*").alias("n"))
-    return x.join(both.filter("zeros > 0 and ones > 0 and zeros + ones = n").select("site"), "site", "left_semi")
+    kept = F.col("gt") if samples is None else F.filter("gt", lambda _, k: F.floor(k / F.lit(2)).isin(samples))
+    x = r.select("chrom", "pos", F.col("line").alias("site"), kept.alias("alleles"))
+    zeros, ones = (F.size(F.filter("alleles", lambda a, v=v: a == v)) for v in (0, 1))
+    return x.filter((zeros > 0) & (ones > 0) & (zeros + ones == F.size("alleles")))
+
+
+def vcf_alleles(records: DataFrame, chrom: str | None = None, start: int | None = None, end: int | None = None, samples: list[int] | None = None, offset: bool = False) -> DataFrame:
+    """Long table (chrom, pos, site, hap, allele) of ``vcf_sites``; haplotypes keep their number in the file."""
+    packed = vcf_sites(records, chrom, start, end, samples, offset)
+    long = packed.select("chrom", "pos", "site", F.posexplode("alleles").alias("hap", "allele"))
+    if samples is None:
+        return long
+    numbers = F.array(*(F.lit(2 * s + k) for s in sorted(samples) for k in (0, 1)))
+    return long.withColumn("hap", F.element_at(numbers, F.col("hap") + 1))
+
+
+def autosomes(df: DataFrame, column: str = "chr") -> DataFrame:
+    """Rows of chromosomes 1 to 22, named without prefix."""
+    name = chromosome(F.col(column))
+    return df.withColumn(column, name).filter(name.isin(*(str(k) for k in range(1, 23))))
 
 
 def vcf_contigs(spark: SparkSession, path: str) -> DataFrame:
@@ -131,6 +155,18 @@ def ms_replicates(spark: SparkSession, path: str, length: int = 1_200_000, stric
     return files.mapInPandas(run, "file string, iter long, pos long, alleles array<int>")
 
 
+def discoal_parameters(spark: SparkSession, path: str) -> DataFrame:
+    """file and the sweep's s, t, f_i, f_t from the flags -a, -x, -ws, -we of each file's command line (0 where absent)."""
+    head = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.substring_index("value", "\n", 1).alias("line"))
+    flag = lambda f: F.coalesce(F.regexp_extract("line", rf"(?:^|\s)-{f}\s+(\S+)", 1).try_cast("double"), F.lit(0.0))
+    return head.select("file", flag("a").alias("s"), flag("x").alias("t"), flag("ws").alias("f_i"), flag("we").alias("f_t"))
+
+
+def parameters_of(replicates: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Statistics of replicates with the parameters of their ``iter``: joined by name, never by row order."""
+    return replicates.join(parameters, "iter")
+
+
 def drop_malformed(sites: DataFrame, params: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Replicates that are missing on either side go from both."""
     have = sites.select("iter").distinct()
