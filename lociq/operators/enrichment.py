@@ -24,23 +24,27 @@ def passed_list(rank: Column, cuts: tuple[int, ...]) -> Column:
     return F.array_join(F.filter(F.array(*(F.lit(c) for c in sorted(cuts, reverse=True))), lambda c: rank <= c), ",")
 
 
-def count_sweeps(genes: DataFrame, targets: DataFrame, controls: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
+def count_sweeps(genes: DataFrame, targets: DataFrame, controls: DataFrame, cuts: tuple[int, ...], by: list[str] = ()) -> DataFrame:
     """Per threshold: targets under it, mean and 95 % interval over control sets, ratio, p.
 
     ``genes`` (gene, rank), ``targets`` (gene), ``controls`` (sample, gene) with
-    duplicates that count.  Everything is one aggregate per side.
+    duplicates that count.  ``by`` names columns of ``genes`` (as a shuffle's number) for
+    which all is counted apart.  Everything is one aggregate per side.
     """
     r = genes.withColumn("cut", F.explode(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("rank") <= c)))
-    vip = targets.join(r, "gene").groupBy("cut").agg(F.count("*").alias("vip"))
-    return _summary(vip, controls.join(r, "gene").groupBy("sample", "cut").agg(F.count("*").alias("n")), controls.select("sample").distinct(), cuts)
+    vip = targets.join(r, "gene").groupBy(*by, "cut").agg(F.count("*").alias("vip"))
+    samples = controls.select("sample").distinct()
+    if by:
+        samples = samples.crossJoin(F.broadcast(genes.select(*by).distinct()))  # a few shuffles
+    return _summary(vip, controls.join(r, "gene").groupBy(*by, "sample", "cut").agg(F.count("*").alias("n")), samples, cuts, by)
 
 
-def _summary(vip: DataFrame, counted: DataFrame, samples: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
+def _summary(vip: DataFrame, counted: DataFrame, samples: DataFrame, cuts: tuple[int, ...], by: list[str] = ()) -> DataFrame:
     """Per threshold the targets' number against the distribution over all samples, those without any included."""
     grid = samples.withColumn("cut", F.explode(F.array(*map(F.lit, cuts))))
-    per = grid.join(counted, ["sample", "cut"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    joined = per.join(F.broadcast(vip), "cut", "left").withColumn("vip", F.coalesce("vip", F.lit(0)))  # a row per threshold
-    return joined.groupBy("cut").agg(
+    per = grid.join(counted, [*by, "sample", "cut"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    joined = per.join(F.broadcast(vip), [*by, "cut"], "left").withColumn("vip", F.coalesce("vip", F.lit(0)))  # a row per threshold
+    return joined.groupBy(*by, "cut").agg(
         F.max("vip").alias("vip"),
         F.round(F.avg("n"), 6).alias("control_mean"),
         F.round(F.percentile("n", F.lit(0.025)), 6).alias("control_low"),

@@ -252,7 +252,7 @@ def variants_in_blocks(variants: DataFrame, blocks: DataFrame, outgroups: list[s
     """
     from lociq.operators.intervals import range_join
 
-    ref = F.element_at("sequences", 1)
+    ref = F.get("sequences", F.lit(0))
     own = lambda name: F.get(F.filter("sequences", lambda s: F.substring_index(s["src"], ".", 1) == name), F.lit(0))["text"]
     b = blocks.filter(F.size("sequences") > 0).select("block", ref["contig"].alias("chrom"), (ref["start"] + 1).alias("__lo"), (ref["start"] + ref["size"]).alias("__hi"), ref["text"].alias("__ref"), *(own(o).alias(f"__t_{o}") for o in outgroups))
     hit = range_join(variants, b, "pos", "__lo", "__hi", width, ["chrom"])
@@ -268,7 +268,7 @@ def variants_in_blocks(variants: DataFrame, blocks: DataFrame, outgroups: list[s
 
 def refuse(variants: DataFrame, blocks: DataFrame) -> None:
     """Inputs that would polarise nothing, or by the wrong sequence, are errors: contigs without alignment, or several against one."""
-    ref = F.element_at("sequences", 1)["contig"]
+    ref = F.get("sequences", F.lit(0))["contig"]
     theirs = {r["c"] for r in blocks.select(ref.alias("c")).distinct().limit(10_000).collect()}  # contigs
     mine = {r["chrom"] for r in variants.select("chrom").distinct().limit(10_000).collect()}
     if not theirs or not mine:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lociq.plans import flow_queries, haplotype_queries, interval_queries, model_queries, spectrum_queries, table_queries
+from lociq.plans import flow_queries, haplotype_queries, interval_queries, model_queries, source_queries, spectrum_queries, table_queries
 
-MODULES = (spectrum_queries, haplotype_queries, interval_queries, flow_queries, model_queries, table_queries)
+MODULES = (spectrum_queries, haplotype_queries, interval_queries, flow_queries, model_queries, table_queries, source_queries)
 
 
 def queries() -> dict:

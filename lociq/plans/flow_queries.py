@@ -214,11 +214,7 @@ def shuffle_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets, controls = g.filter("target").select("gene"), _controls(spark, sf_dir)
     real = enrichment.count_sweeps(g, targets, controls, CUTS)
     moved = enrichment.shuffle_genome(g, 8, 2, strong=100)
-    null = None
-    for r in range(8):
-        one = enrichment.count_sweeps(moved.filter(F.col("replicate") == r), targets, controls, CUTS).withColumn("replicate", F.lit(r))
-        null = one if null is None else null.unionByName(one)
-    return enrichment.false_discovery(real, null)
+    return enrichment.false_discovery(real, enrichment.count_sweeps(moved, targets, controls, CUTS, ["replicate"]))
 
 
 def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

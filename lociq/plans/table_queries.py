@@ -23,8 +23,8 @@ def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def least_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of a rate of at least 1.2."""
-    return features.least_rate(_part(spark, sf_dir).select("p_partkey", (F.col("p_retailprice") / 1000).alias("cm_mb")), 1.2)
+    """Windows of a rate of at least 0.95."""
+    return features.least_rate(_part(spark, sf_dir).select("p_partkey", (F.col("p_retailprice") / 1000).alias("cm_mb")), 0.95)
 
 
 def _models(spark, sf_dir):
@@ -75,7 +75,7 @@ def unbiased_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gene_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intersection and differences of two sets of genes."""
     g = _part(spark, sf_dir)
-    a, b = (g.filter(c).select(F.col("p_partkey").alias("gene")) for c in ("p_size <= 20", "p_retailprice > 1400"))
+    a, b = (g.filter(c).select(F.col("p_partkey").alias("gene")) for c in ("p_size <= 20", "p_retailprice > 950"))
     named = lambda d, n: d.select("gene", F.lit(n).alias("part"))
     return named(a.intersect(b), "both").unionByName(named(a.subtract(b), "first")).unionByName(named(b.subtract(a), "second"))
 
@@ -315,14 +315,14 @@ ORACLES = {
     "feature_projection": f"SELECT chrom, {_PROJECT} FROM ({_FV})",
     "reordered_features": f"SELECT * EXCLUDE (chrom), chrom AS r, 'chr' || chrom || ':1000-71000' AS iter FROM ({_FV})",
     "subset_features": f"SELECT chrom AS r, 'chr' || chrom || ':11000-51000' AS iter, " + ", ".join(f"{x}_{WIDTH}_{c}" for x in ("theta_pi", "tajima_d") for c in (20_000, 40_000)) + f" FROM ({_FV})",
-    "least_rate": "SELECT p_partkey, p_retailprice / 1000 AS cm_mb FROM part WHERE p_retailprice / 1000 >= 1.2",
+    "least_rate": "SELECT p_partkey, p_retailprice / 1000 AS cm_mb FROM part WHERE p_retailprice / 1000 >= 0.95::DOUBLE",
     "sweeps_only": "SELECT p_partkey, CASE WHEN p_size <= 35 THEN 'hard_old_complete' ELSE 'soft_young_incomplete' END AS model, 1 AS label, round(-ln(p_size / 100.0::DOUBLE), 6) AS encoded, round(p_size / 100.0::DOUBLE, 6) AS decoded FROM part WHERE p_size > 20",
     "autosomes": "SELECT p_partkey, CAST(p_size AS VARCHAR) AS chr FROM part WHERE p_size <= 22",
     "sampled_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 500",
     "unbiased_moments": f"""WITH {TRACK}, t AS (SELECT chrom, pos // 3600 AS hour, score, avg(score) OVER (PARTITION BY chrom, pos // 3600) AS m FROM track), s AS (SELECT chrom, hour, count(*) AS n, avg((score - m) ** 2) AS m2, avg((score - m) ** 3) AS m3, avg((score - m) ** 4) AS m4 FROM t GROUP BY ALL)
         SELECT chrom, hour, n, round(CASE WHEN n < 4 THEN 0 WHEN m2 < 1e-20 THEN 0 ELSE m2 * n / (n - 1) END, 4) AS var, round(CASE WHEN n < 4 THEN 0 WHEN m2 < 1e-20 THEN NULL ELSE m3 / m2 ** 1.5 * sqrt(CAST(n AS DOUBLE) * (n - 1)) / (n - 2) END, 4) AS skew,
         round(CASE WHEN n < 4 THEN 0 WHEN m2 < 1e-20 THEN NULL ELSE CAST(n - 1 AS DOUBLE) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / m2 ** 2 - 3) + 6) END, 4) AS kurt FROM s""",
-    "gene_sets": "SELECT p_partkey AS gene, CASE WHEN p_size <= 20 AND p_retailprice > 1400 THEN 'both' WHEN p_size <= 20 THEN 'first' ELSE 'second' END AS part FROM part WHERE p_size <= 20 OR p_retailprice > 1400",
+    "gene_sets": "SELECT p_partkey AS gene, CASE WHEN p_size <= 20 AND p_retailprice > 950 THEN 'both' WHEN p_size <= 20 THEN 'first' ELSE 'second' END AS part FROM part WHERE p_size <= 20 OR p_retailprice > 950",
     "genes_outside": "SELECT p_partkey AS gene FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45)",
     "sites_of_set": f"WITH {DENSE} SELECT chrom, pos, k FROM sites WHERE 2 * k BETWEEN n - 10 AND n + 10",
     "beta_with_frequency": f"WITH {DENSE} SELECT a.chrom, a.pos, round(a.daf, 6) AS daf, nullif(count(b.pos), 0) AS sites FROM sites a LEFT JOIN sites b ON a.chrom = b.chrom AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 5000 AND CAST(least(a.k, a.n - a.k) AS DOUBLE) / a.n >= 0.1::DOUBLE GROUP BY ALL",

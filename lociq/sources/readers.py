@@ -63,7 +63,7 @@ def vcf_sites(records: DataFrame, chrom: str | None = None, start: int | None =
         r = r.withColumn("pos", F.col("pos") - start + 1)
     kept = F.col("gt") if samples is None else F.filter("gt", lambda _, k: F.floor(k / F.lit(2)).isin(samples))
     x = r.select("chrom", "pos", F.col("line").alias("site"), kept.alias("alleles"))
-    zeros, ones = (F.size(F.filter("alleles", lambda a, v=v: a == v)) for v in (0, 1))
+    zeros, ones = F.size(F.filter("alleles", lambda a: a == 0)), F.size(F.filter("alleles", lambda a: a == 1))
     return x.filter((zeros > 0) & (ones > 0) & (zeros + ones == F.size("alleles")))
 
 
@@ -191,7 +191,7 @@ def maf_species(blocks: DataFrame) -> DataFrame:
 
 def maf_sorted(blocks: DataFrame, contigs: list[str] | None = None) -> DataFrame:
     """Blocks by contig (a given order first, others by name), reference start, input order."""
-    first = F.element_at("sequences", 1)
+    first = F.get("sequences", F.lit(0))
     rank = F.lit(None).cast("int")
     for k, c in enumerate(contigs or []):
         rank = F.when(first["contig"] == c, k).otherwise(rank)
@@ -200,7 +200,7 @@ def maf_sorted(blocks: DataFrame, contigs: list[str] | None = None) -> DataFrame
 
 def maf_reference(blocks: DataFrame, species: str) -> DataFrame:
     """Reference row and one other row of every block, as ``alignment_columns`` takes them (positions from 1)."""
-    ref = F.element_at("sequences", 1)
+    ref = F.get("sequences", F.lit(0))
     x = blocks.withColumn("o", F.try_element_at(F.filter("sequences", lambda s: F.substring_index(s["src"], ".", 1) == species), F.lit(1)))
     return x.filter("o is not null").select("block", ref["contig"].alias("chrom"), (ref["start"] + 1).alias("ref_start"), ref["text"].alias("ref_text"), F.col("o.text").alias("text"))
 

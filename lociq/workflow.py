@@ -233,8 +233,11 @@ def enrichment_run(genes: DataFrame, ranks: DataFrame, targets: DataFrame, facto
     for pop in enrichment.target_populations(interest, groups):
         placed = enrichment.aligned_ranks(genes.select("chrom", "pos", "gene"), ranks.filter(F.col("pop") == pop).select("gene", "rank"))
         moved = enrichment.shuffle_genome(placed, replicates, segment, seed).checkpoint()
-        for r in range(replicates):
-            one = enrichment.count_modes(moved.filter(F.col("replicate") == r).select("gene", "rank"), targets, controls, cuts, neighbours, mode)
-            one = one.select(F.lit(pop).alias("scope"), F.lit(r).alias("replicate"), "*")
+        if mode == "genes":
+            parts = [enrichment.count_sweeps(moved, targets, controls, cuts, ["replicate"])]
+        else:
+            parts = [enrichment.count_modes(moved.filter(F.col("replicate") == r).select("gene", "rank"), targets, controls, cuts, neighbours, mode).withColumn("replicate", F.lit(r)) for r in range(replicates)]
+        for one in parts:
+            one = one.withColumn("scope", F.lit(pop))
             null = one if null is None else null.unionByName(one)
     return {"counts": counts, "controls": controls, "targets": chosen.select("gene"), "fdr": enrichment.false_discovery(counts, null, p_cutoff)}
