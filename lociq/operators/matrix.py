@@ -28,8 +28,8 @@ def correlation_order(sa: DataFrame) -> DataFrame:
     r = _correlations(sa, "hap", "site")
     total = r.groupBy("chrom", "i").agg(F.round(F.sum("r2"), 9).alias("total"))
     center = total.groupBy("chrom").agg(F.min(F.struct((-F.col("total")).alias("t"), "i")).alias("c")).select("chrom", F.col("c.i").alias("i"))
-    near = r.join(center, ["chrom", "i"]).select("chrom", F.col("j").alias("hap"), F.round("r2", 9).alias("r2"))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("chrom").orderBy(F.col("r2").desc(), "hap")))
+    near = r.join(center, ["chrom", "i"]).select("chrom", F.col("j").alias("hap"), "r2")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("chrom").orderBy(F.round("r2", 9).desc(), "hap")))
 
 
 def correlation_site_order(sa: DataFrame) -> DataFrame:

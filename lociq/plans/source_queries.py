@@ -172,7 +172,7 @@ def polarised_vcf_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _path(spark, "polarised.vcf")
     writers.vcf_text(p.select(F.col("chrom").cast("string").alias("chrom"), "pos", "ref", "alt", "ac", "an", "af", gt.alias("gt")), path)
     r = readers.vcf_records(spark, path)
-    return r.select(F.col("chrom").cast("int").alias("chrom"), "pos", "ref", "alt", "ac", "an", F.round("af", 5).alias("af"), F.aggregate("gt", F.lit(0), lambda s, a: s + a).cast("bigint").alias("ones"))
+    return r.select(F.col("chrom").cast("int").alias("chrom"), "pos", "ref", "alt", "ac", "an", (F.floor(F.col("af") * 100_000 + 0.5) / 100_000).alias("af"), F.aggregate("gt", F.lit(0), lambda s, a: s + a).cast("bigint").alias("ones"))
 
 
 def positions_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
