@@ -69,7 +69,7 @@ def unbiased_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments of the scores of each type and hour of the day, some of few values."""
     t = track(spark, sf_dir).select("chrom", F.floor(F.col("pos") / F.lit(HOUR)).alias("hour"), "score")
     m = features.moments(t, ["chrom", "hour"], "score")
-    return m.select("chrom", "hour", "n", F.round("var", 4).alias("var"), F.round("skew", 4).alias("skew"), F.round("kurt", 4).alias("kurt"))
+    return m.select("chrom", "hour", "n", *((F.round(c, digits) + F.lit(0.0)).alias(c) for c, digits in (("var", 6), ("skew", 4), ("kurt", 4))))  # no -0; a variance of five scores has six digits
 
 
 def gene_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,8 +320,8 @@ ORACLES = {
     "autosomes": "SELECT p_partkey, CAST(p_size AS VARCHAR) AS chr FROM part WHERE p_size <= 22",
     "sampled_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 500",
     "unbiased_moments": f"""WITH {TRACK}, t AS (SELECT chrom, pos // 3600 AS hour, score, avg(score) OVER (PARTITION BY chrom, pos // 3600) AS m FROM track), s AS (SELECT chrom, hour, count(*) AS n, avg((score - m) ** 2) AS m2, avg((score - m) ** 3) AS m3, avg((score - m) ** 4) AS m4 FROM t GROUP BY ALL)
-        SELECT chrom, hour, n, round(CASE WHEN n < 4 THEN 0 WHEN m2 < 1e-20 THEN 0 ELSE m2 * n / (n - 1) END, 4) AS var, round(CASE WHEN n < 4 THEN 0 WHEN m2 < 1e-20 THEN NULL ELSE m3 / m2 ** 1.5 * sqrt(CAST(n AS DOUBLE) * (n - 1)) / (n - 2) END, 4) AS skew,
-        round(CASE WHEN n < 4 THEN 0 WHEN m2 < 1e-20 THEN NULL ELSE CAST(n - 1 AS DOUBLE) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / m2 ** 2 - 3) + 6) END, 4) AS kurt FROM s""",
+        SELECT chrom, hour, n, round(CASE WHEN n < 4 THEN 0 WHEN m2 < 1e-20 THEN 0 ELSE m2 * n / (n - 1) END, 6) + 0::DOUBLE AS var, round(CASE WHEN n < 4 THEN 0 WHEN m2 < 1e-20 THEN NULL ELSE m3 / m2 ** 1.5 * sqrt(CAST(n AS DOUBLE) * (n - 1)) / (n - 2) END, 4) + 0::DOUBLE AS skew,
+        round(CASE WHEN n < 4 THEN 0 WHEN m2 < 1e-20 THEN NULL ELSE CAST(n - 1 AS DOUBLE) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / m2 ** 2 - 3) + 6) END, 4) + 0::DOUBLE AS kurt FROM s""",
     "gene_sets": "SELECT p_partkey AS gene, CASE WHEN p_size <= 20 AND p_retailprice > 950 THEN 'both' WHEN p_size <= 20 THEN 'first' ELSE 'second' END AS part FROM part WHERE p_size <= 20 OR p_retailprice > 950",
     "genes_outside": "SELECT p_partkey AS gene FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45)",
     "sites_of_set": f"WITH {DENSE} SELECT chrom, pos, k FROM sites WHERE 2 * k BETWEEN n - 10 AND n + 10",
