@@ -23,8 +23,8 @@ def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def least_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of a rate of at least 0.95."""
-    return features.least_rate(_part(spark, sf_dir).select("p_partkey", (F.col("p_retailprice") / 1000).alias("cm_mb")), 0.95)
+    """Windows of a rate of at least 0.91."""
+    return features.least_rate(_part(spark, sf_dir).select("p_partkey", (F.col("p_retailprice") / 1000).alias("cm_mb")), 0.91)
 
 
 def _models(spark, sf_dir):
@@ -315,7 +315,7 @@ ORACLES = {
     "feature_projection": f"SELECT chrom, {_PROJECT} FROM ({_FV})",
     "reordered_features": f"SELECT * EXCLUDE (chrom), chrom AS r, 'chr' || chrom || ':1000-71000' AS iter FROM ({_FV})",
     "subset_features": f"SELECT chrom AS r, 'chr' || chrom || ':11000-51000' AS iter, " + ", ".join(f"{x}_{WIDTH}_{c}" for x in ("theta_pi", "tajima_d") for c in (20_000, 40_000)) + f" FROM ({_FV})",
-    "least_rate": "SELECT p_partkey, p_retailprice / 1000 AS cm_mb FROM part WHERE p_retailprice / 1000 >= 0.95::DOUBLE",
+    "least_rate": "SELECT p_partkey, p_retailprice / 1000 AS cm_mb FROM part WHERE p_retailprice / 1000 >= 0.91::DOUBLE",
     "sweeps_only": "SELECT p_partkey, CASE WHEN p_size <= 35 THEN 'hard_old_complete' ELSE 'soft_young_incomplete' END AS model, 1 AS label, round(-ln(p_size / 100.0::DOUBLE), 6) AS encoded, round(p_size / 100.0::DOUBLE, 6) AS decoded FROM part WHERE p_size > 20",
     "autosomes": "SELECT p_partkey, CAST(p_size AS VARCHAR) AS chr FROM part WHERE p_size <= 22",
     "sampled_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 500",
