@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm import byte_bpe, chat, exact_dedup, katz, licenses, minhash, packing, quality, sharding, token_counts
+from lociq.llm import byte_bpe, chat, exact_dedup, katz, licenses, minhash, packing, periodic_runs, quality, sharding, token_counts
 from lociq.llm.common import documents
 
 
@@ -53,8 +53,31 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def repeat_planted(docs: DataFrame) -> DataFrame:
+    """Texts of documents whose id's crc32 is divisible by 10 get a repeating end of words; see op11."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h.alias("h"), F.floor(h / 10).alias("g"))
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)))
+    n = F.size("words")
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    times, more = F.floor((n - a) / p).cast("int"), ((n - a) % p).cast("int")
+    period = F.array_join(F.slice("words", a + 1, p), " ")
+    planted = F.concat_ws(" ", F.slice("words", F.lit(1), a), F.array_repeat(period, times), F.slice("words", a + 1, more))
+    return docs.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(repeat_planted(documents(spark, sf_dir))).drop("text")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("longest.length"), -F.col("longest.less")
+    return found.select("doc_id", "n_runs", (-F.col("longest.back")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_katz, op4_byte_bpe, op5_minhash, op6_sharding, op7_packing, op8_chat, op9_quality_rules, op10_licenses)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_katz, op4_byte_bpe, op5_minhash, op6_sharding, op7_packing, op8_chat, op9_quality_rules, op10_licenses, op11_periodic_runs)}
 
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
