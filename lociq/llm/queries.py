@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm import byte_bpe, chat, exact_dedup, katz, licenses, minhash, packing, periodic_runs, quality, sharding, token_counts
+from lociq.llm import byte_bpe, chat, conversation_repair, exact_dedup, katz, licenses, minhash, packing, periodic_runs, quality, sharding, token_counts
 from lociq.llm.common import documents
 
 
@@ -76,8 +76,28 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", (-F.col("longest.back")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut, repeated or made the user's, as their crc32 says; see op12."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.crc32(F.concat(plain("conv_id"), F.lit(":"), plain("turn"))) % 20
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("h") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    rows = rows.select("conv_id", "turn", plain("role").alias("role"), plain("text").alias("text"), h.alias("h")).filter("h != 0")
+    return rows.select("conv_id", "turn", F.when(F.col("h") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    audits, repaired = conversation_repair.repair(damaged(rows))
+    hashes = conversation_repair.digests(repaired)
+    every = rows.select("conv_id").distinct()
+    out = every.join(audits.withColumnRenamed("conv_id", "a"), F.col("conv_id").eqNullSafe(F.col("a")), "left").join(hashes.withColumnRenamed("conv_id", "b"), F.col("conv_id").eqNullSafe(F.col("b")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_katz, op4_byte_bpe, op5_minhash, op6_sharding, op7_packing, op8_chat, op9_quality_rules, op10_licenses, op11_periodic_runs)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_katz, op4_byte_bpe, op5_minhash, op6_sharding, op7_packing, op8_chat, op9_quality_rules, op10_licenses, op11_periodic_runs, op12_conversation_repair)}
 
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
