@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm import byte_bpe, chat, conversation_repair, exact_dedup, katz, licenses, minhash, packing, periodic_runs, quality, sharding, token_counts
+from lociq.llm import byte_bpe, chat, conversation_repair, exact_dedup, html_extract, katz, licenses, minhash, packing, periodic_runs, quality, sharding, token_counts
 from lociq.llm.common import documents
 
 
@@ -96,8 +96,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_katz, op4_byte_bpe, op5_minhash, op6_sharding, op7_packing, op8_chat, op9_quality_rules, op10_licenses, op11_periodic_runs, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_katz, op4_byte_bpe, op5_minhash, op6_sharding, op7_packing, op8_chat, op9_quality_rules, op10_licenses, op11_periodic_runs, op12_conversation_repair, op13_html_extract)}
 
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
