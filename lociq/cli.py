@@ -10,7 +10,7 @@ import argparse
 from pyspark.sql import functions as F
 
 from lociq import workflow
-from lociq.functions.binning import empirical_p
+from lociq.functions.binning import empirical_p, valid
 from lociq.operators import enrichment, genotypes, haplotype, polarize, ranking, scans, spectrum
 from lociq.operators.intervals import numbered
 from lociq.session import scratch_root, session
@@ -85,9 +85,14 @@ def outlier_scan(sa, names: list[str], **options) -> dict:
 
 
 def plot_data(df, column: str, top: float):
-    """What a scan's plot draws: position, value, and whether it is among the ``top`` share by empirical p-value."""
-    ranked = df if "p" in df.columns else empirical_p(df, column, "p")
-    return ranked.withColumn("top", F.col("p") <= top)
+    """What a scan's plot draws: position, value, p-value, and whether it is at or above the (1 - top) quantile.
+
+    Of statistics whose sign does not count, sizes are compared.  The largest value is always marked.
+    """
+    ranked = df if "p" in df.columns else empirical_p(df, column, "p", absolute=column in ABSOLUTE)
+    x = valid(F.abs(F.col(column)) if column in ABSOLUTE else F.col(column))
+    cut = df.select(x.alias("x")).agg(F.percentile("x", 1 - top).alias("cut"))
+    return ranked.crossJoin(F.broadcast(cut)).withColumn("top", F.coalesce(x >= F.col("cut"), F.lit(False))).drop("cut")  # one row
 
 
 def _rates(spark, path):
@@ -226,7 +231,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "cms":
         replicates, params = _simulations(spark, a.simulations, a.length)
         packed = readers.vcf_sites(readers.vcf_records(spark, a.vcf)).select("chrom", "pos", "alleles")
-        writers.composite_scores(workflow.composite_scan(replicates, params.select("iter", "model", "r"), packed, a.stats.split(",") if a.stats else None, a.prior, rates=_rates(spark, a.recombination_map), rate_breaks=breaks, store=a.store), a.out)
+        writers.composite_scores(workflow.composite_scan(replicates, params.select("iter", "model", "r", F.col("eaf").alias("f_t")), packed, a.stats.split(",") if a.stats else None, a.prior, rates=_rates(spark, a.recombination_map), rate_breaks=breaks, store=a.store, length=a.length), a.out)
     elif a.command == "rank":
         genes = readers.bed(spark, a.bed).select(readers.chromosome(F.col("chrom")).alias("chrom"), F.col("gene_id").alias("gene"), F.floor((F.col("start") + F.col("end")) / F.lit(2)).alias("mid"))
         w = readers.table(spark, a.predictions).select(F.col("chr").cast("string").alias("chrom"), F.floor((F.col("start") + F.col("end")) / F.lit(2)).alias("wpos"), F.col("prob_sweep").alias("prob"))
@@ -268,7 +273,7 @@ def _polarize(spark, a) -> None:
         called = F.filter("gt", lambda g: g >= 0)
         records = records.withColumn("ac", F.size(F.filter("gt", lambda g: g == 1)).cast("long")).withColumn("an", F.size(called).cast("long"))
         blocks = readers.maf_blocks(spark, a.maf).withColumn("sequences", F.transform("sequences", lambda s: s.withField("contig", readers.chromosome(s["contig"]))))
-        polarize.refuse(records, blocks)
+        polarize.refuse(records, blocks, readers.vcf_order(records))
         sites = polarize.variants_in_blocks(records, blocks, names)
         writers.positions(sites.select("chrom", "pos", *names), f"{a.out}/positions.txt")
     if a.method == "parsimony":

@@ -17,11 +17,13 @@ TINY = 2.2250738585072014e-308
 CLASSES = ("neut", "sweep_low", "sweep_mid", "sweep_high")
 #: Statistics that a composite can use, the default ones, and those whose size counts without its sign.
 STATISTICS = ("ihs", "delta_ihh", "nsl", "isafe", "dind", "high_freq", "low_freq", "s_ratio", "hapdaf_o", "hapdaf_s")
-DEFAULT, FOLDED = ("ihs", "delta_ihh", "dind", "hapdaf_o"), ("ihs",)
+DEFAULT, FOLDED = ("ihs", "delta_ihh", "dind", "hapdaf_o"), ("ihs", "nsl")
+#: Stratum of the tables over all strata, which sites of a stratum without tables use.
+ALL = -1
 
 
 def frequency_class(f: Column, low: float = 0.35, high: float = 0.65) -> Column:
-    return F.when(f < low, "sweep_low").when(f < high, "sweep_mid").otherwise("sweep_high")
+    return F.when(f <= low, "sweep_low").when(f <= high, "sweep_mid").otherwise("sweep_high")
 
 
 def edges(values: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
@@ -30,23 +32,37 @@ def edges(values: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFra
     return e.select("stat", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
 
 
-def tables(values: DataFrame, ends: DataFrame, bins: int = 60, strata: list[str] = ()) -> DataFrame:
-    """Mass of every bin of every class; classes without values are uniform.  Input: stat, class, value, strata."""
-    x = values.filter("value is not null").join(F.broadcast(ends), "stat").filter("value between lo and hi")
+def tables(values: DataFrame, ends: DataFrame, bins: int = 60, stratum: str | None = None) -> DataFrame:
+    """Mass of every bin of every class; classes without values are uniform.  Input: stat, class, value, stratum.
+
+    With a stratum (an int column, not negative), tables of each stratum that has
+    values, and those of ``ALL``, which are the sums over strata and rows of none.
+    """
+    keys = [] if stratum is None else [stratum]
+    values = values.filter("value is not null")
+    x = values.join(F.broadcast(ends), "stat").filter("value between lo and hi")
     b = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
-    n = x.groupBy(*strata, "stat", "class", b.alias("bin")).agg(F.count("*").alias("n"))
-    keys = ends.select("stat")
-    for s in strata:
-        keys = keys.crossJoin(values.select(s).distinct())  # a few strata
-    grid = keys.withColumn("class", F.explode(F.array(*map(F.lit, CLASSES)))).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    total = n.groupBy(*strata, "stat", "class").agg(F.sum("n").alias("total"))
-    out = grid.join(n, [*strata, "stat", "class", "bin"], "left").join(total, [*strata, "stat", "class"], "left")
+    n = x.groupBy(*keys, "stat", "class", b.alias("bin")).agg(F.count("*").alias("n"))
+    grid = ends.select("stat").withColumn("class", F.explode(F.array(*map(F.lit, CLASSES)))).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    if stratum is not None:
+        n = n.filter(F.col(stratum).isNotNull()).unionByName(n.groupBy(F.lit(ALL).alias(stratum), "stat", "class", "bin").agg(F.sum("n").alias("n")))
+        strata = values.filter(F.col(stratum).isNotNull()).select(stratum).unionAll(values.sparkSession.range(1).select(F.lit(ALL))).distinct()
+        grid = grid.crossJoin(F.broadcast(strata))  # statistics x classes x bins rows with a few strata
+    total = n.groupBy(*keys, "stat", "class").agg(F.sum("n").alias("total"))
+    out = grid.join(n, [*keys, "stat", "class", "bin"], "left").join(total, [*keys, "stat", "class"], "left")
     mass = F.when(F.col("total").isNull(), F.lit(1.0 / bins)).otherwise(F.greatest(F.coalesce("n", F.lit(0)) / F.col("total"), F.lit(TINY)))
-    return out.select(*strata, "stat", "class", "bin", mass.alias("pmf"))
+    return out.select(*keys, "stat", "class", "bin", mass.alias("pmf"))
 
 
-def score(sites: DataFrame, table: DataFrame, ends: DataFrame, keys: list[str], prior: Column, bins: int = 60, strata: list[str] = ()) -> DataFrame:
-    """Long input (keys, daf, stat, value): keys, log_bf, posterior.  Values outside go to the end bins."""
+def score(sites: DataFrame, table: DataFrame, ends: DataFrame, keys: list[str], prior: Column, bins: int = 60, stratum: str | None = None) -> DataFrame:
+    """Long input (keys, daf, stat, value): keys, log_bf, posterior.  Values outside go to the end bins.
+
+    Sites without a stratum, or of one without tables, use those of ``ALL``.
+    """
+    strata = [] if stratum is None else [stratum]
+    if stratum is not None:
+        known = F.broadcast(table.select(F.col(stratum).alias("__known")).distinct())  # a few strata
+        sites = sites.join(known, F.col(stratum) == F.col("__known"), "left").withColumn(stratum, F.coalesce("__known", F.lit(ALL))).drop("__known")
     x = sites.join(F.broadcast(ends), "stat").withColumn("class", frequency_class(F.col("daf")))
     b = F.greatest(F.lit(0), F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).cast("int")
     x = x.withColumn("bin", b)
@@ -68,15 +84,16 @@ def folded(values: DataFrame, names: tuple[str, ...] = FOLDED) -> DataFrame:
     return values.withColumn("value", F.when(F.col("stat").isin(*names), F.abs("value")).otherwise(F.col("value")))
 
 
-def training_values(sites: DataFrame, parameters: DataFrame, length: int | None = None, margin: float = 0.0, rate_breaks: list[float] | None = None) -> DataFrame:
-    """Long (iter, pos, daf, stat, value) with the class of its site: neutral replicates, or the frequency's class in sweeps.
+def training_values(sites: DataFrame, parameters: DataFrame, length: int | None = 1_200_000, margin: float = 0.25, rate_breaks: list[float] | None = None) -> DataFrame:
+    """Long (iter, pos, daf, stat, value) with the class of its replicate: neutral, or by the sweep's final frequency.
 
-    ``parameters`` (iter, model, r).  ``margin`` of the locus is left out at each end;
-    ``rate_breaks`` (cM / Mb) add r_bin from the replicate's rate per base.
+    ``parameters`` (iter, model, f_t, r).  Haplotype statistics are cut short at the ends of
+    a locus of ``length`` bases, so ``margin`` of it is left out at each; null takes
+    all sites.  ``rate_breaks`` (cM / Mb) add r_bin from the replicate's rate per base.
     """
     x = sites if length is None else sites.filter(F.col("pos").between(length * margin, length * (1 - margin)))
     x = x.join(parameters, "iter")
-    out = x.withColumn("class", F.when(F.col("model").contains("neutral"), "neut").otherwise(frequency_class(F.col("daf"))))
+    out = x.withColumn("class", F.when(F.col("model").contains("neutral"), "neut").otherwise(frequency_class(F.coalesce("f_t", F.lit(0.0)))))
     return out if rate_breaks is None else out.withColumn("r_bin", right_closed_bin(F.col("r") * 1e8, rate_breaks))
 
 
@@ -102,26 +119,26 @@ def checked(names: list[str] | tuple[str, ...]) -> list[str]:
     return list(names)
 
 
-def composite(training: DataFrame, sites: DataFrame, names: list[str] | None = None, prior: float = 0.5, bins: int = 60, strata: list[str] = ()) -> DataFrame:
+def composite(training: DataFrame, sites: DataFrame, names: list[str] | None = None, prior: float = 0.5, bins: int = 60, stratum: str | None = None) -> DataFrame:
     """region, pos, daf, log_bf, cms (posterior) and cms_rank (the share of sites of a larger log_bf) of all sites.
 
-    ``training`` (stat, class, value, strata), ``sites`` (region, pos, daf, stat, value, strata).
+    ``training`` (stat, class, value, stratum), ``sites`` (region, pos, daf, stat, value, stratum).
     """
     names = checked(names or DEFAULT)
     train, test = (folded(d.filter(F.col("stat").isin(*names))) for d in (training, sites))
     ends = edges(train)
-    table = tables(train, ends, bins, list(strata))
-    out = score(test, table, ends, ["region", "pos", "daf"], F.lit(prior), bins, list(strata)).withColumnRenamed("posterior", "cms")
+    table = tables(train, ends, bins, stratum)
+    out = score(test, table, ends, ["region", "pos", "daf"], F.lit(prior), bins, stratum).withColumnRenamed("posterior", "cms")
     return empirical_p(out.withColumn("log_bf", F.round("log_bf", 9)), "log_bf", "cms_rank", least=True)
 
 
-def composite_local(training: DataFrame, sites: DataFrame, regions: DataFrame, names: list[str] | None = None, bins: int = 60, strata: list[str] = (), width: int = 1_000_000) -> DataFrame:
+def composite_local(training: DataFrame, sites: DataFrame, regions: DataFrame, names: list[str] | None = None, bins: int = 60, stratum: str | None = None, width: int = 1_000_000) -> DataFrame:
     """Sites of candidate regions (region, chrom, start, end), each with a prior of 1 / sites of its region, ranked within it."""
     from lociq.operators.intervals import range_join
 
     held = range_join(sites.drop("region"), regions, "pos", "start", "end", width, ["chrom"])
     n = held.groupBy("region").agg(F.count_distinct("pos").alias("n_sites"))
-    out = composite(training, held, names, 0.5, bins, strata).drop("cms", "cms_rank").join(n, "region")
+    out = composite(training, held, names, 0.5, bins, stratum).drop("cms", "cms_rank").join(n, "region")
     e = F.exp(F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col("log_bf"))))
     out = out.withColumn("cms", e / (e + F.col("n_sites") - 1))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy(F.col("cms").desc(), "pos"))).drop("n_sites")  # a region's sites

@@ -12,7 +12,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -243,40 +243,67 @@ class Polarizer:
         return x.withColumn("ancestral", F.when(F.col("p_major_ancestral") >= 0.5, major_is).otherwise(minor_is))
 
 
-def variants_in_blocks(variants: DataFrame, blocks: DataFrame, outgroups: list[str], width: int = 100_000) -> DataFrame:
+#: Columns of a piece of an alignment block.
+PIECE = 256
+
+
+def block_pieces(blocks: DataFrame, outgroups: list[str], piece: int = PIECE) -> DataFrame:
+    """Blocks as pieces of at most ``piece`` columns in which the reference has no gap: block, chrom, lo, hi, and each outgroup's letters.
+
+    The k-th letter of a piece is aligned with reference position lo + k, so a position finds
+    its column by subtraction.  Gaps are found once for a block: runs of gaps and of
+    bases alternate, and their lengths add up to columns and positions.
+    """
+    ref = F.get("sequences", F.lit(0))
+    own = lambda name: F.get(F.filter("sequences", lambda s: F.substring_index(s["src"], ".", 1) == name), F.lit(0))["text"]
+    b = blocks.filter(F.size("sequences") > 0).select("block", ref["contig"].alias("chrom"), (ref["start"] + 1).alias("start"), ref["text"].alias("ref"), *(own(o).alias(f"t_{o}") for o in outgroups))
+    runs = b.select("block", F.posexplode(F.split("ref", "(?<=-)(?=[^-])|(?<=[^-])(?=-)")).alias("k", "run")).select("block", "k", F.length("run").alias("n"), (~F.col("run").startswith("-")).alias("bases"))
+    before = Window.partitionBy("block").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # runs of one block, which was one row
+    sums = {"column": F.coalesce(F.sum("n").over(before), F.lit(0)), "base": F.coalesce(F.sum(F.when(F.col("bases"), F.col("n"))).over(before), F.lit(0))}
+    runs = runs.withColumns(sums).filter("bases and n > 0").groupBy("block").agg(F.collect_list(F.struct("column", "base", "n")).alias("runs"))
+    x = b.join(runs, "block").withColumn("r", F.explode("runs")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("r.n") - 1, F.lit(piece))))
+    length = F.least(F.lit(piece), F.col("r.n") - F.col("at"))
+    lo = F.col("start") + F.col("r.base") + F.col("at")
+    letters = (F.substring(f"t_{o}", (F.col("r.column") + F.col("at") + 1).cast("int"), length.cast("int")).alias(f"t_{o}") for o in outgroups)
+    return x.select("block", "chrom", lo.alias("lo"), (lo + length - 1).alias("hi"), *letters)
+
+
+def variants_in_blocks(variants: DataFrame, blocks: DataFrame, outgroups: list[str], width: int = 4 * PIECE) -> DataFrame:
     """Variants (chrom, pos, ...) with the aligned base of each outgroup, from blocks (``readers.maf_blocks``) that hold their position.
 
-    A block spans [start + 1, start + size] of its first sequence.  Variants and blocks
-    meet by bucket, so neither side must be sorted; a variant in two blocks takes the
-    first.  Bases other than A, C, G, T, and outgroups that a block lacks, are N.
+    A block spans the bases of its first sequence, from start + 1 on.  Variants meet pieces of
+    blocks by bucket, so neither side must be sorted, and a pair carries a piece's letters only; a
+    variant in two blocks takes the first.  Bases other than A, C, G, T, and
+    outgroups that a block lacks, are N.
     """
     from lociq.operators.intervals import range_join
 
-    ref = F.get("sequences", F.lit(0))
-    own = lambda name: F.get(F.filter("sequences", lambda s: F.substring_index(s["src"], ".", 1) == name), F.lit(0))["text"]
-    b = blocks.filter(F.size("sequences") > 0).select("block", ref["contig"].alias("chrom"), (ref["start"] + 1).alias("__lo"), (ref["start"] + ref["size"]).alias("__hi"), ref["text"].alias("__ref"), *(own(o).alias(f"__t_{o}") for o in outgroups))
-    hit = range_join(variants, b, "pos", "__lo", "__hi", width, ["chrom"])
-    first = hit.groupBy("chrom", "pos").agg(F.min("block").alias("block"))
-    hit = hit.join(first, ["chrom", "pos", "block"])
-    # the column of the (pos - lo + 1)-th base of the reference row
-    bases = F.filter(F.sequence(F.lit(1), F.length("__ref")), lambda i: F.substring("__ref", i, F.lit(1)) != "-")
-    at = F.element_at(bases, (F.col("pos") - F.col("__lo") + 1).cast("int"))
-    letter = lambda o: F.upper(F.substring(f"__t_{o}", F.col("__at"), F.lit(1)))
-    hit = hit.withColumn("__at", at)
-    return hit.select(*variants.columns, *(F.when(letter(o).isin(*BASES), letter(o)).otherwise(F.lit("N")).alias(o) for o in outgroups))
-
-
-def refuse(variants: DataFrame, blocks: DataFrame) -> None:
-    """Inputs that would polarise nothing, or by the wrong sequence, are errors: contigs without alignment, or several against one."""
-    ref = F.get("sequences", F.lit(0))["contig"]
-    theirs = {r["c"] for r in blocks.select(ref.alias("c")).distinct().limit(10_000).collect()}  # contigs
-    mine = {r["chrom"] for r in variants.select("chrom").distinct().limit(10_000).collect()}
-    if not theirs or not mine:
+    pieces = block_pieces(blocks, outgroups)
+    pieces = pieces.select("chrom", *(F.col(c).alias(f"__{c}") for c in pieces.columns if c != "chrom"))
+    hit = range_join(variants, pieces, "pos", "__lo", "__hi", width, ["chrom"])
+    letter = lambda o: F.upper(F.substring(f"__t_{o}", (F.col("pos") - F.col("__lo") + 1).cast("int"), F.lit(1)))
+    hit = hit.select(*variants.columns, "__block", *(F.when(letter(o).isin(*BASES), letter(o)).otherwise(F.lit("N")).alias(o) for o in outgroups))
+    first = hit.groupBy("chrom", "pos").agg(F.min("__block").alias("__block"))
+    return hit.join(first, ["chrom", "pos", "__block"]).select(*variants.columns, *outgroups)
+
+
+def refuse(variants: DataFrame, blocks: DataFrame, order: DataFrame | None = None) -> None:
+    """Inputs that would polarise nothing, or by the wrong sequence, are errors: contigs without alignment, or several against one.
+
+    So are variants whose positions go down within a contig, if ``order`` (``readers.vcf_order``) is given.
+    """
+    theirs = blocks.select(F.get("sequences", F.lit(0))["contig"].alias("chrom")).filter("chrom is not null").distinct()
+    mine = variants.select("chrom").distinct()
+    if theirs.isEmpty() or mine.isEmpty():
         raise ValueError("no variants or no alignment blocks")
-    if len(theirs) == len(mine) == 1 and theirs != mine:
-        raise ValueError(f"the contig is {theirs.pop()!r} in the alignment and {mine.pop()!r} in the variants")
-    if mine - theirs:
-        raise ValueError(f"contigs without alignment: {', '.join(sorted(map(str, mine - theirs))[:5])}")
+    missing = [r["chrom"] for r in mine.join(theirs, "chrom", "left_anti").orderBy("chrom").limit(5).collect()]  # named in the message
+    if missing:
+        some = [[r["chrom"] for r in d.limit(2).collect()] for d in (theirs, mine)]
+        if len(some[0]) == len(some[1]) == 1:
+            raise ValueError(f"the contig is {some[0][0]!r} in the alignment and {some[1][0]!r} in the variants")
+        raise ValueError(f"contigs without alignment, the first of them: {', '.join(map(str, missing))}")
+    if order is not None and (row := order.first())["first_unsorted_line"] is not None:
+        raise ValueError(f"variants are not sorted by position: record {row['first_unsorted_line']}")
 
 
 def alignment_columns(blocks: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def _cms_values(spark, sf_dir):
     return long
 
 
-_CMS_SQL = f"""WITH {DENSE}, s AS (SELECT *, CASE WHEN daf < 0.35 THEN 'sweep_low' WHEN daf < 0.65 THEN 'sweep_mid' ELSE 'sweep_high' END AS fc FROM sites WHERE daf BETWEEN 0.1 AND 0.9),
+_CMS_SQL = f"""WITH {DENSE}, s AS (SELECT *, CASE WHEN daf <= 0.35 THEN 'sweep_low' WHEN daf <= 0.65 THEN 'sweep_mid' ELSE 'sweep_high' END AS fc FROM sites WHERE daf BETWEEN 0.1 AND 0.9),
  l AS (SELECT chrom, site, fc, CASE WHEN site % 2 = 0 THEN 'neut' ELSE fc END AS class, 'a' AS stat, daf * site AS value FROM s UNION ALL SELECT chrom, site, fc, CASE WHEN site % 2 = 0 THEN 'neut' ELSE fc END, 'b', daf + CAST(site AS DOUBLE) / 64 FROM s),
  e AS (SELECT stat, quantile_cont(value, 0.005) AS lo, quantile_cont(value, 0.995) AS hi FROM l GROUP BY stat),
  x AS (SELECT class, l.stat, CAST(least(floor((value - lo) / (hi - lo) * 12), 11) AS INT) AS bin FROM l JOIN e USING (stat) WHERE value BETWEEN lo AND hi),
@@ -185,6 +185,35 @@ def cms_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("chrom", "site", "posterior", F.row_number().over(Window.partitionBy("chrom").orderBy(F.col("posterior").desc(), "site")).alias("rank"))
 
 
+def _cms_replicates(spark, sf_dir):
+    """Chromosomes as replicates of 64 kb: even ones neutral, the others sweeps that end at (chrom + 0.5) / 10; rates by customers' balances."""
+    s = dense_sites(spark, sf_dir)
+    ihs, nsl = (F.col("daf") - 0.5) * F.col("site"), F.when(F.col("site") % 7 != 0, F.col("site") / 32 - 1 - F.col("daf"))
+    long = s.select(F.col("chrom").alias("iter"), "chrom", "pos", "site", "daf", F.explode(F.create_map(F.lit("ihs"), ihs, F.lit("nsl"), nsl)).alias("stat", "value"))
+    rate = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy((F.col("c_nationkey") % 10).alias("iter")).agg((F.percentile("c_acctbal", 0.5) / 4e11).alias("r"))
+    params = rate.select("iter", "r", F.when(F.col("iter") % 2 == 0, "neutral").otherwise("hard_young").alias("model"), ((F.col("iter") + 0.5) / 10).alias("f_t"))
+    return long, params
+
+
+RATE_BREAKS = [0.9, 1.1]
+
+
+def cms_training_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood tables by rate bin and over all (-1): interior sites, class by the replicate's final frequency, signs of ihs and nsl taken away."""
+    long, params = _cms_replicates(spark, sf_dir)
+    train = cms.folded(cms.training_values(long, params, 64_000, rate_breaks=RATE_BREAKS))
+    return cms.tables(train, cms.edges(train), 8, "r_bin").withColumn("pmf", F.round("pmf", 6))
+
+
+def cms_strata_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by the tables of a site's rate bin; sites of bin 3, and those without one, by the tables over all."""
+    long, params = _cms_replicates(spark, sf_dir)
+    train = cms.training_values(long, params, 64_000, rate_breaks=RATE_BREAKS)
+    sites = long.select(F.col("chrom").alias("region"), "pos", "daf", "stat", "value", F.when(F.col("site") % 5 != 4, F.col("site") % 5).cast("int").alias("r_bin"))
+    out = cms.composite(train, sites, ["ihs", "nsl"], 0.5, 8, "r_bin")
+    return out.select("region", "pos", F.round("log_bf", 5).alias("log_bf"), F.round("cms", 6).alias("cms"))
+
+
 CUTS = (250, 200, 100, 50, 20)
 
 
@@ -229,8 +258,16 @@ def matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.matched_controls(p.filter("size > 5"), p.filter("size <= 5"), ["size", "p_retailprice"], 10, 100)
 
 
-QUERIES = {f.__name__: f for f in (feature_vectors, feature_unpivot, sparse_filtered, window_normalised, assembled_statistics, site_cut_means, rate_strata_scores, recombination_bins, control_intervals, histogram_mass, rate_correlation, equal_count_bins, sweep_taxonomy, threshold_chain, empirical_ranks, top_k_per_window, argmax_per_window, plot_data, cms_tables, cms_score, cms_local, sweep_counts, sweep_counts_by_group, shuffle_fdr, matched_controls, matched_pairs)}
+QUERIES = {f.__name__: f for f in (feature_vectors, feature_unpivot, sparse_filtered, window_normalised, assembled_statistics, site_cut_means, rate_strata_scores, recombination_bins, control_intervals, histogram_mass, rate_correlation, equal_count_bins, sweep_taxonomy, threshold_chain, empirical_ranks, top_k_per_window, argmax_per_window, plot_data, cms_tables, cms_score, cms_local, cms_training_tables, cms_strata_scores, sweep_counts, sweep_counts_by_group, shuffle_fdr, matched_controls, matched_pairs)}
 _PIVOT = ", ".join(f"max({s}) FILTER (center = {c}) AS {s}_{WIDTH}_{c}" for c in CENTERS for s in STATS)
+_REPLICATES = f"""WITH {DENSE}, long AS (SELECT chrom, pos, site, daf, 'ihs' AS stat, abs((daf - 0.5) * site) AS value FROM sites UNION ALL SELECT chrom, pos, site, daf, 'nsl', abs(site / 32.0::DOUBLE - 1 - daf) FROM sites WHERE site % 7 <> 0),
+    params AS (SELECT c_nationkey % 10 AS chrom, quantile_cont(c_acctbal, 0.5) / 4e11 * 1e8 AS rate FROM customer GROUP BY 1),
+    train AS (SELECT stat, value, CASE WHEN rate <= 0.9 THEN 0 WHEN rate <= 1.1 THEN 1 ELSE 2 END AS r_bin, CASE WHEN chrom % 2 = 0 THEN 'neut' WHEN chrom <= 3 THEN 'sweep_low' WHEN chrom <= 5 THEN 'sweep_mid' ELSE 'sweep_high' END AS class FROM long JOIN params USING (chrom) WHERE pos BETWEEN 16000 AND 48000),
+    e AS (SELECT stat, quantile_cont(value, 0.005) AS lo, quantile_cont(value, 0.995) AS hi FROM train GROUP BY stat),
+    everything AS (SELECT * FROM train UNION ALL SELECT stat, value, -1, class FROM train),
+    n AS (SELECT r_bin, stat, class, CAST(least(floor((value - lo) / (hi - lo) * 8), 7) AS INT) AS bin, count(*) AS n FROM everything JOIN e USING (stat) WHERE value BETWEEN lo AND hi GROUP BY ALL),
+    tab AS (SELECT g.r_bin, g.stat, g.class, g.bin, CASE WHEN total IS NULL THEN 0.125 ELSE greatest(coalesce(n, 0) / total, 2.2250738585072014e-308::DOUBLE) END AS pmf
+        FROM (SELECT r_bin, stat, class, CAST(b AS INT) AS bin FROM (SELECT DISTINCT r_bin FROM everything), e, (VALUES ('neut'), ('sweep_low'), ('sweep_mid'), ('sweep_high')) c(class), range(0, 8) t(b)) g LEFT JOIN n USING (r_bin, stat, class, bin) LEFT JOIN (SELECT r_bin, stat, class, sum(n) AS total FROM n GROUP BY ALL) USING (r_bin, stat, class))"""
 _R = "c AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY o_custkey), r AS (SELECT *, rank() OVER (PARTITION BY o_custkey % 5 ORDER BY v DESC) AS rank FROM c)"
 _G = "g AS (SELECT p_brand AS chrom, p_partkey AS gene, 1 + (p_partkey * 7919) % 2003 AS rank, p_size <= 5 AS target FROM part), cuts AS (SELECT * FROM (VALUES (250), (200), (100), (50), (20)) c(cut))"
 ORACLES = {
@@ -262,6 +299,11 @@ ORACLES = {
     "cms_score": f"""{_CMS_SQL}, b AS (SELECT chrom, site, fc, l.stat, CAST(greatest(0, least(floor((value - lo) / (hi - lo) * 12), 11)) AS INT) AS bin FROM l JOIN e USING (stat)),
         f AS (SELECT b.chrom, b.site, sum(ln(t1.pmf) - ln(t0.pmf)) AS bf FROM b JOIN tab t0 ON t0.stat = b.stat AND t0.bin = b.bin AND t0.class = 'neut' JOIN tab t1 ON t1.stat = b.stat AND t1.bin = b.bin AND t1.class = b.fc GROUP BY ALL)
         SELECT chrom, site, round(bf, 5) AS log_bf, round(exp(greatest(-500, least(500, bf))) / (exp(greatest(-500, least(500, bf))) + 1), 6) AS posterior FROM f""",
+    "cms_training_tables": f"{_REPLICATES} SELECT r_bin, stat, class, bin, round(pmf, 6) AS pmf FROM tab",
+    "cms_strata_scores": f"""{_REPLICATES}, x AS (SELECT chrom, pos, daf, l.stat, CASE WHEN site % 5 = 4 OR site % 5 NOT IN (SELECT r_bin FROM tab) THEN -1 ELSE site % 5 END AS r_bin, CAST(greatest(0, least(floor((value - lo) / (hi - lo) * 8), 7)) AS INT) AS bin,
+        CASE WHEN daf <= 0.35 THEN 'sweep_low' WHEN daf <= 0.65 THEN 'sweep_mid' ELSE 'sweep_high' END AS class FROM long l JOIN e USING (stat)),
+        f AS (SELECT chrom, pos, round(sum(ln(t.pmf) - ln(o.pmf)), 9) AS bf FROM x JOIN tab t USING (r_bin, stat, class, bin) JOIN tab o ON o.r_bin = x.r_bin AND o.stat = x.stat AND o.bin = x.bin AND o.class = 'neut' GROUP BY ALL)
+        SELECT chrom AS region, pos, round(bf, 5) AS log_bf, round(exp(greatest(-500, least(500, bf))) / (exp(greatest(-500, least(500, bf))) + 1), 6) AS cms FROM f""",
     "cms_local": f"""{_CMS_SQL}, b AS (SELECT chrom, site, fc, l.stat, CAST(greatest(0, least(floor((value - lo) / (hi - lo) * 12), 11)) AS INT) AS bin FROM l JOIN e USING (stat)),
         f AS (SELECT b.chrom, b.site, sum(ln(t1.pmf) - ln(t0.pmf)) AS bf FROM b JOIN tab t0 ON t0.stat = b.stat AND t0.bin = b.bin AND t0.class = 'neut' JOIN tab t1 ON t1.stat = b.stat AND t1.bin = b.bin AND t1.class = b.fc GROUP BY ALL),
         p AS (SELECT chrom, site, round(exp(greatest(-500, least(500, bf))) / (exp(greatest(-500, least(500, bf))) + count(*) OVER (PARTITION BY chrom) - 1), 6) AS posterior FROM f)

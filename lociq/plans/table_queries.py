@@ -165,7 +165,7 @@ def variants_in_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = lambda name, t: F.struct(F.lit(f"{name}.1").alias("src"), F.lit("1").alias("contig"), (F.col("p_partkey") * 100).alias("start"), size.cast("bigint").alias("size"), F.lit("+").alias("strand"), F.lit(10**9).cast("bigint").alias("src_size"), t.alias("text"))
     blocks = p.select(F.col("p_partkey").alias("block"), F.array(seq("ref", text), seq("o1", F.translate(text, "A", "-")), seq("o2", F.translate(text, "CG", "GC"))).alias("sequences"))
     variants = p.select(F.lit("1").alias("chrom"), F.explode(F.sequence(F.col("p_partkey") * 100, F.col("p_partkey") * 100 + 30)).alias("pos"))
-    return polarize.variants_in_blocks(variants, blocks, ["o1", "o2"], 1000)
+    return polarize.variants_in_blocks(variants, blocks, ["o1", "o2"])
 
 
 # ---- gene sets

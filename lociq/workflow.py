@@ -189,9 +189,10 @@ def cached(spark: SparkSession, path: str | None, make: Callable[[], DataFrame])
     return spark.read.parquet(path)
 
 
-def composite_scan(replicates: DataFrame, parameters: DataFrame, packed: DataFrame, names: list[str] | None = None, prior: float = 0.5, bins: int = 60, rates: DataFrame | None = None, rate_breaks: list[float] | None = None, store: str | None = None) -> DataFrame:
-    """Composite scores of called sites (chrom, pos, alleles), by tables from simulated replicates.
+def composite_scan(replicates: DataFrame, parameters: DataFrame, packed: DataFrame, names: list[str] | None = None, prior: float = 0.5, bins: int = 60, rates: DataFrame | None = None, rate_breaks: list[float] | None = None, store: str | None = None, length: int | None = 1_200_000) -> DataFrame:
+    """Composite scores of called sites (chrom, pos, alleles), by tables from simulated replicates of ``length`` bases.
 
+    ``parameters`` (iter, model, f_t, r): a sweep's sites are of the class of its final frequency f_t.
     ``store`` is a folder in which the site statistics of both are kept for the next run.
     """
     if rate_breaks is not None and rates is None:
@@ -201,13 +202,11 @@ def composite_scan(replicates: DataFrame, parameters: DataFrame, packed: DataFra
     path = lambda n: None if store is None else f"{store}/{n}"
     simulated = cached(spark, path("simulated"), lambda: features.site_statistics(replicates, names))
     called = cached(spark, path("called"), lambda: features.site_statistics(packed.select(F.col("chrom").alias("iter"), "pos", "alleles"), names))
-    training = cms.training_values(simulated, parameters, rate_breaks=rate_breaks)
+    training = cms.training_values(simulated, parameters, length, rate_breaks=rate_breaks)
     sites = called.withColumnRenamed("iter", "region")
-    strata = []
     if rate_breaks is not None:
-        strata = ["r_bin"]
         sites = cms.rate_bins(sites.withColumn("chr", F.col("region").cast("string")), rates, rate_breaks).drop("chr", "cm_mb")
-    return cms.composite(training, sites, names, prior, bins, strata)
+    return cms.composite(training, sites, names, prior, bins, None if rate_breaks is None else "r_bin")
 
 
 # ---- enrichment

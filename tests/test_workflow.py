@@ -5,6 +5,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lociq import cli, workflow
 from lociq.operators import cms, enrichment, features, learning, polarize, scans
@@ -121,12 +122,37 @@ def test_train_and_predict(spark, tmp_path):
     assert tuple(f) == (3.0, 2.0, 1.0)
 
 
+def plain_composite(simulated, params, called, stats, bins, length):
+    """Log Bayes factors by loops: tables from interior sites by the replicate's class, then a sum of log ratios."""
+    of = {r.iter: "neut" if "neutral" in r.model else "low" if r.f_t <= 0.35 else "mid" if r.f_t <= 0.65 else "high" for r in params.itertuples()}
+    out = {(str(r.iter), r.pos): 0.0 for r in called.itertuples()}
+    for stat in stats:
+        size = (lambda v: abs(v)) if stat == "nsl" else (lambda v: v)
+        kept = [(of[r.iter], size(r.value)) for r in simulated.itertuples() if r.stat == stat and r.value is not None and not np.isnan(r.value) and length / 4 <= r.pos <= 3 * length / 4]
+        lo, hi = np.percentile([v for _, v in kept], [0.5, 99.5])
+        edges = np.linspace(lo, hi, bins + 1)
+        mass = {}
+        for c in ("neut", "low", "mid", "high"):
+            h = np.histogram([v for k, v in kept if k == c], edges)[0].astype(float)
+            mass[c] = np.maximum(h / h.sum(), np.finfo(float).tiny) if h.sum() else np.full(bins, 1 / bins)
+        for r in called.itertuples():
+            if r.stat == stat and r.value is not None and not np.isnan(r.value):
+                k = int(np.clip(np.searchsorted(edges, size(r.value), side="right") - 1, 0, bins - 1))
+                c = "low" if r.daf <= 0.35 else "mid" if r.daf <= 0.65 else "high"
+                out[str(r.iter), r.pos] += np.log(mass[c][k]) - np.log(mass["neut"][k])
+    return out
+
+
 def test_composite_scan(spark, simulations, vcf, tmp_path):
     replicates, params = cli._simulations(spark, simulations, LENGTH)
+    params = params.select("iter", "model", "r", (F.col("iter") % 10 / 10).alias("f_t"))
     packed = readers.vcf_sites(readers.vcf_records(spark, vcf)).select("chrom", "pos", "alleles")
     store = str(tmp_path / "store")
-    a = workflow.composite_scan(replicates, params.select("iter", "model", "r"), packed, ["nsl", "dind"], bins=8, store=store).toPandas()
-    b = workflow.composite_scan(replicates, params.select("iter", "model", "r"), packed, ["nsl", "dind"], bins=8, store=store).toPandas()
+    a = workflow.composite_scan(replicates, params, packed, ["nsl", "dind"], bins=8, store=store, length=LENGTH).toPandas()
+    b = workflow.composite_scan(replicates, params, packed, ["nsl", "dind"], bins=8, store=store, length=LENGTH).toPandas()
+    want = plain_composite(spark.read.parquet(f"{store}/simulated").toPandas(), params.toPandas(), spark.read.parquet(f"{store}/called").toPandas(), ["nsl", "dind"], 8, LENGTH)
+    got = {(str(r.region), r.pos): r.log_bf for r in a.itertuples()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in got)
     assert len(a) > 50 and a.cms.between(0, 1).all() and a.cms_rank.between(0, 1).all()
     assert a.sort_values("pos").log_bf.tolist() == b.sort_values("pos").log_bf.tolist()
     best = a.sort_values("log_bf", ascending=False).iloc[0]
@@ -134,7 +160,7 @@ def test_composite_scan(spark, simulations, vcf, tmp_path):
     with pytest.raises(ValueError):
         cms.checked(["nothing"])
     sites = spark.read.parquet(f"{store}/called").withColumnRenamed("iter", "chrom")
-    training = cms.training_values(spark.read.parquet(f"{store}/simulated"), params.select("iter", "model", "r"))
+    training = cms.training_values(spark.read.parquet(f"{store}/simulated"), params, LENGTH)
     regions = spark.createDataFrame([("x", "1", 1, 50_000)], "region string, chrom string, start long, end long")
     local = cms.composite_local(training, sites, regions, ["nsl", "dind"], 8).toPandas()
     assert (local.pos <= 50_000).all() and sorted(local["rank"]) == list(range(1, len(local) + 1))
