@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociq.functions.binning import empirical_p, right_closed_bin
+from lociq.functions.binning import empirical_p, right_closed_bin, valid
 from lociq.operators import features
 
 TINY = 2.2250738585072014e-308
@@ -28,7 +28,7 @@ def frequency_class(f: Column, low: float = 0.35, high: float = 0.65) -> Column:
 
 def edges(values: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """(stat, lo, hi) over all classes."""
-    e = values.groupBy("stat").agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("e"))
+    e = values.groupBy("stat").agg(F.percentile(valid(F.col("value")), F.array(F.lit(low), F.lit(high))).alias("e"))
     return e.select("stat", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
 
 
@@ -39,7 +39,7 @@ def tables(values: DataFrame, ends: DataFrame, bins: int = 60, stratum: str | No
     values, and those of ``ALL``, which are the sums over strata and rows of none.
     """
     keys = [] if stratum is None else [stratum]
-    values = values.filter("value is not null")
+    values = values.filter(valid(F.col("value")).isNotNull())
     x = values.join(F.broadcast(ends), "stat").filter("value between lo and hi")
     b = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
     n = x.groupBy(*keys, "stat", "class", b.alias("bin")).agg(F.count("*").alias("n"))
@@ -65,7 +65,7 @@ def score(sites: DataFrame, table: DataFrame, ends: DataFrame, keys: list[str],
         sites = sites.join(known, F.col(stratum) == F.col("__known"), "left").withColumn(stratum, F.coalesce("__known", F.lit(ALL))).drop("__known")
     x = sites.join(F.broadcast(ends), "stat").withColumn("class", frequency_class(F.col("daf")))
     b = F.greatest(F.lit(0), F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).cast("int")
-    x = x.withColumn("bin", b)
+    x = x.withColumn("bin", F.when(valid(F.col("value")).isNotNull(), b))
     neutral = table.filter("class = 'neut'").select(*strata, "stat", "bin", F.col("pmf").alias("p0"))
     swept = table.filter("class <> 'neut'").select(*strata, "stat", "class", "bin", F.col("pmf").alias("p1"))
     y = x.join(F.broadcast(neutral), [*strata, "stat", "bin"], "left").join(F.broadcast(swept), [*strata, "stat", "class", "bin"], "left")  # bins x classes x statistics rows
