@@ -12,7 +12,7 @@ from lociq.plans.fixtures import DENSE, dense_sites, segregating
 from lociq.plans.model_queries import _OUT, _VARIANTS, variants
 from lociq.plans.table_queries import _STATS, _long
 from lociq.session import scratch_root
-from lociq.sources import readers, writers
+from lociq.sources import readers, variant_files, writers
 
 
 def _path(spark: SparkSession, name: str) -> str:
@@ -51,6 +51,37 @@ def vcf_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sa.groupBy("pos").agg(F.count("*").alias("n"), F.sum("allele").alias("k"))
 
 
+def _indexed(spark: SparkSession, sf_dir: str, binary: bool) -> str:
+    """All sites as sorted files with an index each; haplotypes that a chromosome lacks are missing alleles."""
+    p = genotypes.packed(genotypes.dense(spark, sf_dir))
+    most = p.agg(F.max(F.size("alleles")).alias("n")).select((F.col("n") + F.col("n") % 2).alias("n"))
+    p = p.crossJoin(F.broadcast(most))  # one number
+    gt = F.concat("alleles", F.array_repeat(F.lit(-1), F.col("n") - F.size("alleles")))
+    k = F.aggregate("alleles", F.lit(0), lambda s, a: s + a)
+    records = p.select(F.concat(F.lit("chr"), F.col("chrom").cast("string")).alias("chrom"), "pos", F.lit("A").alias("ref"), F.lit("C").alias("alt"), k.alias("ac"), F.size("alleles").alias("an"), (k / F.size("alleles")).alias("af"), gt.alias("gt"))
+    folder = _path(spark, "indexed")
+    variant_files.write(records, folder, {f"chr{c}": 65_000 for c in range(10)}, binary)
+    return folder
+
+
+def _counted(records: DataFrame) -> DataFrame:
+    count = lambda *of: F.size(F.filter("gt", lambda a: a.isin(*of))).cast("long")
+    return records.select(F.col("chrom").cast("int").alias("chrom"), "pos", "ac", "an", count(0, 1).alias("n"), count(1).alias("k"))
+
+
+def vcf_indexed_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region of block-compressed files, by their indexes, and one more by conditions that are pushed down."""
+    folder = _indexed(spark, sf_dir, False)
+    region = _counted(readers.vcf_records(spark, folder, "chr3", 20_000, 45_000))
+    whole = readers.vcf_records(spark, folder)
+    return region.unionByName(_counted(whole.filter("chrom = '7' and pos > 60000")))
+
+
+def bcf_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary records of all sites."""
+    return _counted(readers.vcf_records(spark, _indexed(spark, sf_dir, True)))
+
+
 def vcf_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.vcf_contigs(spark, _vcf(spark, sf_dir))
 
@@ -191,12 +222,14 @@ def spectrum_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (vcf_source, vcf_region, vcf_contigs, vcf_header_counts, ms_source, maf_source, maf_species, recombination_map_source, bed_source, ranks_source, gene_set_source, factors_source, parameters_source, predictions_sink, rank_file_sink, composite_sink, feature_store, polarised_vcf_sink, positions_sink, spectrum_sinks)
+    for f in (vcf_source, vcf_region, vcf_indexed_region, bcf_source, vcf_contigs, vcf_header_counts, ms_source, maf_source, maf_species, recombination_map_source, bed_source, ranks_source, gene_set_source, factors_source, parameters_source, predictions_sink, rank_file_sink, composite_sink, feature_store, polarised_vcf_sink, positions_sink, spectrum_sinks)
 }
 _BASE = lambda c: f"CASE {c} WHEN 'A' THEN '1,0,0,0' WHEN 'C' THEN '0,1,0,0' WHEN 'G' THEN '0,0,1,0' WHEN 'T' THEN '0,0,0,1' ELSE '0,0,0,0' END"
 ORACLES = {
     "vcf_source": f"WITH {DENSE} SELECT chrom, pos, n, k FROM sites",
     "vcf_region": f"WITH {DENSE}, h AS (SELECT *, row_number() OVER (PARTITION BY chrom, pos ORDER BY hap) AS r FROM sa WHERE chrom = 2 AND pos BETWEEN 10000 AND 40000) SELECT pos - 9999 AS pos, count(*) AS n, CAST(sum(allele) AS BIGINT) AS k FROM h WHERE r <= 10 GROUP BY pos HAVING sum(allele) > 0 AND sum(allele) < count(*)",
+    "vcf_indexed_region": f"WITH {DENSE} SELECT chrom, pos, CAST(k AS INT) AS ac, CAST(n AS INT) AS an, n, k FROM allsites WHERE (chrom = 3 AND pos BETWEEN 20000 AND 45000) OR (chrom = 7 AND pos > 60000)",
+    "bcf_source": f"WITH {DENSE} SELECT chrom, pos, CAST(k AS INT) AS ac, CAST(n AS INT) AS an, n, k FROM allsites",
     "vcf_contigs": "SELECT * FROM (VALUES ('chr1', 65000::BIGINT), ('chr2', 65000::BIGINT)) t(contig, length)",
     "vcf_header_counts": f"WITH {DENSE} SELECT chrom, count(DISTINCT pos) AS records, CAST(sum(allele) AS BIGINT) AS ac, CAST(sum(allele) AS BIGINT) AS ones, count(*) AS an FROM sa GROUP BY chrom",
     "ms_source": f"WITH {DENSE} SELECT dense_rank() OVER (ORDER BY chrom) - 1 AS iter, pos, k, 0.02::DOUBLE AS s, 0.5::DOUBLE AS t, 0.0::DOUBLE AS f_i, 0.75::DOUBLE AS f_t FROM sites",

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociq.sources import variant_files
+
 REC_MAP = "chr string, start bigint, end bigint, cm_mb double, cm double"
 BED = "chrom string, start bigint, end bigint, gene_id string, strand string"
 PARAMS = "iter bigint, mu double, r double, eaf double, saf double, s double, t double, model string"
@@ -32,11 +34,20 @@ def chromosome_order(c: Column) -> Column:
 
 
 def vcf_records(spark: SparkSession, path: str, chrom: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
-    """Data lines: chrom, pos, ref, alt, ac, an, af, gt (array of allele numbers, -1 missing), in file order by ``line``.
+    """Records of VCF or BCF: chrom, pos, ref, alt, ac, an, af, gt (array of allele numbers, -1 missing), in file order by ``line``.
 
-    Lines outside a region go by their first two fields, before anything else is parsed.
+    ``path`` is a file or a folder.  Block-compressed files (.vcf.gz) and .bcf are read in many tasks, by
+    their index where a region is asked for; other text goes through Spark's text source, where
+    lines outside a region go by their first two fields, before anything else is parsed.
     """
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).filter(~F.col("value").startswith("#"))
+    kind = variant_files.kind_of(path)
+    if kind == "bcf":
+        records = variant_files.load(spark, variant_files.Bcf, path, chrom, start, end)
+        return records.select("line", chromosome(F.col("chrom")).alias("chrom"), "pos", "ref", "alt", "ac", "an", "af", "gt")
+    if kind == "blocks":
+        lines = variant_files.load(spark, variant_files.VcfBlocks, path, chrom, start, end).select("line", "value")
+    else:
+        lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).filter(~F.col("value").startswith("#"))
     place = F.substring_index(F.substring_index("value", "\t", 2), "\t", -1).try_cast("bigint")
     for wanted in ([chromosome(F.substring_index("value", "\t", 1)) == re.sub("^chr", "", chrom)] if chrom else []) + ([place >= start] if start else []) + ([place <= end] if end else []):
         lines = lines.filter(wanted)
