@@ -76,7 +76,7 @@ def statistic(sa, name: str, **options):
     if kind == "beta":
         return scans.beta(counts, o["width"])
     kernel, columns = {"ihs": (scans.ihs, ("daf", "ihs", "delta_ihh")), "nsl": (scans.nsl, ("daf", "nsl")), "hscan": (scans.hscan, ("hscan",)), "isafe": (scans.isafe, ("isafe",))}[kind]
-    return scans.scan(packed, kernel, dict.fromkeys(columns, "double"))
+    return scans.prefix_scan(packed, kernel, list(columns)) if kernel in scans.WALKS else scans.scan(packed, kernel, dict.fromkeys(columns, "double"))
 
 
 def outlier_scan(sa, names: list[str], **options) -> dict:

@@ -65,7 +65,8 @@ def site_statistics(packed: DataFrame, names: list[str], reach: int = 25_000, fu
     for kernel in dict.fromkeys(SITE[x][0] for x in names if x in SITE):
         run = {"ihs": scans.ihs, "nsl": scans.nsl, "hscan": scans.hscan, "isafe": scans.isafe}[kernel]
         wanted = [c for c in SITE[kernel] if c in names]
-        frames.append(scans.scan(sites, run, dict.fromkeys(wanted, "double")).unpivot(["chrom", "pos"], wanted, "stat", "value"))
+        found = scans.prefix_scan(sites, run, wanted) if run in scans.WALKS else scans.scan(sites, run, dict.fromkeys(wanted, "double"))
+        frames.append(found.unpivot(["chrom", "pos"], wanted, "stat", "value"))
     focal = [x for x in names if x in FOCAL]
     if focal:
         counted = sites.select("chrom", "pos", k.alias("k"), n.alias("n"), (k / n).alias("daf"), bits(F.col("alleles")).alias("x"))

@@ -1,8 +1,9 @@
 """Order-dependent haplotype scans, as NumPy kernels on packed sites.
 
-Input: packed sites (chrom, pos, alleles).  A chromosome may be cut into tiles
-with a halo on each side, so that one task holds tile + 2 * halo base pairs and
-no chromosome is bound to one task; kernels return the sites of the tile alone.
+Input: packed sites (chrom, pos, alleles).  ``prefix_scan`` cuts chromosomes into tiles
+and hands the state of unfinished runs from tile to tile, so a value is that of the whole
+chromosome.  ``scan`` gives a tile a halo on each side instead, for kernels whose
+values do not reach beyond it.  No chromosome is bound to one task.
 EHH, nSL and h-scan follow their published definitions (Voight 2006,
 Ferrer-Admetlla 2014, Schlamp 2016); where runs reach the data's edge the
 integral is not finished and the value is missing unless edges are included.
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociq.operators.intervals import numbered
+from lociq.operators.prefix import FIELDS, State, Walk, as_row, chained, from_row, pair_sum
 
 
 def tiled(packed: DataFrame, size: int, halo: int) -> DataFrame:
@@ -48,80 +50,127 @@ def _finite(x: np.ndarray) -> np.ndarray:
 # ---- EHH
 
 
-def _half_ihh(h: np.ndarray, gaps: np.ndarray, focal: int, carriers: np.ndarray, min_ehh: float, edges: bool) -> float:
-    """Area under the EHH of the carriers on the right of the focal site."""
-    m = len(carriers)
-    if m < 2:
+def _scaled(pos: np.ndarray, gap_scale: int, max_gap: int) -> np.ndarray:
+    """Distances between neighbours: those above gap_scale are scaled down, those above max_gap end a walk."""
+    gap = np.abs(np.diff(pos)).astype(float)
+    return np.where(gap > max_gap, -1.0, np.where(gap > gap_scale, gap_scale, gap))
+
+
+def _steps(pos: np.ndarray, state: State | None, gaps) -> np.ndarray:
+    """Distances to each site of a walk from the one before it; the first is from the tile before."""
+    return np.concatenate([gaps(np.array([state.last, pos[0]])) if state is not None else [0.0], gaps(pos)]) if len(pos) else np.zeros(0)
+
+
+def _area(walk: Walk, k: int, start: np.ndarray, min_ehh: float, edges: bool) -> float:
+    """Area under the EHH of the carriers at site k, back along the walk; ``start``: where neighbours' matches begin."""
+    n = len(start) + 1
+    if n < 2:
         return np.nan
-    label = np.zeros(m, dtype=np.int64)
-    total, before = 0.0, 1.0
-    pairs = m * (m - 1) / 2
-    for k in range(focal + 1, len(h)):
-        gap = gaps[k - 1]
-        if gap < 0:
+    pairs = n * (n - 1) / 2
+
+    def ehh(u: int) -> float:
+        """Share of pairs still equal at the site before u."""
+        c = np.diff(np.concatenate([[-1], np.flatnonzero(start >= u), [n - 1]]))
+        return (c * (c - 1) / 2).sum() / pairs
+
+    kinds = np.unique(start)
+    kinds = kinds[~(np.isnan(walk.before[kinds]) & (kinds <= walk.base + k))]  # at the data's edge pairs never differ
+    low, high = 0, len(kinds)  # the first that brings EHH down, from the nearest site on
+    while low < high:
+        middle = (low + high + 1) // 2
+        if ehh(kinds[middle - 1] if middle else 0) <= min_ehh:
+            low = middle
+        else:
+            high = middle - 1
+    here = walk.place[walk.base + k]
+    gap = np.nan_to_num(np.maximum(walk.before[start], 0.0))
+    area = here - walk.place[start] + gap / 2
+    if low:
+        u = kinds[low - 1]
+        if walk.brk >= walk.ordinal[u]:
             return np.nan
-        _, label = np.unique(label * 2 + h[k, carriers], return_inverse=True)
-        c = np.bincount(label)
-        ehh = (c * (c - 1) / 2).sum() / pairs
-        total += gap * (before + ehh) / 2
-        if ehh <= min_ehh:
-            return total
-        before = ehh
-    return total if edges else np.nan
-
-
-def ihs(h: np.ndarray, pos: np.ndarray, min_maf: float = 0.05, min_ehh: float = 0.05, include_edges: bool = False, gap_scale: int = 20_000, max_gap: int = 200_000) -> dict:
-    """ln(iHH_0 / iHH_1) and |iHH_1 - iHH_0|; gaps above gap_scale are scaled down, above max_gap end the scan."""
-    gap = np.diff(pos).astype(float)
-    gap = np.where(gap > max_gap, -1.0, np.where(gap > gap_scale, gap_scale, gap))
+        return pair_sum(np.where(start >= u, area, here - walk.place[u] + max(walk.before[u], 0.0))) / pairs
+    if walk.brk > -np.inf or not edges:
+        return np.nan
+    return pair_sum(area) / pairs
+
+
+def ihs(h: np.ndarray, pos: np.ndarray, min_maf: float = 0.05, min_ehh: float = 0.05, include_edges: bool = False, gap_scale: int = 20_000, max_gap: int = 200_000, states: tuple = (None, None)) -> dict:
+    """ln(iHH_0 / iHH_1) and |iHH_1 - iHH_0|; gaps above gap_scale are scaled down, above max_gap end the scan.
+
+    EHH comes from positional prefix arrays: a site costs as many steps as haplotypes, however far EHH reaches.
+    """
     daf = h.mean(axis=1)
-    out = np.full((2, len(h)), np.nan)
-    rev, rgap = h[::-1], gap[::-1]
-    for k in np.flatnonzero((np.minimum(daf, 1 - daf) >= min_maf)):
-        area = [_half_ihh(h, gap, k, np.flatnonzero(h[k] == a), min_ehh, include_edges) + _half_ihh(rev, rgap, len(h) - 1 - k, np.flatnonzero(h[k] == a), min_ehh, include_edges) for a in (0, 1)]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out[:, k] = np.log(area[0] / area[1]), abs(area[1] - area[0])
-    out = _finite(out)
+    wanted = np.minimum(daf, 1 - daf) >= min_maf
+    half = np.full((2, 2, len(h)), np.nan)
+    for side, way in enumerate((slice(None), slice(None, None, -1))):
+        walk = Walk(h[way], _steps(pos[way], states[side], lambda p: _scaled(p, gap_scale, max_gap)), states[side])
+        for k, *starts in walk:
+            if wanted[way][k]:
+                for a in (0, 1):
+                    half[side, a, k if side == 0 else len(h) - 1 - k] = _area(walk, k, starts[a], min_ehh, include_edges)
+    area = half.sum(axis=0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = _finite(np.stack([np.log(area[0] / area[1]), np.abs(area[1] - area[0])]))
     out[:, ~np.isfinite(out).all(axis=0)] = np.nan
     return {"daf": daf, "ihs": out[0], "delta_ihh": out[1]}
 
 
-def _suffix_lengths(h: np.ndarray) -> np.ndarray:
-    """Per site the mean shared suffix length of pairs with the ancestral, and with the derived allele."""
-    n = h.shape[1]
-    run = np.zeros((n, n), dtype=np.int32)
-    out = np.full((len(h), 2), np.nan)
-    upper = np.triu(np.ones((n, n), dtype=bool), 1)
-    for k, row in enumerate(h):
-        run = np.where(row[:, None] == row[None, :], run + 1, 0)
-        for a in (0, 1):
-            has = row == a
-            at = upper & has[:, None] & has[None, :]
-            c = at.sum()
-            if c:
-                out[k, a] = run[at].sum() / c
-    return out
+def common(daf: np.ndarray, min_maf: float = 0.05, two_sided: bool = True) -> np.ndarray:
+    return (daf >= min_maf) & ((daf <= 1 - min_maf) | (not two_sided))
 
 
-def nsl(h: np.ndarray, pos: np.ndarray, min_maf: float = 0.05, two_sided: bool = True) -> dict:
+def nsl(h: np.ndarray, pos: np.ndarray, min_maf: float = 0.05, two_sided: bool = True, states: tuple = (None, None)) -> dict:
     """ln(SL_1 / SL_0): shared lengths counted in sites, on sites that pass the frequency filter."""
     daf = h.mean(axis=1)
-    ok = (daf >= min_maf) & ((daf <= 1 - min_maf) | (not two_sided))
+    ok = common(daf, min_maf, two_sided)
     out = np.full(len(h), np.nan)
-    if ok.any():
-        sub = h[ok]
-        both = _suffix_lengths(sub) + _suffix_lengths(sub[::-1])[::-1]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out[ok] = np.log(both[:, 1] / both[:, 0])
+    sub = h[ok]
+    both = np.zeros((len(sub), 2))
+    for side, way in enumerate((slice(None), slice(None, None, -1))):
+        walk = Walk(sub[way], np.ones(len(sub)), states[side])
+        for k, *starts in walk:
+            for a in (0, 1):
+                n = len(starts[a]) + 1
+                length = pair_sum(k + 1 - walk.ordinal[starts[a]]) / (n * (n - 1) / 2) if n > 1 else np.nan
+                both[k if side == 0 else len(sub) - 1 - k, a] += length
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out[ok] = np.log(both[:, 1] / both[:, 0])
     return {"daf": daf, "nsl": _finite(out)}
 
 
-def hscan(h: np.ndarray, pos: np.ndarray, max_gap: int = 200_000, dist_mode: int = 0, focal: int | None = None, step: int = 1, low: int | None = None, high: int | None = None) -> dict:
+def _short(max_gap: int):
+    return lambda p: np.where((gap := np.abs(np.diff(p)).astype(float)) < max_gap, gap, -1.0)
+
+
+def _hscan_products(h: np.ndarray, pos: np.ndarray, max_gap: int, block: int = 4_000_000) -> np.ndarray:
+    """Sum over pairs of bases x sites of their spans, for blocks of pairs that hold ``block`` cells at once."""
+    s, n = h.shape
+    out = np.zeros(s)
+    one, two = np.triu_indices(n, 1)
+    wide = max(1, block // max(s, 1))
+    near = np.concatenate([np.diff(pos) < max_gap, [False]])[:, None]
+    at = np.arange(s)[:, None]
+    for b in range(0, len(one), wide):
+        same = h[:, one[b : b + wide]] == h[:, two[b : b + wide]]
+        # the last equal site on a side of x: where the run of equal sites next to x ends
+        stop = np.where(near & np.roll(same, -1, axis=0), s, at)
+        stop[-1] = s - 1
+        right = np.minimum.accumulate(stop[::-1], axis=0)[::-1]
+        stop = np.where(np.roll(near, 1, axis=0) & np.roll(same, 1, axis=0), -1, at)
+        stop[0] = 0
+        left = np.maximum.accumulate(stop, axis=0)
+        out += np.where(right != left, (pos[right] - pos[left] - 1) * (right - left - 1), 0).sum(axis=1)
+    return out
+
+
+def hscan(h: np.ndarray, pos: np.ndarray, max_gap: int = 200_000, dist_mode: int = 0, focal: int | None = None, step: int = 1, low: int | None = None, high: int | None = None, states: tuple = (None, None)) -> dict:
     """Mean over pairs of the span around each site in which the pair does not differ.
 
     The last equal site to the right of x is that of x + 1 if the pair is equal
-    there and the gap is short, else x itself: one backward and one forward pass
-    give every site at once.  Values are given at the site of position ``focal``, or
+    there and the gap is short, else x itself.  Spans in bases (``dist_mode`` 0) or sites (1) are sums of
+    both sides, so they come from positional prefix arrays; their product (2) is
+    made pair by pair, in blocks.  Values are given at the site of position ``focal``, or
     else at each ``step``-th site of those from ``low`` to ``high``; others are missing.
     """
     s, n = h.shape
@@ -130,19 +179,105 @@ def hscan(h: np.ndarray, pos: np.ndarray, max_gap: int = 200_000, dist_mode: int
     else:
         inside = np.flatnonzero((pos >= (pos[0] if low is None else low)) & (pos <= (pos[-1] if high is None else high)))
         shown = np.isin(np.arange(s), inside[::step])
-    upper = np.triu_indices(n, 1)
-    right = np.empty((s, len(upper[0])), dtype=np.int32)
-    left = np.empty_like(right)
-    same = h[:, upper[0]] == h[:, upper[1]]
-    right[s - 1], left[0] = s - 1, 0
-    for x in range(s - 2, -1, -1):
-        right[x] = np.where(same[x + 1] & (pos[x + 1] - pos[x] < max_gap), right[x + 1], x)
-    for x in range(1, s):
-        left[x] = np.where(same[x - 1] & (pos[x] - pos[x - 1] < max_gap), left[x - 1], x)
-    base = pos[right] - pos[left] - 1
-    steps = right - left - 1
-    span = base if dist_mode == 0 else steps if dist_mode == 1 else base * steps
-    return {"hscan": np.where(shown, np.where(right != left, span, 0).sum(axis=1) * 2.0 / (n * (n - 1)), np.nan)}
+    if dist_mode == 2:
+        return {"hscan": np.where(shown, _hscan_products(h, pos, max_gap) * 2.0 / (n * (n - 1)), np.nan)}
+    total, differ = np.zeros(s), np.zeros((2, s, n), dtype=np.int8)
+    open_ = np.zeros((2, s), dtype=bool)  # whether the next site on that side is near
+    for side, way in enumerate((slice(None), slice(None, None, -1))):
+        state, p, visible = states[side], pos[way], shown[way]
+        steps = _steps(p, state, _short(max_gap))
+        walk = Walk(h[way], steps, state, reset=True)
+
+        def add(k: int) -> None:
+            """Site k of the walk, by what is known after the site before it."""
+            x = k if side == 0 else s - 1 - k  # noqa: B023
+            open_[side, x] = True  # noqa: B023
+            differ[side, x, walk.order[walk.zeros_before :]] = 1  # noqa: B023
+            if visible[k]:  # noqa: B023
+                start = walk.start[1:]  # noqa: B023
+                apart = walk.ordinal[start] >= k  # noqa: B023
+                reach = k - walk.ordinal[start] if dist_mode == 1 else walk.place[walk.base + k] - walk.place[start]  # noqa: B023
+                total[x] += pair_sum(np.where(apart, 0.0, reach))
+
+        walk.zeros_before = state.zeros if state is not None else 0
+        if state is not None and s and steps[0] >= 0:
+            add(0)
+        for k, *_ in walk:
+            walk.zeros_before = walk.zeros
+            if k + 1 < s and steps[k + 1] >= 0:
+                add(k + 1)
+    # pairs that end at x on both sides span nothing; from all others 1 is taken
+    group = differ[0] * 2 + differ[1]
+    c = np.stack([(group == g).sum(axis=1) for g in range(4)])
+    pairs = n * (n - 1) / 2
+    both = np.where(open_[0], np.where(open_[1], c[0] * c[3] + c[1] * c[2], (c[0] + c[1]) * (c[2] + c[3])), np.where(open_[1], (c[0] + c[2]) * (c[1] + c[3]), pairs))
+    return {"hscan": np.where(shown, (total - (pairs - both)) * 2.0 / (n * (n - 1)), np.nan)}
+
+
+#: Walks of the scans: which sites they visit, the distances between neighbours, and whether matches end at gaps.
+WALKS = {
+    ihs: lambda o: (lambda daf: np.ones(len(daf), bool), lambda p: _scaled(p, o.get("gap_scale", 20_000), o.get("max_gap", 200_000)), False),
+    nsl: lambda o: (lambda daf: common(daf, o.get("min_maf", 0.05), o.get("two_sided", True)), lambda p: np.ones(len(p) - 1), False),
+    hscan: lambda o: (lambda daf: np.ones(len(daf), bool), _short(o.get("max_gap", 200_000)), True),
+}
+
+
+def prefix_scan(packed: DataFrame, kernel, columns: list[str], size: int = 5_000_000, **options) -> DataFrame:
+    """``ihs``, ``nsl`` or ``hscan`` (bases or sites) of whole chromosomes, in tiles of ``size`` bases.
+
+    Each tile's prefix arrays are made on their own, put together tile by tile along a
+    chromosome, which needs a few numbers for each haplotype and tile, and each tile is then
+    scanned from the states at its borders.  Neither tiles nor runs of any length change a value.
+    Chromosomes of one tile skip the first two steps.
+    """
+    if options.get("dist_mode") == 2:
+        raise ValueError("spans in bases x sites are not sums of two sides: use scan")
+    visits, gaps, reset = WALKS[kernel](options)
+    chrom = packed.schema["chrom"].dataType.simpleString()
+    tiles = packed.select("chrom", "pos", "alleles").withColumn("tile", F.floor(F.col("pos") / F.lit(size)))
+
+    def sites(pdf: pd.DataFrame):
+        pdf = pdf.sort_values("pos", kind="stable")
+        return np.array(pdf["alleles"].tolist(), dtype=np.int8), pdf["pos"].to_numpy()
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, pos = sites(pdf)
+        kept = visits(h.mean(axis=1))
+        rows = []
+        for side, way in enumerate((slice(None), slice(None, None, -1))):
+            p = pos[kept][way]
+            if len(p):
+                walk = Walk(h[kept][way], _steps(p, None, gaps), None, reset)
+                for _ in walk:
+                    pass
+                rows.append((pdf["chrom"].iloc[0], int(pdf["tile"].iloc[0]), side, *as_row(walk.state(p))))
+        return pd.DataFrame(rows, columns=["chrom", "tile", "side", *names])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = int(pdf["side"].iloc[0])
+        state, rows = None, []
+        for row in pdf.sort_values("tile", ascending=side == 0).to_dict("records"):
+            if state is not None:
+                rows.append((row["chrom"], row["tile"], side, *as_row(state)))
+            mine = from_row(row)
+            state = chained(state, mine, float(gaps(np.array([state.last, mine.first]))[0]) if state is not None else 0.0, reset)
+        # a tile without visited sites has no row of its own, but no use for a state either
+        return pd.DataFrame(rows, columns=["chrom", "tile", "side", *names])
+
+    names = [c.split()[0] for c in FIELDS.split(", ")]
+    form = f"chrom {chrom}, tile long, side int, {FIELDS}"
+    spans = tiles.groupBy("chrom").agg(F.min("tile").alias("a"), F.max("tile").alias("b")).filter("b > a").select("chrom")
+    states = tiles.join(spans, "chrom", "left_semi").groupBy("chrom", "tile").applyInPandas(own, form).groupBy("chrom", "side").applyInPandas(chain, form)
+
+    def run(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"chrom": [], "pos": [], **{c: [] for c in columns}})
+        h, pos = sites(pdf)
+        at = {int(r["side"]): from_row(r) for r in before.to_dict("records")}
+        out = kernel(h, pos, states=(at.get(0), at.get(1)), **options)
+        return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "pos": pos, **{c: np.asarray(out[c], dtype=float) for c in columns}})
+
+    return tiles.groupBy("chrom", "tile").cogroup(states.groupBy("chrom", "tile")).applyInPandas(run, f"chrom {chrom}, pos long, " + ", ".join(f"{c} double" for c in columns))
 
 
 # ---- SAFE and iSAFE

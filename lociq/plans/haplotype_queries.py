@@ -73,16 +73,16 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ihs_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scans.scan(_packed(spark, sf_dir), lambda h, pos: scans.ihs(h, pos, include_edges=True), {"daf": "double", "ihs": "double", "delta_ihh": "double"})
+    out = scans.prefix_scan(_packed(spark, sf_dir), scans.ihs, ["daf", "ihs", "delta_ihh"], include_edges=True)
     return out.filter("ihs is not null and not isnan(ihs)")
 
 
 def nsl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.scan(_packed(spark, sf_dir), scans.nsl, {"daf": "double", "nsl": "double"})
+    return scans.prefix_scan(_packed(spark, sf_dir), scans.nsl, ["daf", "nsl"])
 
 
 def hscan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scans.scan(_packed(spark, sf_dir), scans.hscan, {"hscan": "double"})
+    out = scans.prefix_scan(_packed(spark, sf_dir), scans.hscan, ["hscan"])
     return out.select("chrom", "pos", F.round("hscan", 4).alias("hscan"))
 
 
