@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lociq.operators.intervals import numbered
 from lociq.operators.prefix import FIELDS, State, Walk, as_row, chained, from_row, pair_sum
+from lociq.session import stored
 
 
 def tiled(packed: DataFrame, size: int, halo: int) -> DataFrame:
@@ -428,22 +429,68 @@ def decays(least: float, n_a: int) -> np.ndarray:
     return np.geomspace(-np.log(0.99999) / least, -np.log(0.00001) / least, n_a)
 
 
+def decayed_best(gain: np.ndarray, centers: np.ndarray, core: np.ndarray, max_extend: float, grid: np.ndarray, cells: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
+    """For each core window, the largest sum over windows of exp(-A distance) x gain, over spectra and A, and the A's inverse.
+
+    The sum over windows on one side is that of the next window, decayed by the step
+    between them, plus the window's own gain, less what falls out of reach; so a window
+    costs as many steps as there are spectra and values of A, however many
+    windows are in reach.  Values of A go in groups of about ``cells`` numbers.
+    """
+    w, n_spec = gain.shape
+    lo = np.searchsorted(centers, centers - max_extend, side="left")
+    hi = np.searchsorted(centers, centers + max_extend, side="right")
+    shown = np.flatnonzero(core)
+    top, inverse = np.full(len(shown), -np.inf), np.zeros(len(shown))
+    for at in range(0, len(grid), wide := max(1, cells // max(n_spec, 1))):
+        a = grid[at : at + wide, None]
+        left = np.empty((len(shown), len(a), n_spec))
+        here, k = np.zeros((len(a), n_spec)), 0
+        for x in range(w):
+            if x:
+                here *= np.exp(-a * (centers[x] - centers[x - 1]))
+                for v in range(lo[x - 1], lo[x]):
+                    here -= np.exp(-a * (centers[x] - centers[v])) * gain[v]
+            here += gain[x]
+            if core[x]:
+                left[k] = here
+                k += 1
+        here[:] = 0
+        for x in range(w - 1, -1, -1):
+            if x + 1 < w:
+                here += gain[x + 1]
+                here *= np.exp(-a * (centers[x + 1] - centers[x]))
+                for v in range(hi[x], hi[x + 1]):
+                    here -= np.exp(-a * (centers[v] - centers[x])) * gain[v]
+            if core[x]:
+                k -= 1
+                value = (left[k] + here).max(axis=1)
+                best = int(value.argmax())
+                if value[best] > top[k]:
+                    top[k], inverse[k] = value[best], 1 / a[best, 0]
+    return top, inverse
+
+
 def lassi_scan(packed: DataFrame, k: int = 10, window: int = 201, step: int = 10, mode: int = 4, max_extend: int = 100_000, n_a: int = 100) -> DataFrame:
     """Per window: T and m, and saltiLASSI's Lambda with its 1 / A.
 
-    Spectra of windows are made block by block, averaged to the chromosome's neutral
-    spectrum, and scored in tiles of ``max_extend`` bases with the windows on both
+    Spectra of windows are made block by block and stored: they are averaged to the
+    chromosome's neutral spectrum, and scored in tiles of ``max_extend`` bases with the windows on both
     sides as halo; windows further away do not count in Lambda.  The last windows of a
     chromosome may be shorter.
     """
     chrom = packed.schema["chrom"].dataType.simpleString()
-    blocks = spectra(packed, k, window, step)
-    place = F.posexplode("counts").alias("i", "c")
-    mean = blocks.select("chrom", place).groupBy("chrom", "i").agg(F.avg("c").alias("c")).groupBy("chrom").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("neutral"))  # k numbers
-    gap = _least_gap(blocks, max_extend)
+    blocks = stored(spectra(packed, k, window, step), "spectra")
+    center = F.sort_array(F.collect_set("center"))  # of a block of windows
+    of_block = blocks.groupBy("chrom", "block").agg(F.count("*").alias("n"), *(F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(k)), center.alias("at"))
+    gaps = lambda at: F.zip_with(F.slice(at, 2, F.size(at)), at, lambda b, a: b - a)
+    of_block = of_block.withColumn("inside", F.array_min(gaps(F.col("at")))).withColumn("span", F.struct(F.element_at("at", 1).alias("low"), F.element_at("at", -1).alias("high")))
+    of_chrom = of_block.groupBy("chrom").agg(F.array(*(F.sum(f"c{i}") / F.sum("n") for i in range(k))).alias("neutral"), F.min("inside").alias("inside"), F.sort_array(F.collect_list("span")).alias("spans"))
+    between = F.zip_with(F.slice("spans", 2, F.size("spans")), "spans", lambda b, a: F.nullif(F.abs(b["low"] - a["high"]), F.lit(0.0)))
+    of_chrom = of_chrom.select("chrom", "neutral", F.least("inside", F.array_min(between)).alias("gap"))
     tile = F.floor(F.col("center") / F.lit(max_extend))
     rows = blocks.withColumn("tile", F.explode(F.sequence(tile - 1, tile + 1))).withColumn("core", F.col("tile") == tile)
-    rows = rows.join(mean, "chrom").join(gap, "chrom")
+    rows = rows.join(of_chrom, "chrom")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("center", kind="stable")
@@ -455,20 +502,15 @@ def lassi_scan(packed: DataFrame, k: int = 10, window: int = 201, step: int = 10
         if not gain.shape[1] or not core.any():
             return out
         best = gain[core].argmax(axis=1)
-        d = np.abs(centers[core][:, None] - centers[None, :])
-        top, a_inv = np.full(core.sum(), -np.inf), np.zeros(core.sum())
         least = pdf["gap"].iloc[0]
-        for a in decays(least if least == least else 1.0, n_a):
-            value = (np.where(d <= max_extend, np.exp(-a * d), 0.0) @ gain).max(axis=1)
-            better = value > top
-            top[better], a_inv[better] = value[better], 1 / a
+        top, a_inv = decayed_best(gain, centers, core, max_extend, decays(least if least == least else 1.0, n_a))
         return out.assign(t=2 * gain[core][np.arange(len(best)), best], m=ms[best].astype(float), **{"lambda": 2 * top}, a_inverse=a_inv)
 
     return rows.groupBy("chrom", "tile").applyInPandas(run, f"chrom {chrom}, center double, t double, m double, lambda double, a_inverse double")
 
 
 def spectra(packed: DataFrame, k: int, window: int, step: int, block: int = 2000) -> DataFrame:
-    """chrom, center (median position), counts of the k commonest haplotypes; the last windows are shorter."""
+    """chrom, block, center (median position), counts of the k commonest haplotypes; the last windows are shorter."""
     chrom = packed.schema["chrom"].dataType.simpleString()
     block = max(step, block // step * step)
     o = numbered(packed.select("chrom", "pos", "alleles"), ["chrom"], ["pos"], "o")
@@ -481,18 +523,9 @@ def spectra(packed: DataFrame, k: int, window: int, step: int, block: int = 2000
         h, pos = np.array(pdf["alleles"].tolist(), dtype=np.int8), pdf["pos"].to_numpy()
         at = int(pdf["tile"].iloc[0]) * block
         parts = [slice(s - base, s - base + window) for s in range(at, min(at + block, end + 1), step)]
-        return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "center": [float(np.median(pos[x])) for x in parts], "counts": [_spectrum(h[x], k).tolist() for x in parts]})
-
-    return dealt.groupBy("chrom", "tile").applyInPandas(run, f"chrom {chrom}, center double, counts array<double>")
-
+        return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "block": at // block, "center": [float(np.median(pos[x])) for x in parts], "counts": [_spectrum(h[x], k).tolist() for x in parts]})
 
-def _least_gap(windows: DataFrame, width: int) -> DataFrame:
-    """Per chromosome the least distance above 0 between neighbouring centres."""
-    b = windows.select("chrom", "center").distinct().withColumn("b", F.floor(F.col("center") / F.lit(width)))
-    inside = b.withColumn("gap", F.lead("center").over(Window.partitionBy("chrom", "b").orderBy("center")) - F.col("center")).select("chrom", "gap")
-    ends = b.groupBy("chrom", "b").agg(F.min("center").alias("low"), F.max("center").alias("high"))
-    across = ends.withColumn("gap", F.lead("low").over(Window.partitionBy("chrom").orderBy("b")) - F.col("high")).select("chrom", "gap")  # a row a bucket
-    return inside.unionByName(across).groupBy("chrom").agg(F.min("gap").alias("gap"))
+    return dealt.groupBy("chrom", "tile").applyInPandas(run, f"chrom {chrom}, block long, center double, counts array<double>")
 
 
 # ---- H12 by identity

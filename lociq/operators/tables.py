@@ -55,11 +55,15 @@ def sweep_class(s: Column, t: Column, f_i: Column, f_t: Column, least_f_i: Colum
     return F.when(s == 0, F.lit("neutral")).otherwise(F.concat_ws("_", hard, age, complete))
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """Connected components by least label and label of label; lineage is cut every round."""
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Connected components by least label and label of label; lineage is cut every round.
+
+    A round that changes nothing is the last.  Labels only go down, so there is one; label
+    of label halves the way to a component's least node, so rounds grow as the logarithm of its width.
+    """
     both = edges.select(F.col("a"), F.col("b")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select(F.col("node"), F.col("node").alias("comp")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         lower = labels.join(near, "node", "left").select("node", F.col("comp").alias("was"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
@@ -67,4 +71,3 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFram
         labels = stepped.select("node", "comp")
         if stepped.filter("was <> comp").limit(1).count() == 0:
             return labels
-    raise RuntimeError("components did not settle")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -49,3 +50,10 @@ def scratch_root(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, _LOCAL[context.applicationId], ignore_errors=True)
         root = _LOCAL[context.applicationId]
     return root.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder now, for results that are small next to what they are made of and are read more than once."""
+    path = f"{scratch_root(df.sparkSession)}/lociq/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
