@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from lociq import workflow
 from lociq.functions.binning import empirical_p, valid
 from lociq.operators import enrichment, genotypes, haplotype, polarize, ranking, scans, spectrum
-from lociq.operators.intervals import numbered
 from lociq.session import scratch_root, session
 from lociq.sources import readers, writers
 
@@ -23,6 +22,8 @@ REGISTRY = {
     "omega_max": ("ld", {"width": 100_000, "step": 10_000}),
     **{n: ("garud", {"sites": 200, "site_step": 10}) for n in ("h1", "h12", "h123", "h2_h1")},
     "haf_top": ("haf", {"sites": 201, "site_step": 10}),
+    "h12_identity": ("identity", {"sites": 200, "site_step": 10}),
+    "ncd1": ("ncd", {"width": 3000}),
     **{n: ("focal", {"reach": 25_000}) for n in ("dind", "high_freq", "low_freq", "s_ratio", "hapdaf_o", "hapdaf_s")},
     "ihs": ("ihs", {}),
     "delta_ihh": ("ihs", {}),
@@ -37,20 +38,6 @@ REGISTRY = {
 ABSOLUTE = ("ihs", "nsl", "tajima_d", "zeng_e", "fay_wu_h")
 
 
-def site_windows(counts, sites: int, step: int):
-    """Each site with every window that holds it: ``sites`` sites from each ``step``-th on.
-
-    Windows are whole; a chromosome of fewer sites is one window.  ``win`` is the
-    number of a window's first site, from 0.
-    """
-    o = numbered(counts.select("chrom", "pos", "site"), ["chrom"], ["pos", "site"], "o")
-    whole = o.groupBy("chrom").agg(F.count("*").alias("total")).withColumn("width", F.least(F.col("total"), F.lit(sites)))
-    first = F.greatest(F.lit(0), F.ceil((F.col("o") - F.col("width") + 1) / F.lit(step)))
-    last = F.floor(F.least(F.col("o"), F.col("total") - F.col("width")) / F.lit(step))
-    held = o.join(whole, "chrom").withColumn("first", first).withColumn("last", last).filter("first <= last")
-    return held.select("chrom", "pos", "site", F.explode(F.sequence("first", "last")).alias("win")).withColumn("win", F.col("win") * step)
-
-
 def statistic(sa, name: str, **options):
     """One registered statistic of a long genotype table: a frame that has the column ``name``."""
     if name not in REGISTRY:
@@ -61,12 +48,17 @@ def statistic(sa, name: str, **options):
     seg = sa.join(counts, ["chrom", "pos", "site"])
     packed = genotypes.packed(seg)
     if kind in ("window", "ld"):
+        if kind == "ld":
+            return haplotype.ld_scan(seg.groupBy("chrom", "pos", "site", "k", "n").agg(genotypes.bits(genotypes.in_order("hap")).alias("x")), o["width"], o["step"])
         first = F.floor((F.col("pos") - o["width"]) / F.lit(o["step"])) + 1
-        spread = lambda d: d.withColumn("start", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.floor(F.col("pos") / F.lit(o["step"]))))).withColumn("start", F.col("start") * o["step"])
-        return spectrum.window_statistics(spread(counts), ["chrom", "start"], [name]) if kind == "window" else haplotype.ld(spread(seg), ["chrom", "start"])
+        spread = counts.withColumn("start", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.floor(F.col("pos") / F.lit(o["step"])))))
+        return spectrum.window_statistics(spread.withColumn("start", F.col("start") * o["step"]), ["chrom", "start"], [name])
+    if kind == "ncd":
+        return spectrum.ncd_windows(counts, o["width"])
+    if kind == "identity":
+        return scans.h12_scan(packed, o["sites"], o["site_step"]).withColumnRenamed("h12", "h12_identity")
     if kind in ("garud", "haf"):
-        w = seg.join(site_windows(counts, o["sites"], o["site_step"]), ["chrom", "pos", "site"])
-        return haplotype.garud(w, ["chrom", "win"]) if kind == "garud" else haplotype.haf_top(w, ["chrom", "win"])
+        return (scans.garud_scan if kind == "garud" else scans.haf_scan)(packed, o["sites"], o["site_step"])
     if kind == "focal":
         return haplotype.focal_statistics(haplotype.focal_pairs(seg, o["reach"]))
     if kind == "lassi":

@@ -13,6 +13,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,8 +81,12 @@ def site_statistics(packed: DataFrame, names: list[str], reach: int = 25_000, fu
     return long.join(base, ["chrom", "pos"]).select(F.col("chrom").alias("iter"), "pos", "daf", "stat", valid(F.col("value")).alias("value")).filter("value is not null")
 
 
-def window_statistics(packed: DataFrame, centers: list[int], widths: list[int], names: list[str], start: Column | None = None) -> DataFrame:
-    """Long window statistics of packed sites (iter, pos, alleles); ``start`` is a locus's first position (0)."""
+def window_statistics(packed: DataFrame, centers: list[int], widths: list[int], names: list[str], start: Column | None = None, func: Callable | None = None, columns: dict[str, str] | None = None) -> DataFrame:
+    """Long window statistics of packed sites (iter, pos, alleles); ``start`` is a locus's first position (0).
+
+    ``func(alleles, positions) -> {column: number}`` adds statistics of the caller's own for a window's
+    segregating sites, with ``columns`` (name -> type).
+    """
     start = F.lit(0) if start is None else start
     grid = F.explode(F.array(*(F.struct(F.lit(c).alias("center"), F.lit(w).alias("window")) for c in centers for w in widths))).alias("g")
     at = F.col("pos") - start
@@ -104,6 +110,16 @@ def window_statistics(packed: DataFrame, centers: list[int], widths: list[int],
         wanted = [x for x in group if x in names]
         if wanted:
             frames.append(make().unpivot(by, wanted, "stat", "value"))
+    if func is not None:
+        kind = sites.schema["iter"].dataType.simpleString()
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("pos", kind="stable")
+            made = func(np.array(pdf["alleles"].tolist(), dtype=np.int8), pdf["pos"].to_numpy())
+            return pd.DataFrame([[pdf[c].iloc[0] for c in by] + [made[c] for c in columns]], columns=[*by, *columns])
+
+        own = sites.groupBy(*by).applyInPandas(run, f"iter {kind}, center {sites.schema['center'].dataType.simpleString()}, window {sites.schema['window'].dataType.simpleString()}, " + ", ".join(f"{c} {t}" for c, t in columns.items()))
+        frames.append(own.select(*by, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(by, list(columns), "stat", "value"))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

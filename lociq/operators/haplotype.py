@@ -7,6 +7,8 @@ a pair is then one row, and what it shares is the number of bits of a bitwise an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,17 +109,51 @@ def site_pairs(sa: DataFrame, by: list[str]) -> DataFrame:
 def ld(sa: DataFrame, by: list[str]) -> DataFrame:
     """Kelly's ZnS and Kim and Nielsen's omega (pooled denominators), splits 3 .. S - 3."""
     pairs = site_pairs(sa, by)
-    size = pairs.groupBy(*by).agg(F.max("oj").alias("s"), F.sum("r2").alias("total"))
     left = pairs.groupBy(*by, F.col("oj").alias("o")).agg(F.sum("r2").alias("col"))
     right = pairs.groupBy(*by, F.col("oi").alias("o")).agg(F.sum("r2").alias("row"))
     per = left.join(right, [*by, "o"], "full").select(*by, "o", F.coalesce("col", F.lit(0.0)).alias("col"), F.coalesce("row", F.lit(0.0)).alias("row"))
+    return _linkage(per, by)
+
+
+def _linkage(per: DataFrame, by: list[str]) -> DataFrame:
+    """ZnS and omega of windows, from the sums of r^2 of each site (o, from 1) with earlier (col) and with later sites (row)."""
+    size = per.groupBy(*by).agg(F.max("o").alias("s"), F.sum("col").alias("total"))
     w = Window.partitionBy(*by).orderBy("o")
     cut = per.withColumn("l", F.sum("col").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("r", F.coalesce(F.sum("row").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))).join(size, by)
     o, s = F.col("o"), F.col("s")
     between = F.col("total") - F.col("l") - F.col("r")
     omega = (F.col("l") + F.col("r")) / (o * (o - 1) / 2 + (s - o) * (s - o - 1) / 2) / (F.nullif(F.greatest(between, F.lit(0.0)), F.lit(0.0)) / (o * (s - o)))
     best = cut.filter((o >= 3) & (o < s - 2)).groupBy(*by).agg(F.max(omega).alias("omega"))
-    return size.join(best, by, "left").select(*by, F.round(F.col("total") / (s * (s - 1) / 2), 6).alias("zns"), F.round(F.coalesce("omega", F.lit(0.0)), 6).alias("omega_max"))
+    return size.filter("s > 1").join(best, by, "left").select(*by, F.round(F.col("total") / (s * (s - 1) / 2), 6).alias("zns"), F.round(F.coalesce("omega", F.lit(0.0)), 6).alias("omega_max"))
+
+
+def ld_scan(sites: DataFrame, width: int = 100_000, step: int = 10_000) -> DataFrame:
+    """``ld`` of the windows [start, start + width) at multiples of ``step``: chrom, start, zns, omega_max.
+
+    ``sites``: chrom, pos, site, n, k, and the packed alleles x.  A pair of sites is made once, however many windows hold it: its r^2 is added to
+    the later site by the bucket of the earlier one, and the other way round, and windows add up buckets.
+    """
+    g = math.gcd(width, step)
+    near = sites.withColumn("b", F.floor(F.col("pos") / F.lit(width)))
+    first = near.select("chrom", "b", *(F.col(c).alias(f"{c}i") for c in ("pos", "site", "k", "x")), "n")
+    other = near.withColumn("b", F.explode(F.array(F.col("b"), F.col("b") - 1))).select("chrom", "b", *(F.col(c).alias(f"{c}j") for c in ("pos", "site", "k", "x")))
+    later = (F.col("posi") < F.col("posj")) | ((F.col("posi") == F.col("posj")) & (F.col("sitei") < F.col("sitej")))
+    pairs = first.join(other, ["chrom", "b"]).filter(later & (F.col("posj") - F.col("posi") < width))
+    p = lambda c: F.col(c) / F.col("n")
+    d = ones_in_both(F.col("xi"), F.col("xj")) / F.col("n") - p("ki") * p("kj")
+    r2 = F.coalesce(F.try_divide(d * d, p("ki") * (1 - p("ki")) * p("kj") * (1 - p("kj"))), F.lit(0.0))
+    pairs = pairs.select("chrom", "posi", "sitei", "posj", "sitej", r2.alias("r2"))
+    bucket = lambda c: F.floor(F.col(c) / F.lit(g))
+    windows = lambda a, b: F.explode(F.filter(F.sequence(F.greatest(a, F.lit(0)), F.greatest(b, F.lit(0))), lambda x: (x >= a) & (x <= b)))
+    from_pos = lambda c: F.floor((F.col(c) - width) / F.lit(step)) + 1  # noqa: E731  first window that holds a position
+    left = pairs.groupBy("chrom", F.col("posj").alias("pos"), F.col("sitej").alias("site"), bucket("posi").alias("q")).agg(F.sum("r2").alias("col"))
+    left = left.select("chrom", "pos", "site", windows(from_pos("pos"), F.floor(F.col("q") * g / F.lit(step))).alias("w"), "col", F.lit(0.0).alias("row"))
+    right = pairs.groupBy("chrom", F.col("posi").alias("pos"), F.col("sitei").alias("site"), bucket("posj").alias("q")).agg(F.sum("r2").alias("row"))
+    right = right.select("chrom", "pos", "site", windows(F.ceil(((F.col("q") + 1) * g - width) / F.lit(step)), F.floor(F.col("pos") / F.lit(step))).alias("w"), F.lit(0.0).alias("col"), "row")
+    alone = sites.select("chrom", "pos", "site", windows(from_pos("pos"), F.floor(F.col("pos") / F.lit(step))).alias("w"), F.lit(0.0).alias("col"), F.lit(0.0).alias("row"))
+    per = left.unionByName(right).unionByName(alone).groupBy("chrom", "w", "pos", "site").agg(F.sum("col").alias("col"), F.sum("row").alias("row"))
+    per = per.withColumn("o", F.row_number().over(Window.partitionBy("chrom", "w").orderBy("pos", "site"))).withColumn("start", F.col("w") * step)  # a window's sites
+    return _linkage(per, ["chrom", "start"])
 
 
 def focal_pairs(sa: DataFrame, reach: int, low: float = 0.25, high: float = 0.95) -> DataFrame:

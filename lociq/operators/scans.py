@@ -359,12 +359,13 @@ def isafe_regions(packed: DataFrame, size: int = 2_000_000, least: int = 10, win
 # ---- windows of sites
 
 
-def site_windows(packed: DataFrame, window: int, step: int, kernel, columns: str, block: int = 2000) -> DataFrame:
-    """``kernel(alleles, positions) -> row`` for every window of ``window`` sites from each ``step``-th on.
+def window_blocks(packed: DataFrame, window: int, step: int, kernel, columns: str, block: int = 2000, short: bool = False) -> DataFrame:
+    """``kernel(alleles, positions, starts, stops) -> rows`` for windows of ``window`` sites from each ``step``-th on, block by block.
 
     Sites are numbered along the chromosome without sorting it in one task; a task
-    holds the sites of the windows that begin in a block of about ``block`` sites.
-    Windows are whole; a chromosome of fewer sites is one window.
+    holds the sites of the windows that begin in a block of about ``block`` sites, each once.
+    Windows are whole, but for the last ones if ``short``; a chromosome of fewer sites is one window.
+    Rows get chrom, block, and win, the number of the window's first site.
     """
     chrom = packed.schema["chrom"].dataType.simpleString()
     block = max(step, block // step * step)
@@ -375,24 +376,81 @@ def site_windows(packed: DataFrame, window: int, step: int, kernel, columns: str
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("o", kind="stable")
-        base, whole = int(pdf["o"].iloc[0]), int(pdf["total"].iloc[0])
+        base, whole, tile = int(pdf["o"].iloc[0]), int(pdf["total"].iloc[0]), int(pdf["tile"].iloc[0])
         h, pos = np.array(pdf["alleles"].tolist(), dtype=np.int8), pdf["pos"].to_numpy()
-        at = int(pdf["tile"].iloc[0]) * block
-        starts = [s for s in range(at, at + block, step) if s == 0 or s + window <= whole]
-        rows = [(pdf["chrom"].iloc[0], *kernel(h[s - base : s - base + window], pos[s - base : s - base + window])) for s in starts if s < whole]
-        return pd.DataFrame(rows, columns=["chrom", *(c.split()[0] for c in columns.split(", "))])
+        starts = np.arange(tile * block, min((tile + 1) * block, whole), step)
+        starts = starts[(starts == 0) | (starts + window <= whole) | short] - base
+        rows = kernel(h, pos, starts, np.minimum(starts + window, len(h)))
+        return pd.DataFrame([(pdf["chrom"].iloc[0], tile, int(s) + base, *r) for s, r in zip(starts, rows, strict=True)], columns=["chrom", "block", "win", *(c.split()[0] for c in columns.split(", "))])
+
+    return dealt.groupBy("chrom", "tile").applyInPandas(run, f"chrom {chrom}, block long, win long, {columns}")
+
+
+def site_windows(packed: DataFrame, window: int, step: int, kernel, columns: str, block: int = 2000) -> DataFrame:
+    """``kernel(alleles, positions) -> row`` for every window; see ``window_blocks``."""
+    each = lambda h, pos, starts, stops: [kernel(h[a:b], pos[a:b]) for a, b in zip(starts, stops, strict=True)]
+    return window_blocks(packed, window, step, each, columns, block).drop("block", "win")
+
+
+def sliding_counts(h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
+    """For each window, the counts of its distinct haplotypes, largest first.
+
+    One walk over the sites serves all windows: haplotypes that are equal from a
+    window's first site to its last are neighbours in the order of prefixes there, so a
+    window costs as many steps as haplotypes, whatever its width.
+    """
+    out: list[np.ndarray] = [np.zeros(0)] * len(starts)
+    ending: dict[int, list[int]] = {}
+    for w, stop in enumerate(stops.tolist()):
+        ending.setdefault(stop - 1, []).append(w)
+    walk = Walk(h, np.ones(len(h)))
+    for k, *_ in walk:
+        for w in ending.get(k, ()):
+            edges = np.concatenate([[0], np.flatnonzero(walk.start[1:] > starts[w]) + 1, [h.shape[1]]])
+            out[w] = np.sort(np.diff(edges))[::-1]
+    return out
+
+
+def _garud(h: np.ndarray, pos: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[tuple]:
+    rows = []
+    for c in sliding_counts(h, starts, stops):
+        p = np.concatenate([c / c.sum(), [0.0, 0.0]])
+        h1 = float((p * p).sum())
+        h12, h123 = h1 + 2 * p[0] * p[1], h1 + 2 * (p[0] * p[1] + p[0] * p[2] + p[1] * p[2])
+        rows.append((len(c), *(round(float(x), 6) for x in (h1, h12, h123, (h1 - p[0] ** 2) / h1))))
+    return rows
+
 
-    return dealt.groupBy("chrom", "tile").applyInPandas(run, f"chrom {chrom}, {columns}")
+def garud_scan(packed: DataFrame, window: int = 200, step: int = 10) -> DataFrame:
+    """chrom, win, k, h1, h12, h123, h2_h1 of sliding windows of sites."""
+    return window_blocks(packed, window, step, _garud, "k long, h1 double, h12 double, h123 double, h2_h1 double").drop("block")
+
+
+def haf_scan(packed: DataFrame, window: int = 201, step: int = 10, cutoff: float = 0.1) -> DataFrame:
+    """chrom, win, haf_top of sliding windows of sites: sums over a window are differences of running sums."""
+
+    def kernel(h, pos, starts, stops):
+        n = h.shape[1]
+        before = np.zeros((1, n), dtype=np.int64)
+        ones = np.concatenate([before, np.cumsum(h, axis=0, dtype=np.int64)])
+        num = np.concatenate([before, np.cumsum(h * h.sum(axis=1, dtype=np.int64)[:, None], axis=0)])
+        rows = []
+        for a, b in zip(starts, stops, strict=True):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                haf = (num[b] - num[a]) / (n * (ones[b] - ones[a]))
+            rows.append((round(float(np.nansum(np.sort(haf)[int(np.floor(n * (1 - cutoff))) :])), 6),))
+        return rows
+
+    return window_blocks(packed, window, step, kernel, "haf_top double").drop("block")
 
 
 # ---- LASSI and saltiLASSI
 
 
-def _spectrum(w: np.ndarray, k: int) -> np.ndarray:
-    """Counts of the k commonest haplotypes of a window, scaled to the sample size, padded with zeros."""
-    _, c = np.unique(w, axis=1, return_counts=True)
-    c = np.sort(c)[::-1][:k].astype(float)
-    return np.pad(c / c.sum() * w.shape[1], (0, k - len(c)))
+def _spectrum(c: np.ndarray, n: int, k: int) -> list[float]:
+    """Counts of the k commonest haplotypes, scaled to the sample size n, padded with zeros."""
+    c = c[:k].astype(float)
+    return np.pad(c / c.sum() * n, (0, k - len(c))).tolist()
 
 
 def sweep_spectra(neutral: np.ndarray, mode: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -511,21 +569,12 @@ def lassi_scan(packed: DataFrame, k: int = 10, window: int = 201, step: int = 10
 
 def spectra(packed: DataFrame, k: int, window: int, step: int, block: int = 2000) -> DataFrame:
     """chrom, block, center (median position), counts of the k commonest haplotypes; the last windows are shorter."""
-    chrom = packed.schema["chrom"].dataType.simpleString()
-    block = max(step, block // step * step)
-    o = numbered(packed.select("chrom", "pos", "alleles"), ["chrom"], ["pos"], "o")
-    first = F.greatest(F.lit(0), F.floor((F.col("o") - window + 1) / F.lit(block)))
-    dealt = o.withColumn("tile", F.explode(F.sequence(first, F.floor(F.col("o") / F.lit(block)))))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o", kind="stable")
-        base, end = int(pdf["o"].iloc[0]), int(pdf["o"].iloc[-1])
-        h, pos = np.array(pdf["alleles"].tolist(), dtype=np.int8), pdf["pos"].to_numpy()
-        at = int(pdf["tile"].iloc[0]) * block
-        parts = [slice(s - base, s - base + window) for s in range(at, min(at + block, end + 1), step)]
-        return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "block": at // block, "center": [float(np.median(pos[x])) for x in parts], "counts": [_spectrum(h[x], k).tolist() for x in parts]})
+    def kernel(h, pos, starts, stops):
+        found = sliding_counts(h, starts, stops)
+        return [(float(np.median(pos[a:b])), _spectrum(c, h.shape[1], k)) for a, b, c in zip(starts, stops, found, strict=True)]
 
-    return dealt.groupBy("chrom", "tile").applyInPandas(run, f"chrom {chrom}, block long, center double, counts array<double>")
+    return window_blocks(packed, window, step, kernel, "center double, counts array<double>", block, short=True).drop("win")
 
 
 # ---- H12 by identity

@@ -186,3 +186,16 @@ def log_choose(a, b):
         return F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
 
     return lf(a) - lf(b) - lf(a - b)
+
+
+def ncd_windows(counts: DataFrame, width: int = 3000, target: float = 0.5, least: int = 2) -> DataFrame:
+    """Non-central deviation: root mean square of maf - target in windows of ``width`` every half of it from a chromosome's first site.
+
+    chrom, pos (the middle), sites, ncd1 of windows (both ends included) with ``least`` sites.
+    """
+    half = width // 2
+    s = counts.select("chrom", "pos", F.least("daf", 1 - F.col("daf")).alias("maf"))
+    at = F.col("pos") - F.col("p0")
+    x = s.join(s.groupBy("chrom").agg(F.min("pos").alias("p0")), "chrom").withColumn("i", F.explode(F.sequence(F.greatest(F.ceil((at - width) / F.lit(half)), F.lit(0)), F.floor(at / F.lit(half)))))
+    per = x.groupBy("chrom", "i").agg(F.min("p0").alias("p0"), F.count("*").alias("sites"), F.sqrt(F.avg(F.pow(F.col("maf") - target, 2))).alias("ncd1"))
+    return per.filter(F.col("sites") >= least).select("chrom", (F.col("p0") + F.col("i") * half + half).alias("pos"), "sites", "ncd1")

@@ -66,14 +66,8 @@ def windowed_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ncd1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of w = 3000 every w/2 from the first site; root mean square of maf - 0.5; mean over windows with 2 sites."""
-    w, tf, least = 3000, 0.5, 2
-    s = dense_sites(spark, sf_dir).withColumn("maf", F.least("daf", 1 - F.col("daf")))
-    first = s.groupBy("chrom").agg(F.min("pos").alias("p0"))
-    half = w // 2
-    at = F.col("pos") - F.col("p0")
-    x = s.join(F.broadcast(first), "chrom").withColumn("i", F.explode(F.sequence(F.greatest(F.ceil((at - w) / F.lit(half)), F.lit(0)), F.floor(at / F.lit(half)))))
-    per = x.groupBy("chrom", "i").agg(F.count("*").alias("sites"), F.sqrt(F.avg(F.pow(F.col("maf") - tf, 2))).alias("v")).filter(F.col("sites") >= least)
-    return per.groupBy("chrom").agg(F.count("*").alias("windows"), F.round(F.avg("v"), 6).alias("ncd1"))
+    per = spectrum.ncd_windows(dense_sites(spark, sf_dir))
+    return per.groupBy("chrom").agg(F.count("*").alias("windows"), F.round(F.avg("ncd1"), 6).alias("ncd1"))
 
 
 def daf_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:

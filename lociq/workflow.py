@@ -26,9 +26,12 @@ def centers_of(length: int, step: int) -> list[int]:
     return list(range(step // 2, length - step // 2 + 1, step))
 
 
-def statistics(packed: DataFrame, centers: list[int], widths: list[int], site: tuple[str, ...] = SITE, window: tuple[str, ...] = WINDOW, func: Callable | None = None, columns: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Long site and window statistics of packed loci (iter, pos, alleles); ``func`` and ``columns`` as in ``features.site_statistics``."""
-    return {"sites": features.site_statistics(packed, list(site), func=func, columns=columns), "windows": features.window_statistics(packed, centers, widths, list(window))}
+def statistics(packed: DataFrame, centers: list[int], widths: list[int], site: tuple[str, ...] = SITE, window: tuple[str, ...] = WINDOW, func: Callable | None = None, columns: dict[str, str] | None = None, window_func: Callable | None = None, window_columns: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Long site and window statistics of packed loci (iter, pos, alleles).
+
+    ``func`` and ``columns`` add site statistics of the caller's own, ``window_func`` and ``window_columns`` window statistics, as in ``features``.
+    """
+    return {"sites": features.site_statistics(packed, list(site), func=func, columns=columns), "windows": features.window_statistics(packed, centers, widths, list(window), func=window_func, columns=window_columns)}
 
 
 def feature_vectors(stats: dict[str, DataFrame], bins: DataFrame, centers: list[int], widths: list[int], names: list[str], strata: list[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -37,7 +40,7 @@ def feature_vectors(stats: dict[str, DataFrame], bins: DataFrame, centers: list[
     return features.vectors(sites, windows, centers, widths, names), features.vectors(stats["sites"], stats["windows"], centers, widths, names)
 
 
-def simulated_features(replicates: DataFrame, parameters: DataFrame, centers: list[int], widths: list[int], site: tuple[str, ...] = SITE, window: tuple[str, ...] = WINDOW, rate_breaks: list[float] | None = None, func: Callable | None = None, columns: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def simulated_features(replicates: DataFrame, parameters: DataFrame, centers: list[int], widths: list[int], site: tuple[str, ...] = SITE, window: tuple[str, ...] = WINDOW, rate_breaks: list[float] | None = None, func: Callable | None = None, columns: dict[str, str] | None = None, window_func: Callable | None = None, window_columns: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Vectors of simulated replicates (iter, pos, alleles) with their parameters (iter, model, r ...).
 
     The moments are those of the neutral replicates, within bins of the recombination
@@ -45,14 +48,14 @@ def simulated_features(replicates: DataFrame, parameters: DataFrame, centers: li
     other way round, go.
     """
     replicates, parameters = readers.drop_malformed(replicates, parameters)
-    stats = statistics(replicates, centers, widths, site, window, func, columns)
+    stats = statistics(replicates, centers, widths, site, window, func, columns, window_func, window_columns)
     strata = [] if rate_breaks is None else ["r_bin"]
     if strata:
         rates = parameters.select("iter", right_closed_bin(F.col("r") * 1e8, rate_breaks).alias("r_bin"))
         stats = {k: v.join(rates, "iter") for k, v in stats.items()}
     neutral = parameters.filter(F.col("model").contains("neutral")).select("iter")
     bins = features.neutral_bins(*(stats[k].join(neutral, "iter", "left_semi") for k in ("sites", "windows")), strata)
-    names = [*site, *window, *(columns or {})]
+    names = [*site, *window, *(columns or {}), *(window_columns or {})]
     vectors, raw = feature_vectors(stats, bins, centers, widths, names, strata)
     return {"vectors": readers.parameters_of(vectors, parameters), "raw": readers.parameters_of(raw, parameters), "bins": bins, **stats}
 
@@ -65,7 +68,7 @@ def regions(sites: DataFrame, length: int, step: int) -> DataFrame:
     return starts.select(F.format_string("chr%s:%d-%d", "chrom", "start", end).alias("iter"), "chrom", "start", end.alias("end"))
 
 
-def vcf_features(packed: DataFrame, length: int, step: int, centers: list[int], widths: list[int], site: tuple[str, ...] = SITE, window: tuple[str, ...] = WINDOW, rates: DataFrame | None = None, rate_breaks: list[float] | None = None, min_rate: float | None = None, func: Callable | None = None, columns: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def vcf_features(packed: DataFrame, length: int, step: int, centers: list[int], widths: list[int], site: tuple[str, ...] = SITE, window: tuple[str, ...] = WINDOW, rates: DataFrame | None = None, rate_breaks: list[float] | None = None, min_rate: float | None = None, func: Callable | None = None, columns: dict[str, str] | None = None, window_func: Callable | None = None, window_columns: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Vectors of regions of called sites (chrom, pos, alleles), normalised by the moments over all regions.
 
     Site statistics are made once a chromosome and window statistics once for each
@@ -86,7 +89,7 @@ def vcf_features(packed: DataFrame, length: int, step: int, centers: list[int],
     site_rows = features.site_statistics(whole, list(site), func=func, columns=columns).withColumnRenamed("iter", "chrom")
     places = loci.select("iter", "chrom", "start", *strata, F.explode(F.array(*map(F.lit, centers))).alias("center"))
     absolute = places.select("chrom", (F.col("start") + F.col("center")).alias("center")).distinct()
-    cached = _absolute_windows(packed, absolute, widths, list(window))
+    cached = _absolute_windows(packed, absolute, widths, list(window), window_func, window_columns)
     windows = features.assembled_windows(places, cached)
     spans = loci.select("iter", "chrom", "start", "end", *strata)
     from lociq.operators.intervals import range_join
@@ -96,11 +99,11 @@ def vcf_features(packed: DataFrame, length: int, step: int, centers: list[int],
     windows = windows.join(loci.select("iter", *strata), "iter") if strata else windows
     distinct = held.select("chrom", (F.col("pos") + F.col("start")).alias("pos"), "daf", "stat", "value", *strata).distinct() if not strata else held
     bins = features.neutral_bins(distinct, windows, strata)
-    vectors, raw = feature_vectors({"sites": sites, "windows": windows}, bins, centers, widths, [*site, *window, *(columns or {})], strata)
+    vectors, raw = feature_vectors({"sites": sites, "windows": windows}, bins, centers, widths, [*site, *window, *(columns or {}), *(window_columns or {})], strata)
     return {"vectors": vectors, "raw": raw, "bins": bins, "sites": sites, "windows": windows}
 
 
-def _absolute_windows(packed: DataFrame, centers: DataFrame, widths: list[int], names: list[str]) -> DataFrame:
+def _absolute_windows(packed: DataFrame, centers: DataFrame, widths: list[int], names: list[str], func: Callable | None = None, columns: dict[str, str] | None = None) -> DataFrame:
     """Window statistics (chrom, center, window, stat, value) around absolute centres: each centre is a locus of its own."""
     from lociq.operators.intervals import range_join
 
@@ -108,7 +111,7 @@ def _absolute_windows(packed: DataFrame, centers: DataFrame, widths: list[int],
     spans = centers.select("chrom", "center", (F.col("center") - w // 2).alias("lo"), (F.col("center") + w // 2).alias("hi"))
     held = range_join(packed.select("chrom", "pos", "alleles"), spans, "pos", "lo", "hi", w, ["chrom"])
     loci = held.select(F.concat_ws("|", F.col("chrom").cast("string"), F.col("center").cast("string")).alias("iter"), (F.col("pos") - F.col("center")).alias("pos"), "alleles")
-    stats = features.window_statistics(loci, [0], widths, names)
+    stats = features.window_statistics(loci, [0], widths, names, func=func, columns=columns)
     return stats.select(F.substring_index("iter", "|", 1).alias("chrom"), F.substring_index("iter", "|", -1).cast("bigint").alias("center"), "window", "stat", "value")
 
 

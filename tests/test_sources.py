@@ -2,8 +2,10 @@ import gzip
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lociq import cli
+from lociq.operators import genotypes, haplotype
 from lociq.sources import readers, writers
 
 VCF = """##fileformat=VCFv4.2
@@ -77,8 +79,8 @@ def test_registered_statistics(spark, tmp_path):
     rng = np.random.default_rng(2)
     rows = [("1", 1000 * (s + 1), s, h, int(rng.random() < 0.2 + 0.6 * (s % 7) / 7)) for s in range(60) for h in range(20)]
     sa = spark.createDataFrame(rows, "chrom string, pos long, site long, hap int, allele int")
-    for name in ("tajima_d", "zns", "h12", "haf_top", "dind", "nsl", "hscan", "isafe", "mu", "beta"):
-        out = cli.outlier_scan(sa, [name], width=20_000 if name in ("tajima_d", "zns") else None, step=10_000 if name in ("tajima_d", "zns") else None)[name].toPandas()
+    for name in ("tajima_d", "zns", "omega_max", "ncd1", "h12_identity", "h12", "haf_top", "dind", "nsl", "hscan", "isafe", "mu", "beta"):
+        out = cli.outlier_scan(sa, [name], width=20_000 if name in ("tajima_d", "zns", "omega_max") else None, step=10_000 if name in ("tajima_d", "zns", "omega_max") else None)[name].toPandas()
         assert len(out) and out[name].notna().any() and out.p.dropna().between(0, 1).all(), name
     with pytest.raises(ValueError):
         cli.statistic(sa, "nothing")
@@ -98,5 +100,24 @@ def test_site_windows_slide(spark):
         want[(c, at)] = round(sum(x * x for x in p) + 2 * p[0] * p[1], 6)
     got = {(r["chrom"], r["win"]): r["h12"] for r in cli.statistic(sa, "h12", sites=10, site_step=4, step=1_000_000).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
-    assert {(r["chrom"], r["win"]) for r in cli.statistic(sa, "haf_top", sites=10, site_step=4).collect()} == want.keys()
+    seg = sa.join(genotypes.biallelic(genotypes.sites(sa)), ["chrom", "pos", "site"])
+    windows = spark.createDataFrame([(c, at, s) for c, at in want for s in range(at, at + 10)], "chrom string, win long, site long")
+    spread = seg.join(windows, ["chrom", "site"])
+    for name, plain in (("garud", haplotype.garud(spread, ["chrom", "win"])), ("haf_top", haplotype.haf_top(spread, ["chrom", "win"]))):
+        mine = cli.statistic(sa, "h12" if name == "garud" else name, sites=10, site_step=4).select(*plain.columns)
+        a, b = (sorted(map(tuple, d.collect())) for d in (mine, plain))
+        assert len(a) == len(b) == len(want) and all(x[:2] == y[:2] and np.allclose(x[2:], y[2:], atol=2e-6) for x, y in zip(a, b, strict=True))
     assert cli.REGISTRY["h12"][1] == {"sites": 200, "site_step": 10} and cli.REGISTRY["haf_top"][1] == {"sites": 201, "site_step": 10}
+
+
+@pytest.mark.parametrize(("width", "step"), [(8_000, 2_000), (9_000, 6_000), (50_000, 5_000)])
+def test_linkage_scan(spark, width, step):
+    """Pairs made once give what pairs made in each window give; two sites may share a position."""
+    rng = np.random.default_rng(9)
+    rows = [(c, 900 * (s // 2 if s < 8 else s), s, h, int(rng.random() < 0.4)) for c in ("1", "2") for s in range(30) for h in range(14)]
+    sa = spark.createDataFrame(rows, "chrom string, pos long, site long, hap int, allele int")
+    seg = sa.join(genotypes.biallelic(genotypes.sites(sa)), ["chrom", "pos", "site"])
+    first = F.greatest(F.floor((F.col("pos") - width) / F.lit(step)) + 1, F.lit(0))
+    spread = seg.withColumn("start", F.explode(F.sequence(first, F.floor(F.col("pos") / F.lit(step))))).withColumn("start", F.col("start") * step)
+    a, b = (sorted(map(tuple, d.select("chrom", "start", "zns", "omega_max").collect())) for d in (cli.statistic(sa, "zns", width=width, step=step), haplotype.ld(spread, ["chrom", "start"])))
+    assert len(a) == len(b) > 4 and all(x[:2] == y[:2] and np.allclose(x[2:], y[2:], atol=2e-6) for x, y in zip(a, b, strict=True))

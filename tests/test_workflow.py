@@ -64,9 +64,10 @@ def test_simulated_features(spark, simulations):
     replicates, params = cli._simulations(spark, simulations, LENGTH)
     assert replicates.select("iter").distinct().count() == 24
     mean_k = lambda h, pos: {"own": h.mean(axis=1)}  # noqa: E731  a kernel of the caller's own
-    made = workflow.simulated_features(replicates, params.drop("path"), CENTERS, [20_000], SITE, WINDOW, None, mean_k, {"own": "double"})
+    made = workflow.simulated_features(replicates, params.drop("path"), CENTERS, [20_000], SITE, WINDOW, None, mean_k, {"own": "double"}, lambda h, pos: {"ones": int(h.sum())}, {"ones": "long"})
     v, raw = made["vectors"].toPandas(), made["raw"].toPandas()
-    assert len(v) == 24 and set(features.feature_columns(made["vectors"])) == {f"{s}_20000_{c}" for s in (*SITE, *WINDOW, "own") for c in CENTERS}
+    assert len(v) == 24 and set(features.feature_columns(made["vectors"])) == {f"{s}_20000_{c}" for s in (*SITE, *WINDOW, "own", "ones") for c in CENTERS}
+    assert raw[raw.iter == 100]["ones_20000_30000"].iloc[0] == np.array(replicates.filter("iter = 100 and abs(pos - 30000) <= 10000").toPandas().alleles.tolist()).sum()
     neutral = v[v.model == "neutral"]
     assert abs(neutral["pi_20000_30000"].mean()) < 1e-9 and abs(neutral["pi_20000_30000"].std(ddof=1) - 1) < 1e-9
     # window values against the kernels of one replicate
@@ -235,7 +236,7 @@ def test_lassi_and_identity_against_loops(spark):
     df = spark.createDataFrame([("1", int(p), a.tolist()) for p, a in zip(pos, h, strict=True)], "chrom string, pos long, alleles array<int>")
     got = scans.lassi_scan(df, 4, 8, 3, 4, 9000, 12).orderBy("center").toPandas()
     parts = [slice(s, s + 8) for s in range(0, 60, 3)]
-    counts = np.array([scans._spectrum(h[x], 4) for x in parts])
+    counts = np.array([scans._spectrum(np.sort(np.unique(h[x], axis=1, return_counts=True)[1])[::-1], h.shape[1], 4) for x in parts])
     centers = np.array([np.median(pos[x]) for x in parts])
     neutral = np.maximum(counts.mean(axis=0) / counts.mean(axis=0).sum(), 1e-12)
     gain, ms = scans.gains(counts, neutral, 4)
