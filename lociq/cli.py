@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lociq import workflow
 from lociq.functions.binning import empirical_p, valid
 from lociq.operators import enrichment, genotypes, haplotype, polarize, ranking, scans, spectrum
+from lociq.operators.quantiles import quantiles
 from lociq.session import scratch_root, session
 from lociq.sources import readers, writers
 
@@ -83,7 +84,7 @@ def plot_data(df, column: str, top: float):
     """
     ranked = df if "p" in df.columns else empirical_p(df, column, "p", absolute=column in ABSOLUTE)
     x = valid(F.abs(F.col(column)) if column in ABSOLUTE else F.col(column))
-    cut = df.select(x.alias("x")).agg(F.percentile("x", 1 - top).alias("cut"))
+    cut = quantiles(df, x, [1 - top]).select(F.col("q")[0].alias("cut"))
     return ranked.crossJoin(F.broadcast(cut)).withColumn("top", F.coalesce(x >= F.col("cut"), F.lit(False))).drop("cut")  # one row
 
 

@@ -73,3 +73,18 @@ def hash_number(df: DataFrame, by: list[str], key: str, seed: int, out: str, tot
     starts = sizes.select(*by, "__b", F.coalesce(F.sum("__c").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"), F.sum("__c").over(w).alias(total))
     at = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__h", key))
     return rows.withColumn(out, at).join(starts, [*by, "__b"]).withColumn(out, F.col(out) + F.col("__start")).drop("__h", "__b", "__start")
+
+
+def range_number(df: DataFrame, by: list[str], order: list[str], out: str, total: str) -> DataFrame:
+    """``df`` with a row number from 0 in the order of ``order`` within ``by``, and the group's size.
+
+    Rows are dealt by ranges of (by, order) and numbered inside them; the sizes of a group's
+    earlier ranges are added from a table of ranges.  So a group of most rows is many tasks.
+    """
+    dealt = df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id())
+    sizes = dealt.groupBy("__part", *by).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", *by, before.alias("__before"), F.sum("__n").over(w).alias(total))  # a row a range and group
+    at = F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order)) - 1
+    return dealt.withColumn(out, at).join(starts, ["__part", *by]).withColumn(out, F.col(out) + F.col("__before")).drop("__part", "__before")

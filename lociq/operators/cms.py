@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lociq.functions.binning import empirical_p, right_closed_bin, valid
 from lociq.operators import features
+from lociq.operators.quantiles import quantiles
 
 TINY = 2.2250738585072014e-308
 CLASSES = ("neut", "sweep_low", "sweep_mid", "sweep_high")
@@ -28,8 +29,7 @@ def frequency_class(f: Column, low: float = 0.35, high: float = 0.65) -> Column:
 
 def edges(values: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """(stat, lo, hi) over all classes."""
-    e = values.groupBy("stat").agg(F.percentile(valid(F.col("value")), F.array(F.lit(low), F.lit(high))).alias("e"))
-    return e.select("stat", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
+    return quantiles(values, "value", [low, high], ["stat"]).select("stat", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def tables(values: DataFrame, ends: DataFrame, bins: int = 60, stratum: str | None = None) -> DataFrame:

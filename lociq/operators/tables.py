@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociq.functions.binning import valid
+from lociq.functions.binning import range_number, valid
+from lociq.operators.quantiles import quantiles
 
 
 def assemble(frames: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -33,14 +34,13 @@ def drop_sparse(df: DataFrame, features: list[str], share: float = 0.1) -> DataF
 
 def equal_count_bins(df: DataFrame, order: list[str], bins: int, by: list[str]) -> DataFrame:
     """floor(i * bins / n) after sorting within ``by``."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("bin", F.floor((F.row_number().over(w) - 1) * bins / F.count("*").over(Window.partitionBy(*by))))
+    return range_number(df, by, order, "__i", "__total").withColumn("bin", F.floor(F.col("__i") * bins / F.col("__total"))).drop("__i", "__total")
 
 
 def histogram(df: DataFrame, value: str, by: list[str], bins: int = 60, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Probability mass in equal bins between two percentiles; values outside are dropped, the last edge is closed."""
     x = valid(F.col(value))
-    ends = df.agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("e")).select(F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
+    ends = quantiles(df, x, [low, high]).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     rows = df.withColumn("__x", x).filter("__x is not null").crossJoin(F.broadcast(ends)).filter("__x between lo and hi")  # one row of edges
     b = F.least(F.floor((F.col("__x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     counts = rows.groupBy(*by, b.alias("bin")).agg(F.count("*").alias("n"))

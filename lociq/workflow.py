@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lociq.functions.binning import right_closed_bin
 from lociq.operators import cms, enrichment, features, learning
 from lociq.operators.intervals import interpolate
+from lociq.operators.quantiles import quantiles
 from lociq.sources import readers, writers
 
 SITE = ("dind", "high_freq", "low_freq", "s_ratio", "hapdaf_s", "hapdaf_o", "ihs", "delta_ihh", "isafe", "nsl")
@@ -120,8 +121,8 @@ def recombination_breaks(loci: DataFrame, rates: DataFrame, bins: int, min_rate:
     length = (F.col("end") - F.col("start") + 1) / F.lit(1e6)
     ends = loci.select("iter", length.alias("mb"), F.col("chrom").alias("chr"), F.explode(F.array("start", "end")).alias("at"))
     cm = interpolate(ends, rates, "at", "end", "cm", ["chr"], "cm_at").groupBy("iter").agg(((F.max("cm_at") - F.min("cm_at")) / F.max("mb")).alias("cm_mb"))
-    q = features.least_rate(cm, min_rate).agg(F.percentile("cm_mb", F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("q"), F.max("cm_mb").alias("top")).first()
-    return [*(round(x, 2) for x in q["q"]), -(-q["top"] * 10 // 1) / 10]
+    q = quantiles(features.least_rate(cm, min_rate), "cm_mb", [*(k / bins for k in range(1, bins)), 1.0]).first()["q"]
+    return [*(round(x, 2) for x in q[:-1]), -(-q[-1] * 10 // 1) / 10]
 
 
 # ---- learning
