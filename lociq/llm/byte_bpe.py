@@ -7,12 +7,14 @@ contracts each word's leftmost pair of least rank, until no word has a pair left
 The merge table has a row for each way to cut a vocabulary entry into two
 entries; its rank is the entry's id, as in rank files.
 
-In a word longer than a cell of ``2 * longest entry`` bytes, every pair that is the
-least by (rank, position) of its own cell and of both cells beside it is
-contracted in the same round.  That gives the same ids: before such a pair is the
-word's least, only pairs outside those cells are contracted, what grows from one
-of these stays within the length of an entry and so never reaches it.  Words of
-any length take this one way; a word within a cell has one least pair.
+In a word longer than three cells of ``2 * longest entry`` bytes, pairs of the least rank of their own
+cell and of two cells on both sides are contracted in the same round.  That gives the same
+ids: before such a pair's turn, only pairs outside those cells are contracted, what grows from
+one of these stays within the length of an entry and so never reaches it.  Pairs of one
+rank that overlap, as in a long run of one letter, form a chain, of which every second pair is
+contracted, from its left end up to the first pair that has something lower near it or
+whose token would make a pair of a lower rank with its neighbours.  Words of any length take
+this one way; a word within three cells contracts one pair a round.
 
 Decoding.  The ids of each document are rows (document, position, id); joined with
 the vocabulary, an ordered aggregation by document gives its bytes.
@@ -42,6 +44,8 @@ from lociq.llm.common import id_text, renamed
 WORDS, BYTES = 40_000, 400_000
 #: Rows that a recursive query may keep, about.
 ROWS = 6_000_000
+#: Pairs of long words that one round looks at, about; the others wait for the next round.
+READY = 400_000
 #: Ids that are decoded at once, about.
 IDS = 500_000
 #: Words that a worker remembers; beyond it the memory starts anew.
@@ -55,28 +59,40 @@ WITH RECURSIVE r(round, word, pos, tok, nxt, npos) AS (
   SELECT 0, word, pos, tok, nxt, npos FROM start
   UNION ALL (
     WITH least AS (
-      SELECT word, CASE WHEN word < {WIDE} THEN 0 ELSE pos // {{cell}} END AS cell, min(rank::BIGINT * 2147483648 + pos) AS best, arg_min(npos, rank::BIGINT * 2147483648 + pos) AS gone
-      FROM r JOIN merges m ON m.l = tok AND m.r = nxt WHERE round < {{rounds}} GROUP BY ALL
+      SELECT word, min(rank::BIGINT * 2147483648 + pos) AS best, arg_min(npos, rank::BIGINT * 2147483648 + pos) AS gone
+      FROM r JOIN merges m ON m.l = tok AND m.r = nxt WHERE round < {{rounds}} AND word < {WIDE} GROUP BY ALL
+    ), pairs AS (
+      SELECT word, pos, npos, rank, pos // {{cell}} AS cell FROM r JOIN merges m ON m.l = tok AND m.r = nxt WHERE round < {{rounds}} AND word >= {WIDE}
+    ), around AS (
+      SELECT word, cell, min(low) OVER near AS low, min(best) OVER near AS best, sum(n) OVER (ORDER BY word, cell ROWS UNBOUNDED PRECEDING) - n AS earlier
+      FROM (SELECT word, cell, min(rank) AS low, min(rank::BIGINT * 2147483648 + pos) AS best, count(*) AS n FROM pairs GROUP BY ALL)
+      WINDOW near AS (PARTITION BY word ORDER BY cell RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)
+    ), ready AS (
+      SELECT p.word, p.pos, p.npos, p.rank, rank::BIGINT * 2147483648 + pos = best AS first FROM pairs p JOIN around USING (word, cell) WHERE rank = low AND earlier < {READY}
+    ), known AS (
+      SELECT e.*, x.nxt AS later, y.tok AS prior, q.pos IS NOT NULL AS late
+      FROM ready e JOIN r x ON x.word = e.word AND x.pos = e.npos LEFT JOIN r y ON y.word = e.word AND y.npos = e.pos
+      LEFT JOIN (SELECT p.* FROM pairs p JOIN around USING (word, cell) WHERE rank > low) q ON q.word = e.word AND q.npos = e.pos AND q.rank = e.rank
+    ), linked AS (
+      SELECT word, pos, npos, e.rank, first, (late OR a.rank IS NOT NULL OR b.rank IS NOT NULL OR c.rank IS NOT NULL)::INT AS stops,
+             CASE WHEN lag(e.rank) OVER w = e.rank AND lag(npos) OVER w = pos THEN 0 ELSE 1 END AS opens
+      FROM known e LEFT JOIN lower a ON a.l = e.rank AND a.r = later LEFT JOIN lower b ON b.l = prior AND b.r = e.rank LEFT JOIN lower c ON c.l = e.rank AND c.r = e.rank
+      WINDOW w AS (PARTITION BY word ORDER BY pos)
+    ), chained AS (
+      SELECT *, (sum(opens) OVER (PARTITION BY word ORDER BY pos))::INT AS chain FROM linked
     ), picked AS (
-      SELECT * FROM least WHERE word < {WIDE}
-      UNION ALL SELECT word, cell, best, gone FROM (
-        SELECT *, min(best) OVER (PARTITION BY word ORDER BY cell RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM least WHERE word >= {WIDE}
-      ) WHERE best = around
-    ), c AS (
-      SELECT p.word, p.cell, (best % 2147483648)::INT AS head, (best // 2147483648)::INT AS made, gone, x.nxt AS then_tok, x.npos AS then_pos
-      FROM picked p JOIN r x ON x.word = p.word AND x.pos = p.gone
-    ), reach AS (
-      SELECT * FROM c UNION ALL SELECT * EXCLUDE (d) REPLACE (cell + d AS cell) FROM c CROSS JOIN (VALUES (-1), (1)) t(d) WHERE word >= {WIDE}
+      SELECT word, (best % 2147483648)::INT AS head, (best // 2147483648)::INT AS made, gone FROM least
+      UNION ALL SELECT word, pos, rank, npos FROM (
+        SELECT *, row_number() OVER c AS i, max(stops) OVER c AS late FROM chained WINDOW c AS (PARTITION BY word, chain ORDER BY pos)
+      ) WHERE first OR (i % 2 = 1 AND late = 0)
+    ), moved AS (
+      SELECT p.word, p.head, p.made, p.gone, x.nxt AS then_tok, x.npos AS then_pos FROM picked p JOIN r x ON x.word = p.word AND x.pos = p.gone
+    ), stepped AS (
+      SELECT r.word, r.pos, coalesce(h.made, r.tok) AS tok, coalesce(h.then_tok, r.nxt) AS nxt, coalesce(h.then_pos, r.npos) AS npos
+      FROM (SELECT * FROM r SEMI JOIN picked USING (word)) r ANTI JOIN moved g ON g.word = r.word AND g.gone = r.pos LEFT JOIN moved h ON h.word = r.word AND h.head = r.pos
     )
-    SELECT round + 1, r.word, r.pos,
-           CASE WHEN r.pos = head THEN made ELSE tok END,
-           CASE WHEN r.pos = head THEN then_tok WHEN r.npos = head THEN made ELSE nxt END,
-           CASE WHEN r.pos = head THEN then_pos ELSE r.npos END
-    FROM r JOIN reach c ON c.word = r.word AND c.cell = CASE WHEN r.word < {WIDE} THEN 0 ELSE r.pos // {{cell}} END
-    WHERE r.pos <> gone
-    UNION ALL SELECT round + 1, word, pos, tok, nxt, npos
-    FROM r SEMI JOIN picked USING (word) ANTI JOIN reach c ON c.word = r.word AND c.cell = r.pos // {{cell}}
-    WHERE word >= {WIDE}
+    SELECT (SELECT max(round) FROM r) + 1, s.word, s.pos, s.tok, coalesce(h.made, s.nxt), s.npos
+    FROM stepped s LEFT JOIN moved h ON h.word = s.word AND h.head = s.npos
   )
 )
 SELECT word, round, pos, tok, nxt, npos FROM r JOIN (SELECT word, max(round) AS round FROM r GROUP BY word) USING (word, round) ORDER BY word, pos
@@ -110,6 +126,8 @@ class Codec:
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
+        # pairs whose token has a lower rank than one of its parts
+        self.db.execute("CREATE TABLE lower AS SELECT * FROM merges WHERE rank < l OR rank < r")
 
     def _query(self, sql: str, name: str, table: pa.Table) -> pa.Table:
         self.db.register(name, table)

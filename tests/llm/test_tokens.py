@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -182,3 +183,24 @@ def test_local_search_compares_all_underfull_bins(low, high, count, capacity):
             if x != y:
                 gains = {g - t for i, j in ((1, 0), (1, 1), (2, 0), (2, 1), (1, 2)) for g in sums[x][i] for t in sums[y][j]}
                 assert not any(max(0, fill[x] - fill[y]) < d <= capacity - fill[y] for d in gains)
+
+
+def test_long_runs_of_equal_pairs():
+    """Words of one letter, of a short period and of few letters: ids as the library's, in time that does not grow with the square."""
+    import time
+
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = byte_bpe.Codec(ranks)
+    rng = random.Random(4)
+    words = []
+    for _ in range(60):
+        letters = rng.choice([b"a", b"ab", b"abc", b"aab the", b"0123456789", "éa".encode(), b"=-_*"])
+        w = bytes(rng.choice(letters) for _ in range(rng.randrange(1, 2500)))
+        words.append(w[:7] * (len(w) // 7 + 1) if rng.random() < 0.4 else w)
+    words += [b"a" * 200_000, b"ab" * 100_000, b"abcabd" * 20_000]
+    t = time.perf_counter()
+    got = codec.encode_words(words)
+    assert time.perf_counter() - t < 40
+    assert [np.frombuffer(g, np.int32).tolist() for g in got] == [library._encode_single_piece(w) for w in words]
+    assert len(codec.encode_words([b"=" * 1_500_000])[0]) > 0
