@@ -271,7 +271,8 @@ def matched_controls(pool: DataFrame, targets: DataFrame, factors: list[str], ru
 
     Acceptance is sequential in nature, so each run is one task's loop over its
     own random order of the pool; runs are independent.  A gene enters a set at
-    most ``max_repeat`` times; when no gene fits, the tolerance of that step is widened.
+    most ``max_repeat`` times; when no gene fits, the tolerance of that step is widened.  A pool
+    that cannot fill a set is an error.
     """
     want = targets.agg(*(F.avg(f).alias(f) for f in factors)).first()
     goal = np.array([want[f] for f in factors])
@@ -292,7 +293,7 @@ def matched_controls(pool: DataFrame, targets: DataFrame, factors: list[str], ru
                     break
                 widen *= 2
                 if widen > 1e6:
-                    return pd.DataFrame({"sample": int(key[0]), "slot": range(len(out)), "gene": out})
+                    raise ValueError(f"set {int(key[0])}: no gene is left after {len(out)} of {size}; the pool has {len(x)}, each at most {max_repeat} times")
             k = tries[int(fits.argmax())]
             used[k] += 1
             total += x[k]

@@ -599,7 +599,7 @@ def h12_scan(packed: DataFrame, window: int = 200, step: int = 10, identity: flo
     return site_windows(packed, window, step, lambda h, pos: (int(pos[min(window // 2, len(pos) - 1)]), h12_identity(h, pos, identity)), "center long, h12 double")
 
 
-def tiered_h12(h: np.ndarray, pos: np.ndarray, focal: int = 600_000, width: int = 500_000, least: float = 0.05, identity: float = 0.8, top: int = 10) -> tuple[float, float, float, float]:
+def tiered_h12(h: np.ndarray, pos: np.ndarray, focal: int = 600_000, width: int = 500_000, least: float = 0.05, identity: float = 0.8, top: int = 10, length: int | None = 1_200_000) -> tuple[float, float, float, float]:
     """H12, H2/H1, H1, H2 around a coordinate, of haplotypes grouped by identity.
 
     Sites within width / 2 of the focal 100-bp bin, but not in it, with a derived
@@ -609,14 +609,14 @@ def tiered_h12(h: np.ndarray, pos: np.ndarray, focal: int = 600_000, width: int
     and the tier that brings it to ``top`` is the last.  Each taken one that has no
     group opens one and draws in those after it that share with it ``identity`` of the
     sites at which either is derived.  Frequencies are of the whole sample; groups
-    stay in the order in which they were opened.  Sites beyond 1.2 Mb do not count.
+    stay in the order in which they were opened.  Sites beyond the locus's ``length`` (none: no end) do not count.
     """
     base = focal // 100 * 100
     bins = pos // 100 * 100
     step = (bins - base) // 100
     f = h.mean(axis=1)
     ok = (pos != focal) & (pos >= base - width // 2) & (pos <= base + width // 2) & (f >= least) & (step != 0)
-    ok &= np.where(step > 0, bins + 100 < 1_200_000, bins > 0) & (np.abs(step) <= width // 200)
+    ok &= np.where(step > 0, bins + 100 < (np.inf if length is None else length), bins > 0) & (np.abs(step) <= width // 200)
     rows = np.flatnonzero(ok)
     rows = rows[np.lexsort((rows, np.abs(step[rows]), step[rows] > 0))]
     n = h.shape[1]
@@ -650,7 +650,7 @@ def tiered_h12(h: np.ndarray, pos: np.ndarray, focal: int = 600_000, width: int
     return float(p[:2].sum() ** 2), h2 / h1 if h1 else 0.0, h1, h2
 
 
-def tiered_h12_scan(packed: DataFrame, focal: int = 600_000, width: int = 500_000, least: float = 0.05, identity: float = 0.8, top: int = 10) -> DataFrame:
+def tiered_h12_scan(packed: DataFrame, focal: int = 600_000, width: int = 500_000, least: float = 0.05, identity: float = 0.8, top: int = 10, length: int | None = 1_200_000) -> DataFrame:
     """``tiered_h12`` of each locus (chrom): only the sites around the focal coordinate reach its task."""
     chrom = packed.schema["chrom"].dataType.simpleString()
     near = packed.filter(F.abs(F.col("pos") - focal) <= width).select("chrom", "pos", "alleles")
@@ -658,7 +658,7 @@ def tiered_h12_scan(packed: DataFrame, focal: int = 600_000, width: int = 500_00
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
         h, pos = np.array(pdf["alleles"].tolist(), dtype=np.int8), pdf["pos"].to_numpy()
-        return pd.DataFrame([(pdf["chrom"].iloc[0], *tiered_h12(h, pos, focal, width, least, identity, top))], columns=["chrom", "h12", "h2_h1", "h1", "h2"])
+        return pd.DataFrame([(pdf["chrom"].iloc[0], *tiered_h12(h, pos, focal, width, least, identity, top, length))], columns=["chrom", "h12", "h2_h1", "h1", "h2"])
 
     return near.groupBy("chrom").applyInPandas(run, f"chrom {chrom}, h12 double, h2_h1 double, h1 double, h2 double")
 
