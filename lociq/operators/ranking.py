@@ -13,12 +13,19 @@ def rank_genes(genes: DataFrame, windows: DataFrame, k: int, reach: int, ties: l
 
     ``ties``: further columns that order windows of equal distance and position.
     """
-    spans = genes.select("chrom", "gene", "mid", (F.col("mid") - reach).alias("lo"), (F.col("mid") + reach).alias("hi"))
-    near = intervals.range_join(windows, spans, "wpos", "lo", "hi", reach, ["chrom"]).withColumn("d", F.abs(F.col("wpos") - F.col("mid")))
-    gene = Window.partitionBy("gene")
-    top = near.withColumn("r", F.row_number().over(gene.orderBy("d", "wpos", *ties))).withColumn("dmin", F.min("d").over(gene)).filter(F.col("r") <= k)
-    per = top.groupBy("gene").agg(F.max(F.when(F.col("d") == F.col("dmin"), F.col("prob"))).alias("best"), F.round(F.sum("prob"), 6).alias("total"), F.min("d").alias("distance"))
-    return ranked(genes.select("gene").join(per, "gene", "left"))
+    order = [F.col(c) for c in (*ties, "prob")]
+    first = windows.withColumn("__r", F.row_number().over(Window.partitionBy("chrom", "wpos").orderBy(*order))).filter(F.col("__r") <= k)
+    places = first.groupBy("chrom", "wpos").agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "prob"))), lambda x: x["prob"]).alias("probs"))
+    places = intervals.numbered(places, ["chrom"], ["wpos"], "__i", reach)
+    # the k nearest windows lie at the k places up to a gene's middle and the k after it; genes of one middle share them
+    mids = intervals.step_value(genes.select("chrom", "mid").distinct(), places, "mid", "wpos", "__i", ["chrom"], "__at", reach)
+    asked = mids.select("chrom", "mid", F.explode(F.sequence(F.coalesce(F.col("__at").cast("long"), F.lit(-1)) - (k - 1), F.coalesce(F.col("__at").cast("long"), F.lit(-1)) + k)).alias("__i")).filter("__i >= 0")
+    near = asked.join(places, ["chrom", "__i"]).withColumn("d", F.abs(F.col("wpos") - F.col("mid"))).filter(F.col("d") <= reach)
+    sides = near.groupBy("chrom", "mid").agg(F.array_sort(F.collect_list(F.struct("d", "wpos", "probs"))).alias("__near"))
+    top = F.slice(F.flatten(F.transform("__near", lambda x: F.transform(x["probs"], lambda p: F.struct(x["d"].alias("d"), p.alias("prob"))))), 1, k)
+    dmin = F.get("__near", F.lit(0))["d"]
+    per = sides.select("chrom", "mid", dmin.alias("distance"), F.explode(top).alias("t")).groupBy("chrom", "mid").agg(F.max(F.when(F.col("t.d") == F.col("distance"), F.col("t.prob"))).alias("best"), F.round(F.sum("t.prob"), 6).alias("total"), F.min("distance").alias("distance"))
+    return ranked(genes.select("gene", "chrom", "mid").join(per, ["chrom", "mid"], "left").select("gene", "best", "total", "distance"))
 
 
 def ranked(genes: DataFrame) -> DataFrame:
