@@ -146,8 +146,11 @@ def rate_of_sites(sites: DataFrame, windows: DataFrame, mode: str = "nearest_cen
     if mode not in ("mean_overlap", "max_overlap"):
         raise ValueError(f"unknown mode: {mode}")
     spans = windows.select("chr", F.col("start").alias("__s"), F.col("end").alias("__e"), "cm_mb")
-    value = F.avg("cm_mb") if mode == "mean_overlap" else F.max("cm_mb")
-    held = intervals.range_join(sites.select("chr", "pos").distinct(), spans, "pos", "__s", "__e", width, ["chr"]).groupBy("chr", "pos").agg(value.alias("cm_mb"))
+    rate = F.col("cm_mb").cast("double")
+    sums, tops = ({"__sum": rate, "__rated": rate.isNotNull().cast("int")}, {}) if mode == "mean_overlap" else ({}, {"cm_mb": F.col("cm_mb")})
+    held = intervals.covering(sites, spans, "pos", "__s", "__e", ["chr"], sums, tops)
+    if mode == "mean_overlap":
+        held = held.select("chr", "pos", F.try_divide(F.col("__sum"), F.col("__rated")).alias("cm_mb"))
     return sites.join(held, ["chr", "pos"], "left")
 
 

@@ -37,12 +37,14 @@ def _neighbours(both: DataFrame, by: list[str], width: int) -> DataFrame:
     chromosome is spread over many tasks.
     """
     rows = both.withColumn("__b", _bucket(F.col("__x"), width))
-    order = Window.partitionBy(*by, "__b").orderBy("__x", "__kind")
+    so_far = (Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by, "__b").orderBy("__x", "__kind").rowsBetween(*so_far)
+    back = Window.partitionBy(*by, "__b").orderBy(F.desc("__x"), F.desc("__kind")).rowsBetween(*so_far)  # backwards: a frame that ends at the last row is read anew for every row
     here = F.when(F.col("__mark").isNotNull(), F.col("__x"))
     edges = rows.groupBy(*by, "__b").agg(F.max_by("__mark", here).alias("__last"), F.min_by("__mark", here).alias("__first"))
-    buckets = Window.partitionBy(*by).orderBy("__b")
-    carried = edges.select(*by, "__b", F.last("__last", ignorenulls=True).over(buckets.rowsBetween(Window.unboundedPreceding, -1)).alias("__cl"), F.first("__first", ignorenulls=True).over(buckets.rowsBetween(1, Window.unboundedFollowing)).alias("__cr"))
-    inside = rows.withColumn("__pl", F.last("__mark", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__pr", F.first("__mark", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    earlier, later = (Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("__b"), F.desc("__b")))
+    carried = edges.select(*by, "__b", F.last("__last", ignorenulls=True).over(earlier).alias("__cl"), F.last("__first", ignorenulls=True).over(later).alias("__cr"))
+    inside = rows.withColumn("__pl", F.last("__mark", ignorenulls=True).over(ahead)).withColumn("__pr", F.last("__mark", ignorenulls=True).over(back))
     return inside.join(carried, [*by, "__b"]).withColumn("__l", F.coalesce("__pl", "__cl")).withColumn("__r", F.coalesce("__pr", "__cr"))
 
 
@@ -68,7 +70,7 @@ def interpolate(points: DataFrame, knots: DataFrame, pos: str, x: str, y: str, b
     segments = knots.withColumn("__x2", F.lead(x).over(w)).withColumn("__y2", F.lead(y).over(w)).filter("__x2 is not null")
     segment = F.struct(F.col(x).cast("double").alias("x1"), F.col(y).cast("double").alias("y1"), F.col("__x2").cast("double").alias("x2"), F.col("__y2").cast("double").alias("y2"))
     found = _with_marks(points, segments, pos, x, segment, by, width).withColumn("__s", F.coalesce("__l", "__r"))
-    value = F.col("__s.y1") + (F.col("__x") - F.col("__s.x1")) * F.try_divide(F.col("__s.y2") - F.col("__s.y1"), F.col("__s.x2") - F.col("__s.x1"))
+    value = F.col("__s.y1") + F.try_divide((F.col("__x") - F.col("__s.x1")) * (F.col("__s.y2") - F.col("__s.y1")), F.col("__s.x2") - F.col("__s.x1"))
     return found.select("__row.*", F.greatest(value, F.lit(0.0)).alias(out))
 
 
@@ -78,12 +80,75 @@ def step_value(points: DataFrame, knots: DataFrame, pos: str, x: str, y: str, by
     return found.select("__row.*", F.col("__l.v").alias(out))
 
 
-def best_covering(points: DataFrame, spans: DataFrame, pos: str, start: str, end: str, value: str, width: int, by: list[str], highest: bool = True) -> DataFrame:
+def _pieces(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """Spans cut at the edges of buckets no wider than they are: __w (width), __b (bucket), __x, __tail.
+
+    A piece reaches from __x to the end of its bucket (__tail) or from the bucket's
+    start to __x, so what meets it is a running value inside the bucket, not a join.  A span is at
+    most four pieces; widths are powers of two, so there are few.  A span of one place has width 0
+    and the place as its bucket.
+    """
+    lo, hi = F.col(start).cast("double"), F.col(end).cast("double")
+    power = F.pow(F.lit(2.0), F.floor(F.log2(hi - lo)))
+    rows = spans.filter(F.col(end) >= F.col(start)).withColumn("__w", F.when(hi == lo, 0.0).when(power > hi - lo, power / 2).otherwise(power))
+    bucket = lambda x: F.floor(x / F.nullif(F.col("__w"), F.lit(0.0))).cast("double")
+    piece = lambda b, x, tail: F.struct(b.alias("b"), x.alias("x"), F.lit(tail).alias("tail"))
+    whole = F.transform(F.sequence(F.lit(1), (bucket(hi) - bucket(lo)).cast("int")), lambda k: piece(bucket(lo) + k, (bucket(lo) + k) * F.col("__w"), True))
+    inner = F.slice(whole, F.lit(1), F.size(whole) - 1)  # the last bucket is a head
+    cut = F.when(F.col("__w") == 0, F.array(piece(lo, lo, True))).otherwise(F.concat(F.array(piece(bucket(lo), lo, True), piece(bucket(hi), hi, False)), inner))
+    return rows.withColumn("__p", F.explode(cut)).withColumns({"__b": F.col("__p.b"), "__x": F.col("__p.x"), "__tail": F.col("__p.tail")}).drop("__p")
+
+
+def _places(points: DataFrame, pieces: DataFrame, pos: str) -> DataFrame:
+    """Points once for each width of the pieces, with the bucket they lie in."""
+    widths = pieces.select("__w").distinct()  # powers of two: a few dozen rows
+    x = F.col(pos).cast("double")
+    return points.crossJoin(F.broadcast(widths)).withColumn("__x", x).withColumn("__b", F.when(F.col("__w") == 0, x).otherwise(F.floor(x / F.nullif(F.col("__w"), F.lit(0.0))).cast("double")))
+
+
+def _running(by: list[str], up: bool):
+    return Window.partitionBy(*by, "__w", "__b").orderBy(F.asc("__x") if up else F.desc("__x")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def covering(points: DataFrame, spans: DataFrame, pos: str, start: str, end: str, by: list[str], sums: dict[str, Column], tops: dict[str, Column]) -> DataFrame:
+    """Each place (by, pos) that a span holds, both ends included: sums and greatest values over the spans that hold it.
+
+    Spans that agree are added up first; then each costs at most four rows and each place
+    one for each width of spans, however many spans hold it.
+    """
+    spans = spans.groupBy(*by, start, end).agg(*(F.sum(c).alias(f"__s_{n}") for n, c in sums.items()), *(F.max(c).alias(f"__t_{n}") for n, c in tops.items()), F.count("*").alias("__n"))
+    pieces = _pieces(spans, start, end).drop(start, end)
+    rows = _places(points.select(*by, pos).distinct(), pieces, pos).unionByName(pieces, allowMissingColumns=True)
+    tail, head = F.when(F.col("__tail"), True), F.when(~F.col("__tail"), True)
+    up, down = _running(by, True), _running(by, False)
+    total = lambda c: F.coalesce(F.sum(F.when(tail, F.col(c))).over(up), F.lit(0)) + F.coalesce(F.sum(F.when(head, F.col(c))).over(down), F.lit(0))
+    top = lambda c: F.greatest(F.max(F.when(tail, F.col(c))).over(up), F.max(F.when(head, F.col(c))).over(down))
+    held = rows.select(*by, pos, total("__n").alias("__n"), *(total(f"__s_{n}").alias(n) for n in sums), *(top(f"__t_{n}").alias(n) for n in tops)).filter(F.col(pos).isNotNull() & (F.col("__n") > 0))
+    return held.groupBy(*by, pos).agg(*(F.sum(n).alias(n) for n in sums), *(F.max(n).alias(n) for n in tops))
+
+
+def totals_within(points: DataFrame, spans: DataFrame, pos: str, start: str, end: str, by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``spans`` that hold points, both ends included, with the sums over those points.
+
+    The counterpart of ``covering``: points of one place are added up first, spans that agree
+    are asked for once, and no pair of a point and a span is made.
+    """
+    asked = spans.select(*by, start, end).distinct()
+    pieces = _pieces(asked, start, end)
+    added = points.groupBy(*by, pos).agg(*(F.sum(c).alias(f"__s_{n}") for n, c in sums.items()), F.count("*").alias("__n"))
+    rows = _places(added, pieces, pos).drop(pos).unionByName(pieces, allowMissingColumns=True)
+    up, down = _running(by, True), _running(by, False)
+    total = lambda c: F.coalesce(F.when(F.col("__tail"), F.sum(c).over(down)).otherwise(F.sum(c).over(up)), F.lit(0))
+    found = rows.select(*by, start, end, "__tail", total("__n").alias("__n"), *(total(f"__s_{n}").alias(n) for n in sums)).filter("__tail is not null")
+    held = found.groupBy(*by, start, end).agg(F.sum("__n").alias("__n"), *(F.sum(n).alias(n) for n in sums)).filter("__n > 0").drop("__n")
+    return spans.join(held, [*by, start, end])
+
+
+def best_covering(points: DataFrame, spans: DataFrame, pos: str, start: str, end: str, value: str, by: list[str], highest: bool = True) -> DataFrame:
     """Per point the covering span of highest (lowest) value; ties go to the larger end."""
-    hit = range_join(points, spans, pos, start, end, width, by)
-    key = F.struct(F.col(value) if highest else -F.col(value), F.col(end), F.col(start))
-    best = hit.groupBy(*by, pos).agg(F.max(key).alias("__k"), F.max_by(value, key).alias("best_value"), F.max_by(end, key).alias("best_end"), F.max_by(start, key).alias("best_start"))
-    return points.join(best.drop("__k"), [*by, pos], "left")
+    key = F.struct((F.col(value) if highest else -F.col(value)).alias("k"), F.col(end).alias("end"), F.col(start).alias("start"), F.col(value).alias("value"))
+    best = covering(points, spans, pos, start, end, by, {}, {"__k": key})
+    return points.join(best.select(*by, pos, *(F.col(f"__k.{c}").alias(f"best_{c}") for c in ("value", "end", "start"))), [*by, pos], "left")
 
 
 def numbered(rows: DataFrame, by: list[str], order: list[str], out: str, width: int = 1_000_000) -> DataFrame:
