@@ -45,6 +45,11 @@ def sfs(counts: DataFrame, n: int | None = None) -> DataFrame:
     return counts.groupBy("chrom", "n", "k").agg(F.count("*").alias("sites"))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value made once a row: inside a lambda Spark would make it anew for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def in_order(by: str) -> Column:
     """Aggregate: the alleles of a group in the order of the column ``by``."""
     return F.transform(F.array_sort(F.collect_list(F.struct(by, "allele"))), lambda x: x["allele"])
@@ -52,8 +57,8 @@ def in_order(by: str) -> Column:
 
 def bits(alleles: Column) -> Column:
     """An array of 0 and 1 as an array of words, ``WORD`` alleles each."""
-    starts = F.sequence(F.lit(1), F.size(alleles), F.lit(WORD))
-    return F.transform(starts, lambda k: F.aggregate(F.slice(alleles, k, F.lit(WORD)), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1) + x))
+    word = lambda a, k: F.aggregate(F.slice(a, k, F.lit(WORD)), F.lit(0).cast("long"), lambda b, x: F.shiftleft(b, 1) + x)
+    return once(alleles, lambda a: F.transform(F.sequence(F.lit(1), F.size(a), F.lit(WORD)), lambda k: word(a, k)))
 
 
 def ones_in_both(a: Column, b: Column) -> Column:

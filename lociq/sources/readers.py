@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociq.operators.genotypes import once
 from lociq.sources import variant_files
 
 REC_MAP = "chr string, start bigint, end bigint, cm_mb double, cm double"
@@ -56,9 +57,9 @@ def vcf_records(spark: SparkSession, path: str, chrom: str | None = None, start:
     info = lambda k: F.regexp_extract(at(7), rf"(?:^|;){k}=([^;,]+)", 1)
     number = lambda c, t: F.when(c != "", c).try_cast(t)
     gt_at = F.array_position(F.split(at(8), ":"), "GT").cast("int")
-    samples = F.slice(f, F.lit(10), F.greatest(F.size(f) - 9, F.lit(0)))
-    alleles = F.flatten(F.transform(samples, lambda s: F.split(F.get(F.split(s, ":"), gt_at - 1), r"[|/]")))
-    gt = F.when(gt_at > 0, F.transform(alleles, lambda a: F.coalesce(a.try_cast("int"), F.lit(-1))))
+    number_of = lambda a: F.coalesce(a.try_cast("int"), F.lit(-1))
+    calls = lambda v, k: F.transform(F.flatten(F.transform(F.slice(v, F.lit(10), F.greatest(F.size(v) - 9, F.lit(0))), lambda s: F.split(F.get(F.split(s, ":"), k - 1), r"[|/]"))), number_of)
+    gt = once(F.struct(f.alias("f"), gt_at.alias("at")), lambda x: F.when(x["at"] > 0, calls(x["f"], x["at"])))
     return lines.select("line", chromosome(at(0)).alias("chrom"), at(1).try_cast("bigint").alias("pos"), at(3).alias("ref"), at(4).alias("alt"), number(info("AC"), "int").alias("ac"), number(info("AN"), "int").alias("an"), number(info("AF"), "double").alias("af"), gt.alias("gt"))
 
 
