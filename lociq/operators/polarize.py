@@ -261,7 +261,7 @@ def block_pieces(blocks: DataFrame, outgroups: list[str], piece: int = PIECE) ->
     before = Window.partitionBy("block").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # runs of one block, which was one row
     sums = {"column": F.coalesce(F.sum("n").over(before), F.lit(0)), "base": F.coalesce(F.sum(F.when(F.col("bases"), F.col("n"))).over(before), F.lit(0))}
     runs = runs.withColumns(sums).filter("bases and n > 0").groupBy("block").agg(F.collect_list(F.struct("column", "base", "n")).alias("runs"))
-    x = b.join(runs, "block").withColumn("r", F.explode("runs")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("r.n") - 1, F.lit(piece))))
+    x = b.join(runs.hint("merge"), "block").withColumn("r", F.explode("runs")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("r.n") - 1, F.lit(piece))))
     length = F.least(F.lit(piece), F.col("r.n") - F.col("at"))
     lo = F.col("start") + F.col("r.base") + F.col("at")
     letters = (F.substring(f"t_{o}", (F.col("r.column") + F.col("at") + 1).cast("int"), length.cast("int")).alias(f"t_{o}") for o in outgroups)
@@ -280,11 +280,12 @@ def variants_in_blocks(variants: DataFrame, blocks: DataFrame, outgroups: list[s
 
     pieces = block_pieces(blocks, outgroups)
     pieces = pieces.select("chrom", *(F.col(c).alias(f"__{c}") for c in pieces.columns if c != "chrom"))
-    hit = range_join(variants, pieces, "pos", "__lo", "__hi", width, ["chrom"])
+    # files of blocks are small next to their columns, so an estimate by file size would broadcast a whole side
+    hit = range_join(variants.hint("merge"), pieces.hint("merge"), "pos", "__lo", "__hi", width, ["chrom"])
     letter = lambda o: F.upper(F.substring(f"__t_{o}", (F.col("pos") - F.col("__lo") + 1).cast("int"), F.lit(1)))
     hit = hit.select(*variants.columns, "__block", *(F.when(letter(o).isin(*BASES), letter(o)).otherwise(F.lit("N")).alias(o) for o in outgroups))
     first = hit.groupBy("chrom", "pos").agg(F.min("__block").alias("__block"))
-    return hit.join(first, ["chrom", "pos", "__block"]).select(*variants.columns, *outgroups)
+    return hit.join(first.hint("merge"), ["chrom", "pos", "__block"]).select(*variants.columns, *outgroups)
 
 
 def refuse(variants: DataFrame, blocks: DataFrame, order: DataFrame | None = None) -> None:
