@@ -10,13 +10,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociq.operators.genotypes import bits, in_order, ones_in_both
+from lociq.operators.genotypes import bits, in_order, once, ones_in_both
 
+#: Up to so many sites, haplotypes are compared by sums over pairs of sites.
+FEW_SITES = 512
 
-def _correlations(sa: DataFrame, unit: str, other: str) -> DataFrame:
-    """Squared correlation of each unit with each (itself: 1.000001), from packed alleles."""
-    s = sa.groupBy("chrom", unit).agg(bits(in_order(other)).alias("x"), F.sum("allele").alias("k"), F.count("*").alias("n"))
-    pairs = s.join(s.select("chrom", F.col(unit).alias("j"), F.col("x").alias("y"), F.col("k").alias("kj")), "chrom")
+
+def _totals(sa: DataFrame) -> DataFrame:
+    """Total squared correlation of each haplotype (i) with all, as ``_correlations`` gives it, without a pair of haplotypes.
+
+    r^2 of i and j is (x_i . x_j / n - p_i p_j)^2 over p q of both.  Summed over j it is a quadratic form of
+    x_i, with a matrix of sites by sites, a vector of sites and a number that are sums over all
+    haplotypes.  Equal haplotypes are one class, so their totals are the same number.
+    """
+    each = sa.groupBy("chrom", "hap").agg(in_order("site").alias("x"))
+    k, n = F.aggregate("x", F.lit(0), lambda s, a: s + a), F.size("x")
+    c = each.groupBy("chrom", "x").agg(F.count("*").alias("m")).select("chrom", "x", "m", (k / n).alias("p"), n.alias("n"))
+    c = c.withColumn("q", F.col("p") * (1 - F.col("p"))).withColumn("ones", F.filter(F.transform("x", lambda a, i: F.when(a == 1, i)), lambda i: i.isNotNull()))
+    part = c.filter("q > 0").select("chrom", "p", "ones", (F.col("m") / F.col("q")).alias("w"))
+    zeros = c.groupBy("chrom").agg(F.max("n").alias("n")).select("chrom", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"), "n")
+    zeros = zeros.select("chrom", "a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("b"), F.lit(0.0).alias("w"))
+    cells = part.select("chrom", "w", "ones", F.explode("ones").alias("a")).select("chrom", "a", F.explode("ones").alias("b"), "w").unionByName(zeros).groupBy("chrom", "a", "b").agg(F.sum("w").alias("v"))
+    listed = lambda key: F.transform(F.array_sort(F.collect_list(F.struct(key, "v"))), lambda x: x["v"])
+    table = cells.groupBy("chrom", "a").agg(listed("b").alias("v")).groupBy("chrom").agg(listed("a").alias("table"))
+    line = part.select("chrom", F.explode("ones").alias("b"), (F.col("w") * F.col("p")).alias("w")).unionByName(zeros.filter("a = 0").drop("a")).groupBy("chrom", "b").agg(F.sum("w").alias("v")).groupBy("chrom").agg(listed("b").alias("line"))
+    point = part.groupBy("chrom").agg(F.sum(F.col("w") * F.col("p") * F.col("p")).alias("point"))
+    x = c.join(table.join(line, "chrom").join(point, "chrom"), "chrom", "left")
+    add = lambda of, f: F.aggregate(of, F.lit(0.0), lambda s, a: s + f(a))
+    form = once(F.struct("ones", "table", "line"), lambda g: F.struct(add(g["ones"], lambda a: once(F.get(g["table"], a), lambda r: add(g["ones"], lambda b: F.get(r, b)))).alias("square"), add(g["ones"], lambda a: F.get(g["line"], a)).alias("line")))
+    x = x.withColumn("f", form)
+    p, n = F.col("p"), F.col("n")
+    total = (F.col("f.square") / (n * n) - 2 * p / n * F.col("f.line") + p * p * F.col("point")) / F.nullif(F.col("q"), F.lit(0.0))
+    total = F.round(F.coalesce(total - 1, F.lit(0.0)) + 1.000001, 9)  # itself
+    return each.join(x.select("chrom", "x", total.alias("total")), ["chrom", "x"]).select("chrom", F.col("hap").alias("i"), "total")
+
+
+def _correlations(sa: DataFrame, unit: str, other: str, all_of: DataFrame | None = None) -> DataFrame:
+    """Squared correlation of each unit with each, or each of ``all_of`` (itself: 1.000001), from packed alleles."""
+    packed = lambda d: d.groupBy("chrom", unit).agg(bits(in_order(other)).alias("x"), F.sum("allele").alias("k"), F.count("*").alias("n"))
+    s = packed(sa)
+    pairs = s.join((s if all_of is None else packed(all_of)).select("chrom", F.col(unit).alias("j"), F.col("x").alias("y"), F.col("k").alias("kj")), "chrom")
     p = lambda c: F.col(c) / F.col("n")
     d = ones_in_both(F.col("x"), F.col("y")) / F.col("n") - p("k") * p("kj")
     r2 = F.coalesce(F.try_divide(d * d, p("k") * (1 - p("k")) * p("kj") * (1 - p("kj"))), F.lit(0.0))
@@ -25,10 +58,10 @@ def _correlations(sa: DataFrame, unit: str, other: str) -> DataFrame:
 
 def correlation_order(sa: DataFrame) -> DataFrame:
     """Haplotypes by their correlation with the haplotype of the greatest total correlation."""
-    r = _correlations(sa, "hap", "site")
-    total = r.groupBy("chrom", "i").agg(F.round(F.sum("r2"), 9).alias("total"))
+    total = _totals(sa) if sa.select("site").distinct().count() <= FEW_SITES else _correlations(sa, "hap", "site").groupBy("chrom", "i").agg(F.round(F.sum("r2"), 9).alias("total"))
     center = total.groupBy("chrom").agg(F.min(F.struct((-F.col("total")).alias("t"), "i")).alias("c")).select("chrom", F.col("c.i").alias("i"))
-    near = r.join(center, ["chrom", "i"]).select("chrom", F.col("j").alias("hap"), "r2")
+    middle = sa.join(F.broadcast(center.withColumnRenamed("i", "hap")), ["chrom", "hap"], "left_semi")  # a haplotype a chromosome
+    near = _correlations(middle, "hap", "site", sa).select("chrom", F.col("j").alias("hap"), "r2")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("chrom").orderBy(F.round("r2", 9).desc(), "hap")))
 
 
