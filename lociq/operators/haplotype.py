@@ -81,16 +81,24 @@ def haf_top_region(sa: DataFrame, cutoff: float = 0.1, start: int | None = None,
 
 
 def pairwise_moments(sa: DataFrame, by: list[str], width: float = 1.0) -> DataFrame:
-    """Variance (ddof 1), skewness and excess kurtosis of the haplotypes' pairwise differences / width."""
-    h = sa.groupBy(*by, "hap").agg(bits(in_order("site")).alias("x"))
-    pairs = h.join(h.withColumnsRenamed({"hap": "other", "x": "y"}), by).filter("hap < other")
-    d = pairs.select(*by, differences(F.col("x"), F.col("y")).cast("double").alias("d"))
-    v = F.var_samp("d")
+    """Variance (ddof 1), skewness and excess kurtosis of the haplotypes' pairwise differences / width.
+
+    Equal haplotypes are one class: pairs of classes count by their sizes, pairs within a class differ in nothing.
+    """
+    h = sa.groupBy(*by, "hap").agg(bits(in_order("site")).alias("x")).groupBy(*by, "x").agg(F.count("*").alias("m"))
+    pairs = h.join(h.withColumnsRenamed({"m": "my", "x": "y"}), by).filter("x < y")
+    between = pairs.select(*by, differences(F.col("x"), F.col("y")).cast("double").alias("d"), (F.col("m") * F.col("my")).alias("w"))
+    within = h.filter("m > 1").select(*by, F.lit(0.0).alias("d"), F.floor(F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("w"))
+    d = between.unionByName(within).groupBy(*by, "d").agg(F.sum("w").cast("double").alias("w"))  # a row for each number of differences
+    w = Window.partitionBy(*by)
+    d = d.withColumn("c", F.col("d") - F.sum(F.col("w") * F.col("d")).over(w) / F.sum("w").over(w))
+    n, m2, m3, m4 = F.sum("w"), *(F.sum(F.col("w") * F.pow("c", F.lit(float(k)))) for k in (2, 3, 4))
+    v = F.try_divide(m2, n - 1)
     flat = F.coalesce(v, F.lit(0.0)) < 1e-12
     return d.groupBy(*by).agg(
         F.round(v / (width * width), 6).alias("dist_var"),
-        F.round(F.when(~flat, F.skewness("d")), 6).alias("dist_skew"),
-        F.round(F.when(~flat, F.kurtosis("d")), 6).alias("dist_kurtosis"),
+        F.round(F.when(~flat, F.sqrt(n) * m3 / F.pow(m2, F.lit(1.5))), 6).alias("dist_skew"),
+        F.round(F.when(~flat, n * m4 / (m2 * m2) - 3), 6).alias("dist_kurtosis"),
     )
 
 
