@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,6 +80,25 @@ def pools(factors: DataFrame, targets: DataFrame, distances: DataFrame, min_dist
     return (pool, chosen) if flip else (chosen, pool)
 
 
+def _by_gene(pdf: pd.DataFrame, factors: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Genes and factors in the genes' order; nothing else of the group is kept."""
+    order = np.argsort(pdf["gene"].to_numpy(), kind="stable")
+    x = np.empty((len(pdf), len(factors)))
+    for k, f in enumerate(factors):
+        x[:, k] = pdf[f].to_numpy(float)[order]
+    return pdf["gene"].to_numpy()[order], x
+
+
+def _first_fit(x: np.ndarray, used: np.ndarray, tries: np.ndarray, total: np.ndarray, n: int, goal: np.ndarray, band: np.ndarray, max_repeat: int, block: int = 65_536) -> int | None:
+    """The first gene of ``tries`` that keeps the mean of n genes within the band; looked for in blocks."""
+    for at in range(0, len(tries), block):
+        some = tries[at : at + block]
+        fits = (np.abs((total[None, :] + x[some]) / n - goal) <= band).all(axis=1) & (used[some] < max_repeat)
+        if fits.any():
+            return int(some[fits.argmax()])
+    return None
+
+
 def matched_pairs(pool: DataFrame, targets: DataFrame, factors: list[str], runs: int, batches: int = 10, sets: int = 10, tolerance: float = 0.05, max_repeat: float = 25.0, free: list[str] = (), faded: int = 100, seed: int = 1) -> DataFrame:
     """Control sets (sample, slot, gene) of the targets' number, drawn as pairs of genes.
 
@@ -98,10 +119,9 @@ def matched_pairs(pool: DataFrame, targets: DataFrame, factors: list[str], runs:
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(key[0])
         rng = np.random.default_rng([seed, number])
-        pdf = pdf.sort_values("gene").reset_index(drop=True)
-        x, used = pdf[factors].to_numpy(float), np.zeros(len(pdf), dtype=np.int64)
-        taken: list[int] = []
-        mean, fake, refused, out = goal.copy(), faded, 0, []
+        genes, x = _by_gene(pdf, factors)
+        used, taken = np.zeros(len(x), dtype=np.int32), array("i")  # numbers, not objects: there are eleven times the targets for each batch
+        mean, fake, refused, out = goal.copy(), faded, 0, []  # out: a triple of arrays for each set
         for batch in range(1, batches + 1):
             while len(taken) < faded + 11 * size * batch:
                 for i, j in rng.integers(0, len(x), (256, 2)):
@@ -113,16 +133,16 @@ def matched_pairs(pool: DataFrame, targets: DataFrame, factors: list[str], runs:
                         refused += 1
                         continue
                     mean, fake, refused = new, max(0, fake - 1), 0
-                    taken += [int(i), int(j)]
+                    taken.extend((int(i), int(j)))
                     used[[i, j]] += 1
                     if len(taken) >= faded + 11 * size * batch:
                         break
                 if refused > 1_000_000:
                     raise ValueError("no pair of genes keeps the factor means within the tolerance")
             for s in range(sets):
-                part = taken[len(taken) - (s + 1) * size : len(taken) - s * size]
-                out += [((number * batches + batch - 1) * sets + sets - 1 - s, slot, pdf["gene"].iloc[k]) for slot, k in enumerate(part)]
-        return pd.DataFrame(out, columns=["sample", "slot", "gene"])
+                part = np.array(taken[len(taken) - (s + 1) * size : len(taken) - s * size], dtype=np.int32)
+                out.append((np.full(len(part), (number * batches + batch - 1) * sets + sets - 1 - s), np.arange(len(part)), genes[part]))
+        return pd.DataFrame({c: np.concatenate([o[k] for o in out]) if out else [] for k, c in enumerate(("sample", "slot", "gene"))})
 
     gene = pool.schema["gene"].dataType.simpleString()
     return pool.select("gene", *factors).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).groupBy("run").applyInPandas(run, f"sample long, slot long, gene {gene}")
@@ -280,21 +300,19 @@ def matched_controls(pool: DataFrame, targets: DataFrame, factors: list[str], ru
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(key[0])])
-        pdf = pdf.sort_values("gene").reset_index(drop=True)
-        x, genes = pdf[factors].to_numpy(float), pdf["gene"].to_numpy()
-        total, used, out = np.zeros(len(factors)), np.zeros(len(x), dtype=int), []
+        genes, x = _by_gene(pdf, factors)
+        total, used, out = np.zeros(len(factors)), np.zeros(len(x), dtype=np.int32), []
         band = np.abs(goal) * tolerance + 1e-9
         while len(out) < size and len(x):
             tries, widen = rng.permutation(len(x)), 1.0
-            mean = (total[None, :] + x[tries]) / (len(out) + 1)
+            wide = band * max(1.0, 10.0 / (len(out) + 1))
             while True:
-                fits = (np.abs(mean - goal) <= band * widen * max(1.0, 10.0 / (len(out) + 1))).all(axis=1) & (used[tries] < max_repeat)
-                if fits.any():
+                k = _first_fit(x, used, tries, total, len(out) + 1, goal, wide * widen, max_repeat)
+                if k is not None:
                     break
                 widen *= 2
                 if widen > 1e6:
                     raise ValueError(f"set {int(key[0])}: no gene is left after {len(out)} of {size}; the pool has {len(x)}, each at most {max_repeat} times")
-            k = tries[int(fits.argmax())]
             used[k] += 1
             total += x[k]
             out.append(genes[k])
