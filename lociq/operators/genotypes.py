@@ -61,6 +61,18 @@ def bits(alleles: Column) -> Column:
     return once(alleles, lambda a: F.transform(F.sequence(F.lit(1), F.size(a), F.lit(WORD)), lambda k: word(a, k)))
 
 
+def words(sa: DataFrame, by: list[str]) -> DataFrame:
+    """Groups of alleles (a site's) as by, n, k and packed x: bit hap % ``WORD`` of a word for every ``WORD`` numbers of haplotypes.
+
+    Haplotypes are whole numbers, once in a group; groups of the same haplotypes have the same words.  Words and
+    counts are combined before the shuffle: no list of a site's alleles is collected or sorted.
+    """
+    bit = F.pmod(F.col("hap").cast("long"), F.lit(WORD))
+    ones = F.bit_or(F.call_function("shiftleft", F.col("allele").cast("long"), bit.cast("int")))
+    each = sa.groupBy(*by, (F.col("hap") - bit).alias("__w")).agg(F.count("*").alias("n"), F.sum("allele").alias("k"), F.coalesce(ones, F.lit(0).cast("long")).alias("x"))
+    return each.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.transform(F.array_sort(F.collect_list(F.struct("__w", "x"))), lambda w: w["x"]).alias("x"))
+
+
 def ones_in_both(a: Column, b: Column) -> Column:
     """Number of places where both packed arrays have a 1."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociq.operators.genotypes import bits, differences, in_order, ones_in_both
+from lociq.operators.genotypes import bits, differences, in_order, ones_in_both, words
 from lociq.operators.intervals import numbered
 
 
@@ -102,37 +102,42 @@ def pairwise_moments(sa: DataFrame, by: list[str], width: float = 1.0) -> DataFr
     )
 
 
-def site_pairs(sa: DataFrame, by: list[str]) -> DataFrame:
-    """Per pair of sites of a window: r^2 from counts of shared derived alleles."""
-    s = sa.groupBy(*by, "site").agg(F.max("n").alias("n"), F.max("k").alias("k"), bits(in_order("hap")).alias("x"))
+def site_pairs(s: DataFrame, by: list[str]) -> DataFrame:
+    """Per pair of packed sites (by, site, n, k, x) of a window: r^2 from counts of shared derived alleles."""
     s = s.withColumn("o", F.row_number().over(Window.partitionBy(*by).orderBy("site")))  # a window's sites
-    other = s.select(*by, F.col("site").alias("j"), F.col("k").alias("kj"), F.col("o").alias("oj"), F.col("x").alias("y"))
-    pairs = s.withColumnsRenamed({"site": "i", "k": "ki", "o": "oi"}).join(other, by).filter("oi < oj")
-    p = lambda c: F.col(c) / F.col("n")
-    d = ones_in_both(F.col("x"), F.col("y")) / F.col("n") - p("ki") * p("kj")
-    r2 = F.coalesce(F.try_divide(d * d, p("ki") * (1 - p("ki")) * p("kj") * (1 - p("kj"))), F.lit(0.0))
-    return pairs.select(*by, "i", "j", "oi", "oj", r2.alias("r2"))
+    side = lambda e: s.select(*by, *(F.col(c).alias(f"{c}{e}") for c in ("o", "n", "k", "x")))  # noqa: E731  the same columns, so that it is made once
+    pairs = side("i").join(side("j"), by).filter("oi < oj")
+    pi, pj = F.col("ki") / F.col("ni"), F.col("kj") / F.col("nj")
+    d = ones_in_both(F.col("xi"), F.col("xj")) / F.col("ni") - pi * pj
+    r2 = F.coalesce(F.try_divide(d * d, pi * (1 - pi) * pj * (1 - pj)), F.lit(0.0))
+    return pairs.select(*by, "oi", "oj", r2.alias("r2"))
 
 
 def ld(sa: DataFrame, by: list[str]) -> DataFrame:
     """Kelly's ZnS and Kim and Nielsen's omega (pooled denominators), splits 3 .. S - 3."""
-    pairs = site_pairs(sa, by)
-    left = pairs.groupBy(*by, F.col("oj").alias("o")).agg(F.sum("r2").alias("col"))
-    right = pairs.groupBy(*by, F.col("oi").alias("o")).agg(F.sum("r2").alias("row"))
-    per = left.join(right, [*by, "o"], "full").select(*by, "o", F.coalesce("col", F.lit(0.0)).alias("col"), F.coalesce("row", F.lit(0.0)).alias("row"))
+    return packed_ld(words(sa, [*by, "site"]), by)
+
+
+def packed_ld(s: DataFrame, by: list[str]) -> DataFrame:
+    """``ld`` of packed sites (by, site, n, k, x)."""
+    end = lambda o, col, row: F.struct(F.col(o).alias("o"), col.alias("col"), row.alias("row"))
+    none, r2 = F.lit(0.0), F.col("r2")
+    ends = site_pairs(s, by).withColumn("e", F.explode(F.array(end("oj", r2, none), end("oi", none, r2))))
+    per = ends.groupBy(*by, F.col("e.o").alias("o")).agg(F.sum("e.col").alias("col"), F.sum("e.row").alias("row"))
     return _linkage(per, by)
 
 
 def _linkage(per: DataFrame, by: list[str]) -> DataFrame:
     """ZnS and omega of windows, from the sums of r^2 of each site (o, from 1) with earlier (col) and with later sites (row)."""
-    size = per.groupBy(*by).agg(F.max("o").alias("s"), F.sum("col").alias("total"))
-    w = Window.partitionBy(*by).orderBy("o")
-    cut = per.withColumn("l", F.sum("col").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("r", F.coalesce(F.sum("row").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))).join(size, by)
+    w = Window.partitionBy(*by)
+    so_far = w.orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    later = w.orderBy(F.desc("o")).rowsBetween(Window.unboundedPreceding, -1)  # backwards: a frame that ends at the last row is read anew for every row
+    cut = per.select(*by, "o", F.max("o").over(w).alias("s"), F.sum("col").over(w).alias("total"), F.sum("col").over(so_far).alias("l"), F.coalesce(F.sum("row").over(later), F.lit(0.0)).alias("r"))
     o, s = F.col("o"), F.col("s")
     between = F.col("total") - F.col("l") - F.col("r")
     omega = (F.col("l") + F.col("r")) / (o * (o - 1) / 2 + (s - o) * (s - o - 1) / 2) / (F.nullif(F.greatest(between, F.lit(0.0)), F.lit(0.0)) / (o * (s - o)))
-    best = cut.filter((o >= 3) & (o < s - 2)).groupBy(*by).agg(F.max(omega).alias("omega"))
-    return size.filter("s > 1").join(best, by, "left").select(*by, F.round(F.col("total") / (s * (s - 1) / 2), 6).alias("zns"), F.round(F.coalesce("omega", F.lit(0.0)), 6).alias("omega_max"))
+    best = cut.filter("s > 1").groupBy(*by).agg(F.max("s").alias("s"), F.max("total").alias("total"), F.max(F.when((o >= 3) & (o < s - 2), omega)).alias("omega"))
+    return best.select(*by, F.round(F.col("total") / (s * (s - 1) / 2), 6).alias("zns"), F.round(F.coalesce("omega", F.lit(0.0)), 6).alias("omega_max"))
 
 
 def ld_scan(sites: DataFrame, width: int = 100_000, step: int = 10_000) -> DataFrame:

@@ -36,7 +36,8 @@ def pairwise_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ld_zns_omega(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return haplotype.ld(_windows(spark, sf_dir), BY)
+    sa = genotypes.dense(spark, sf_dir).withColumn("win", F.floor((F.col("site") - 1) / F.lit(16)))
+    return haplotype.packed_ld(genotypes.biallelic(genotypes.words(sa, [*BY, "site"])), BY)  # the counts come with the words: the long table is not joined with them
 
 
 def focal_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
