op5_minhash deals rows of bands and candidate sets once, and compares near copies' buckets in few tasks

Symptom: op5_minhash shuffled 170 MB on 0.10 GB of documents and 1117 MB on 0.51 GB, a power of 1.17 of the input; disk was projected at 107 GB for 30 GB (3.58 x input).
Evidence: the event log named the exchanges: rows of (band, hash) were dealt twice (164 and 146 MB), full sets anew for each join by uid (132 and 150 MB once the other side was too large to broadcast), and a signature went to a task for each band a row shares (89 and 68 MB).
Fix: a window counts a bucket where its rows lie, so no table of bands is written and read again; sets are dealt by uid once into bucket files; small buckets with the same least row get the same task (no more rows and shingles than one block), in a stated number of partitions.
Effect, together with 1 more commit on this code: at 0.6 GB of input CPU 1316 -> 1404 s, shuffle 1.95 -> 1.58 GB, spill 0.00 -> 0.00 GB, read 2.04 -> 1.88 GB, longest task 38 -> 42 s, most memory of a task 235 -> 102 MB; at 6 GB of input CPU 8490 -> 6625 s, shuffle 22.80 -> 18.60 GB, spill 0.00 -> 0.00 GB, read 20.28 -> 18.69 GB, longest task 87 -> 68 s, most memory of a task 705 -> 273 MB; with hot keys, at 0.6 GB of input CPU 2471 -> 2156 s, shuffle 1.81 -> 1.45 GB, spill 0.00 -> 0.00 GB, read 0.97 -> 0.88 GB, longest task 68 -> 52 s, most memory of a task 206 -> 239 MB.

@@ -27,6 +27,7 @@ lost, no list of pairs is made, and tasks are sized by what is copied to them.
 
 The texts lie in bucket files by the task that read them (the sender) and do
 not move: the rows whose sets are needed are sent to them, as lists by sender.
+Those sets are dealt by uid once, into bucket files, so no later join moves them.
 Verdicts of classes and components that hold a large part of all rows travel by
 broadcast (``common.spread_join``).
 
@@ -45,7 +46,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -267,7 +268,7 @@ def _cross_links(key, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 #: A row in a pair of blocks.
-_MET = {"band": "int", "hash": "long", "one": "int", "two": "int", "side": "boolean", "uid": "long", "comp": "long"}
+_MET = {"band": "int", "hash": "long", "home": "long", "one": "int", "two": "int", "side": "boolean", "uid": "long", "comp": "long"}
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -342,37 +343,55 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _in_buckets(banded: DataFrame) -> DataFrame:
+    """Rows (rep, items, band, hash) of the buckets of at least two: uid, items, band, hash, blocks, home.
+
+    Buckets of a home are compared in one task.  Small ones have that of their least row, as near copies share many
+    buckets: what is sent of a row then goes to few tasks.  All of one home are no more than a block.
+    """
+    bucket = Window.partitionBy("band", "hash")
+    n, items = F.col("n"), F.col("volume")
+    found = banded.withColumns({"n": F.count("*").over(bucket), "volume": F.sum("items").over(bucket), "low": F.min("rep").over(bucket)}).filter("n > 1")
+    small = (n * BANDS <= BLOCK) & (items * BANDS <= BLOCK_ITEMS)
+    home = F.when(small, F.xxhash64("low")).otherwise(F.xxhash64("band", "hash"))
+    blocks = F.greatest(F.ceil(n / BLOCK), F.ceil(items / BLOCK_ITEMS)).cast("int")
+    return found.select(F.col("rep").alias("uid"), "items", "band", "hash", blocks.alias("blocks"), home.alias("home"))
+
+
 @tidy
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with n_shingles, component_id and kept, one row for each row."""
     p = fresh([c[:5] for c in docs.columns], "__nd") + "_"
-    parts = max(1, docs.rdd.getNumPartitions())
-    rows = materialize(_spool(docs, text_col, p), "sets", (min(8192, max(4, 4 * parts)), f"{p}sender"))
+    parts = min(8192, max(4, 4 * docs.rdd.getNumPartitions()))
+    rows = materialize(_spool(docs, text_col, p), "sets", (parts, f"{p}sender"))
     base = rows.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"{p}uid").alias("uid"), F.col(f"{p}n").alias("n"), F.col(f"{p}k1").alias("k1"), F.col(f"{p}k2").alias("k2"))
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("uid"))
     classes = materialize(base.filter("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.min(who).alias("who"), F.count("*").alias("copies")), "classes")
 
     # candidates: buckets of at least two representatives
     banded = rows.filter(f"{p}n > 0").select(F.col(f"{p}uid").alias("rep"), F.col(f"{p}n").alias("items"), F.posexplode(f"{p}bands").alias("band", "hash")).join(classes.select("rep"), "rep", "left_semi")
-    banded = materialize(banded, "bands")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("items") / BLOCK_ITEMS)).cast("int")
-    shared = banded.groupBy("band", "hash").agg(F.count("*").alias("n"), blocks.alias("blocks")).filter("n > 1")
-    members = materialize(banded.join(shared, ["band", "hash"]).select(F.col("rep").alias("uid"), "items", "band", "hash", "blocks"), "buckets")
+    members = materialize(_in_buckets(banded), "buckets")
 
     # sets and signatures of the representatives in them; the texts stay where they are
     wanted = members.select("uid").distinct().groupBy(F.shiftright("uid", 33).alias(f"{p}sender")).agg(F.collect_list("uid").alias("wanted"))
     texts = rows.select(f"{p}sender", f"{p}uid", F.col(f"{p}bands").alias("bands"), F.col(f"`{text_col}`").alias("text")).join(wanted.hint("shuffle_hash"), f"{p}sender").filter(F.array_contains("wanted", F.col(f"{p}uid")))
-    sets = materialize(texts.select(F.col(f"{p}uid").alias("uid"), "bands", "text").mapInArrow(_sets, "uid long, bands array<long>, items array<long>, sig binary"), "shingles")
+    # dealt by uid once and for all, as every join below is by uid
+    sets = texts.select(F.col(f"{p}uid").alias("uid"), "bands", "text").mapInArrow(_sets, "uid long, bands array<long>, items array<long>, sig binary")
+    sets = materialize(sets.repartition(parts, "uid"), "shingles", (parts, "uid"))
     signed = materialize(members.join(sets.select("uid", "sig"), "uid"), "signed")
 
     def dealt(frame: DataFrame, keys: list[str], tasks: float, rows: int):
-        """Groups by a hash of the keys: ``tasks`` of them, a few more while they stay above 500 rows."""
+        """Groups by a hash of the keys: ``tasks`` of them, a few more while they stay above 500 rows.
+
+        Partitions have a stated number: rows that repeat a signature are packed small, so by their size too many would be merged.
+        """
         groups = max(1, math.ceil(tasks), min(32, rows // 500))
-        return frame.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")).groupBy("part")
+        most = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return frame.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")).repartition(min(groups, most), "part").groupBy("part")
 
     size = signed.count()
     block = F.pmod(F.xxhash64("uid", "band"), F.col("blocks")).cast("int")
-    first = dealt(signed.withColumn("block", block), ["band", "hash", "block"], size / PER_TASK, size).applyInPandas(_first_pairs, "a long, b long")
+    first = dealt(signed.withColumn("block", block), ["home", "block"], size / PER_TASK, size).applyInPandas(_first_pairs, "a long, b long")
     pairs = materialize(first.distinct(), "pairs")
     links = _verified(pairs, sets, "links")
     comps = components(links)
@@ -385,7 +404,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     signs = rest.join(sets.select("uid", "bands", "sig"), "uid")
     crossed = signs.withColumn("other", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).withColumn("side", F.col("block") == F.col("one"))
-    meeting = ["band", "hash", "one", "two"]
+    meeting = ["home", "one", "two"]
     few = materialize(dealt(crossed.select(*_MET, "bands", "sig"), meeting, copied / PER_TASK, copied).applyInPandas(_surviving_rows, ", ".join(f"{k} {t}" for k, t in _MET.items())), "survivors")
     volume = few.join(members.select("uid", "items").distinct(), "uid").agg(F.count("*").alias("rows"), F.coalesce(F.sum("items"), F.lit(0)).alias("items")).first()
     more = materialize(dealt(few.join(sets, "uid"), meeting, volume["items"] / ITEMS_PER_TASK, volume["rows"]).applyInPandas(_cross_links, "a long, b long"), "more_links")
