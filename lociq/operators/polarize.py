@@ -273,19 +273,19 @@ def variants_in_blocks(variants: DataFrame, blocks: DataFrame, outgroups: list[s
 
     A block spans the bases of its first sequence, from start + 1 on.  Variants meet pieces of
     blocks by bucket, so neither side must be sorted, and a pair carries a piece's letters only; a
-    variant in two blocks takes the first.  Bases other than A, C, G, T, and
-    outgroups that a block lacks, are N.
+    variant in two blocks takes the first, which is found where the pairs of its bucket were made.
+    Bases other than A, C, G, T, and outgroups that a block lacks, are N.
     """
     from lociq.operators.intervals import range_join
 
     pieces = block_pieces(blocks, outgroups)
     pieces = pieces.select("chrom", *(F.col(c).alias(f"__{c}") for c in pieces.columns if c != "chrom"))
     # files of blocks are small next to their columns, so an estimate by file size would broadcast a whole side
-    hit = range_join(variants.hint("merge"), pieces.hint("merge"), "pos", "__lo", "__hi", width, ["chrom"])
+    hit = range_join(variants.hint("merge"), pieces.hint("merge"), "pos", "__lo", "__hi", width, ["chrom"], bucket="__bucket")
     letter = lambda o: F.upper(F.substring(f"__t_{o}", (F.col("pos") - F.col("__lo") + 1).cast("int"), F.lit(1)))
-    hit = hit.select(*variants.columns, "__block", *(F.when(letter(o).isin(*BASES), letter(o)).otherwise(F.lit("N")).alias(o) for o in outgroups))
-    first = hit.groupBy("chrom", "pos").agg(F.min("__block").alias("__block"))
-    return hit.join(first.hint("merge"), ["chrom", "pos", "__block"]).select(*variants.columns, *outgroups)
+    hit = hit.select(*variants.columns, "__bucket", "__block", *(F.when(letter(o).isin(*BASES), letter(o)).otherwise(F.lit("N")).alias(o) for o in outgroups))
+    first = F.min("__block").over(Window.partitionBy("__bucket", "chrom", "pos"))
+    return hit.withColumn("__first", first).filter("__block = __first").select(*variants.columns, *outgroups)
 
 
 def refuse(variants: DataFrame, blocks: DataFrame, order: DataFrame | None = None) -> None:
