op5_minhash sizes the bucket files of candidate sets by their shingles

Symptom: sets dealt by uid went to four files for each input partition, so large input partitions of long texts would have made large tasks in every join by uid.
Evidence: from the code: an input partition of 128 MB can hold some tens of millions of shingles of 8 bytes; the measured inputs are cut at 16 MB and do not show it.
Fix: as many files as all shingles need at ITEMS_PER_TASK each, and no fewer than before.
Effect, together with 1 more commit on this code: at 0.6 GB of input CPU 1316 -> 1404 s, shuffle 1.95 -> 1.58 GB, spill 0.00 -> 0.00 GB, read 2.04 -> 1.88 GB, longest task 38 -> 42 s, most memory of a task 235 -> 102 MB; at 6 GB of input CPU 8490 -> 6625 s, shuffle 22.80 -> 18.60 GB, spill 0.00 -> 0.00 GB, read 20.28 -> 18.69 GB, longest task 87 -> 68 s, most memory of a task 705 -> 273 MB; with hot keys, at 0.6 GB of input CPU 2471 -> 2156 s, shuffle 1.81 -> 1.45 GB, spill 0.00 -> 0.00 GB, read 0.97 -> 0.88 GB, longest task 68 -> 52 s, most memory of a task 206 -> 239 MB.

@@ -59,6 +59,8 @@ SIGNATURE, BATCH, MISS = 256, 32, 1e-7
 BLOCK, BLOCK_ITEMS = 1024, 2_000_000
 #: Rows with signatures, and shingles of sets, that one task compares at once, about.
 PER_TASK, ITEMS_PER_TASK = 20_000, 4_000_000
+#: Spark's limit on the buckets of a table (``spark.sql.sources.bucketing.maxBuckets``).
+MOST_BUCKETS = 100_000
 REMEMBERED = 1_000_000
 
 
@@ -375,9 +377,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # sets and signatures of the representatives in them; the texts stay where they are
     wanted = members.select("uid").distinct().groupBy(F.shiftright("uid", 33).alias(f"{p}sender")).agg(F.collect_list("uid").alias("wanted"))
     texts = rows.select(f"{p}sender", f"{p}uid", F.col(f"{p}bands").alias("bands"), F.col(f"`{text_col}`").alias("text")).join(wanted.hint("shuffle_hash"), f"{p}sender").filter(F.array_contains("wanted", F.col(f"{p}uid")))
-    # dealt by uid once and for all, as every join below is by uid
+    # dealt by uid once and for all, as every join below is by uid; a bucket holds a task's shingles, however large a sender is
+    shingled = rows.agg(F.coalesce(F.sum(f"{p}n"), F.lit(0)).alias("n")).first()["n"]
+    held = min(MOST_BUCKETS, max(parts, math.ceil(shingled / ITEMS_PER_TASK)))
     sets = texts.select(F.col(f"{p}uid").alias("uid"), "bands", "text").mapInArrow(_sets, "uid long, bands array<long>, items array<long>, sig binary")
-    sets = materialize(sets.repartition(parts, "uid"), "shingles", (parts, "uid"))
+    sets = materialize(sets.repartition(held, "uid"), "shingles", (held, "uid"))
     signed = materialize(members.join(sets.select("uid", "sig"), "uid"), "signed")
 
     def dealt(frame: DataFrame, keys: list[str], tasks: float, rows: int):
